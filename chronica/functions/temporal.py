@@ -32,21 +32,32 @@ def calendar_code(code: Column) -> Column:
     )
 
 
-def julian_day_number(year: Column, month: Column, day: Column) -> Column:
-    """Day number of a Julian civil date, counted from a year that starts in March."""
+def day_number(year: Column, month: Column, day: Column, julian: Column) -> Column:
+    """Julian day number of a civil date in either calendar, counted from a year
+    that starts in March. Whole-number arithmetic, so it never fails on a row."""
     before_march = (month <= 2).cast("int")
     y = year + 4800 - before_march
     m = month + 12 * before_march - 3
-    return (day + _div(m * 153 + 2, 5) + y * 365 + _div(y, 4) - 32083).cast("int")
+    common = day + _div(m * 153 + 2, 5) + y * 365 + _div(y, 4)
+    return (common + F.when(julian, -32083).otherwise(_div(y, 400) - _div(y, 100) - 32045)).cast("int")
+
+
+def civil_date(year: Column, month: Column, day: Column, julian: Column) -> Column:
+    """Proleptic Gregorian date of a civil date in either calendar."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), day_number(year, month, day, julian) - EPOCH_JDN)
 
 
 def julian_to_gregorian(year: Column, month: Column, day: Column) -> Column:
-    """Proleptic Gregorian date of a Julian civil date."""
-    return F.date_add(F.lit("1970-01-01").cast("date"), julian_day_number(year, month, day) - EPOCH_JDN)
+    return civil_date(year, month, day, F.lit(True))
+
+
+def month_days(year: Column, month: Column, julian: Column) -> Column:
+    leap = (year % 4 == 0) & (julian | (year % 100 != 0) | (year % 400 == 0))
+    return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
 
 
 def julian_month_days(year: Column, month: Column) -> Column:
-    return F.when(month == 2, F.when(year % 4 == 0, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return month_days(year, month, F.lit(True))
 
 
 def day_cycle(date: Column) -> Column:
@@ -55,67 +66,61 @@ def day_cycle(date: Column) -> Column:
 
 
 # --- intervals --------------------------------------------------------------
-def _civil(year: Column, month: Column, day: Column) -> Column:
-    """A date, or null where the parts name no day."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+DATED = ("day", "month", "year")
+
+
+def time_parts(time: Column, precision: Column, calendar_uri: Column) -> Column:
+    """A ``+YYYY-MM-DDT...`` value read into numbers, ready for ``with_interval``."""
+    absent = time.isNull() | (time == "")
+    parts = F.split(F.substring_index(time, "T", 1), "-")
+    return F.struct(
+        absent.alias("absent"),
+        F.regexp_extract(time, r"^\+?(-?\d+)-", 1).try_cast("int").alias("y"),
+        F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(0)).alias("m"),
+        F.coalesce(F.get(parts, F.lit(2)).try_cast("int"), F.lit(0)).alias("d"),
+        F.coalesce(precision, F.lit(0)).alias("p"),
+        F.when(absent, "unknown").otherwise(calendar_kind(calendar_uri)).alias("calendar"),
+    )
 
 
-def with_interval(df: DataFrame, time: str, precision: str, calendar_uri: str) -> DataFrame:
-    """Add ``lo``, ``hi``, ``label`` and ``calendar`` of a ``+YYYY-MM-DDT...``
-    value at its stated precision.
+def with_interval(df: DataFrame, parts: str) -> DataFrame:
+    """Replace a ``time_parts`` column by ``lo``, ``hi``, ``label``, ``calendar``.
 
     Nothing coarser than a year is given a date, and Julian bounds come out as
-    Gregorian days. The steps are separate projections so that each part is
-    evaluated once.
+    Gregorian days. Whoever wants dated rows only filters on ``label``, whose
+    expression is small enough to be pushed down to the rows' source.
     """
-    parts = F.split(F.substring_index(F.col(time), "T", 1), "-")
-    absent = F.col(time).isNull() | (F.col(time) == "")
-    read = df.withColumns(
-        {
-            "__y": F.regexp_extract(time, r"^\+?(-?\d+)-", 1).try_cast("int"),
-            "__m": F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(0)),
-            "__d": F.coalesce(F.get(parts, F.lit(2)).try_cast("int"), F.lit(0)),
-            "__p": F.coalesce(F.col(precision), F.lit(0)),
-            "calendar": F.when(absent, "unknown").otherwise(calendar_kind(F.col(calendar_uri))),
-        }
-    )
-    y, m, d, p = (F.col(c) for c in ("__y", "__m", "__d", "__p"))
+    y, m, d, p = (F.col(f"{parts}.{c}") for c in "ymdp")
+    julian = F.col(f"{parts}.calendar") == "julian"
     month_ok = m.between(1, 12)
+    # A Julian day past its month's end rolls over; a Gregorian one is invalid.
+    day_ok = month_ok & (d >= 1) & (julian | (d <= month_days(y, m, F.lit(False))))
     label = (
-        F.when(absent, "unknown")
+        F.when(F.col(f"{parts}.absent"), "unknown")
         .when(y.isNull() | (y <= 0) | (y > 9999), "unsupported")
         .when(p < 9, "coarse")
         .when(p == 9, "year")
         .when(month_ok & (p == 10), "month")
-        .when(month_ok & (p > 10) & (d >= 1), "day")
+        .when(day_ok & (p > 10), "day")
         .otherwise("invalid")
     )
-    julian = F.col("calendar") == "julian"
-    bounded = read.withColumn("label", label).withColumns(
+    year, day = F.col("label") == "year", F.col("label") == "day"
+    staged = df.withColumn("label", label).withColumns(
         {
-            "__m1": F.when(F.col("label") == "year", 1).otherwise(m),
-            "__m2": F.when(F.col("label") == "year", 12).otherwise(m),
-            "__d1": F.when(F.col("label") == "day", d).otherwise(1),
-            "__d2": F.when(F.col("label") == "day", d)
-            .when(F.col("label") == "year", 31)
-            .when(julian, julian_month_days(y, m))
-            .otherwise(F.day(F.last_day(_civil(y, m, F.lit(1))))),
+            "__m1": F.when(year, 1).otherwise(m),
+            "__m2": F.when(year, 12).otherwise(m),
+            "__d1": F.when(day, d).otherwise(1),
+            "__d2": F.when(day, d).when(year, 31).otherwise(month_days(y, m, julian)),
         }
     )
-    dated = F.col("label").isin("year", "month", "day")
-
-    def bound(month, day):
-        return F.when(dated, F.when(julian, julian_to_gregorian(y, F.col(month), F.col(day))).otherwise(_civil(y, F.col(month), F.col(day))))
-
-    both = bounded.withColumns({"__lo": bound("__m1", "__d1"), "__hi": bound("__m2", "__d2")})
-    whole = F.col("__lo").isNotNull() & F.col("__hi").isNotNull()
-    return both.withColumns(
+    dated = F.col("label").isin(*DATED)
+    return staged.withColumns(
         {
-            "lo": F.when(whole, F.col("__lo")),
-            "hi": F.when(whole, F.col("__hi")),
-            "label": F.when(dated & ~whole, "invalid").otherwise(F.col("label")),
+            "lo": F.when(dated, civil_date(y, F.col("__m1"), F.col("__d1"), julian)),
+            "hi": F.when(dated, civil_date(y, F.col("__m2"), F.col("__d2"), julian)),
+            "calendar": F.col(f"{parts}.calendar"),
         }
-    ).drop("__y", "__m", "__d", "__p", "__m1", "__m2", "__d1", "__d2", "__lo", "__hi")
+    ).drop("__m1", "__m2", "__d1", "__d2", parts)
 
 
 def partial_interval(raw: Column) -> Column:

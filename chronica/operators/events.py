@@ -23,20 +23,20 @@ def claims_to_events(claims: DataFrame, births: DataFrame) -> DataFrame:
     the first time of a list counts."""
 
     def first(kind):
-        times = F.from_json(F.coalesce(f"{kind}_json", F.lit("[]")), TIME_LIST)
-        return F.struct(F.lit(kind).alias("kind"), F.get(times, F.lit(0)).alias("at"))
+        at = F.get(F.from_json(F.coalesce(f"{kind}_json", F.lit("[]")), TIME_LIST), F.lit(0))
+        parts = D.time_parts(at["time"], at["precision"], at["calendar_model"])
+        return F.struct(F.lit(kind).alias("kind"), at["time"].alias("raw"), parts.alias("parts"))
 
     slots = claims.withColumn("slot", F.explode(F.array(first("point"), first("start"), first("end"))))
-    timed = slots.where(F.col("slot.at.time").isNotNull()).select(
+    timed = slots.select(
         "statement_id", "person_id", "event_type", "value_id", "rank", "reference_count",
         F.col("slot.kind").alias("qualifier_kind"),
-        F.col("slot.at.time").alias("source_time_raw"),
-        F.col("slot.at.precision").alias("__precision"),
-        F.col("slot.at.calendar_model").alias("__calendar"),
+        F.col("slot.raw").alias("source_time_raw"),
+        F.col("slot.parts").alias("parts"),
     )
     dated = (
-        D.with_interval(timed, "source_time_raw", "__precision", "__calendar")
-        .where(F.col("lo").isNotNull())
+        D.with_interval(timed, "parts")
+        .where(F.col("label").isin(*D.DATED))
         .withColumnsRenamed({"lo": "date_min", "hi": "date_max", "label": "precision", "calendar": "calendar_kind"})
     )
     joined = dated.join(births.select("person_id", "birth_date"), "person_id").withColumns(_age_columns())
@@ -102,11 +102,12 @@ def works_to_events(works: DataFrame, births: DataFrame) -> DataFrame:
     """Each listed publication time of a work becomes a creation event."""
     listed = F.from_json("publication_json", "array<struct<time:string,precision:int,calendar_model:string,rank:string,reference_count:int>>")
     timed = works.select("person_id", "work_id", F.posexplode(listed).alias("j", "o")).select(
-        "person_id", "work_id", "j", "o.*"
+        "person_id", "work_id", "j", F.col("o.rank").alias("rank"), F.col("o.reference_count").alias("reference_count"),
+        D.time_parts(F.col("o.time"), F.col("o.precision"), F.col("o.calendar_model")).alias("parts"),
     )
     dated = (
-        D.with_interval(timed, "time", "precision", "calendar_model")
-        .where(F.col("lo").isNotNull())
+        D.with_interval(timed, "parts")
+        .where(F.col("label").isin(*D.DATED))
         .withColumnsRenamed({"lo": "date_min", "hi": "date_max"})
     )
     joined = dated.join(births.select("person_id", "birth_date"), "person_id").withColumns(_age_columns())

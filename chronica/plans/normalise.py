@@ -48,7 +48,8 @@ def partial_date_text(t):
     "claim_intervals",
 )
 def time_interval(t):
-    dated = D.with_interval(t.claim_times, "time", "precision", "calendar_model")
+    parts = D.time_parts(F.col("time"), F.col("precision"), F.col("calendar_model"))
+    dated = D.with_interval(t.claim_times.withColumn("parts", parts), "parts")
     return dated.select("statement_id", "kind", "lo", "hi", "label", "calendar")
 
 
