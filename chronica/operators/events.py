@@ -22,12 +22,17 @@ def claims_to_events(claims: DataFrame, births: DataFrame) -> DataFrame:
     """One event per dated qualifier: point, start and end each stand alone, and
     the first time of a list counts."""
 
-    def first(kind):
-        at = F.get(F.from_json(F.coalesce(f"{kind}_json", F.lit("[]")), TIME_LIST), F.lit(0))
+    kinds = ("point", "start", "end")
+    read = claims.withColumns(
+        {f"__{k}": F.get(F.from_json(F.coalesce(f"{k}_json", F.lit("[]")), TIME_LIST), F.lit(0)) for k in kinds}
+    )
+
+    def slot(kind):
+        at = F.col(f"__{kind}")
         parts = D.time_parts(at["time"], at["precision"], at["calendar_model"])
         return F.struct(F.lit(kind).alias("kind"), at["time"].alias("raw"), parts.alias("parts"))
 
-    slots = claims.withColumn("slot", F.explode(F.array(first("point"), first("start"), first("end"))))
+    slots = read.withColumn("slot", F.explode(F.array(*[slot(k) for k in kinds])))
     timed = slots.select(
         "statement_id", "person_id", "event_type", "value_id", "rank", "reference_count",
         F.col("slot.kind").alias("qualifier_kind"),

@@ -400,3 +400,92 @@ SQL["birth_intervals"] = interval_sql(
     "assertion_id, person_id, copy, statement_rank, time_precision",
 )
 SQL_DEPS["birth_intervals"] = ("birth_assertions",)
+
+
+# --- raw events with everything a snapshot needs ----------------------------
+SNAPSHOT_CUTOFF = "2001-06-30"
+
+
+def raw_events(t):
+    """Life events with family, qualifier, revision and intrinsic validity."""
+    from chronica.functions import scalars
+
+    key = F.col("event_no")
+    return t.life.select(
+        "*",
+        scalars.event_family(F.col("event_type"), F.col("domain")).alias("event_family"),
+        F.when(key % 8 == 0, F.lit(None)).otherwise("point").alias("qualifier_kind"),
+        F.when(key % 10 == 0, "julian").otherwise("gregorian").alias("calendar_kind"),
+        F.when(F.col("source_id").startswith("wikipedia"), F.concat(F.lit("r"), (key % 3).cast("string"))).alias("revision_id"),
+        F.when(F.col("source_id").startswith("wikipedia"), F.date_add(F.lit("2001-01-01").cast("date"), (key % 3 * 100).cast("int"))).alias("revision_date"),
+        (F.col("confidence") >= 0.52).alias("model_eligible"),
+        F.map_filter(
+            F.create_map(
+                F.lit("birth_interval_overlap"), key % 9 == 0,
+                F.lit("prebirth_interval"), key % 25 == 0,
+            ),
+            lambda k, v: v,
+        ).alias("quality_flags"),
+    )
+
+
+def _raw_sql():
+    from chronica.functions import scalars
+
+    return f"""
+SELECT *, {scalars.event_family_sql()} AS event_family,
+  CASE WHEN event_no % 8 <> 0 THEN 'point' END AS qualifier_kind,
+  CASE WHEN event_no % 10 = 0 THEN 'julian' ELSE 'gregorian' END AS calendar_kind,
+  CASE WHEN source_id LIKE 'wikipedia%' THEN 'r' || (event_no % 3) END AS revision_id,
+  CASE WHEN source_id LIKE 'wikipedia%' THEN CAST(DATE '2001-01-01' + CAST(event_no % 3 * 100 AS INTEGER) AS DATE) END AS revision_date,
+  confidence >= 0.52::DOUBLE AS model_eligible, event_no % 9 = 0 AS overlap_flag, event_no % 25 = 0 AS prebirth_flag,
+  {scalars.SOURCE_FAMILY_SQL} AS source_family, {scalars.STAGE_SQL} AS life_stage
+FROM life"""
+
+
+SQL["raw_events"] = _raw_sql()
+SQL_DEPS["raw_events"] = ("life",)
+
+
+def memberships(t):
+    """Events of two snapshots: the old one ends before the turn of the
+    century, the new one holds all, each with its derived eligibility."""
+    from chronica.operators import snapshots
+
+    events = t.raw_events
+    labels = F.when(F.col("date_max") < F.lit("2000-01-01").cast("date"), F.array(F.lit("old"), F.lit("new"))).otherwise(F.array(F.lit("new")))
+    return snapshots.with_eligibility(events.withColumn("snapshot", F.explode(labels)), SNAPSHOT_CUTOFF)
+
+
+SQL["memberships"] = f"""
+SELECT *, exclusion_reason IS NULL AS snapshot_model_eligible
+FROM (
+  SELECT *, CASE WHEN NOT model_eligible THEN 'intrinsic_model_ineligible' WHEN observable_from IS NULL THEN 'missing_observable_from'
+    WHEN observable_from > DATE '{SNAPSHOT_CUTOFF}' THEN 'after_snapshot_observation_cutoff' END AS exclusion_reason
+  FROM (SELECT *, unnest(CASE WHEN date_max < DATE '2000-01-01' THEN ['old', 'new'] ELSE ['new'] END) AS snapshot FROM raw_events)
+)"""
+SQL_DEPS["memberships"] = ("raw_events",)
+
+
+def facts(t):
+    """Canonical facts of both snapshots."""
+    from chronica.operators import events
+
+    return events.canonicalise_subject(t.memberships, by=["snapshot"])
+
+
+SQL["keyed_members"] = """
+SELECT *, CASE WHEN trim(coalesce(subject_id, '')) <> '' THEN 'ce:v1:' || sha256(concat_ws(chr(31), CAST(person_id AS VARCHAR), domain, event_type,
+    coalesce(CAST(date_min AS VARCHAR), ''), coalesce(CAST(date_max AS VARCHAR), ''), coalesce(qualifier_kind, ''), subject_id))
+  ELSE 'ce:v1:raw:' || sha256(event_id) END AS canonical_event_key
+FROM memberships"""
+SQL_DEPS["keyed_members"] = ("memberships",)
+SQL["facts"] = """
+SELECT snapshot, canonical_event_key, person_id, domain, event_type, min(date_min) AS date_min, max(date_max) AS date_max,
+  CASE WHEN count(DISTINCT precision) = 1 THEN min(precision) ELSE 'mixed' END AS precision,
+  CASE WHEN count(DISTINCT calendar_kind) = 1 THEN min(calendar_kind) END AS calendar_kind,
+  min(age_min) AS age_min, max(age_max) AS age_max, avg(age_mid) AS age_mid, max(observable_from) AS observable_from,
+  max(subject_id) AS subject_id, max(confidence) AS confidence_max, bool_or(snapshot_model_eligible) AS snapshot_model_eligible,
+  list_sort(list(DISTINCT source_family)) AS source_families, count(DISTINCT source_family) AS source_family_count, count(*) AS raw_event_count
+FROM keyed_members GROUP BY 1, 2, 3, 4, 5"""
+SQL_DEPS["facts"] = ("keyed_members",)
