@@ -486,7 +486,7 @@ countries AS (SELECT p_partkey AS place_id, 'C' || (p_partkey % 25) AS country_i
 parents AS (SELECT p_partkey AS place_id, p_partkey // 2 AS parent_id FROM part WHERE p_partkey > 0),
 walk(place_id, cur, depth) AS (SELECT place_id, place_id, 0 FROM places
   UNION ALL SELECT w.place_id, p.parent_id, w.depth + 1 FROM walk w JOIN parents p ON p.place_id = w.cur WHERE w.depth < 3 AND w.cur NOT IN (SELECT place_id FROM countries)),
-best AS (SELECT place_id, arg_min(country_id, depth) AS country_id, min(depth) AS depth FROM walk JOIN countries c ON c.place_id = walk.cur GROUP BY 1)
+best AS (SELECT walk.place_id, arg_min(country_id, depth) AS country_id, min(depth) AS depth FROM walk JOIN countries c ON c.place_id = walk.cur GROUP BY 1)
 SELECT p.place_id, b.country_id, CASE WHEN depth IS NULL THEN 'missing' WHEN depth = 0 THEN 'direct' ELSE 'admin_parent_depth_' || depth END AS basis
 FROM places p LEFT JOIN best b ON p.place_id = b.place_id""",
 )
