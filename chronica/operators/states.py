@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from chronica.functions import scalars as S
 from chronica.functions import vocab
+from chronica.session import checkpointed
 
 ROLES = {
     "career": ("career.role_start", "career.role_end"),
@@ -40,17 +41,16 @@ def _entropy(n: Column, clnc: Column) -> Column:
     return F.round(F.greatest(raw, F.lit(0.0)), 6) + F.lit(0.0)
 
 
-def _metrics(df: DataFrame, pairs: dict[str, Column]) -> DataFrame:
-    """Long contributions (person, year, metric, value), zeros left out."""
-    entries = F.array(*[F.struct(F.lit(k).alias("metric"), F.coalesce(v.cast("double"), F.lit(0.0)).alias("value")) for k, v in pairs.items()])
-    return df.select("person_id", "year", F.inline(entries)).where(F.col("value") != 0)
-
-
-def _wide(parts: list[DataFrame], names: list[str]) -> DataFrame:
-    """Sum of all contributions per person, year and metric, one column each."""
-    rows = reduce(DataFrame.unionByName, parts)
-    wide = rows.groupBy("person_id", "year").pivot("metric", names).agg(F.sum("value"))
-    return wide.na.fill(0.0, names)
+def _stacked(parts: list[tuple[DataFrame, dict[str, Column]]], names: list[str]) -> DataFrame:
+    """Several (person, year) relations as one: each brings some of the columns,
+    one aggregation adds them up."""
+    zero = F.lit(0.0)
+    aligned = [
+        df.select("person_id", "year", *[(cols[n].cast("double") if n in cols else zero).alias(n) for n in names])
+        for df, cols in parts
+    ]
+    rows = reduce(DataFrame.unionAll, aligned)
+    return rows.groupBy("person_id", "year").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def year_grid(years: DataFrame) -> DataFrame:
@@ -123,13 +123,14 @@ def active_changes(events: DataFrame) -> DataFrame:
         kind = F.when(F.col("family").isin(opens, closes), name).otherwise(kind)
         start = F.when(F.col("family") == opens, 1).when(F.col("family") == closes, 0).otherwise(start)
     subject = F.trim(F.coalesce("subject_id", F.lit("")))
-    rows = events.withColumns({"kind": kind, "held": start, "subject": subject}).where(F.col("kind").isNotNull() & (F.col("subject") != ""))
+    wanted = events.where(F.col("family").isin(*[f for pair in ROLES.values() for f in pair]) & (subject != ""))
+    rows = wanted.withColumns({"kind": kind, "held": start, "subject": subject})
     last = rows.groupBy("person_id", "kind", "subject", "year").agg(F.max_by("held", F.struct("date_min", "event_id")).alias("held"))
     before = F.lag("held", 1, 0).over(Window.partitionBy("person_id", "kind", "subject").orderBy("year"))
     return last.withColumn("change", F.col("held") - before).where(F.col("change") != 0)
 
 
-def switches(events: DataFrame) -> DataFrame:
+def switches(events: DataFrame, yearly: DataFrame) -> DataFrame:
     """How often the family changes from one effective point to the next, per
     year of the later point.
 
@@ -137,13 +138,9 @@ def switches(events: DataFrame) -> DataFrame:
     are at most a calendar's worth, are then chained by their first and last
     family.
     """
-    hf = S.is_high_frequency(F.col("family"))
-    plain = events.where(~hf).select("person_id", "year", "date_min", "event_id", "family")
-    collapsed = (
-        events.where(hf)
-        .groupBy("person_id", "year", "family")
-        .agg(F.min(F.struct("date_min", "event_id")).alias("f"))
-        .select("person_id", "year", "f.date_min", "f.event_id", "family")
+    plain = events.where(~S.is_high_frequency(F.col("family"))).select("person_id", "year", "date_min", "event_id", "family")
+    collapsed = yearly.where(S.is_high_frequency(F.col("family")) & (F.col("eff") > 0)).select(
+        "person_id", "year", "first.date_min", "first.event_id", "family"
     )
     points = plain.unionByName(collapsed)
     day = Window.partitionBy("person_id", "year", "date_min").orderBy("event_id", "family")
@@ -158,40 +155,49 @@ def switches(events: DataFrame) -> DataFrame:
     return joined.groupBy("person_id", "year").agg(F.sum(F.col("inside") + F.col("joint")).alias("n"))
 
 
-def year_states(events: DataFrame, legacy: bool = False, domains=vocab.DOMAINS) -> DataFrame:
-    """One row per person and year with everything observable by its end."""
+def year_states(events: DataFrame, legacy: bool = False, domains=vocab.DOMAINS, materialise: bool = True) -> DataFrame:
+    """One row per person and year with everything observable by its end.
+
+    The counts per person, year, family and domain feed every feature but the
+    roles and the switches; they are a small part of the events, so they are
+    checkpointed once (``materialise``) instead of being derived anew from the
+    events for each feature.
+    """
     rows = with_state_family(event_year(events), legacy).select(
         "person_id", "year", "domain", "family", "date_min", "event_id", "source_id", "subject_id"
     )
     yearly = yearly_families(rows)
+    if materialise:
+        yearly = checkpointed(yearly)
     n, eff = F.col("n"), F.col("eff")
-    counts = {"events": n, "points": eff}
-    for d in domains:
-        counts[f"raw_{d}"] = F.when(F.col("domain") == d, n)
-        counts[f"eff_{d}"] = F.when(F.col("domain") == d, eff)
-    for name, families in TRANSITIONS.items():
-        counts[name] = F.when(F.col("family").isin(*families), n)
-    per_year = yearly.groupBy("person_id", "year").agg(
-        F.size(F.collect_set("domain")).alias("domains"),
-        F.size(F.collect_set(F.when(eff > 0, F.col("domain")))).alias("eff_domains"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
-    )
-    listed = yearly.select("person_id", "year", F.explode("sources").alias("source"))
-    fam5, dom5 = trailing(yearly, "family", 5), trailing(yearly, "domain", 5)
-    held = active_changes(rows)
+
+    def total(condition, value):
+        return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
+
+    base = {
+        "events": F.sum(n),
+        "points": F.sum(eff),
+        **{f"raw_{d}": total(F.col("domain") == d, n) for d in domains},
+        **{f"eff_{d}": total(F.col("domain") == d, eff) for d in domains},
+        **{name: total(F.col("family").isin(*families), n) for name, families in TRANSITIONS.items()},
+        "domains": F.size(F.collect_set("domain")),
+        "eff_domains": F.size(F.collect_set(F.when(eff > 0, F.col("domain")))),
+        "sources": F.size(F.array_distinct(F.flatten(F.collect_set("sources")))),
+    }
+    per_year = yearly.groupBy("person_id", "year").agg(*[c.alias(k) for k, c in base.items()])
+    listed = yearly.select("person_id", "year", F.explode("sources").alias("source")).distinct()
     parts = [
-        _metrics(yearly, counts),
-        _metrics(per_year, {c: F.col(c) for c in ("domains", "eff_domains", "sources")}),
-        _metrics(first_seen(listed, "source"), {"new_sources": n}),
-        _metrics(first_seen(yearly.where(eff > 0), "domain"), {"new_domains": n}),
-        _metrics(domain_terms(yearly), {"domain_term": F.col("term")}),
-        _metrics(fam5, {"fam5_n": n, "fam5_clnc": F.col("clnc")}),
-        _metrics(dom5, {"dom5": F.col("items")}),
-        _metrics(held, {f"held_{k}": F.when(F.col("kind") == k, F.col("change")) for k in ROLES}),
-        _metrics(switches(rows), {"switches": n}),
+        (first_seen(listed, "source"), {"new_sources": n}),
+        (first_seen(yearly.where(eff > 0), "domain"), {"new_domains": n}),
+        (domain_terms(yearly), {"domain_term": F.col("term")}),
+        (trailing(yearly, "family", 5), {"fam5_n": n, "fam5_clnc": F.col("clnc")}),
+        (trailing(yearly, "domain", 5), {"dom5": F.col("items")}),
+        (active_changes(rows), {f"held_{k}": F.when(F.col("kind") == k, F.col("change")).otherwise(0) for k in ROLES}),
+        (switches(rows, yearly), {"switches": n}),
     ]
-    names = [*counts, "domains", "eff_domains", "sources", "new_sources", "new_domains", "domain_term", "fam5_n", "fam5_clnc", "dom5", *[f"held_{k}" for k in ROLES], "switches"]
-    wide = year_grid(yearly).join(_wide(parts, names), ["person_id", "year"], "left").na.fill(0.0, names)
+    extra = ["new_sources", "new_domains", "domain_term", "fam5_n", "fam5_clnc", "dom5", *[f"held_{k}" for k in ROLES], "switches"]
+    on = ["person_id", "year"]
+    wide = year_grid(per_year).join(per_year, on, "left").join(_stacked(parts, extra), on, "left").na.fill(0, [*base, *extra])
 
     person = Window.partitionBy("person_id").orderBy("year")
     upto = person.rowsBetween(Window.unboundedPreceding, 0)
@@ -203,7 +209,7 @@ def year_states(events: DataFrame, legacy: bool = False, domains=vocab.DOMAINS)
         return F.sum(name).over(person.rowsBetween(1 - width, 0))
 
     def before(name, width):
-        return F.coalesce(F.sum(name).over(person.rowsBetween(1 - 2 * width, -width)), F.lit(0.0))
+        return F.coalesce(F.sum(name).over(person.rowsBetween(1 - 2 * width, -width)), F.lit(0))
 
     def since(name):
         return F.col("year") - F.max(F.when(F.col(name) > 0, F.col("year"))).over(upto)
@@ -212,34 +218,34 @@ def year_states(events: DataFrame, legacy: bool = False, domains=vocab.DOMAINS)
         return F.round(col).cast("bigint")
 
     out = {
-        "events_this_year": whole(F.col("events")),
-        "effective_points_this_year": whole(F.col("points")),
-        "cumulative_events": whole(cumulative("events")),
-        "cumulative_effective_points": whole(cumulative("points")),
-        "domains_this_year": whole(F.col("domains")),
-        "effective_domains_this_year": whole(F.col("eff_domains")),
+        "events_this_year": F.col("events"),
+        "effective_points_this_year": F.col("points"),
+        "cumulative_events": cumulative("events"),
+        "cumulative_effective_points": cumulative("points"),
+        "domains_this_year": F.col("domains").cast("bigint"),
+        "effective_domains_this_year": F.col("eff_domains").cast("bigint"),
         "cumulative_domain_breadth": whole(cumulative("new_domains")),
-        "cumulative_domain_entropy": _entropy(cumulative("points"), cumulative("domain_term")),
-        "source_families_this_year": whole(F.col("sources")),
+        "cumulative_domain_entropy": _entropy(cumulative("points").cast("double"), cumulative("domain_term")),
+        "source_families_this_year": F.col("sources").cast("bigint"),
         "cumulative_source_family_breadth": whole(cumulative("new_sources")),
-        "rolling_3y_events": whole(rolling("events", 3)),
-        "rolling_3y_effective_points": whole(rolling("points", 3)),
-        "rolling_5y_effective_points": whole(rolling("points", 5)),
+        "rolling_3y_events": rolling("events", 3),
+        "rolling_3y_effective_points": rolling("points", 3),
+        "rolling_5y_effective_points": rolling("points", 5),
         "rolling_5y_domain_breadth": whole(F.col("dom5")),
         "event_family_entropy_5y": _entropy(F.col("fam5_n"), F.col("fam5_clnc")),
-        "creation_momentum_3y": whole(rolling("eff_creation", 3) - before("eff_creation", 3)),
-        "recognition_rolling_5y": whole(rolling("eff_recognition", 5)),
-        "migration_rolling_5y": whole(rolling("eff_migration", 5)),
-        **{f"{name}_cumulative": whole(cumulative(name)) for name in TRANSITIONS},
+        "creation_momentum_3y": rolling("eff_creation", 3) - before("eff_creation", 3),
+        "recognition_rolling_5y": rolling("eff_recognition", 5),
+        "migration_rolling_5y": rolling("eff_migration", 5),
+        **{f"{name}_cumulative": cumulative(name) for name in TRANSITIONS},
         "active_career_roles": whole(cumulative("held_career")),
         "active_education_affiliations": whole(cumulative("held_education")),
         "active_relationships": whole(cumulative("held_relationship")),
         "years_since_last_event": since("events"),
         **{f"years_since_last_{d}": since(f"eff_{d}") for d in ("career", "migration", "creation", "recognition")},
         "event_type_switches_cumulative": whole(cumulative("switches")),
-        **{f"year_count__{d}": whole(F.col(f"raw_{d}")) for d in domains},
-        **{f"effective_year_count__{d}": whole(F.col(f"eff_{d}")) for d in domains},
-        **{f"cum_effective__{d}": whole(cumulative(f"eff_{d}")) for d in domains},
+        **{f"year_count__{d}": F.col(f"raw_{d}") for d in domains},
+        **{f"effective_year_count__{d}": F.col(f"eff_{d}") for d in domains},
+        **{f"cum_effective__{d}": cumulative(f"eff_{d}") for d in domains},
     }
     return wide.select("person_id", "year", *[c.alias(k) for k, c in out.items()])
 

@@ -408,6 +408,10 @@ SNAPSHOT_CUTOFF = "2001-06-30"
 
 def raw_events(t):
     """Life events with family, qualifier, revision and intrinsic validity."""
+    return t.stage("raw_events", lambda: _raw_events(t))
+
+
+def _raw_events(t):
     from chronica.functions import scalars
 
     key = F.col("event_no")
@@ -471,7 +475,7 @@ def facts(t):
     """Canonical facts of both snapshots."""
     from chronica.operators import events
 
-    return events.canonicalise_subject(t.memberships, by=["snapshot"])
+    return t.stage("facts", lambda: events.canonicalise_subject(t.memberships, by=["snapshot"]))
 
 
 SQL["keyed_members"] = """

@@ -30,6 +30,10 @@ class Tables:
             raise AttributeError(name)
         return maker(self)
 
+    def stage(self, name: str, make) -> DataFrame:
+        """A bound relation kept as a written table for this application."""
+        return session.staged(self.spark, f"{self.sf_dir}:{name}", make)
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Render dates as ISO text, arrays as pipe lists and decimals as doubles."""

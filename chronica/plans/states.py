@@ -123,7 +123,8 @@ SELECT person_id, CAST(y AS INTEGER) AS year, count(*) FILTER (WHERE prev <> fam
     "raw_events",
 )
 def family_switches(t):
-    return Y.switches(Y.with_state_family(Y.event_year(t.raw_events)))
+    rows = Y.with_state_family(Y.event_year(t.raw_events))
+    return Y.switches(rows, Y.yearly_families(rows))
 
 
 @query(

@@ -81,3 +81,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(scratch_root(spark))
     return df.checkpoint(eager=True)
+
+
+_STAGED: dict[tuple[str, str], str] = {}
+
+
+def staged(spark: SparkSession, key: str, make) -> DataFrame:
+    """A relation several jobs read: written once per application as Parquet in
+    the shared folder, so that a lost executor costs a re-read and no recompute."""
+    slot = (spark.sparkContext.applicationId, key)
+    if slot not in _STAGED:
+        path = scratch_path(spark, "staged")
+        make().write.parquet(path)
+        _STAGED[slot] = path
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    path = _STAGED[slot]
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
