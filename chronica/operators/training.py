@@ -48,3 +48,214 @@ def histories(cutoffs: DataFrame, facts: DataFrame, cutoff: str) -> DataFrame:
         F.max("last_observed").alias("last_observed"),
         F.map_from_entries(F.collect_list(F.struct("domain", "n"))).alias("domain_counts"),
     )
+
+
+# --- future targets ---------------------------------------------------------
+def target_hits(events: DataFrame, births: DataFrame, targets=vocab.TARGETS, horizons=vocab.TARGET_HORIZONS, ages=vocab.CUTOFF_AGES) -> DataFrame:
+    """Long form of the targets' support: one row per (cutoff, target, horizon)
+    an event of an allowed type falls into.
+
+    Targets, cutoffs and horizons are literal lists spread from the event row
+    after one join with its person.
+    """
+    names = F.filter(
+        F.array(*[F.when(F.col("event_type").isin(*types), F.lit(name)) for name, types in targets]), lambda x: x.isNotNull()
+    )
+    dated = events.withColumn("occurred", F.col("date_max")).where(F.col("occurred").isNotNull())
+    rows = (
+        dated.select("person_id", "event_id", "occurred", F.explode(names).alias("target"))
+        .join(births.select("person_id", "birth_date"), "person_id")
+        .withColumn("cutoff_age", F.explode(F.array(*[F.lit(a) for a in ages])))
+        .withColumn("information_cutoff", D.add_years(F.col("birth_date"), F.col("cutoff_age")))
+        .where(F.col("occurred") > F.col("information_cutoff"))
+        .withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    )
+    return rows.where(F.col("occurred") <= D.add_years(F.col("information_cutoff"), F.col("horizon"))).select(
+        "person_id", "cutoff_age", "target", "horizon", "event_id"
+    )
+
+
+def future_targets(events: DataFrame, births: DataFrame, targets=vocab.TARGETS, horizons=vocab.TARGET_HORIZONS, ages=vocab.CUTOFF_AGES) -> DataFrame:
+    """Every person, cutoff, target and horizon with its label. A missing event
+    is a label of lower confidence, not a certain negative."""
+    spec = F.array(
+        *[
+            F.struct(F.lit(a).alias("cutoff_age"), F.lit(n).alias("target"), F.lit(h).alias("horizon"))
+            for a in ages
+            for n, _ in targets
+            for h in horizons
+        ]
+    )
+    grid = births.select("person_id", "birth_date", F.inline(spec))
+    on = ["person_id", "cutoff_age", "target", "horizon"]
+    hits = target_hits(events, births, targets, horizons, ages).groupBy(*on).agg(F.count(F.lit(1)).alias("supporting_events"))
+    cutoff = D.add_years(F.col("birth_date"), F.col("cutoff_age"))
+    rows = grid.join(hits, on, "left").na.fill(0, ["supporting_events"])
+    hit = F.col("supporting_events") > 0
+    return rows.select(
+        *on,
+        cutoff.alias("information_cutoff"),
+        D.add_years(cutoff, F.col("horizon")).alias("horizon_end"),
+        hit.alias("value"),
+        "supporting_events",
+        F.when(hit, 1.0).otherwise(0.8).alias("label_confidence"),
+    )
+
+
+# --- person-age rows --------------------------------------------------------
+def person_age_rows(events: DataFrame, people: DataFrame, types: list[str], within_followup: bool, as_of_year: int = vocab.AS_OF_YEAR, ages=vocab.CUTOFF_AGES) -> DataFrame:
+    """Past counts by type and the next observed event per person and cutoff age.
+
+    Past is ``age_max <= cutoff`` and future ``age_min > cutoff``: an interval
+    that straddles the cutoff is neither. With ``within_followup`` the next event
+    must also start before the censoring age. People keep a row without events;
+    nobody is labelled negative.
+    """
+    censor = F.coalesce("death_year", F.lit(as_of_year)) - F.col("birth_year")
+    at_risk = people.withColumn("censor_age", censor).where(F.col("censor_age") >= 0)
+    cutoffs = F.explode(F.array(*[F.lit(a) for a in ages]))
+    grid = at_risk.withColumn("cutoff_age", cutoffs).where(F.col("censor_age") > F.col("cutoff_age"))
+    seen = events.join(at_risk.select("person_id", "censor_age"), "person_id").withColumn("cutoff_age", cutoffs)
+    past = F.col("age_max") <= F.col("cutoff_age")
+    future = F.col("age_min") > F.col("cutoff_age")
+    if within_followup:
+        future = future & (F.col("age_min") <= F.col("censor_age"))
+    nxt = F.struct("age_mid", "age_min", "event_id", "event_type", "confidence")
+    folded = seen.where(past | future).groupBy("person_id", "cutoff_age").agg(
+        F.count_if(past).alias("past_event_total"),
+        F.min(F.when(future, nxt)).alias("next"),
+        *[F.count_if(past & (F.col("event_type") == k)).alias(f"past_count__{k}") for k in types],
+    )
+    rows = grid.join(folded, ["person_id", "cutoff_age"], "left")
+
+    def filled(name):
+        return F.coalesce(f"`{name}`", F.lit(0)).alias(name)
+
+    return rows.select(
+        *grid.columns,
+        (F.col("censor_age") - F.col("cutoff_age")).alias("followup_after_cutoff"),
+        F.col("next").isNotNull().alias("event_observed"),
+        filled("past_event_total"),
+        F.col("next.event_type").alias("next_observed_event_type"),
+        F.round("next.age_mid", 3).alias("next_observed_event_age"),
+        F.round(F.col("next.age_mid") - F.col("cutoff_age"), 3).alias("next_observed_event_delay"),
+        F.col("next.confidence").alias("next_observed_event_confidence"),
+        *[filled(f"past_count__{k}") for k in types],
+    )
+
+
+# --- observation window and target ------------------------------------------
+def observation_end(death_date: Column, death_year: Column, snapshot_cutoff: str) -> Column:
+    """Death day, else the last day of the death year, bounded by the cutoff."""
+    limit = F.lit(snapshot_cutoff).cast("date")
+    last = F.try_to_date(F.concat(F.lpad(death_year.cast("string"), 4, "0"), F.lit("-12-31")), "yyyy-MM-dd")
+    return F.least(limit, F.coalesce(death_date, last, limit))
+
+
+def censoring(examples: DataFrame) -> DataFrame:
+    """Flags of the window: rows after it stay, but are not for fitting."""
+    inside = F.col("cutoff") <= F.col("obs_end")
+    target = F.col("target_observable_from").isNotNull()
+    return examples.withColumns(
+        {
+            "in_window": inside,
+            "right_censored": inside & ~target,
+            "censor_aware_eligible": inside,
+            "classification_eligible": inside & target,
+        }
+    )
+
+
+def person_period(examples: DataFrame, as_of: str, intervals=vocab.HAZARD_INTERVALS, gate: bool = True) -> DataFrame:
+    """Rows at risk per example and interval up to its first target.
+
+    A later target proves earlier intervals event-free; without one only fully
+    observed intervals count, and a person whose death is unknown and whose age
+    is beyond belief adds none (``gate``).
+    """
+    grid = interval_grid(examples.where("censor_aware_eligible"), "cutoff", intervals)
+    target = F.col("target_observable_from")
+    exposed = F.date_diff(F.lit(as_of).cast("date"), F.col("birth_date")) / F.lit(vocab.DAYS_PER_YEAR) > vocab.MAX_UNKNOWN_DEATH_AGE
+    ambiguous = target.isNull() & F.col("death_year").isNull() & exposed
+    quiet = target.isNull() & (F.col("d1") <= F.col("obs_end"))
+    if gate:
+        quiet = quiet & ~ambiguous
+    risk = grid.where((target.isNotNull() & (F.col("d0") < target)) | quiet)
+    hit = F.coalesce((target > F.col("d0")) & (target <= F.col("d1")), F.lit(False))
+    return risk.withColumns(
+        {
+            "event_observed": hit,
+            "outcome_class": F.when(~hit, "no_event").otherwise(S.class_of(F.col("target_domain"))),
+        }
+    )
+
+
+def matched_person_period(examples: DataFrame, intervals=vocab.HAZARD_INTERVALS) -> DataFrame:
+    """The same risk set as observed to the interval's end."""
+    grid = interval_grid(examples, "cutoff", intervals)
+    target = F.col("target_observable_from")
+    started = target.isNull() | (target > F.col("d0"))
+    known = (target <= F.col("d1")) | (F.col("obs_end") >= F.col("d1"))
+    hit = F.coalesce(target <= F.col("d1"), F.lit(False))
+    return grid.where(started & F.coalesce(known, F.col("obs_end") >= F.col("d1"))).withColumns(
+        {
+            "event_observed": hit,
+            "outcome_class": F.when(hit, S.class_of(F.col("target_domain"))).otherwise("no_event"),
+        }
+    )
+
+
+# --- splits and placebos ----------------------------------------------------
+def hash_bucket(key: Column, seed: str, buckets: int = 100) -> Column:
+    """Stable bucket of a key: first 32 bits of its digest."""
+    digest = F.sha2(F.concat(F.lit(seed + "|"), key.cast("string")), 256)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % buckets
+
+
+def person_hash_split(key: Column, seed: str = "person_hash_v1", train: int = 70, validation: int = 15) -> Column:
+    b = hash_bucket(key, seed)
+    return F.when(b < train, "train").when(b < train + validation, "validation").otherwise("test")
+
+
+def forward_era_split(birth_year: Column, first: int = 1925, second: int = 1950) -> Column:
+    return F.when(birth_year <= first, "train").when(birth_year <= second, "validation").otherwise("test")
+
+
+def holdout_split(group: Column, test: str, validation: str) -> Column:
+    return F.when(group == test, "test").when(group == validation, "validation").otherwise("train")
+
+
+def placebo_donors(people: DataFrame, seed: str = "placebo") -> DataFrame:
+    """Donor of each person within split and decade: the next by hash, round the
+    circle; a group of one has none."""
+    keyed = people.withColumn("__h", scale.hash_order(F.lit(seed), F.col("person_id")))
+    rows = scale.next_by_hash(keyed, ["split_name", "decade"], "__h", "person_id", "donor_person_id").drop("__h")
+    alone = F.col("donor_person_id").isNull()
+    return rows.withColumns({"placebo_eligible": ~alone, "ineligible_reason": F.when(alone, "single_person_group")})
+
+
+def shuffled_within(people: DataFrame, group: list[str], values: list[str], seed: str) -> DataFrame:
+    """Permute columns among the people of a group: two hash orders of the same
+    rows are joined rank by rank, so each value is used exactly once."""
+    keyed = people.withColumns(
+        {"__a": scale.hash_order(F.lit("natural"), F.col("person_id")), "__b": scale.hash_order(F.lit(seed), F.col("person_id"))}
+    )
+    takers = scale.rank_by_hash(keyed.select("person_id", *group, "__a"), group, "__a", "__rank").drop("__a")
+    givers = scale.rank_by_hash(keyed.select(*group, *values, F.col("person_id").alias("donor_person_id"), "__b"), group, "__b", "__rank").drop("__b")
+    return takers.join(givers, [*group, "__rank"]).drop("__rank")
+
+
+# --- feature snapshots ------------------------------------------------------
+ALLOWED_FEATURES = (
+    "spec_version", "cutoff_age", "background", "raw_birth_calendar", "four_pillars",
+    "objective_bazi_features", "bazi_quality_flags", "history",
+)
+
+
+def feature_snapshot(examples: DataFrame, payload: dict[str, Column], keys: list[str]) -> DataFrame:
+    """Assemble the feature payload; a top-level key off the list is refused."""
+    extra = sorted(set(payload) - set(ALLOWED_FEATURES))
+    if extra:
+        raise ValueError(f"feature keys not allowed: {extra}")
+    ordered = [payload[k].alias(k) for k in ALLOWED_FEATURES if k in payload]
+    return examples.select(*keys, F.struct(*ordered).alias("features"))

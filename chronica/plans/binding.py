@@ -493,3 +493,69 @@ SELECT snapshot, canonical_event_key, person_id, domain, event_type, min(date_mi
   list_sort(list(DISTINCT source_family)) AS source_families, count(DISTINCT source_family) AS source_family_count, count(*) AS raw_event_count
 FROM keyed_members GROUP BY 1, 2, 3, 4, 5"""
 SQL_DEPS["facts"] = ("keyed_members",)
+
+
+# --- training examples ------------------------------------------------------
+def examples(t):
+    """Person x cutoff-age rows with window, target and splits."""
+    return t.stage("examples", lambda: _examples(t))
+
+
+def _examples(t):
+    from chronica.operators import relations, training
+    from chronica.functions import scalars
+
+    people = t.persons.withColumn("cutoff_age", F.explode(F.array(*[F.lit(a) for a in (18, 25, 30, 40)])))
+    rows = people.select(
+        (F.col("person_id") * 100 + F.col("cutoff_age")).alias("example_id"),
+        "person_id", "cutoff_age", "birth_date", "death_year", "gender", "country", "region",
+        temporal.add_years(F.col("birth_date"), F.col("cutoff_age")).alias("cutoff"),
+        training.observation_end(F.lit(None).cast("date"), F.col("death_year"), SNAPSHOT_CUTOFF).alias("obs_end"),
+        training.person_hash_split(F.col("person_id")).alias("split_name"),
+    )
+    new = t.facts.where((F.col("snapshot") == "new") & F.col("snapshot_model_eligible"))
+    joined = relations.next_event(rows, new, "example_id", "cutoff", "obs_end")
+    return training.censoring(joined).withColumn("y_class_4", scalars.class_of(F.col("target_domain")))
+
+
+SQL["examples"] = f"""
+SELECT *, cutoff <= obs_end AS in_window, cutoff <= obs_end AND target_observable_from IS NULL AS right_censored, cutoff <= obs_end AS censor_aware_eligible,
+  cutoff <= obs_end AND target_observable_from IS NOT NULL AS classification_eligible,
+  CASE WHEN target_domain IS NULL THEN NULL WHEN target_domain IN ('career', 'recognition', 'relationship') THEN target_domain ELSE 'other' END AS y_class_4
+FROM (
+  SELECT c.*, f.observable_from AS target_observable_from, f.canonical_event_key AS target_canonical_event_key, f.domain AS target_domain
+  FROM (
+    SELECT person_id * 100 + a AS example_id, person_id, CAST(a AS INTEGER) AS cutoff_age, birth_date, death_year, gender, country, region,
+      CAST(birth_date + to_years(CAST(a AS INTEGER)) AS DATE) AS cutoff,
+      least(DATE '{SNAPSHOT_CUTOFF}', coalesce(make_date(death_year, 12, 31), DATE '{SNAPSHOT_CUTOFF}')) AS obs_end,
+      CASE WHEN b < 70 THEN 'train' WHEN b < 85 THEN 'validation' ELSE 'test' END AS split_name
+    FROM (SELECT *, CAST('0x' || substr(sha256('person_hash_v1|' || person_id), 1, 8) AS BIGINT) % 100 AS b FROM persons), (VALUES (18), (25), (30), (40)) v(a)
+  ) c LEFT JOIN facts f ON f.person_id = c.person_id AND f.snapshot = 'new' AND f.snapshot_model_eligible
+    AND f.observable_from > c.cutoff AND f.observable_from <= c.obs_end AND f.date_max > c.cutoff
+  QUALIFY row_number() OVER (PARTITION BY c.example_id ORDER BY f.observable_from, f.canonical_event_key) = 1
+)"""
+SQL_DEPS["examples"] = ("persons", "facts")
+
+
+def periods(t):
+    """Person-period rows of the examples."""
+    from chronica.operators import training
+
+    rows = training.person_period(t.examples, SNAPSHOT_CUTOFF)
+    return rows.withColumn("person_period_id", F.col("example_id") * 10 + F.col("interval_index"))
+
+
+SQL["periods"] = f"""
+SELECT *, CASE WHEN NOT event_observed THEN 'no_event' WHEN target_domain IN ('career', 'recognition', 'relationship') THEN target_domain ELSE 'other' END AS outcome_class,
+  example_id * 10 + interval_index AS person_period_id
+FROM (
+  SELECT *, coalesce(target_observable_from > d0 AND target_observable_from <= d1, false) AS event_observed
+  FROM (
+    SELECT e.*, CAST(i AS INTEGER) AS interval_index, CAST(sa AS INTEGER) AS start_year, CAST(sb AS INTEGER) AS end_year,
+      CAST(cutoff + to_years(CAST(sa AS INTEGER)) AS DATE) AS d0, CAST(cutoff + to_years(CAST(sb AS INTEGER)) AS DATE) AS d1
+    FROM examples e, (VALUES (0, 0, 1), (1, 1, 3), (2, 3, 5), (3, 5, 10), (4, 10, 20)) v(i, sa, sb) WHERE censor_aware_eligible
+  )
+  WHERE (target_observable_from IS NOT NULL AND d0 < target_observable_from)
+     OR (target_observable_from IS NULL AND d1 <= obs_end AND NOT (death_year IS NULL AND date_diff('day', birth_date, DATE '{SNAPSHOT_CUTOFF}') / 365.2425::DOUBLE > 100))
+)"""
+SQL_DEPS["periods"] = ("examples",)
