@@ -559,3 +559,47 @@ FROM (
      OR (target_observable_from IS NULL AND d1 <= obs_end AND NOT (death_year IS NULL AND date_diff('day', birth_date, DATE '{SNAPSHOT_CUTOFF}') / 365.2425::DOUBLE > 100))
 )"""
 SQL_DEPS["periods"] = ("examples",)
+
+
+# --- predictions ------------------------------------------------------------
+SCORES = {"career": (31, 1), "no_event": (57, 4), "other": (17, 1), "recognition": (73, 1), "relationship": (41, 1)}
+
+
+def _scored(rows, key):
+    """Two model variants with probabilities computed from the row's number."""
+    variants = rows.withColumn("variant", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    shift = F.when(F.col("variant") == "a", 0).otherwise(13)
+    raw = variants.withColumns({f"__{c}": ((F.col(key) * m + shift) % 97 + 1) * w for c, (m, w) in SCORES.items()})
+    total = raw.withColumn("__t", sum((F.col(f"__{c}") for c in SCORES), F.lit(0)))
+    return total.withColumns({f"p_{c}": F.col(f"__{c}") / F.col("__t") for c in SCORES}).drop("__t", *[f"__{c}" for c in SCORES])
+
+
+def predictions(t):
+    """Interval predictions on the rows at risk."""
+    cols = ["person_period_id", "example_id", "person_id", "split_name", "interval_index", "cutoff_age", F.col("outcome_class").alias("y_true")]
+    return _scored(t.periods.select(*cols), "person_period_id")
+
+
+def grid_predictions(t):
+    """Interval predictions on all intervals of every example in its window."""
+    from chronica.operators import training
+
+    grid = training.interval_grid(t.examples.where("censor_aware_eligible"), "cutoff")
+    return _scored(grid.withColumn("person_period_id", F.col("example_id") * 10 + F.col("interval_index")), "person_period_id")
+
+
+def _scored_sql(source: str) -> str:
+    shift = "CASE variant WHEN 'a' THEN 0 ELSE 13 END"
+    raw = ", ".join(f"((person_period_id * {m} + {shift}) % 97 + 1) * {w} AS r_{c}" for c, (m, w) in SCORES.items())
+    total = " + ".join(f"r_{c}" for c in SCORES)
+    shares = ", ".join(f"r_{c} / ({total})::DOUBLE AS p_{c}" for c in SCORES)
+    return f"SELECT *, {shares} FROM (SELECT *, {raw} FROM ({source}), (VALUES ('a'), ('b')) w(variant))"
+
+
+SQL["predictions"] = _scored_sql("SELECT *, outcome_class AS y_true FROM periods")
+SQL_DEPS["predictions"] = ("periods",)
+SQL["grid_predictions"] = _scored_sql(
+    """SELECT e.*, CAST(i AS INTEGER) AS interval_index, CAST(sb AS INTEGER) AS end_year, example_id * 10 + i AS person_period_id,
+  CAST(cutoff + to_years(CAST(sb AS INTEGER)) AS DATE) AS d1 FROM examples e, (VALUES (0, 1), (1, 3), (2, 5), (3, 10), (4, 20)) v(i, sb) WHERE censor_aware_eligible"""
+)
+SQL_DEPS["grid_predictions"] = ("examples",)

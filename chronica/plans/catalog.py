@@ -1,6 +1,6 @@
 """All registered queries, gathered from the modules that define them."""
 
-from chronica.plans import normalise, people, reports, snapshots, states, training  # noqa: F401
+from chronica.plans import evaluation, normalise, people, reports, snapshots, states, training  # noqa: F401
 from chronica.plans.registry import QUERIES, TWINS
 
 __all__ = ["QUERIES", "TWINS"]
