@@ -211,10 +211,15 @@ def timeline(events: DataFrame, cutoffs=vocab.CUTOFF_AGES) -> DataFrame:
         F.size(F.collect_set("domain")).alias("domain_count"),
         F.min("age_min").alias("first_event_age_min"),
         F.max("age_max").alias("last_event_age_max"),
-        F.round(F.count_if(F.col("reference_count") > 0) / F.count(F.lit(1)), 4).alias("referenced_event_fraction"),
-        F.round(F.sum(F.round(F.col("confidence") * 100).cast("bigint")) / F.count(F.lit(1)) / 100, 4).alias("mean_confidence"),
+        F.count_if(F.col("reference_count") > 0).alias("__refs"),
+        F.sum(F.round(F.col("confidence") * 100).cast("bigint")).alias("__hundredths"),
         *sides,
     )
+    # Ratios to four decimals, half up, in whole numbers: no engine's floats decide.
+    four = lambda top: F.expr(f"(2 * {top} + event_count) div (2 * event_count)") / 10000
+    rows = rows.withColumns(
+        {"referenced_event_fraction": four("10000 * __refs"), "mean_confidence": four("100 * __hundredths")}
+    ).drop("__refs", "__hundredths")
     flags = {
         f"eligible_{k}x{k}_at_{c}": (F.col(f"past_events_at_{c}") >= k) & (F.col(f"future_events_after_{c}") >= k)
         for c in cutoffs

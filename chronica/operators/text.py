@@ -97,15 +97,41 @@ def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(UNICODE + pattern), F.lit(group))
 
 
-def domain_scores(text: Column, keywords=vocab.KEYWORDS) -> dict[str, Column]:
+_SPECIAL = set(".^$*+?{}[]\\|()")
+
+
+def _plain(pattern: str) -> bool:
+    return not set(pattern) & _SPECIAL
+
+
+def _hits(lowered: str, patterns) -> list[Column]:
+    """One test per pattern on lower-cased text. Plain words are searched as
+    substrings, which is many times cheaper than a regular expression."""
+    text = F.col(lowered)
+    return [text.contains(p.lower()) if _plain(p) else text.rlike(f"(?iu){p}") for p in patterns]
+
+
+def with_lowered(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("lowered", F.lower(text))
+
+
+def domain_scores(lowered: str, keywords=vocab.KEYWORDS) -> dict[str, Column]:
     """How many of a domain's patterns occur."""
-    return {d: sum((text.rlike(f"(?iu){p}").cast("int") for p in ps), F.lit(0)) for d, ps in keywords.items()}
+    return {d: sum((h.cast("int") for h in _hits(lowered, ps)), F.lit(0)) for d, ps in keywords.items()}
 
 
-def domains_hit(text: Column, keywords=vocab.KEYWORDS) -> Column:
-    """Domains with any hit: one alternation per domain."""
-    hits = [F.when(text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in ps)), F.lit(d)) for d, ps in keywords.items()]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+def domains_hit(lowered: str, keywords=vocab.KEYWORDS) -> Column:
+    """Domains with any hit; the first hit of a domain ends its search."""
+    out = []
+    for domain, patterns in keywords.items():
+        simple = [p for p in patterns if _plain(p)]
+        other = [p for p in patterns if not _plain(p)]
+        tests = _hits(lowered, simple) + ([F.col(lowered).rlike("(?iu)" + "|".join(f"(?:{p})" for p in other))] if other else [])
+        hit = tests[0]
+        for test in tests[1:]:
+            hit = hit | test
+        out.append(F.when(hit, F.lit(domain)))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
 def candidates(docs: DataFrame, text: str, year_pattern: str = vocab.YEAR_PATTERN, age_patterns=(vocab.AGE_EN_PATTERN, vocab.AGE_ZH_PATTERN), keywords=vocab.KEYWORDS) -> DataFrame:
@@ -119,18 +145,18 @@ def candidates(docs: DataFrame, text: str, year_pattern: str = vocab.YEAR_PATTER
     rows = sentences(docs, text)
     anything = "|".join(f"(?:{p})" for p in (year_pattern, *age_patterns))
     marked = rows.where(F.col("sentence").rlike(f"(?iU){anything}"))
-    read = marked.withColumns(
+    read = with_lowered(marked, "sentence").withColumns(
         {
             "years": found(F.col("sentence"), year_pattern),
             "ages": F.concat(F.array().cast("array<string>"), *[found(F.col("sentence"), f"(?i){p}") for p in age_patterns]),
-            "domains": domains_hit(F.col("sentence"), keywords),
+            "domains": domains_hit("lowered", keywords),
         }
     ).where(F.size("domains") > 0)
     starts = [F.nullif(F.regexp_instr("sentence", F.lit(UNICODE + m)), F.lit(0)) for m in markers]
     pivot = (F.least(*starts) if len(starts) > 1 else starts[0]) - 1
     begin = F.greatest(pivot - vocab.CLIP_BEFORE, F.lit(0))
     clipped = F.substring(F.col("sentence"), begin + 1, pivot + vocab.CLIP_AFTER - begin)
-    return read.withColumn("text", F.when(F.length("sentence") > vocab.CLIP_LIMIT, clipped).otherwise(F.col("sentence"))).drop("sentence")
+    return read.withColumn("text", F.when(F.length("sentence") > vocab.CLIP_LIMIT, clipped).otherwise(F.col("sentence"))).drop("sentence", "lowered")
 
 
 def rule_events(rows: DataFrame, triggers=vocab.TRIGGERS) -> DataFrame:

@@ -102,6 +102,11 @@ def future_targets(events: DataFrame, births: DataFrame, targets=vocab.TARGETS,
     )
 
 
+def _thousandths(units: Column) -> Column:
+    """Ten-thousandths rounded half up to three decimals, in whole numbers."""
+    return F.floor((units + 5) / 10) / 1000
+
+
 # --- person-age rows --------------------------------------------------------
 def person_age_rows(events: DataFrame, people: DataFrame, types: list[str], within_followup: bool, as_of_year: int = vocab.AS_OF_YEAR, ages=vocab.CUTOFF_AGES) -> DataFrame:
     """Past counts by type and the next observed event per person and cutoff age.
@@ -128,6 +133,8 @@ def person_age_rows(events: DataFrame, people: DataFrame, types: list[str], with
     )
     rows = grid.join(folded, ["person_id", "cutoff_age"], "left")
 
+    units = F.round(F.col("next.age_mid") * 10000).cast("bigint")
+
     def filled(name):
         return F.coalesce(f"`{name}`", F.lit(0)).alias(name)
 
@@ -137,8 +144,8 @@ def person_age_rows(events: DataFrame, people: DataFrame, types: list[str], with
         F.col("next").isNotNull().alias("event_observed"),
         filled("past_event_total"),
         F.col("next.event_type").alias("next_observed_event_type"),
-        F.round("next.age_mid", 3).alias("next_observed_event_age"),
-        F.round(F.col("next.age_mid") - F.col("cutoff_age"), 3).alias("next_observed_event_delay"),
+        _thousandths(units).alias("next_observed_event_age"),
+        _thousandths(units - F.col("cutoff_age") * 10000).alias("next_observed_event_delay"),
         F.col("next.confidence").alias("next_observed_event_confidence"),
         *[filled(f"past_count__{k}") for k in types],
     )

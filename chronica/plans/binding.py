@@ -603,3 +603,11 @@ SQL["grid_predictions"] = _scored_sql(
   CAST(cutoff + to_years(CAST(sb AS INTEGER)) AS DATE) AS d1 FROM examples e, (VALUES (0, 1), (1, 3), (2, 5), (3, 10), (4, 20)) v(i, sb) WHERE censor_aware_eligible"""
 )
 SQL_DEPS["grid_predictions"] = ("examples",)
+
+
+# --- annual states ----------------------------------------------------------
+def year_states(t):
+    """Annual states of all people, kept for the queries that read parts of them."""
+    from chronica.operators import states
+
+    return t.stage("year_states", lambda: states.year_states(t.raw_events))

@@ -218,7 +218,7 @@ def _timeline_sql():
         sides += [f"count(*) FILTER (WHERE age_max <= {c}) AS past_events_at_{c}", f"count(*) FILTER (WHERE age_min > {c}) AS future_events_after_{c}"]
         flags += [f"past_events_at_{c} >= {k} AND future_events_after_{c} >= {k} AS eligible_{k}x{k}_at_{c}" for k in (1, 2, 3)]
     return f"""WITH p AS (SELECT person_id, count(*) AS event_count, CAST(count(DISTINCT domain) AS INTEGER) AS domain_count, min(age_min) AS first_event_age_min, max(age_max) AS last_event_age_max,
-  round(count(*) FILTER (WHERE reference_count > 0) / count(*), 4) AS referenced_event_fraction, round(CAST(sum(CAST(round(confidence * 100) AS BIGINT)) AS BIGINT) / count(*) / 100, 4) AS mean_confidence, {', '.join(sides)} FROM life GROUP BY 1)
+  ((20000 * count(*) FILTER (WHERE reference_count > 0) + count(*)) // (2 * count(*))) / 10000 AS referenced_event_fraction, ((200 * CAST(sum(CAST(round(confidence * 100) AS BIGINT)) AS BIGINT) + count(*)) // (2 * count(*))) / 10000 AS mean_confidence, {', '.join(sides)} FROM life GROUP BY 1)
 SELECT *, {', '.join(flags)} FROM p"""
 
 

@@ -413,7 +413,7 @@ def model_inputs(t):
     "persons raw_events",
 )
 def year_states_view(t):
-    states = t.raw_events.groupBy("person_id", F.year("observable_from").alias("year")).agg(F.count(F.lit(1)).alias("events"))
+    states = t.year_states.where(F.col("events_this_year") > 0).select("person_id", "year", F.col("events_this_year").alias("events"))
     return states.join(t.persons.select("person_id", "country"), "person_id").select("person_id", "country", "year", "events")
 
 

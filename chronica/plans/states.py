@@ -99,7 +99,59 @@ def high_frequency_collapse(t):
 
 @query("f03_year_states", year_states_sql(), "raw_events")
 def year_states(t):
-    return Y.year_states(t.raw_events)
+    return t.year_states
+
+
+def _window_sql(select, on, source="eff"):
+    return f"WITH {BASE_SQL} SELECT g.person_id, g.year, {select} FROM grid g LEFT JOIN {source} e ON e.person_id = g.person_id AND {on} GROUP BY 1, 2"
+
+
+@query(
+    "f04_rolling_windows",
+    _window_sql("count(e.event_id) FILTER (WHERE e.y >= g.year - 2) AS rolling_3y_effective_points, count(e.event_id) AS rolling_5y_effective_points, count(DISTINCT domain) AS rolling_5y_domain_breadth", "e.y BETWEEN g.year - 4 AND g.year"),
+    "raw_events",
+)
+def rolling_windows(t):
+    return t.year_states.select("person_id", "year", "rolling_3y_effective_points", "rolling_5y_effective_points", "rolling_5y_domain_breadth")
+
+
+@query(
+    "f05_creation_momentum",
+    _window_sql("count(*) FILTER (WHERE domain = 'creation' AND e.y >= g.year - 2) - count(*) FILTER (WHERE domain = 'creation' AND e.y < g.year - 2) AS creation_momentum_3y", "e.y BETWEEN g.year - 5 AND g.year"),
+    "raw_events",
+)
+def creation_momentum(t):
+    return t.year_states.select("person_id", "year", "creation_momentum_3y")
+
+
+@query(
+    "f06_transition_counters",
+    _window_sql(
+        "count(*) FILTER (WHERE family IN ('career.role_start', 'career.role_end')) AS career_transitions_cumulative, count(*) FILTER (WHERE family = 'migration.move') AS migration_transitions_cumulative, count(*) FILTER (WHERE family IN ('relationship.start', 'relationship.end')) AS relationship_transitions_cumulative",
+        "e.y <= g.year", "ev",
+    ),
+    "raw_events",
+)
+def transition_counters(t):
+    return t.year_states.select("person_id", "year", *[f"{n}_cumulative" for n in Y.TRANSITIONS])
+
+
+@query(
+    "f08_years_since",
+    _window_sql("CAST(g.year - max(e.y) AS INTEGER) AS years_since_last_event, " + ", ".join(f"CAST(g.year - max(e.y) FILTER (WHERE domain = '{d}') AS INTEGER) AS years_since_last_{d}" for d in ("career", "migration", "creation", "recognition")), "e.y <= g.year"),
+    "raw_events",
+)
+def years_since(t):
+    return t.year_states.select("person_id", "year", *[f"years_since_last_{d}" for d in ("event", "career", "migration", "creation", "recognition")])
+
+
+@query(
+    "f10_source_breadth",
+    _window_sql("count(DISTINCT source_family) FILTER (WHERE e.y = g.year) AS source_families_this_year, count(DISTINCT source_family) AS cumulative_source_family_breadth", "e.y <= g.year", "ev"),
+    "raw_events",
+)
+def source_breadth(t):
+    return t.year_states.select("person_id", "year", "source_families_this_year", "cumulative_source_family_breadth")
 
 
 @query(

@@ -84,9 +84,8 @@ def _score_sql(text, keywords):
     + " FROM sent GROUP BY 1",
 )
 def domain_scores(t):
-    rows = T.sentences(t.documents.select("doc_id", "source", "text"), "text")
-    s = F.col("sentence")
-    real, invented = T.domain_scores(s), T.domain_scores(s, SYLLABLES)
+    rows = T.with_lowered(T.sentences(t.documents.select("doc_id", "source", "text"), "text"), "sentence")
+    real, invented = T.domain_scores("lowered"), T.domain_scores("lowered", SYLLABLES)
     return rows.groupBy("source").agg(
         *[F.sum(c).alias(f"score_{d}") for d, c in real.items()], *[F.sum(c).alias(f"syllable_{d}") for d, c in invented.items()]
     )

@@ -54,7 +54,7 @@ j AS (SELECT g.person_id, g.cutoff_age, g.censor_age, e.age_min, e.age_max, e.ag
 c AS (SELECT person_id, cutoff_age, count(*) FILTER (WHERE age_max <= cutoff_age) AS past, {counts} FROM j GROUP BY 1, 2),
 n AS (SELECT * FROM j WHERE age_min > cutoff_age{bound} QUALIFY row_number() OVER (PARTITION BY person_id, cutoff_age ORDER BY age_mid, age_min, event_id) = 1)
 SELECT g.*, g.censor_age - g.cutoff_age AS followup_after_cutoff, n.event_id IS NOT NULL AS event_observed, coalesce(past, 0) AS past_event_total, n.event_type AS next_observed_event_type,
-  round(n.age_mid, 3) AS next_observed_event_age, round(n.age_mid - g.cutoff_age, 3) AS next_observed_event_delay, n.confidence AS next_observed_event_confidence, {listed}
+  floor((CAST(round(n.age_mid * 10000) AS BIGINT) + 5) / 10) / 1000 AS next_observed_event_age, floor((CAST(round(n.age_mid * 10000) AS BIGINT) - g.cutoff_age * 10000 + 5) / 10) / 1000 AS next_observed_event_delay, n.confidence AS next_observed_event_confidence, {listed}
 FROM g LEFT JOIN c USING (person_id, cutoff_age) LEFT JOIN n ON n.person_id = g.person_id AND n.cutoff_age = g.cutoff_age"""
 
 
