@@ -69,20 +69,31 @@ def day_cycle(date: Column) -> Column:
 DATED = ("day", "month", "year")
 
 
-def time_parts(time: Column, precision: Column, calendar_uri: Column) -> Column:
-    """A ``+YYYY-MM-DDT...`` value read into numbers, ready for ``with_interval``."""
+def time_numbers(time: Column) -> Column:
+    """Year, month and day text of a ``+YYYY-MM-DDT...`` value."""
+    return F.split(F.ltrim(F.substring_index(time, "T", 1), F.lit("+")), "-")
+
+
+def time_parts(time: Column, numbers: Column, precision: Column, calendar_uri: Column) -> Column:
+    """A time value read into numbers, ready for ``with_interval``. ``numbers``
+    is its :func:`time_numbers` as a column of its own, split once."""
     absent = time.isNull() | (time == "")
-    parts = F.split(F.substring_index(time, "T", 1), "-")
     return F.struct(
         absent.alias("absent"),
-        F.regexp_extract(time, r"^\+?(-?\d+)-", 1).try_cast("int").alias("y"),
-        F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(0)).alias("m"),
-        F.coalesce(F.get(parts, F.lit(2)).try_cast("int"), F.lit(0)).alias("d"),
+        F.get(numbers, F.lit(0)).try_cast("int").alias("y"),
+        F.coalesce(F.get(numbers, F.lit(1)).try_cast("int"), F.lit(0)).alias("m"),
+        F.coalesce(F.get(numbers, F.lit(2)).try_cast("int"), F.lit(0)).alias("d"),
         F.coalesce(precision, F.lit(0)).alias("p"),
         F.when(absent, "unknown").otherwise(calendar_kind(calendar_uri)).alias("calendar"),
     )
 
 
+def with_parts(df: DataFrame, time: str, precision: str, calendar_uri: str, out: str = "parts") -> DataFrame:
+    split = df.withColumn("__numbers", time_numbers(F.col(time)))
+    parts = time_parts(F.col(time), F.col("__numbers"), F.col(precision), F.col(calendar_uri))
+    return split.withColumn(out, parts).drop("__numbers")
+
+
 def with_interval(df: DataFrame, parts: str) -> DataFrame:
     """Replace a ``time_parts`` column by ``lo``, ``hi``, ``label``, ``calendar``.
 

@@ -24,15 +24,17 @@ def claims_to_events(claims: DataFrame, births: DataFrame) -> DataFrame:
 
     kinds = ("point", "start", "end")
     read = claims.withColumns(
-        {f"__{k}": F.get(F.from_json(F.coalesce(f"{k}_json", F.lit("[]")), TIME_LIST), F.lit(0)) for k in kinds}
-    )
+        {f"__{k}": F.when(F.col(f"{k}_json") != "[]", F.get(F.from_json(f"{k}_json", TIME_LIST), F.lit(0))) for k in kinds}
+    ).withColumns({f"__{k}_n": D.time_numbers(F.col(f"__{k}")["time"]) for k in kinds})
 
     def slot(kind):
         at = F.col(f"__{kind}")
-        parts = D.time_parts(at["time"], at["precision"], at["calendar_model"])
-        return F.struct(F.lit(kind).alias("kind"), at["time"].alias("raw"), parts.alias("parts"))
+        parts = D.time_parts(at["time"], F.col(f"__{kind}_n"), at["precision"], at["calendar_model"])
+        listed = F.struct(F.lit(kind).alias("kind"), at["time"].alias("raw"), parts.alias("parts"))
+        return F.when(at["time"].isNotNull(), listed)
 
-    slots = read.withColumn("slot", F.explode(F.array(*[slot(k) for k in kinds])))
+    dated = F.filter(F.array(*[slot(k) for k in kinds]), lambda s: s.isNotNull())
+    slots = read.withColumn("slot", F.explode(dated))
     timed = slots.select(
         "statement_id", "person_id", "event_type", "value_id", "rank", "reference_count",
         F.col("slot.kind").alias("qualifier_kind"),
@@ -106,10 +108,10 @@ def statements_to_candidates(statements: DataFrame) -> DataFrame:
 def works_to_events(works: DataFrame, births: DataFrame) -> DataFrame:
     """Each listed publication time of a work becomes a creation event."""
     listed = F.from_json("publication_json", "array<struct<time:string,precision:int,calendar_model:string,rank:string,reference_count:int>>")
-    timed = works.select("person_id", "work_id", F.posexplode(listed).alias("j", "o")).select(
-        "person_id", "work_id", "j", F.col("o.rank").alias("rank"), F.col("o.reference_count").alias("reference_count"),
-        D.time_parts(F.col("o.time"), F.col("o.precision"), F.col("o.calendar_model")).alias("parts"),
+    listed_times = works.select("person_id", "work_id", F.posexplode(listed).alias("j", "o")).select(
+        "person_id", "work_id", "j", "o.*"
     )
+    timed = D.with_parts(listed_times, "time", "precision", "calendar_model").drop("time", "precision", "calendar_model")
     dated = (
         D.with_interval(timed, "parts")
         .where(F.col("label").isin(*D.DATED))

@@ -24,8 +24,8 @@ ENTITY_SCHEMA = f"struct<id:string,labels:map<string,struct<value:string>>,claim
 
 def dated_births(assertions: DataFrame) -> DataFrame:
     """Assertions that name a day, month or year, with their interval."""
-    parts = D.time_parts(F.col("time_value"), F.col("time_precision"), F.col("calendar_model"))
-    return D.with_interval(assertions.withColumn("parts", parts), "parts").where(F.col("label").isin(*D.DATED))
+    rows = D.with_parts(assertions, "time_value", "time_precision", "calendar_model")
+    return D.with_interval(rows, "parts").where(F.col("label").isin(*D.DATED))
 
 
 # --- payloads ---------------------------------------------------------------

@@ -48,8 +48,7 @@ def partial_date_text(t):
     "claim_intervals",
 )
 def time_interval(t):
-    parts = D.time_parts(F.col("time"), F.col("precision"), F.col("calendar_model"))
-    dated = D.with_interval(t.claim_times.withColumn("parts", parts), "parts")
+    dated = D.with_interval(D.with_parts(t.claim_times, "time", "precision", "calendar_model"), "parts")
     return dated.select("statement_id", "kind", "lo", "hi", "label", "calendar")
 
 

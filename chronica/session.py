@@ -12,6 +12,9 @@ from pyspark.sql.types import StructType
 # Runtime settings every job here relies on. AQE splits hot join partitions at
 # run time, also where that costs an extra exchange of already reduced rows.
 RUNTIME_CONF = {
+    # HotSpot does not compile methods beyond 8000 bytes of code: stages that would
+    # need one run operator by operator instead, whose code is split.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
