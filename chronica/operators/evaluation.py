@@ -190,15 +190,26 @@ def horizon_truth(rows: DataFrame) -> DataFrame:
 
 
 # --- bootstrap --------------------------------------------------------------
-def _weights(person: str, seed: str, block: Column) -> Column:
-    """Sixteen resampling weights of a person from one digest."""
-    digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col(person).cast("string"), block.cast("string")), 256)
-    return digest
+def _words(hashed: DataFrame, digest: str) -> DataFrame:
+    """The sixteen 16-bit words of a digest as columns ``__u0`` to ``__u15``:
+    twelve hex digits are read at a time and split by shifts."""
+    blocks = [F.conv(F.substring(digest, 1 + 12 * k, 12), 16, 10).cast("bigint").alias(f"__b{k}") for k in range(6)]
+    read = hashed.select("*", *blocks)
 
+    def word(i):
+        # The last block holds one word only.
+        shift = 0 if i == 15 else 16 * (2 - i % 3)
+        return F.shiftright(f"__b{i // 3}", shift).bitwiseAND(F.lit(65535)).cast("int").alias(f"__u{i}")
 
-def _word(digest: str, i: int) -> Column:
-    u = F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("int")
-    return sum(((u >= b).cast("int") for b in POISSON_BOUNDS), F.lit(0))
+    return read.select("*", *[word(i) for i in range(WORDS)])
+
+
+def _weight(word: str) -> Column:
+    """Poisson(1) weight of a 16-bit word; small weights are found first."""
+    out = F.when(F.col(word) < POISSON_BOUNDS[0], 0)
+    for k, bound in enumerate(POISSON_BOUNDS[1:], start=1):
+        out = out.when(F.col(word) < bound, k)
+    return out.otherwise(len(POISSON_BOUNDS))
 
 
 def resampled_sums(people: DataFrame, person: str, values: list[str], reps: int, seed: str, by: list[str] = ()) -> DataFrame:
@@ -210,8 +221,9 @@ def resampled_sums(people: DataFrame, person: str, values: list[str], reps: int,
     """
     blocks = -(-reps // WORDS)
     spread = people.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    hashed = spread.withColumn("__h", _weights(person, seed, F.col("__block")))
-    weighted = hashed.select(*by, "__block", *values, *[_word("__h", i).alias(f"__w{i}") for i in range(WORDS)])
+    digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col(person).cast("string"), F.col("__block").cast("string")), 256)
+    words = _words(spread.withColumn("__h", digest), "__h")
+    weighted = words.select(*by, "__block", *values, *[_weight(f"__u{i}").alias(f"__w{i}") for i in range(WORDS)])
     sums = weighted.groupBy(*by, "__block").agg(
         *[F.sum(F.col(f"__w{i}") * F.col(v)).alias(f"__{v}_{i}") for i in range(WORDS) for v in values]
     )

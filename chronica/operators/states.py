@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chronica.functions import scalars as S
 from chronica.functions import vocab
-from chronica.session import checkpointed
+from chronica.session import materialised
 
 ROLES = {
     "career": ("career.role_start", "career.role_end"),
@@ -130,29 +130,40 @@ def active_changes(events: DataFrame) -> DataFrame:
     return last.withColumn("change", F.col("held") - before).where(F.col("change") != 0)
 
 
-def switches(events: DataFrame, yearly: DataFrame) -> DataFrame:
+def _chained(pieces: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Join neighbouring pieces: a change where one ends in another family than
+    the next begins with."""
+    before = F.lag("last").over(Window.partitionBy(*keys).orderBy(*order))
+    return pieces.withColumn("changes", F.col("changes") + F.coalesce((before != F.col("first")).cast("int"), F.lit(0)))
+
+
+def switches(events: DataFrame, yearly: DataFrame, prefix: int = 4) -> DataFrame:
     """How often the family changes from one effective point to the next, per
     year of the later point.
 
-    Points are compared inside a person's day first; the days, of which there
-    are at most a calendar's worth, are then chained by their first and last
-    family.
+    Points are compared inside pieces first: a person's day, cut further by the
+    first characters of the event id, which keeps the order whatever the ids
+    look like. Pieces are chained inside the day and days inside the person by
+    their first and last family, so neither a busy person nor a busy day is
+    sorted as a whole.
     """
     plain = events.where(~S.is_high_frequency(F.col("family"))).select("person_id", "year", "date_min", "event_id", "family")
     collapsed = yearly.where(S.is_high_frequency(F.col("family")) & (F.col("eff") > 0)).select(
         "person_id", "year", "first.date_min", "first.event_id", "family"
     )
-    points = plain.unionByName(collapsed)
-    day = Window.partitionBy("person_id", "year", "date_min").orderBy("event_id", "family")
-    marked = points.withColumn("prev", F.lag("family").over(day))
-    days = marked.groupBy("person_id", "year", "date_min").agg(
-        F.count_if(F.col("prev") != F.col("family")).alias("inside"),
-        F.min_by("family", F.struct("event_id", "family")).alias("first"),
-        F.max_by("family", F.struct("event_id", "family")).alias("last"),
+    points = plain.unionByName(collapsed).withColumn("piece", F.substring("event_id", 1, prefix))
+    day = ["person_id", "year", "date_min"]
+    inside = Window.partitionBy(*day, "piece").orderBy("event_id", "family")
+    at = F.struct("event_id", "family")
+    pieces = points.withColumn("prev", F.lag("family").over(inside)).groupBy(*day, "piece").agg(
+        F.count_if(F.col("prev") != F.col("family")).alias("changes"),
+        F.min_by("family", at).alias("first"),
+        F.max_by("family", at).alias("last"),
     )
-    before = F.lag("last").over(Window.partitionBy("person_id").orderBy("year", "date_min"))
-    joined = days.withColumn("joint", F.coalesce((before != F.col("first")).cast("int"), F.lit(0)))
-    return joined.groupBy("person_id", "year").agg(F.sum(F.col("inside") + F.col("joint")).alias("n"))
+    days = _chained(pieces, day, ["piece"]).groupBy(*day).agg(
+        F.sum("changes").alias("changes"), F.min_by("first", "piece").alias("first"), F.max_by("last", "piece").alias("last")
+    )
+    return _chained(days, ["person_id"], ["year", "date_min"]).groupBy("person_id", "year").agg(F.sum("changes").alias("n"))
 
 
 def year_states(events: DataFrame, legacy: bool = False, domains=vocab.DOMAINS, materialise: bool = True) -> DataFrame:
@@ -160,7 +171,7 @@ def year_states(events: DataFrame, legacy: bool = False, domains=vocab.DOMAINS,
 
     The counts per person, year, family and domain feed every feature but the
     roles and the switches; they are a small part of the events, so they are
-    checkpointed once (``materialise``) instead of being derived anew from the
+    written once (``materialise``) instead of being derived anew from the
     events for each feature.
     """
     rows = with_state_family(event_year(events), legacy).select(
@@ -168,7 +179,7 @@ def year_states(events: DataFrame, legacy: bool = False, domains=vocab.DOMAINS,
     )
     yearly = yearly_families(rows)
     if materialise:
-        yearly = checkpointed(yearly)
+        yearly = materialised(yearly, "yearly")
     n, eff = F.col("n"), F.col("eff")
 
     def total(condition, value):
@@ -250,19 +261,26 @@ def year_states(events: DataFrame, legacy: bool = False, domains=vocab.DOMAINS,
     return wide.select("person_id", "year", *[c.alias(k) for k, c in out.items()])
 
 
-def academic_states(works: DataFrame, order: list[str]) -> DataFrame:
+def academic_states(works: DataFrame, order: list[str], materialise: bool = True) -> DataFrame:
     """Works, authorship, fields and institutions per person and year.
 
     Expects ``institution_ids`` and ``institution_countries`` as arrays. Among
-    equally frequent fields or institutions the first seen dominates.
+    equally frequent fields or institutions the first seen dominates. The few
+    columns used are written once, so that whatever joins produced the works are
+    not repeated for each feature; every aggregation combines before its shuffle.
     """
-    rows = works.withColumn("field_id", F.coalesce("field_id", F.lit("unknown")))
-    at = F.struct(*order)
+    rows = works.select(
+        "person_id", "year", F.coalesce("field_id", F.lit("unknown")).alias("field_id"),
+        "institution_ids", "institution_countries", "is_first", "is_corresponding", *order,
+    )
+    if materialise:
+        rows = materialised(rows, "works")
     base = rows.groupBy("person_id", "year").agg(
         F.count(F.lit(1)).alias("works_count"),
         F.count_if("is_first").alias("first_author_count"),
         F.count_if("is_corresponding").alias("corresponding_count"),
     )
+    at = F.struct(*order)
     fields = rows.groupBy("person_id", "year", F.col("field_id").alias("item")).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("at"))
     sites = rows.select("person_id", "year", *order, F.posexplode("institution_ids").alias("pos", "item")).groupBy("person_id", "year", "item").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*order, "pos")).alias("at")

@@ -77,13 +77,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(scratch_root(spark))
-    return df.checkpoint(eager=True)
+def materialised(df: DataFrame, label: str = "table") -> DataFrame:
+    """Cut lineage by writing a relation to the shared folder and reading it back.
+
+    A written table is computed once, where a checkpoint computes its rows twice,
+    and its readers still prune columns.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _STAGED: dict[tuple[str, str], str] = {}
@@ -95,8 +97,9 @@ def staged(spark: SparkSession, key: str, make) -> DataFrame:
     slot = (spark.sparkContext.applicationId, key)
     if slot not in _STAGED:
         path = scratch_path(spark, "staged")
-        make().write.parquet(path)
+        rows = make()
+        rows.write.parquet(path)
         _STAGED[slot] = path
-        _SCHEMAS[path] = spark.read.parquet(path).schema
+        _SCHEMAS[path] = rows.schema
     path = _STAGED[slot]
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
