@@ -256,8 +256,8 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, key: list[str], classes, reps:
     )
     if by:
         return observed.join(spread, list(by))
-    one = F.lit(1).alias("__one")
-    return observed.select("*", one).join(spread.select("*", one), "__one").drop("__one")
+    one = spread.select(F.struct("*")).scalar()
+    return observed.withColumn("__s", one).select("*", "__s.*").drop("__s")
 
 
 def f1_bootstrap(a: DataFrame, b: DataFrame, key: list[str], classes, reps: int = 1000, seed: str = "boot") -> DataFrame:

@@ -4,7 +4,7 @@ A group may hold a third of all rows, so nothing here sorts a whole group in a
 window. An order is cut into pieces by a function of the row itself (a hash
 prefix, an id range); each piece is ranked alone and shifted by the number of
 rows in the pieces before it. The pieces' counts are small and bounded by
-``16 ** digits`` per group or by the id range over the piece width.
+``16 ** digits`` per group, or by 65536 per level of id ranges.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one id-range piece: one window task sorts at most this many unique ids.
-PIECE_WIDTH = 1 << 16
+# Bits of one id-range piece: one window task sorts at most 65536 unique ids.
+PIECE_BITS = 16
 # Hash digits that name a piece: 4096 pieces per group.
 PIECE_DIGITS = 3
 # Byte ceiling under which a side may be broadcast by hint.
@@ -40,19 +40,32 @@ def _offsets(df: DataFrame, group: list[str], piece: list[str], into: str) -> Da
     return counts.withColumn(into, F.coalesce(F.sum("__n").over(before), F.lit(0)))
 
 
-def rank_by_id(df: DataFrame, id_col: str, out: str, then: list[str] = (), width: int = PIECE_WIDTH) -> DataFrame:
-    """Global ``row_number`` ordered by a whole-number id (and ``then`` columns)."""
-    cut = df.withColumn("__piece", F.floor(F.col(id_col) / width).cast("bigint"))
-    counts = cut.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n"))
-    # One row per id range: the only ordering over everything is over these.
-    before = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__piece").orderBy(id_col, *then))
+def rank_by_id(df: DataFrame, id_col: str, out: str, then: list[str] = (), bits: int = PIECE_BITS) -> DataFrame:
+    """Global ``row_number`` ordered by a whole-number id (and ``then`` columns).
+
+    Ids are cut into ranges of ``2 ** bits``, the ranges into ranges of ranges,
+    and so on to the top of a 64-bit id: every window, also those that add up the
+    counts, sees at most ``2 ** bits`` entries, however sparse the ids are.
+    """
+    levels = -(-63 // bits)
+    at = lambda k: F.shiftright(F.col(id_col).cast("bigint"), min(bits * k, 63))
+    cut = df.withColumn("__p1", at(1))
+    counts = cut.groupBy("__p1").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = None
+    for k in range(1, levels + 1):
+        here, above = f"__p{k}", f"__p{k + 1}"
+        inside = Window.partitionBy(above).orderBy(here).rowsBetween(Window.unboundedPreceding, -1)
+        wider = counts.withColumn(above, F.shiftright(here, bits) if k < levels else F.lit(0))
+        table = wider.select(here, above, F.coalesce(F.sum("__n").over(inside), F.lit(0)).alias(f"__b{k}"))
+        offsets = table if offsets is None else offsets.join(table, here)
+        counts = wider.groupBy(above).agg(F.sum("__n").alias("__n"))
+    before = sum((F.col(f"__b{k}") for k in range(1, levels + 1)), F.lit(0))
+    local = F.row_number().over(Window.partitionBy("__p1").orderBy(id_col, *then))
     return (
         cut.withColumn("__local", local)
-        .join(offsets, "__piece")
+        .join(offsets.select("__p1", before.alias("__before")), "__p1")
         .withColumn(out, F.col("__before") + F.col("__local"))
-        .drop("__piece", "__local", "__before")
+        .drop("__p1", "__local", "__before")
     )
 
 

@@ -287,7 +287,7 @@ def paired_bootstrap(t):
 
 @query(
     "n18_f1_bootstrap",
-    f"""WITH scored AS (SELECT * FROM ({scored_sql(CLASSES)}) WHERE split_name = 'test'), {weights_sql(200)},
+    f"""WITH scored AS (SELECT * FROM ({scored_sql(CLASSES)}) WHERE split_name = 'test'), {weights_sql(1000)},
 j AS (SELECT a.person_id, a.y_true, a.y_pred AS pa, b.y_pred AS pb FROM scored a JOIN scored b ON a.person_period_id = b.person_period_id AND a.variant = 'a' AND b.variant = 'b'),
 k AS (SELECT rep, class, sum(w * (y_true = class)::INT) AS s, sum(w * (y_true = class AND pa = class)::INT) AS ta, sum(w * (pa = class)::INT) AS na, sum(w * (y_true = class AND pb = class)::INT) AS tb, sum(w * (pb = class)::INT) AS nb
   FROM j JOIN draws USING (person_id), (VALUES {', '.join(f"('{c}')" for c in CLASSES)}) c(class) GROUP BY 1, 2),
@@ -297,17 +297,17 @@ SELECT count(*) AS reps, round(avg(d), 8) AS bootstrap_mean, round(quantile_cont
 )
 def f1_bootstrap(t):
     a, b = _arms(t)
-    return rounded(V.f1_bootstrap(a, b, ["person_period_id"], CLASSES, reps=200), 8)
+    return rounded(V.f1_bootstrap(a, b, ["person_period_id"], CLASSES, reps=1000), 8)
 
 
-@query("n19_sparse_history_bootstrap", bootstrap_sql(200, "stratum"), "predictions facts")
+@query("n19_sparse_history_bootstrap", bootstrap_sql(1000, "stratum"), "predictions facts")
 def sparse_history_bootstrap(t):
     arms = M.histories(t.examples, t.facts, "cutoff").where(F.col("snapshot") == "new").select("example_id", F.col("canonical_event_count").alias("n"))
     n = F.coalesce("n", F.lit(0))
     stratum = F.when(n == 0, "0").when(n == 1, "1").when(n <= 4, "2-4").otherwise("5+")
     strata = t.examples.select("example_id").join(arms, "example_id", "left").select("example_id", stratum.alias("stratum"))
     a, b = _arms(t)
-    return rounded(V.paired_bootstrap(a.join(strata, "example_id"), b, ["person_period_id"], CLASSES, reps=200, by=["stratum"]), 8)
+    return rounded(V.paired_bootstrap(a.join(strata, "example_id"), b, ["person_period_id"], CLASSES, reps=1000, by=["stratum"]), 8)
 
 
 @query(

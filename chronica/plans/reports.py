@@ -205,11 +205,11 @@ def source_yield(t):
 @query(
     "e11_source_top_types",
     """SELECT source, event_family, n, CAST(rn AS INTEGER) AS rank FROM (SELECT source_family AS source, event_family, count(*) AS n, row_number() OVER (PARTITION BY source_family ORDER BY count(*) DESC, event_family) AS rn
-FROM raw_events GROUP BY 1, 2) WHERE rn <= 5""",
+FROM raw_events GROUP BY 1, 2) WHERE rn <= 20""",
     "raw_events",
 )
 def source_top_types(t):
-    return C.top_types(t.raw_events, k=5)
+    return C.top_types(t.raw_events)
 
 
 def _timeline_sql():

@@ -156,16 +156,17 @@ def source_breadth(t):
 
 @query(
     "f07_active_roles",
-    """
-WITH r AS (SELECT person_id, split_part(event_type, '.', 1) AS kind, subject_id, year(observable_from) AS y, last(event_type NOT LIKE '%end' ORDER BY date_min, event_id) AS held
-  FROM life WHERE event_type IN ('career.position.start', 'career.position.end', 'career.appointment') AND subject_id IS NOT NULL GROUP BY 1, 2, 3, 4),
-c AS (SELECT *, CAST(held AS INTEGER) - coalesce(CAST(lag(held) OVER (PARTITION BY person_id, subject_id ORDER BY y) AS INTEGER), 0) AS change FROM r)
+    f"""
+WITH {BASE_SQL},
+r AS (SELECT person_id, split_part(family, '.', 1) AS kind, subject_id, y, last(family LIKE '%start' ORDER BY date_min, event_id) AS held FROM ev
+  WHERE family IN ('career.role_start', 'career.role_end', 'education.start', 'education.end', 'relationship.start', 'relationship.end') AND subject_id IS NOT NULL GROUP BY 1, 2, 3, 4),
+c AS (SELECT *, CAST(held AS INTEGER) - coalesce(CAST(lag(held) OVER (PARTITION BY person_id, kind, subject_id ORDER BY y) AS INTEGER), 0) AS change FROM r)
 SELECT person_id, kind, subject_id AS subject, CAST(y AS INTEGER) AS year, change FROM c WHERE change <> 0""",
-    "life",
+    "raw_events",
 )
 def active_roles(t):
-    rows = Y.with_state_family(Y.event_year(t.life))
-    return Y.active_changes(rows.where(F.col("domain") == "career")).select("person_id", "kind", "subject", "year", "change")
+    rows = Y.with_state_family(Y.event_year(t.raw_events))
+    return Y.active_changes(rows).select("person_id", "kind", "subject", "year", "change")
 
 
 @query(
