@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     # HotSpot does not compile methods beyond 8000 bytes of code: stages that would
     # need one run operator by operator instead, whose code is split.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Collected sets are over small vocabularies here, so many groups fit in memory
+    # before an aggregation has to sort.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -91,14 +94,17 @@ def materialised(df: DataFrame, label: str = "table") -> DataFrame:
 _STAGED: dict[tuple[str, str], str] = {}
 
 
-def staged(spark: SparkSession, key: str, make) -> DataFrame:
+def staged(spark: SparkSession, key: str, make, cluster: str = "person_id") -> DataFrame:
     """A relation several jobs read: written once per application as Parquet in
-    the shared folder, so that a lost executor costs a re-read and no recompute."""
+    the shared folder, so that a lost executor costs a re-read and no recompute.
+
+    It is clustered by person with a rebalance, which AQE cuts into files of even
+    size: a person with very many rows is split, small ones share a file."""
     slot = (spark.sparkContext.applicationId, key)
     if slot not in _STAGED:
         path = scratch_path(spark, "staged")
         rows = make()
-        rows.write.parquet(path)
+        rows.hint("rebalance", cluster).write.parquet(path)
         _STAGED[slot] = path
         _SCHEMAS[path] = rows.schema
     path = _STAGED[slot]
