@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronica.functions import scalars as S
 from chronica.functions import temporal as D
 
 PRECISION_NAMES = {9: "year", 10: "month", 11: "day", 12: "hour", 13: "minute", 14: "exact"}

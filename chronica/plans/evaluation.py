@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronica.functions import scalars as S
 from chronica.functions import temporal as D
 from chronica.functions import vocab
 from chronica.operators import evaluation as V
 from chronica.operators import models
 from chronica.operators import snapshots as N
 from chronica.operators import training as M
-from chronica.plans import people as P
 from chronica.plans.registry import query
 from chronica.plans.training import HISTORY_SQL
 

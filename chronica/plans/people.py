@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronica.functions import scalars as S
-from chronica.functions import symbols
 from chronica.functions import temporal as D
 from chronica.operators import births as B
 from chronica.operators import coverage as C
 from chronica.operators import events as E
 from chronica.operators import relations as R
-from chronica.operators import shaping
-from chronica.plans import binding
 from chronica.plans.registry import query
 
 

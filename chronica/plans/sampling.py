@@ -13,7 +13,6 @@ from chronica.operators import scale
 from chronica.operators import serving
 from chronica.operators import training as M
 from chronica.plans import people as P
-from chronica.plans import reports as E
 from chronica.plans.registry import query
 
 STRATA = ["region", "occupation", "era", "tier"]

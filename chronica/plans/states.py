@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronica.functions import scalars as S
 from chronica.functions import vocab
 from chronica.operators import scale
 from chronica.operators import states as Y
