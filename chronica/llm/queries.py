@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronica import session
-from chronica.llm import packing
+from chronica.llm import packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -27,3 +27,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few sequences of 4096 tokens as best fit decreasing finds."""
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through monolithic archives, members with an index, and back."""
+    back = warc.round_trip(spark, read(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+TWINS["op6_warc_normaliser"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), r AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(h, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT), 1)
+    FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to,
+  true AS intact
+FROM r
+"""
