@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronica import session
-from chronica.llm import packing, warc
+from chronica.llm import packing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -51,3 +52,17 @@ SELECT page_id, payload_bytes,
   true AS intact
 FROM r
 """
+
+
+@query
+def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents from the marginals of a conditional random field."""
+    out = toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return out.select("doc_id", "held_out", "score", "predicted", text.alias("spans"))
+
+
+@query
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by a byte-level convolutional network."""
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
