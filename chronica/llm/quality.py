@@ -23,12 +23,12 @@ from chronica.llm import labelled, textbytes
 
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 20_000
-SAMPLE_CHUNKS = 6
-CHUNK, OVERLAP, STEP = 1024, 64, 4
-WIDTH, DEPTH, FILTERS = 8, 8, 24
+SAMPLE_CHUNKS = 24
+CHUNK, OVERLAP, STEP = 256, 32, 4
+WIDTH, DEPTH, FILTERS = 8, 8, 32
 PAD = 256
 THRESHOLD = 0.3
-EPOCHS, BATCH, RATE = 5, 64, 0.004
+EPOCHS, BATCH, RATE = 6, 64, 0.004
 
 
 @dataclass
@@ -97,7 +97,7 @@ def combine(chunks: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.hstack([np.add.reduceat(chunks, first[:-1], axis=0) / count, np.maximum.reduceat(chunks, first[:-1], axis=0)])
 
 
-def probabilities(data: np.ndarray, offsets: np.ndarray, net: Network, rows: int = 256) -> np.ndarray:
+def probabilities(data: np.ndarray, offsets: np.ndarray, net: Network, rows: int = 1024) -> np.ndarray:
     """Probability of label 1 for every document of a buffer."""
     if len(offsets) < 2:
         return np.zeros(0)

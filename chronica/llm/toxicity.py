@@ -123,8 +123,7 @@ def messages(emission: np.ndarray, layout: Layout, moves: np.ndarray, start: flo
     after = scan(a, b, c, d, layout.blocks[::-1], 1.0)[::-1]  # message into the place before
     backward = np.ones(layout.size)
     backward[:-1] = after[1:]
-    last = np.ones(len(layout.blocks), dtype=np.int64) * 0 + layout.upto * BLOCK - 1
-    backward[last] = 1.0
+    backward[layout.upto * BLOCK - 1] = 1.0
     return forward, backward, x
 
 
