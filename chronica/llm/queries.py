@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronica import session
-from chronica.llm import packing, quality, toxicity, warc
+from chronica.llm import packing, quality, secret_scan, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -66,3 +66,9 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents by a byte-level convolutional network."""
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base secrets and linked weak parts of all documents."""
+    return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
