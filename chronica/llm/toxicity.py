@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 
 from chronica.llm import labelled, textbytes
 
-SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 20_000
+SAMPLE_ROWS = 3000
+SAMPLE_CHARS = 12_000
 BLOCK = 64
+# Words of one pass of training: bounds the driver's memory.
+TRAIN_WORDS = 150_000
 STEPS, RATE, RIDGE = 60, 0.2, 1e-3
 LIFT, SHARE = 20.0, 0.01
 THRESHOLD, SPAN_MARGINAL = 0.3, 0.5
@@ -134,32 +136,49 @@ def marginals(emission: np.ndarray, layout: Layout, moves: np.ndarray, start: fl
     return odds / (1 + odds)
 
 
+def batches(first: np.ndarray, words: int) -> list[tuple[int, int]]:
+    """Runs of rows of about ``words`` words each."""
+    cuts, at = [], 0
+    while at < len(first) - 1:
+        upto = max(at + 1, int(np.searchsorted(first, first[at] + words, side="right")) - 1)
+        cuts.append((at, upto))
+        at = upto
+    return cuts
+
+
 def fit(word: np.ndarray, first: np.ndarray, toxic: np.ndarray, words: int):
     """Weights of words, transitions and start by Adam on the mean log-likelihood."""
-    layout = Layout(first)
-    begins = np.zeros(len(word), dtype=bool)
-    begins[first[:-1][np.diff(first) > 0]] = True
-    weight, moves, start = np.full(words, -2.0), np.zeros((2, 2)), np.zeros(1)
-    y = toxic.astype(float)
-    follows = np.flatnonzero(~begins)
+    parts = []
+    for a, b in batches(first, TRAIN_WORDS):
+        own, inside = first[a : b + 1] - first[a], slice(first[a], first[b])
+        begins = own[:-1][np.diff(own) > 0]
+        follows = np.setdiff1d(np.arange(own[-1]), begins)
+        parts.append((word[inside], toxic[inside].astype(float), Layout(own), begins, follows))
+    rows = max(1, sum(len(begins) for *_, begins, _ in parts))
     seen = np.zeros((2, 2))
-    np.add.at(seen, (toxic[follows - 1].astype(int), toxic[follows].astype(int)), 1.0)
+    for _, y, _, _, follows in parts:
+        np.add.at(seen, (y[follows - 1].astype(int), y[follows].astype(int)), 1.0)
+    weight, moves, start = np.full(words, -2.0), np.zeros((2, 2)), np.zeros(1)
     params = [weight, moves, start]
     one, two = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     total, per_word = max(1, len(word)), np.maximum(1, np.bincount(word, minlength=words))
     for step in range(1, STEPS + 1):
-        forward, backward, x = messages(weight[word], layout, moves, start[0])
-        f, b, e = forward[layout.place], backward[layout.place], x[layout.place]
-        odds = f * b
-        p = odds / (1 + odds)
+        by_word, by_move, by_start = np.zeros(words), seen.copy(), 0.0
         m = np.exp(moves)
-        r, s = f[follows - 1], e[follows] * b[follows]
-        joint = np.stack([np.full(len(r), m[0, 0]), m[0, 1] * s, r * m[1, 0], r * m[1, 1] * s])
-        joint /= joint.sum(axis=0)
+        for own, y, layout, begins, follows in parts:
+            forward, backward, x = messages(weight[own], layout, moves, start[0])
+            f, b, e = forward[layout.place], backward[layout.place], x[layout.place]
+            error = y - f * b / (1 + f * b)
+            r, s = f[follows - 1], e[follows] * b[follows]
+            joint = np.stack([np.full(len(r), m[0, 0]), m[0, 1] * s, r * m[1, 0], r * m[1, 1] * s])
+            joint /= joint.sum(axis=0)
+            by_word += np.bincount(own, error, words)
+            by_move -= joint.sum(axis=1).reshape(2, 2)
+            by_start += error[begins].sum()
         slopes = [
-            (np.bincount(word, y - p, words) / per_word) - RIDGE * weight,
-            (seen - joint.sum(axis=1).reshape(2, 2)) / total * 10 - RIDGE * moves,
-            np.array([(y - p)[begins].sum() / max(1, begins.sum())]) - RIDGE * start,
+            by_word / per_word - RIDGE * weight,
+            by_move / total * 10 - RIDGE * moves,
+            by_start / rows - RIDGE * start,
         ]
         for q, g, v1, v2 in zip(params, slopes, one, two):
             v1 += 0.1 * (g - v1)
@@ -208,9 +227,9 @@ def train(rows: list[tuple[str, int]]) -> Field:
     known, word = np.unique(hashes, return_inverse=True)
     row = np.repeat(np.arange(len(rows)), np.diff(first))
     kept = distinct_rows(hashes, first)
-    pairs = np.unique(np.stack([word, row])[:, kept[row]], axis=1)
-    hot = np.bincount(pairs[0], label[pairs[1]], len(known))
-    cold = np.bincount(pairs[0], ~label[pairs[1]], len(known))
+    at_word, at_row = np.divmod(np.unique((word * len(rows) + row)[kept[row]]), len(rows))
+    hot = np.bincount(at_word, label[at_row], len(known))
+    cold = np.bincount(at_word, ~label[at_row], len(known))
     bad, good = max(1, (kept & label).sum()), max(1, (kept & ~label).sum())
     lexicon = (hot >= max(3, SHARE * bad)) & (hot / bad >= LIFT * (cold + 0.5) / good)
     toxic = lexicon[word] & label[row]
@@ -219,8 +238,12 @@ def train(rows: list[tuple[str, int]]) -> Field:
     number = np.where(rare, 0, np.cumsum(~rare))
     weight, moves, start = fit(number[word], first, toxic, int((~rare).sum()) + 1)
     field = Field(known[~rare], weight[number[~rare]], float(weight[0]), moves, start, np.zeros(4))
-    p = marginals(field.emissions(hashes), Layout(first), moves, start)
-    field.final = labelled.logistic(features(p, first), label.astype(float))
+    seen = []
+    for a, b in batches(first, TRAIN_WORDS):
+        own = first[a : b + 1] - first[a]
+        p = marginals(field.emissions(hashes[first[a] : first[b]]), Layout(own), moves, start)
+        seen.append(features(p, own))
+    field.final = labelled.logistic(np.concatenate(seen), label.astype(float))
     return field
 
 
