@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronica import session
-from chronica.llm import packing, quality, secret_scan, toxicity, warc
+from chronica.llm import packing, pii, quality, secret_scan, syncmers, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -72,3 +72,17 @@ def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base secrets and linked weak parts of all documents."""
     return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
+
+
+@query
+def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return syncmers.compare(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal numbers, dates and addresses replaced by pseudonyms.
+
+    The key of a real run comes from a secret store; the query's is for tests."""
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), key="op5-test-key")
