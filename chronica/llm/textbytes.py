@@ -115,20 +115,21 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.n
     n = len(words)
     count = np.diff(first)
     rows = np.arange(len(count))
-    if n >= width:
-        rolled = words[: n - width + 1].copy()
+    rolled = np.zeros(max(0, n - width + 1), dtype=np.uint64)
+    whole = np.ones(len(rolled), dtype=bool)
+    if len(rolled):
+        for k in range(width):
+            rolled *= BASE
+            rolled += words[k : n - width + 1 + k]
         for k in range(1, width):
-            rolled = mix(rolled * BASE + words[k : n - width + 1 + k])
-    else:
-        rolled = np.zeros(0, dtype=np.uint64)
-    row_of = np.repeat(rows, count)
-    last = first[1:][row_of[: len(rolled)]] if len(rolled) else np.zeros(0, np.int64)
-    whole = np.arange(len(rolled)) + width <= last
+            at = first[1:] - k
+            at = at[(at >= first[:-1]) & (at < len(rolled))]
+            whole[at] = False
+        rolled = mix(rolled[whole])
     short = rows[(count > 0) & (count < width)]
     extra = np.array([_fold(words[first[r] : first[r + 1]]) for r in short], dtype=np.uint64)
-    hashes = np.concatenate([rolled[whole], extra])
-    owner = np.concatenate([row_of[: len(rolled)][whole], short])
-    return hashes, owner
+    owner = np.repeat(rows, np.maximum(0, count - width + 1))
+    return np.concatenate([rolled, extra]), np.concatenate([owner, short])
 
 
 def _fold(words: np.ndarray) -> np.uint64:
@@ -136,3 +137,13 @@ def _fold(words: np.ndarray) -> np.uint64:
     for w in words[1:]:
         out = mix(out * BASE + w)
     return mix(out + np.uint64(len(words)))[0]
+
+
+def row_hashes(words: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of every row's sequence of words."""
+    n = len(words)
+    power = powers(n + 1)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(mix(words + np.uint64(seed)) * power[:n], out=total[1:])
+    body = (total[first[1:]] - total[first[:-1]]) * power[n - first[:-1]] * _rebase(n)
+    return mix(body + np.diff(first).astype(np.uint64) * MIX_A + np.uint64(seed))
