@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronica import session
-from chronica.llm import packing, pii, quality, secret_scan, syncmers, toxicity, warc
+from chronica.llm import decontamination, near_dedup, packing, pii, quality, secret_scan, syncmers, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -86,3 +86,15 @@ def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The key of a real run comes from a secret store; the query's is for tests."""
     return pii.pseudonymise(read(spark, sf_dir, "documents"), key="op5-test-key")
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that lie in documents, all items against all documents."""
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_dedup.classes(read(spark, sf_dir, "documents"))
