@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronica import session
-from chronica.llm import decontamination, near_dedup, packing, pii, quality, secret_scan, syncmers, toxicity, warc
+from chronica.llm import decontamination, near_dedup, packing, pii, quality, secret_scan, suffix_dedup, syncmers, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -98,3 +98,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return near_dedup.classes(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of 400 bytes removed from all documents."""
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"), keep_text=False)
