@@ -94,6 +94,29 @@ def word_shingles(text: str) -> set[tuple[str, ...]]:
 FOUND = "doc_id {doc}, item_id {item}, n_item_shingles bigint, n_shared bigint, containment double"
 
 
+def hits(column: pa.Array, index: Index) -> list[tuple[int, int, int, int]]:
+    """Row, item, its shingles and how many the row has, for all items that rows contain."""
+    hashes, owner = textbytes.shingles(*textbytes.word_hashes(column), WIDTH)
+    out, last, mine = [], -1, set()
+    for row, item in index.candidates(hashes, owner):
+        if row != last:
+            mine, last = word_shingles(column[int(row)].as_py()), row
+        size, shared = index.shared(item, mine)
+        if shared >= index.threshold * size - 1e-9:
+            out.append((int(row), int(item), size, shared))
+    return out
+
+
+def blocks_of(items: DataFrame, threshold: float, block_chars: int) -> Iterator[tuple[list, Index]]:
+    """Item ids and index of each block; blocks are dealt by hash."""
+    texts = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    total = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // block_chars))
+    for k in range(blocks):
+        mine = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        yield [r["item_id"] for r in mine], Index([r["text"] for r in mine], threshold)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document row and item that it contains.
 
@@ -101,33 +124,22 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     than five words is found in documents of just those words. Null ids are kept as
     they are, repeated rows give repeated results; an empty table gives no rows.
     """
-    texts = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // block_chars))
     schema = FOUND.format(doc=dict(docs.dtypes)["doc_id"], item=dict(items.dtypes)["item_id"])
     rows = docs.select("doc_id", "text")
     found = None
-    for k in range(blocks):
-        mine = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        part = rows.mapInArrow(_searcher([r["item_id"] for r in mine], Index([r["text"] for r in mine], threshold), threshold), schema)
+    for ids, index in blocks_of(items, threshold, block_chars):
+        part = rows.mapInArrow(_searcher(ids, index), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _searcher(ids: list, index: Index, threshold: float):
+def _searcher(ids: list, index: Index):
     names = [c.split()[0] for c in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textbytes.slices(batch):
-                hashes, owner = textbytes.shingles(*textbytes.word_hashes(part.column("text")), WIDTH)
-                out, last, mine = [], -1, set()
-                for row, item in index.candidates(hashes, owner):
-                    if row != last:
-                        mine, last = word_shingles(part.column("text")[int(row)].as_py()), row
-                    size, shared = index.shared(item, mine)
-                    if shared >= threshold * size - 1e-9:
-                        out.append((int(row), item, size, shared))
+                out = hits(part.column("text"), index)
                 at, item, size, shared = (np.array(x, dtype=np.int64) for x in (zip(*out) if out else ((), (), (), ())))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -141,3 +153,21 @@ def _searcher(ids: list, index: Index, threshold: float):
                 )
 
     return run
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that contain no item."""
+
+    def filtered(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in textbytes.slices(batch):
+                    clean = np.ones(part.num_rows, dtype=bool)
+                    clean[[h[0] for h in hits(part.column("text"), index)]] = False
+                    yield part.filter(pa.array(clean))
+
+        return run
+
+    for _, index in blocks_of(items, threshold, block_chars):
+        docs = docs.mapInArrow(filtered(index), docs.schema)
+    return docs

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronica import session
@@ -216,3 +216,16 @@ def classes(docs: DataFrame) -> DataFrame:
         "d1", "d2", F.coalesce("label", "rep").alias("class_id")
     )
     return sketches.join(found, ["d1", "d2"]).select("doc_id", "class_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of every class, with all columns: the one with the smallest id.
+
+    Rows without id are told apart by their texts and come after all that have one.
+    """
+    alone = F.lit(2**62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(2**62 - 1))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), alone).alias("__id"), F.struct(*docs.columns).alias("__row"))
+    found = classes(rows.select(F.col("__id").alias("doc_id"), F.col("__row.text").alias("text")))
+    kept = rows.join(found.select("class_id").distinct(), F.col("__id") == F.col("class_id"), "left_semi")
+    first = Window.partitionBy("__id").orderBy(F.xxhash64("__row.text"))
+    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("__row.*")

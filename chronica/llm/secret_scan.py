@@ -154,3 +154,16 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
         return F.array_join(keep, mask)
 
     return F.when(F.size(spans) == 0, text).otherwise(native.bind(F.aggregate(F.array_sort(spans), none, grow), rebuild))
+
+
+def without_secrets(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> DataFrame:
+    """All rows with their secrets masked, and ``n_chars`` as the new text has it."""
+    key = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)
+    spans = scan(docs, scope).where((F.size("base") > 0) | (F.size("linked") > 0))
+    spans = spans.select("key", F.concat("base", "linked").alias("__spans")).dropDuplicates(["key"])
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), key.alias("__key"))
+    joined = rows.join(spans, F.col("__key") == F.col("key"), "left")
+    masked = F.when(F.col("__spans").isNull(), F.col("__row.text")).otherwise(redacted(F.col("__row.text"), F.col("__spans"), mask))
+    out = joined.select(masked.alias("__text"), "__row", "__spans")
+    changed = {"text": F.col("__text"), "n_chars": F.when(F.col("__spans").isNull(), F.col("__row.n_chars")).otherwise(F.length("__text").cast("bigint"))}
+    return out.select(*[changed.get(c, F.col(f"__row.{c}")).alias(c) for c in docs.columns])

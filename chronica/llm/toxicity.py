@@ -262,6 +262,14 @@ def toxic_spans(text: str, p: np.ndarray, least: float = SPAN_MARGINAL) -> list[
     return out
 
 
+def scores(column: pa.Array, field: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of rows, marginals of their words, and each row's first word."""
+    hashes, first = textbytes.word_hashes(column)
+    p = marginals(field.emissions(hashes), Layout(first), field.moves, field.start)
+    logit = np.hstack([features(p, first), np.ones((len(first) - 1, 1))]) @ field.final
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), p, first
+
+
 SPANS = "array<struct<start:bigint,end:bigint,marginal:double>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
@@ -277,10 +285,7 @@ def score(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textbytes.slices(batch):
-                hashes, first = textbytes.word_hashes(part.column("text"))
-                p = marginals(field.emissions(hashes), Layout(first), field.moves, field.start)
-                logit = np.hstack([features(p, first), np.ones((len(first) - 1, 1))]) @ field.final
-                s = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+                s, p, first = scores(part.column("text"), field)
                 rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 hot = set(rows[p >= SPAN_MARGINAL].tolist())
                 found = [
@@ -301,3 +306,15 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
     field = train(labelled.sample(docs, labels, "toxic", folds, fold, SAMPLE_ROWS, SAMPLE_CHARS))
     out = score(docs, field, threshold)
     return out.withColumn("held_out", labelled.held_out(F.col("doc_id"), folds, fold))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    field = train(labelled.sample(docs, labels, "toxic", folds, fold, SAMPLE_ROWS, SAMPLE_CHARS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textbytes.slices(batch):
+                yield part.filter(pa.array(scores(part.column("text"), field)[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
