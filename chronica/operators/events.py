@@ -275,17 +275,26 @@ def sane_ages(events: DataFrame) -> DataFrame:
 
 # --- canonical facts --------------------------------------------------------
 def with_exact_key(events: DataFrame, legacy: bool = False) -> DataFrame:
-    """Add ``event_family``, ``subject_key`` and the id of the canonical event.
+    """Add ``event_family``, ``subject_key``, the key and the short id of the canonical event.
 
-    The id is a function of the row, so the member table of the canonical
-    events is a projection and needs no shuffle.
+    ``canonical_key`` is the whole digest of the escaped fields and tells facts
+    apart; ``canonical_event_id`` is a label of twenty digits, which different facts
+    may share in a very large store. Both are functions of the row, so the member
+    table of the canonical events is a projection and needs no shuffle.
     """
     row = {c: F.col(c) for c in events.columns if c in ("doi", "openalex_work_id", "musicbrainz_id", "work_qid", "subject_id")}
     family = S.event_family(F.col("event_type"), F.col("domain"), legacy)
     keyed = events.withColumns({"event_family": family, "subject_key": S.subject_key(row)})
     parts = ["person_id", "event_family", F.lower("event_type"), "date_min", "date_max", "subject_key"]
-    text = F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
-    return keyed.withColumn("canonical_event_id", F.concat(F.lit("lg:"), F.substring(F.sha2(text, 256), 1, 20)))
+    fields = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]
+    # A backslash before each separator inside a field keeps fields apart.
+    plain = [F.replace(F.replace(f, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for f in fields]
+    return keyed.withColumns(
+        {
+            "canonical_event_id": F.concat(F.lit("lg:"), F.substring(F.sha2(F.concat_ws("|", *fields), 256), 1, 20)),
+            "canonical_key": F.sha2(F.concat_ws("|", *plain), 256),
+        }
+    )
 
 
 def canonicalise_exact(events: DataFrame, order: list[str], legacy: bool = False) -> DataFrame:
@@ -306,7 +315,7 @@ def canonicalise_exact(events: DataFrame, order: list[str], legacy: bool = False
     # A row rarely lists more than one family: explode, fold a set of names.
     facts = (
         keyed.withColumn("__sources", sources)
-        .groupBy("canonical_event_id")
+        .groupBy("canonical_key", "canonical_event_id")
         .agg(
             F.min(head).alias("h"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("__sources")))).alias("source_families"),
@@ -318,6 +327,7 @@ def canonicalise_exact(events: DataFrame, order: list[str], legacy: bool = False
     names = ["person_id", "domain", "event_family", "event_type", "date_min", "date_max", "precision", "age_min", "age_max", "age_mid", "subject_id"]
     return facts.select(
         "canonical_event_id",
+        "canonical_key",
         *[F.col(f"h.{n}").alias(n) for n in names],
         "source_families",
         F.size("source_families").alias("source_count"),
@@ -328,8 +338,8 @@ def canonicalise_exact(events: DataFrame, order: list[str], legacy: bool = False
 
 
 def members(events: DataFrame, legacy: bool = False) -> DataFrame:
-    """Canonical id, raw event id and source of every contributing row."""
-    return with_exact_key(events.where(F.col("person_id").isNotNull()), legacy).select("canonical_event_id", "event_id", "source_id")
+    """Canonical id and key, raw event id and source of every contributing row."""
+    return with_exact_key(events.where(F.col("person_id").isNotNull()), legacy).select("canonical_event_id", "canonical_key", "event_id", "source_id")
 
 
 def with_subject_key(events: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ returned as one probability column per class."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -10,14 +12,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronica import session
 from chronica.operators import evaluation
 
-# Boosting capacities (fixed values): trees, depth, step.
+# Boosting capacities (fixed values): rounds, step and smallest leaf. The depth is the
+# one whose full tree has the reference's number of leaves (15, 31, 63) and one more.
 CAPACITIES = {
-    "small": {"trees": 20, "depth": 3, "step": 0.1},
-    "medium": {"trees": 40, "depth": 4, "step": 0.08},
-    "large": {"trees": 60, "depth": 5, "step": 0.06},
+    "small": {"trees": 250, "depth": 4, "step": 0.05, "leaf": 30},
+    "medium": {"trees": 350, "depth": 5, "step": 0.05, "leaf": 25},
+    "large": {"trees": 450, "depth": 6, "step": 0.04, "leaf": 20},
 }
+# Rounds allowed to the logistic solver (fixed value); it has to converge before.
+LOGISTIC_ROUNDS = 5000
 
 
 def variant_columns(columns: list[str], variants: dict[str, tuple]) -> dict[str, list[str]]:
@@ -66,7 +72,8 @@ def _columns(scored: DataFrame, keep: list[str], classes, vector: str = "probabi
 def logistic(rows: DataFrame, numeric, categorical, label: str, classes, balanced: bool = False, c: float = 1.0, split: str = "split_name") -> DataFrame:
     """Multinomial logistic regression with an L2 penalty of 1 / (C n)."""
     keep = rows.columns
-    ready = _prepared(rows, numeric, categorical, split).withColumn("__y", _code(label, classes))
+    prepared = session.materialised(_prepared(rows, numeric, categorical, split).select(*keep, "features"), "matrix")
+    ready = prepared.withColumn("__y", _code(label, classes))
     train = ready.where((F.col(split) == "train") & F.col(label).isNotNull())
     if balanced:
         train = evaluation.balanced_weights(train, label)
@@ -75,30 +82,43 @@ def logistic(rows: DataFrame, numeric, categorical, label: str, classes, balance
     total = train.agg(F.sum("weight")).first()[0]
     model = LogisticRegression(
         family="multinomial", featuresCol="features", labelCol="__y", weightCol="weight",
-        regParam=1.0 / (c * total), standardization=False, maxIter=60,
+        regParam=1.0 / (c * total), standardization=False, maxIter=LOGISTIC_ROUNDS,
     ).fit(train)
+    if model.summary.totalIterations >= LOGISTIC_ROUNDS:
+        raise RuntimeError(f"logistic regression has not converged in {LOGISTIC_ROUNDS} rounds")
     scored = _columns(model.transform(ready), keep, list(classes)[: model.numClasses])
     for missing in list(classes)[model.numClasses:]:
         scored = scored.withColumn(f"p_{missing}", F.lit(0.0))
     return scored
 
 
-def boosted(rows: DataFrame, numeric, categorical, label: str, classes, trees: int, depth: int, step: float, split: str = "split_name") -> DataFrame:
+def boosted(rows: DataFrame, numeric, categorical, label: str, classes, trees: int, depth: int, step: float, leaf: int, split: str = "split_name") -> DataFrame:
     """One boosted ensemble per class against the rest, probabilities
-    renormalised: an approximation of multi-class boosting, which Spark ML lacks."""
+    renormalised: an approximation of multi-class boosting, which Spark ML lacks.
+
+    The matrix is written once, so that no round repeats the joins behind it, and
+    the ensembles, which do not depend on each other, are fitted side by side.
+    """
     keep = rows.columns
-    ready = _prepared(rows, numeric, categorical, split)
+    ready = session.materialised(_prepared(rows, numeric, categorical, split).select(*keep, "features"), "matrix")
     train = ready.where((F.col(split) == "train") & F.col(label).isNotNull())
     present = {r[0] for r in train.select(label).distinct().collect()}
+
+    def fitted(c):
+        booster = GBTClassifier(
+            featuresCol="features", labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=leaf, seed=20261006
+        )
+        return booster.fit(train.withColumn("__y", (F.col(label) == c).cast("double")))
+
+    wanted = [c for c in classes if c in present]
+    with ThreadPoolExecutor(max(1, len(wanted))) as pool:
+        ensembles = dict(zip(wanted, pool.map(fitted, wanted)))
     out = ready
     for c in classes:
-        if c not in present:
+        if c not in ensembles:
             out = out.withColumn(f"__p_{c}", F.lit(0.0))
             continue
-        model = GBTClassifier(
-            featuresCol="features", labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=step, seed=20261006
-        ).fit(train.withColumn("__y", (F.col(label) == c).cast("double")))
-        scored = model.transform(out).withColumn(f"__p_{c}", F.get(vector_to_array("probability"), F.lit(1)))
+        scored = ensembles[c].transform(out).withColumn(f"__p_{c}", F.get(vector_to_array("probability"), F.lit(1)))
         out = scored.drop("rawPrediction", "probability", "prediction")
     probabilities = F.create_map(*[x for c in classes for x in (F.lit(c), F.col(f"__p_{c}"))])
     return evaluation.align(out.select(*keep, probabilities.alias("__m")), "__m", classes).drop("__m")

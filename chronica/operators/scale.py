@@ -16,15 +16,6 @@ from pyspark.sql import functions as F
 PIECE_BITS = 16
 # Hash digits that name a piece: 4096 pieces per group.
 PIECE_DIGITS = 3
-# Byte ceiling under which a side may be broadcast by hint.
-BROADCAST_BYTES = 8 << 20
-
-
-def broadcast_checked(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only where the optimizer's size estimate is below ``limit``;
-    beyond it the plain plan (and AQE) picks the join."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return F.broadcast(df) if size <= limit else df
 
 
 def hash_order(*parts) -> Column:

@@ -58,7 +58,9 @@ def benchmark_export(examples: DataFrame, histories: DataFrame, donors: DataFram
     )
 
 
-def lookup(df: DataFrame, where: Column | None, order: list[Column], limit: int, most: int = 500) -> DataFrame:
-    """Filtered rows in order, at most ``limit`` (and never more than ``most``)."""
+def lookup(df: DataFrame, where: Column | None, order: list[Column], limit: int = 500) -> DataFrame:
+    """The first ``limit`` filtered rows in order; the caller's limit holds as it is."""
+    if limit < 1:
+        raise ValueError(f"limit must be positive, not {limit}")
     rows = df.where(where) if where is not None else df
-    return rows.orderBy(*order).limit(max(1, min(limit, most)))
+    return rows.orderBy(*order).limit(limit)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from chronica.functions import temporal as D
 
-MAX_DISCOVERED_KEYS = 10_000
-
 # Claims of the entity dump that become dated statements (fixed values).
 STATEMENT_PROPERTIES = {"P108": "career.employer", "P39": "career.position", "P69": "education.affiliation", "P166": "recognition.award"}
 
@@ -29,16 +27,8 @@ def dated_births(assertions: DataFrame) -> DataFrame:
 
 
 # --- payloads ---------------------------------------------------------------
-def discover_keys(df: DataFrame, map_col: str) -> list[str]:
-    """Distinct keys of a map column; a vocabulary, refused if it is not small."""
-    keys = df.select(F.explode(F.map_keys(map_col)).alias("k")).distinct().limit(MAX_DISCOVERED_KEYS + 1).collect()
-    if len(keys) > MAX_DISCOVERED_KEYS:
-        raise ValueError(f"{map_col} has more than {MAX_DISCOVERED_KEYS} keys: keep it long")
-    return sorted(r.k for r in keys)
-
-
 def flatten_map(df: DataFrame, map_col: str, prefix: str, keys: list[str], default=0) -> DataFrame:
-    """One column per key; a missing key gets the default."""
+    """One column per key of the given vocabulary; a missing key gets the default."""
     wide = [F.coalesce(F.try_element_at(map_col, F.lit(k)), F.lit(default)).alias(f"{prefix}{k}") for k in keys]
     return df.select(*[c for c in df.columns if c != map_col], *wide)
 

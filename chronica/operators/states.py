@@ -142,17 +142,22 @@ def switches(events: DataFrame, yearly: DataFrame, prefix: int = 4) -> DataFrame
     year of the later point.
 
     Points are compared inside pieces first: a person's day, cut further by the
-    first characters of the event id, which keeps the order whatever the ids
-    look like. Pieces are chained inside the day and days inside the person by
-    their first and last family, so neither a busy person nor a busy day is
-    sorted as a whole.
+    ``prefix`` characters of the event id that follow what all ids of that day have in
+    common, so ids of one scheme are cut too and the order is kept. Pieces are
+    chained inside the day and days inside the person by their first and last
+    family, so neither a busy person nor a busy day is sorted as a whole.
     """
     plain = events.where(~S.is_high_frequency(F.col("family"))).select("person_id", "year", "date_min", "event_id", "family")
     collapsed = yearly.where(S.is_high_frequency(F.col("family")) & (F.col("eff") > 0)).select(
         "person_id", "year", "first.date_min", "first.event_id", "family"
     )
-    points = plain.unionByName(collapsed).withColumn("piece", F.substring("event_id", 1, prefix))
     day = ["person_id", "year", "date_min"]
+    points = plain.unionByName(collapsed)
+    ends = points.groupBy(*day).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    same = F.filter(F.sequence(F.lit(1), F.length("lo")), lambda i: F.substring("lo", F.lit(1), i) == F.substring("hi", F.lit(1), i))
+    common = F.when((F.col("lo") == F.col("hi")) | (F.length("lo") == 0), 0).otherwise(F.size(same))
+    points = points.join(ends.select(*day, common.alias("common")), day)
+    points = points.withColumn("piece", F.substring("event_id", F.col("common") + 1, F.lit(prefix))).drop("common")
     inside = Window.partitionBy(*day, "piece").orderBy("event_id", "family")
     at = F.struct("event_id", "family")
     pieces = points.withColumn("prev", F.lag("family").over(inside)).groupBy(*day, "piece").agg(

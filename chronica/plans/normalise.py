@@ -548,8 +548,7 @@ def payload_flatten(t):
     )
     typed = payload.select("person_id", F.from_json("payload", "struct<event_count:bigint,domain_counts:map<string,bigint>>").alias("p"))
     typed = typed.select("person_id", F.col("p.event_count").alias("history_event_count"), F.col("p.domain_counts").alias("domain_counts"))
-    # The domains are discovered on the per-domain counts, not on raw rows.
-    return shaping.flatten_map(typed, "domain_counts", "history_domain__", shaping.discover_keys(typed, "domain_counts"))
+    return shaping.flatten_map(typed, "domain_counts", "history_domain__", list(DOMAINS_SEEN))
 
 
 @query(

@@ -52,22 +52,27 @@ def cross_verification(t):
 
 EXACT_KEY = "'lg:' || substr(sha256(person_id || '|' || event_family || '|' || lower(event_type) || '|' || date_min || '|' || date_max || '|' || lower(coalesce(subject_id, ''))), 1, 20)"
 
+WHOLE_KEY = "sha256(" + " || '|' || ".join(
+    f"replace(replace(CAST({c} AS VARCHAR), '\\', '\\\\'), '|', '\\|')"
+    for c in ("person_id", "event_family", "lower(event_type)", "date_min", "date_max", "lower(coalesce(subject_id, ''))")
+) + ")"
+
 
 @query(
     "e03_canonical_exact",
     f"""
-SELECT {EXACT_KEY} AS canonical_event_id, min(person_id) AS person_id, min(domain) AS domain, min(event_family) AS event_family, min(event_type) AS event_type,
+SELECT min({EXACT_KEY}) AS canonical_event_id, min({WHOLE_KEY}) AS canonical_key, min(person_id) AS person_id, min(domain) AS domain, min(event_family) AS event_family, min(event_type) AS event_type,
   min(date_min)::VARCHAR AS date_min, min(date_max)::VARCHAR AS date_max, arg_min(precision, event_no) AS precision, min(age_min) AS age_min, min(age_max) AS age_max, min(age_mid) AS age_mid,
   coalesce(min(subject_id), '') AS subject_id, array_to_string(list_sort(list(DISTINCT source_family)), '|') AS source_families, CAST(count(DISTINCT source_family) AS INTEGER) AS source_count,
   count(*) AS evidence_row_count, max(confidence) AS confidence_max, max(observable_from)::VARCHAR AS observable_from
-FROM raw_events GROUP BY 1""",
+FROM raw_events GROUP BY person_id, event_family, lower(event_type), date_min, date_max, lower(coalesce(subject_id, ''))""",
     "raw_events",
 )
 def canonical_exact(t):
     return E.canonicalise_exact(t.life, order=["event_no"])
 
 
-@query("e03_canonical_members", f"SELECT {EXACT_KEY} AS canonical_event_id, event_id, source_id FROM raw_events", "raw_events")
+@query("e03_canonical_members", f"SELECT {EXACT_KEY} AS canonical_event_id, {WHOLE_KEY} AS canonical_key, event_id, source_id FROM raw_events", "raw_events")
 def canonical_members(t):
     return E.members(t.life)
 

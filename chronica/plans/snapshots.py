@@ -42,7 +42,7 @@ def labelled_counts(t):
 )
 def distinct_ids(t):
     ids = t.lineitem.select(F.concat(F.lit("A"), F.col("l_suppkey").cast("string")).alias("id")).distinct()
-    numbered = ids.withColumn("number", F.substring("id", 2, 18).cast("bigint"))
+    numbered = ids.withColumn("number", F.expr("substring(id, 2)").cast("bigint"))
     return scale.rank_by_id(numbered, "number", "place").drop("number")
 
 

@@ -44,9 +44,8 @@ def duplicate_drop(t):
     source, target, checkpoint = _paths(t, "distinct")
     rows = _arrivals(t).drop("chunk")
     rows.write.parquet(source)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
-    ingest.append_parquet(ingest.distinct_stream(stream, "event_id", "ts", "90 days"), target, checkpoint)
-    return t.spark.read.parquet(target).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+    kept = ingest.distinct_landed(t.spark, source, rows.schema, target, checkpoint, "event_id", files_per_batch=4)
+    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
 @query(

@@ -40,9 +40,10 @@ def landed(spark: SparkSession, target: str) -> DataFrame:
 
 
 def first_arrival(rows: DataFrame, key: str) -> DataFrame:
-    """First copy of every key by batch; folds before the shuffle."""
-    body = F.struct(*[c for c in rows.columns if c != key])
-    return rows.groupBy(key).agg(F.min_by(body, "batch").alias("r")).select(key, "r.*")
+    """First copy of every key by batch, and by its other columns inside a batch;
+    folds before the shuffle."""
+    body = F.struct("batch", *[c for c in rows.columns if c not in (key, "batch")])
+    return rows.groupBy(key).agg(F.min(body).alias("r")).select(key, "r.*")
 
 
 def chunk_status(rows: DataFrame, manifest: DataFrame, cols: list[str], key: str) -> DataFrame:
@@ -66,18 +67,11 @@ def finalise(rows: DataFrame, manifest: DataFrame, cols: list[str], key: str) ->
     return first_arrival(rows, key)
 
 
-def distinct_stream(stream: DataFrame, key: str, time: str, lateness: str) -> DataFrame:
-    """Drop repeated keys that arrive within ``lateness`` of each other; the state
-    of older keys is let go."""
-    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
-
-
-def append_parquet(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Append a stream's output to Parquet until nothing is left to read."""
-    query = (
-        stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+def distinct_landed(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, key: str, files_per_batch: int = 1000) -> DataFrame:
+    """Land everything that has arrived, however late, then keep the first copy of
+    every key. No state has to forget old keys, so no row is dropped for its time."""
+    land(spark, source, schema, target, checkpoint, files_per_batch=files_per_batch)
+    return first_arrival(landed(spark, target), key)
 
 
 def mark_late(cutoff: str, time: str) -> Callable[[DataFrame], DataFrame]:

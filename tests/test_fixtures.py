@@ -21,6 +21,7 @@ from chronica.operators import snapshots as N
 from chronica.operators import states as Y
 from chronica.operators import text as T
 from chronica.operators import training as M
+from chronica.sources import writers as W
 from chronica.streaming import ingest
 
 
@@ -175,6 +176,48 @@ def test_recanonicalising_keeps_inherited_sources(spark):
     assert E.members(twice).select("canonical_event_id").distinct().count() == 1
 
 
+def test_canonical_facts_are_told_apart_by_whole_fields(spark, monkeypatch):
+    """Separators inside fields and equal short ids do not merge facts."""
+    base = ("Q1", "career", "x", "x", day("2000-01-01"), day("2000-01-01"), "day", 20.0, 20.0, 20.0, "wikidata", 0.9, day("2000-01-01"))
+    pairs = [("Q1", "a|b"), ("Q1|", "a|b"), ("Q1", "a\\|b"), ("Q1", "a"), ("Q1\\", "a|b"), ("Q1", "a|b")]
+    rows = [(f"e{i}", p, *base[1:10], s, *base[10:]) for i, (p, s) in enumerate(pairs)]
+    schema = (
+        "event_id string, person_id string, domain string, event_type string, kind string, date_min date, date_max date, precision string, age_min double, age_max double, "
+        "age_mid double, subject_id string, source_id string, confidence double, observable_from date"
+    )
+    df = spark.createDataFrame(rows, schema)
+    facts = E.canonicalise_exact(df, ["event_id"]).collect()
+    assert len(facts) == len(set(pairs)) and sorted(f.evidence_row_count for f in facts) == [1, 1, 1, 1, 2]
+    keyed = E.with_exact_key
+    monkeypatch.setattr(E, "with_exact_key", lambda events, legacy=False: keyed(events, legacy).withColumn("canonical_event_id", F.lit("lg:same")))
+    assert E.canonicalise_exact(df, ["event_id"]).count() == len(set(pairs))
+    assert E.members(df).select("canonical_key").distinct().count() == len(set(pairs))
+
+
+def test_checksums_of_files_larger_than_one_read(spark, tmp_path):
+    import hashlib
+
+    bodies = {"small.bin": b"abc", "large.bin": bytes(range(256)) * 40_000}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r.file: r for r in W.file_checksums(spark, str(tmp_path), "*.bin").collect()}
+    assert {n: (r.bytes, r.sha256, r.md5) for n, r in got.items()} == {
+        n: (len(b), hashlib.sha256(b).hexdigest(), hashlib.md5(b).hexdigest()) for n, b in bodies.items()
+    }
+    assert len(bodies["large.bin"]) > 2 * W.READ_BYTES
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    rows = [(1, "2000-01-01"), (2, "2020-01-01"), (3, "1990-05-05"), (2, "1980-01-01"), (3, "1990-05-05")]
+    schema = "event_id int, ts string"
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    typed = spark.read.parquet(str(tmp_path / "in")).schema
+    out = ingest.distinct_landed(spark, str(tmp_path / "in"), typed, str(tmp_path / "out"), str(tmp_path / "ck"), "event_id", files_per_batch=1)
+    assert sorted((r.event_id, r.ts) for r in out.collect() if r.event_id != 2) == [(1, "2000-01-01"), (3, "1990-05-05")]
+    assert out.count() == 3
+
+
 def test_end_of_marriage_is_a_divorce_unless_legacy(spark):
     rows = spark.createDataFrame([("relationship.spouse.end", "relationship")], "e string, d string")
     out = rows.select(S.event_family(F.col("e"), F.col("d")), S.event_family(F.col("e"), F.col("d"), legacy=True)).first()
@@ -341,9 +384,12 @@ def test_finalise_waits_for_every_chunk(spark):
         ingest.finalise(rows.where("chunk = 0"), manifest, ["event_id"], "event_id")
 
 
-def test_lookup_is_bounded(spark):
-    rows = spark.range(2000)
-    assert serving.lookup(rows, None, [F.desc("id")], 10_000).count() == 500
+def test_lookup_honours_the_limit(spark):
+    rows = spark.range(6000)
+    assert [r.id for r in serving.lookup(rows, None, [F.desc("id")], 5000).collect()] == list(range(5999, 999, -1))
+    assert serving.lookup(rows, F.col("id") < 7, [F.asc("id")]).count() == 7
+    with pytest.raises(ValueError):
+        serving.lookup(rows, None, [F.desc("id")], 0)
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster():

@@ -59,6 +59,20 @@ FAMILY = {
 
 
 def test_switches_and_roles_follow_the_event_order(events, rows):
+    check_order(events, rows)
+
+
+def test_switches_with_one_id_scheme_and_one_hot_day(spark, rows):
+    """All ids share a long prefix and a third of all rows fall on one day of one person."""
+    hot = [(f"wd:Q1000{r[0][1:]}", *r[1:4], *([dt.date(1995, 1, 1)] * 3 if r[1] == 0 else r[4:7]), *r[7:]) for r in rows]
+    df = spark.createDataFrame(hot, SCHEMA).repartition(6)
+    events = df.withColumn("event_family", S.event_family(F.col("event_type"), F.col("domain")))
+    check_order(events, hot)
+    day = events.where("person_id = 0").select(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    assert day.lo[:8] == day.hi[:8]
+
+
+def check_order(events, rows):
     states = {(r.person_id, r.year): r for r in Y.year_states(events).collect()}
     per = defaultdict(list)
     for r in rows:
