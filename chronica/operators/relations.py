@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronica.operators import scale
+from chronica.session import materialised
 
 
 class DuplicateKeys(ValueError):
@@ -79,23 +80,34 @@ def country_of_place(places: DataFrame, countries: DataFrame, parents: DataFrame
     """Country of a place: its own, else that of the nearest administrative
     parent within ``depth`` levels, with a label for the level.
 
-    Each level is one join over the places still unresolved; a place's first
-    country by id wins at its nearest level.
+    One table holds the state of every place: where its search stands, or the
+    country found there. A level joins it with the countries and the parents and is
+    written, so no level derives an earlier one again. A place's first country by
+    id wins at its nearest level.
     """
-    own = countries.groupBy("place_id").agg(F.min("country_id").alias("country_id"))
-    frontier = places.select("place_id", F.col("place_id").alias("at"))
-    found = None
+    own = countries.groupBy(F.col("place_id").alias("at")).agg(F.min("country_id").alias("own_country"))
+    above = parents.select(F.col("place_id").alias("at"), "parent_id")
+    none = F.lit(None).cast(dict(countries.dtypes)["country_id"])
+    state = places.select("place_id").distinct().select("place_id", F.col("place_id").alias("at"), none.alias("country_id"), F.lit(None).cast("string").alias("basis"))
     for level in range(depth + 1):
-        here = frontier.join(own.withColumnRenamed("place_id", "at"), "at", "left")
-        hit = here.where(F.col("country_id").isNotNull()).groupBy("place_id").agg(F.min(F.struct("at", "country_id")).alias("m")).select(
-            "place_id", F.col("m.country_id").alias("country_id"), F.lit("direct" if level == 0 else f"admin_parent_depth_{level}").alias("basis")
+        basis = "direct" if level == 0 else f"admin_parent_depth_{level}"
+        open_ = F.col("basis").isNull()
+        here = state.join(own, "at", "left").withColumn("own_country", F.when(open_, F.col("own_country")))
+        # A place stands at few parents: the nearest with a country ends its search.
+        hit = F.min(F.when(F.col("own_country").isNotNull(), F.struct("at", "own_country"))).over(Window.partitionBy("place_id"))
+        seen = here.withColumn("hit", hit).select(
+            "place_id",
+            "at",
+            F.when(open_, F.col("hit.own_country")).otherwise(F.col("country_id")).alias("country_id"),
+            F.when(open_ & F.col("hit").isNotNull(), F.lit(basis)).otherwise(F.col("basis")).alias("basis"),
         )
-        found = hit if found is None else found.unionByName(hit)
         if level < depth:
-            rest = here.where(F.col("country_id").isNull()).join(hit.select("place_id"), "place_id", "left_anti")
-            frontier = rest.join(parents.select(F.col("place_id").alias("at"), "parent_id"), "at").select(
-                "place_id", F.col("parent_id").alias("at")
-            ).distinct()
+            # Ended searches stay where they are; the others step to all parents.
+            seen = seen.join(above, "at", "left").select(
+                "place_id", F.when(F.col("basis").isNull(), F.col("parent_id")).alias("at"), "country_id", "basis"
+            )
+        state = materialised(seen.distinct(), "places")
+    found = state.where(F.col("basis").isNotNull()).select("place_id", "country_id", "basis").distinct()
     return places.join(found, "place_id", "left").select("place_id", "country_id", F.coalesce("basis", F.lit("missing")).alias("basis"))
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronica.session import materialised
+
 # Bits of one id-range piece: one window task sorts at most 65536 unique ids.
 PIECE_BITS = 16
 # Hash digits that name a piece: 4096 pieces per group.
@@ -36,12 +38,14 @@ def rank_by_id(df: DataFrame, id_col: str, out: str, then: list[str] = (), bits:
 
     Ids are cut into ranges of ``2 ** bits``, the ranges into ranges of ranges,
     and so on to the top of a 64-bit id: every window, also those that add up the
-    counts, sees at most ``2 ** bits`` entries, however sparse the ids are.
+    counts, sees at most ``2 ** bits`` entries, however sparse the ids are. The
+    counts per range are written once, so the rows are read twice: to be counted
+    and to be ranked.
     """
     levels = -(-63 // bits)
     at = lambda k: F.shiftright(F.col(id_col).cast("bigint"), min(bits * k, 63))
     cut = df.withColumn("__p1", at(1))
-    counts = cut.groupBy("__p1").agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialised(cut.groupBy("__p1").agg(F.count(F.lit(1)).alias("__n")), "ranges")
     offsets = None
     for k in range(1, levels + 1):
         here, above = f"__p{k}", f"__p{k + 1}"

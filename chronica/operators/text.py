@@ -6,6 +6,8 @@ sentences then flow independently, so a very long text is no hot group.
 
 from __future__ import annotations
 
+import html as html_entities
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +19,8 @@ from chronica.functions import temporal as D
 from chronica.functions import vocab
 
 UNICODE = "(?U)"
+# What opens and closes templates and tables.
+_BRACES = (("{{", "}}", re.compile(r"(\{\{|\}\})")), ("{|", "|}", re.compile(r"(\{\||\|\})")))
 
 
 # --- prose ------------------------------------------------------------------
@@ -26,33 +30,28 @@ def html_prose(html: Column) -> Column:
     bare = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
     bare = F.regexp_replace(bare, r"(?is)<(script|style|nav|head|footer|aside)\b.*?</\1\s*>", " ")
     titles = "|".join(vocab.TAIL_SECTIONS)
-    bare = F.regexp_replace(bare, rf"(?isU)<h[1-6][^>]*>\s*(?:{titles})\s*</h[1-6]>.*", " ")
+    bare = F.regexp_replace(bare, rf"(?isU)<h[1-6][^>]*>(?:\s|<[^>]*>)*(?:{titles})(?:\s|<[^>]*>)*</h[1-6]>.*", " ")
     text = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return clean(text)
+    return clean(unescaped(text))
 
 
 def _without_templates(raw: str) -> str:
-    """Drop nested ``{{...}}`` of any depth in one scan; an unclosed one stays."""
-    if "{{" not in raw:
-        return raw
-    out: list[str] = []
-    opened: list[int] = []
-    i = 0
-    while i < len(raw):
-        pair = raw[i : i + 2]
-        if pair == "{{":
-            opened.append(len(out))
-            out.append(pair)
-            i += 2
-        elif pair == "}}" and opened:
-            del out[opened.pop():]
-            i += 2
-        else:
-            out.append(raw[i])
-            i += 1
-    return "".join(out)
+    """Drop nested ``{{...}}`` and then ``{|...|}`` of any depth, one scan each; an
+    unclosed one stays."""
+    for start, end, marks in _BRACES:
+        if start not in raw:
+            continue
+        out: list[str] = []
+        opened: list[int] = []
+        for piece in marks.split(raw):
+            if piece == end and opened:
+                del out[opened.pop():]
+                continue
+            if piece == start:
+                opened.append(len(out))
+            out.append(piece)
+        raw = "".join(out)
+    return raw
 
 
 @F.pandas_udf(StringType())
@@ -62,9 +61,17 @@ def without_templates(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.fillna("").map(_without_templates)
 
 
+@F.pandas_udf(StringType())
+def unescaped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Character entities, named and numeric, as characters."""
+    for texts in parts:
+        yield texts.fillna("").map(lambda t: html_entities.unescape(t) if "&" in t else t)
+
+
 def wiki_prose(wikitext: Column) -> Column:
-    """Plain prose of wiki markup: references, galleries and templates dropped,
-    cut at the first tail heading, links and emphasis reduced to their text."""
+    """Plain prose of wiki markup: references, galleries, templates and tables dropped,
+    cut at the first tail heading, links and emphasis reduced to their text, bare
+    links dropped, entities decoded."""
     bare = F.regexp_replace(F.coalesce(wikitext, F.lit("")), r"(?is)<!--.*?-->", "")
     bare = F.regexp_replace(bare, r"(?is)<(ref|references|gallery|math|timeline)\b[^>]*?/>", "")
     bare = F.regexp_replace(bare, r"(?is)<(ref|references|gallery|math|timeline)\b[^>]*>.*?</\1\s*>", "")
@@ -73,9 +80,10 @@ def wiki_prose(wikitext: Column) -> Column:
     bare = F.regexp_replace(bare, rf"(?isU)(?:^|\n)[ \t]*(=+)\s*(?:{titles})\s*\1[ \t]*(?:\n.*|$)", "")
     bare = F.regexp_replace(bare, r"(?m)^[ \t]*=+\s*(.*?)\s*=+[ \t]*$", "$1")
     bare = F.regexp_replace(bare, r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1")
-    bare = F.regexp_replace(bare, r"\[https?://\S+\s+([^\]]*)\]", "$1")
+    bare = F.regexp_replace(bare, r"\[https?://[^\s\]]+\s+([^\]]*)\]", "$1")
+    bare = F.regexp_replace(bare, r"\[https?://[^\s\]]+\s*\]", "")
     bare = F.regexp_replace(bare, r"'{2,}", "")
-    return F.trim(F.regexp_replace(bare, r"(?s)<[^>]*>", ""))
+    return F.trim(unescaped(F.regexp_replace(bare, r"(?s)<[^>]*>", "")))
 
 
 def clean(text: Column) -> Column:

@@ -345,11 +345,17 @@ FROM (
 
 
 def julian_sql(y: str, m: str, d: str) -> str:
-    """Gregorian day of a Julian date, by day number."""
-    a = f"((14 - ({m})) // 12)"
-    yy = f"(({y}) + 4800 - {a})"
-    mm = f"(({m}) + 12 * {a} - 3)"
-    return f"CAST(DATE '1970-01-01' + CAST(({d}) + (153 * {mm} + 2) // 5 + 365 * {yy} + {yy} // 4 - 32083 - 2440588 AS INTEGER) AS DATE)"
+    """Gregorian day of a Julian date: whole four-year cycles of 1461 days, the years and
+    months begun in the last one, counted from the day the calendars parted (the Julian
+    5 October 1582 was the Gregorian 15 October)."""
+
+    def days(y: str, m: str, d: str) -> str:
+        year = f"(({y}) - 4 * CAST(floor(({y}) / 4.0) AS BIGINT))"
+        months = f"[0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334][CAST({m} AS BIGINT)]"
+        leap = f"CASE WHEN {year} = 0 AND ({m}) > 2 THEN 1 ELSE 0 END"
+        return f"(1461 * CAST(floor(({y}) / 4.0) AS BIGINT) + [0, 366, 731, 1096][{year} + 1] + {months} + {leap} + ({d}))"
+
+    return f"CAST(DATE '1582-10-15' + CAST({days(y, m, d)} - {days('1582', '10', '5')} AS INTEGER) AS DATE)"
 
 
 def interval_sql(source: str, keep: str) -> str:

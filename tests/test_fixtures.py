@@ -261,6 +261,22 @@ WIKI = """{{Infobox person|name=A {{nested|{{deep}}}}|born=1970}}
 """
 
 
+def test_wiki_prose_drops_tables_and_bare_links_and_decodes_entities(spark):
+    raw = (
+        "A&amp;B &#233;&#x4e2d; {{t|{{u}}}}x {| class=a\n| {| inner |} cell\n|} y [https://a.example/b] [https://c.example label] "
+        "[[File|Link]] {{open\n== See also ==\ngone"
+    )
+    df = spark.createDataFrame([(raw,), (None,), ("{|" * 3000 + "z" + "|}" * 3000 + "end",), ("}}}}{{a}}",)], "w string")
+    got = [r[0] for r in df.select(T.clean(T.wiki_prose(F.col("w")))).collect()]
+    assert got == ["A&B é中 x y label Link {{open", "", "end", "}}}}"]
+
+
+def test_html_prose_reads_nested_headings_and_all_entities(spark):
+    page = "<body><p>Caf&eacute; &#8211; &lt;b&gt;</p><h2 class='x'><span>References</span></h2><p>tail</p></body>"
+    (got,) = spark.createDataFrame([(page,)], "h string").select(T.html_prose(F.col("h"))).first()
+    assert got == "Café – <b>"
+
+
 def test_biography_text(spark):
     docs = spark.createDataFrame([("p1", WIKI)], "person_id string, wikitext string").select("person_id", T.wiki_prose(F.col("wikitext")).alias("text"))
     prose = docs.first().text
