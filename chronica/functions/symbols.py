@@ -39,7 +39,7 @@ def _packed(slots) -> int:
 
 def _lookup(table: list[int], index: Column) -> Column:
     """Packed counts of a symbol (pair); an absent symbol counts nothing."""
-    values = F.array(*[F.lit(v).cast("bigint") for v in table])
+    values = F.expr(f"array({', '.join(f'{v}L' for v in table)})")  # one call, not one per value
     return F.coalesce(F.get(values, index), F.lit(0).cast("bigint"))
 
 
@@ -49,7 +49,8 @@ def _slot(packed: str, slot: int) -> Column:
 
 def _place(symbol: Column, symbols: str) -> Column:
     """Place of a symbol in its cycle from 0, null where there is none."""
-    return F.nullif(F.array_position(F.array(*[F.lit(s) for s in symbols]), symbol), F.lit(0)).cast("int") - 1
+    listed = F.expr("array(" + ", ".join(f"'{s}'" for s in symbols) + ")")
+    return F.nullif(F.array_position(listed, symbol), F.lit(0)).cast("int") - 1
 
 
 def _relations(symbols: str, relations: dict) -> list[int]:

@@ -31,8 +31,9 @@ class Tables:
         return maker(self)
 
     def stage(self, name: str, make) -> DataFrame:
-        """A bound relation kept as a written table for this application."""
-        return session.staged(self.spark, f"{self.sf_dir}:{name}", make)
+        """A bound relation kept as a written table for this application and these inputs."""
+        inputs = tuple(session.version(self.spark, f"{self.sf_dir}/{table}.parquet") for table in session.TABLES)
+        return session.staged(self.spark, f"{self.sf_dir}:{name}", make, inputs=inputs)
 
 
 def flat(df: DataFrame) -> DataFrame:

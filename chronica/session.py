@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -82,27 +84,44 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-_SCHEMAS: dict[str, StructType] = {}
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
+def version(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: changes when it is rewritten."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return ()
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in store.listStatus(place)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table; its footer schema is read once per path."""
+    """A Parquet table; its footer schema is read once per version of its files."""
     path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    slot = (path, version(spark, path))
+    if slot not in _SCHEMAS:
+        _SCHEMAS[slot] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[slot]).parquet(path)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a private one only in local mode."""
+    """Shared folder named by the cluster; in local mode, where that is unset, a private
+    one that goes with the process. The cluster's folder must be shared: an address
+    of one machine's disk cannot be told from one of a mounted store."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = os.path.join(tempfile.gettempdir(), f"chronica-{os.getpid()}")
-    os.makedirs(root, exist_ok=True)
-    return root
+    if os.getpid() not in _LOCAL_ROOTS:
+        root = tempfile.mkdtemp(prefix=f"chronica-{os.getpid()}-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        _LOCAL_ROOTS[os.getpid()] = root
+    return _LOCAL_ROOTS[os.getpid()]
+
+
+_LOCAL_ROOTS: dict[int, str] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -121,21 +140,29 @@ def materialised(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_STAGED: dict[tuple[str, str], str] = {}
+_STAGED: dict[tuple, tuple[str, StructType]] = {}
 
 
-def staged(spark: SparkSession, key: str, make, cluster: str = "person_id") -> DataFrame:
+def staged(spark: SparkSession, key: str, make, cluster: str = "person_id", inputs: tuple = ()) -> DataFrame:
     """A relation several jobs read: written once per application as Parquet in
     the shared folder, so that a lost executor costs a re-read and no recompute.
 
     It is clustered by person with a rebalance, which AQE cuts into files of even
-    size: a person with very many rows is split, small ones share a file."""
-    slot = (spark.sparkContext.applicationId, key)
+    size: a person with very many rows is split, small ones share a file. ``inputs``
+    is the version of what it is made from: other inputs make it anew."""
+    slot = (spark.sparkContext.applicationId, key, inputs)
     if slot not in _STAGED:
         path = scratch_path(spark, "staged")
         rows = make()
         rows.hint("rebalance", cluster).write.parquet(path)
-        _STAGED[slot] = path
-        _SCHEMAS[path] = rows.schema
-    path = _STAGED[slot]
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+        _STAGED[slot] = (path, rows.schema)
+    path, schema = _STAGED[slot]
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the staged tables of this application; DataFrames over them end with it."""
+    application = spark.sparkContext.applicationId
+    for slot in [s for s in _STAGED if s[0] == application]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop(slot)[0])
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

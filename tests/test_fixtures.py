@@ -421,3 +421,18 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         session.scratch_root(Fake())
+
+
+def test_staged_tables_follow_their_inputs(spark, tmp_path):
+    """A table rewritten in the same application is read and staged anew."""
+    folder = str(tmp_path)
+    for n in (3, 5):
+        spark.range(n).write.mode("overwrite").parquet(f"{folder}/region.parquet")
+        rows = session.table(spark, folder, "region")
+        inputs = session.version(spark, f"{folder}/region.parquet")
+        assert session.staged(spark, "test:rows", lambda: rows.withColumnRenamed("id", "person_id"), inputs=inputs).count() == n
+        again = session.staged(spark, "test:rows", lambda: 1 / 0, inputs=inputs)
+        assert again.count() == n
+    spark.range(2).selectExpr("id", "id * 2 AS twice").write.mode("overwrite").parquet(f"{folder}/region.parquet")
+    assert session.table(spark, folder, "region").columns == ["id", "twice"]
+    assert session.version(spark, f"{folder}/absent.parquet") == ()
