@@ -273,3 +273,38 @@ def shard_audits(rows: DataFrame, shards: int, id_col: str, shard_col: str) -> D
     per_id = rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min(shard_col).alias("a"), F.max(shard_col).alias("b"))
     keys = counted(per_id, {"duplicate_event_ids": F.col("n") > 1, "event_ids_in_several_shards": F.col("a") != F.col("b")})
     return scanned.unionByName(keys)
+
+
+def shard_reference_audits(rows: DataFrame, cohort: DataFrame, candidates: DataFrame, report: DataFrame, shard_col: str) -> DataFrame:
+    """What shards refer to: people of the cohort, the candidates of rule events, both
+    ways, and the row counts that each shard's report gives (column ``reported``)."""
+    named = rows.where(F.col("candidate_id").isNotNull())
+    seen = rows.groupBy(shard_col).agg(F.count(F.lit(1)).alias("n")).join(report, shard_col, "left")
+    return audit_rows(
+        [
+            ("people_outside_cohort", rows.join(cohort, "person_id", "left_anti")),
+            ("rule_events_without_candidate", named.join(candidates, "candidate_id", "left_anti")),
+            ("candidates_without_event", candidates.join(named.select("candidate_id"), "candidate_id", "left_anti")),
+            ("shards_off_report", seen.where(~F.col("n").eqNullSafe(F.col("reported")))),
+        ]
+    )
+
+
+def import_status(registry: DataFrame, arrived: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """Chunks of the registry (chunk, expected_rows, expected_candidates) and of the
+    arrived rows (key, chunk, candidate), matched both ways; a candidate counts only
+    where its source has arrived."""
+    backed = arrived.join(sources.select(key).distinct().withColumn("__backed", F.lit(True)), key, "left")
+    found = backed.groupBy("chunk").agg(
+        F.count(F.lit(1)).alias("found_rows"), F.count_if(F.col("candidate") & F.col("__backed").isNotNull()).alias("backed_candidates")
+    )
+    joined = registry.withColumn("__known", F.lit(True)).join(found, "chunk", "full")
+    status = (
+        F.when(F.col("__known").isNull(), "not_registered")
+        .when(F.col("found_rows").isNull(), "missing")
+        .when(F.col("found_rows") != F.col("expected_rows"), "rows_differ")
+        .when(F.col("backed_candidates") != F.col("expected_candidates"), "candidates_without_source")
+        .otherwise("complete")
+    )
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return joined.select("chunk", count("expected_rows"), count("found_rows"), count("backed_candidates"), status.alias("status"))

@@ -40,16 +40,14 @@ def train_prior(t):
 
 @query(
     "n02_interval_prior",
-    f"""WITH pr AS (SELECT interval_index, {shares_sql(CLASSES, 'outcome_class')} FROM periods WHERE split_name = 'train' AND interval_index <> 4 GROUP BY 1),
-ov AS (SELECT {shares_sql(CLASSES, 'outcome_class').replace(' AS p_', ' AS q_')} FROM periods WHERE split_name = 'train' AND interval_index <> 4)
+    f"""WITH pr AS (SELECT interval_index, {shares_sql(CLASSES, 'outcome_class')} FROM periods WHERE split_name = 'train' GROUP BY 1),
+ov AS (SELECT {shares_sql(CLASSES, 'outcome_class').replace(' AS p_', ' AS q_')} FROM periods WHERE split_name = 'train')
 SELECT p.person_period_id, {', '.join(f'round(coalesce(p_{c}, q_{c}), 9) AS p_{c}' for c in CLASSES)} FROM periods p LEFT JOIN pr ON pr.interval_index = p.interval_index, ov""",
     "periods",
 )
 def interval_prior(t):
     rows = t.periods.select("person_period_id", "interval_index", "outcome_class", "split_name")
-    # The longest interval is held out of training, so it falls back to the whole.
-    training = rows.withColumn("split_name", F.when(F.col("interval_index") != 4, F.col("split_name")))
-    out = V.interval_prior(training, CLASSES, "outcome_class")
+    out = V.interval_prior(rows, CLASSES, "outcome_class")
     return rounded(out.select("person_period_id", *[f"p_{c}" for c in CLASSES]))
 
 
@@ -349,15 +347,29 @@ def repeated_splits(t):
 
 @query(
     "n22_prediction_integrity",
-    f"""WITH {CIF_SQL} SELECT audit, observed, observed = 0 AS passed FROM (
-SELECT 'probabilities_do_not_sum_to_one' AS audit, (SELECT count(*) FROM predictions WHERE abs({' + '.join(f'p_{c}' for c in CLASSES)} - 1) > 1e-9) AS observed
-UNION ALL SELECT 'negative_probability', 0 UNION ALL SELECT 'duplicate_keys', (SELECT count(*) FROM (SELECT person_period_id FROM predictions GROUP BY 1 HAVING count(*) > 1))
-UNION ALL SELECT 'survival_rises', 0 UNION ALL SELECT 'truth_without_evaluability', (SELECT count(*) FROM hz WHERE evaluable <> (y_true IS NOT NULL)))""",
+    f"""WITH {CIF_SQL}, bad AS (SELECT * REPLACE (CASE WHEN person_period_id % 37 = 0 THEN p_career - 1 ELSE p_career END AS p_career) FROM predictions
+  UNION ALL SELECT * FROM predictions WHERE person_period_id % 41 = 0),
+bh AS (SELECT * REPLACE (CASE WHEN example_id % 43 = 0 THEN horizon_years ELSE survival_probability END AS survival_probability, CASE WHEN example_id % 47 > 0 THEN y_true END AS y_true) FROM hz)
+SELECT audit, observed, observed = 0 AS passed FROM (
+SELECT 'probabilities_do_not_sum_to_one' AS audit, (SELECT count(*) FROM bad WHERE abs({' + '.join(f'p_{c}' for c in CLASSES)} - 1) > 1e-9) AS observed
+UNION ALL SELECT 'negative_probability', (SELECT count(*) FROM bad WHERE least({', '.join(f'p_{c}' for c in CLASSES)}) < 0)
+UNION ALL SELECT 'duplicate_keys', (SELECT count(*) FROM (SELECT person_period_id, variant FROM bad GROUP BY 1, 2 HAVING count(*) > 1))
+UNION ALL SELECT 'survival_rises', (SELECT count(*) FROM (SELECT survival_probability AS s, lag(survival_probability) OVER (PARTITION BY example_id, variant ORDER BY horizon_years) AS b FROM bh) WHERE s > b + 1e-12)
+UNION ALL SELECT 'truth_without_evaluability', (SELECT count(*) FROM bh WHERE evaluable <> (y_true IS NOT NULL)))""",
     "predictions grid_predictions",
 )
 def prediction_integrity(t):
-    horizons = _horizons(t)
-    checks = {**V.integrity(t.predictions, ["person_period_id"], CLASSES), **V.horizon_integrity(horizons, ["example_id", "variant"])}
+    """Every check meets rows that violate it."""
+    key, example = F.col("person_period_id"), F.col("example_id")
+    wrong = F.when(key % 37 == 0, F.col("p_career") - 1).otherwise(F.col("p_career"))
+    bad = t.predictions.withColumn("p_career", wrong).unionByName(t.predictions.where(key % 41 == 0))
+    horizons = _horizons(t).withColumns(
+        {
+            "survival_probability": F.when(example % 43 == 0, F.col("horizon_years").cast("double")).otherwise(F.col("survival_probability")),
+            "y_true": F.when(example % 47 > 0, F.col("y_true")),
+        }
+    )
+    checks = {**V.integrity(bad, ["person_period_id", "variant"], CLASSES), **V.horizon_integrity(horizons, ["example_id", "variant"])}
     return N.audit_rows(list(checks.items()))
 
 

@@ -182,21 +182,28 @@ def fingerprint(t):
 @query(
     "q06_finaliser_gates",
     f"""
-WITH members AS (SELECT * FROM memberships WHERE snapshot = 'new' AND event_no % 61 <> 0), parent AS (SELECT * FROM memberships WHERE snapshot = 'old')
+WITH members AS (SELECT * REPLACE (CASE WHEN event_no % 59 <> 0 THEN date_min END AS date_min, CASE WHEN event_no % 67 = 0 THEN 'superseded_by_newer_revision' ELSE exclusion_reason END AS exclusion_reason)
+  FROM memberships WHERE snapshot = 'new' AND event_no % 61 <> 0), parent AS (SELECT * FROM memberships WHERE snapshot = 'old')
 SELECT audit, observed, observed = 0 AS passed FROM (
 SELECT 'active_beyond_cutoff' AS audit, (SELECT count(*) FROM members WHERE snapshot_model_eligible AND (observable_from > DATE '{SNAPSHOT_CUTOFF}' OR date_min > DATE '{SNAPSHOT_CUTOFF}')) AS observed
 UNION ALL SELECT 'active_from_late_revision', (SELECT count(*) FROM members WHERE snapshot_model_eligible AND revision_id IS NOT NULL AND revision_date > DATE '{SNAPSHOT_CUTOFF}')
 UNION ALL SELECT 'active_prebirth', (SELECT count(*) FROM members WHERE snapshot_model_eligible AND age_max < 0)
-UNION ALL SELECT 'active_missing_bounds', 0
-UNION ALL SELECT 'superseded_still_active', 0
+UNION ALL SELECT 'active_missing_bounds', (SELECT count(*) FROM members WHERE snapshot_model_eligible AND (date_min IS NULL OR date_max IS NULL OR observable_from IS NULL))
+UNION ALL SELECT 'superseded_still_active', (SELECT count(*) FROM members WHERE snapshot_model_eligible AND exclusion_reason = 'superseded_by_newer_revision')
 UNION ALL SELECT 'several_active_revisions', (SELECT count(*) FROM (SELECT person_id FROM members WHERE snapshot_model_eligible AND revision_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT revision_id) > 1))
 UNION ALL SELECT 'parent_events_lost', (SELECT count(*) FROM parent WHERE event_id NOT IN (SELECT event_id FROM members))
 UNION ALL SELECT 'parent_people_lost', (SELECT count(*) FROM (SELECT DISTINCT person_id FROM parent WHERE person_id NOT IN (SELECT person_id FROM members))))""",
     "memberships",
 )
 def finaliser_gates(t):
-    rows = t.memberships
-    members = rows.where((F.col("snapshot") == "new") & (F.col("event_no") % 61 != 0))
+    """Members without bounds, superseded ones and lost ones among the rest."""
+    rows, key = t.memberships, F.col("event_no")
+    members = rows.where((F.col("snapshot") == "new") & (key % 61 != 0)).withColumns(
+        {
+            "date_min": F.when(key % 59 != 0, F.col("date_min")),
+            "exclusion_reason": F.when(key % 67 == 0, "superseded_by_newer_revision").otherwise(F.col("exclusion_reason")),
+        }
+    )
     return N.finaliser_audits(members, rows.where(F.col("snapshot") == "old"), SNAPSHOT_CUTOFF)
 
 
@@ -212,25 +219,38 @@ def supersession(t):
 @query(
     "q08_import_verification",
     """
-WITH chunks AS (SELECT o_orderkey // 1000 AS chunk, count(*) AS expected_rows FROM orders GROUP BY 1),
-arrived AS (SELECT l_orderkey // 1000 AS chunk, count(DISTINCT l_orderkey) AS found_rows FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
-SELECT c.chunk, expected_rows, coalesce(found_rows, 0) AS found_rows, found_rows IS NOT NULL AS arrived, coalesce(found_rows, 0) = expected_rows AS complete FROM chunks c LEFT JOIN arrived a ON a.chunk = c.chunk""",
+WITH chunks AS (SELECT o_orderkey // 300 AS chunk, count(*) AS expected_rows, count(*) FILTER (WHERE o_orderkey % 11 = 0) AS expected_candidates FROM orders WHERE o_orderkey // 300 % 7 <> 3 GROUP BY 1),
+arrived AS (SELECT o_orderkey // 300 AS chunk, count(*) AS found_rows, count(*) FILTER (WHERE o_orderkey % 11 = 0 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_linenumber = 3)) AS backed_candidates
+  FROM orders o WHERE o_orderkey // 300 % 5 <> 2 GROUP BY 1)
+SELECT coalesce(c.chunk, a.chunk) AS chunk, coalesce(expected_rows, 0) AS expected_rows, coalesce(found_rows, 0) AS found_rows, coalesce(backed_candidates, 0) AS backed_candidates,
+  CASE WHEN c.chunk IS NULL THEN 'not_registered' WHEN a.chunk IS NULL THEN 'missing' WHEN found_rows <> expected_rows THEN 'rows_differ' WHEN backed_candidates <> expected_candidates THEN 'candidates_without_source' ELSE 'complete' END AS status
+FROM chunks c FULL JOIN arrived a ON a.chunk = c.chunk""",
 )
 def import_verification(t):
-    expected = t.orders.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("chunk")).agg(F.count(F.lit(1)).alias("expected_rows"))
-    keys = t.lineitem.where(F.col("l_linenumber") == 1).select("l_orderkey").distinct()
-    found = keys.groupBy(F.floor(F.col("l_orderkey") / 1000).alias("chunk")).agg(F.count(F.lit(1)).alias("found_rows"))
-    joined = expected.join(found, "chunk", "left").withColumn("arrived", F.col("found_rows").isNotNull()).na.fill(0, ["found_rows"])
-    return joined.withColumn("complete", F.col("found_rows") == F.col("expected_rows"))
+    """A registry that lacks some chunks, and arrivals that lack others."""
+    key = F.col("o_orderkey")
+    rows = t.orders.select("o_orderkey", F.floor(key / 300).alias("chunk"), (key % 11 == 0).alias("candidate"))
+    registry = rows.where(F.col("chunk") % 7 != 3).groupBy("chunk").agg(
+        F.count(F.lit(1)).alias("expected_rows"), F.count_if("candidate").alias("expected_candidates")
+    )
+    sources = t.lineitem.where(F.col("l_linenumber") == 3).select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    arrived = rows.where(F.col("chunk") % 5 != 2)
+    return N.import_status(registry, arrived, sources, "o_orderkey")
 
 
 @query(
     "q09_shard_audit",
     """
-WITH r AS (SELECT *, CASE WHEN event_no % 71 = 0 THEN (event_no + 1) % 4 ELSE event_no % 4 END AS shard FROM event_rows UNION ALL SELECT *, (event_no + 2) % 4 FROM event_rows WHERE event_no % 83 = 0),
+WITH r0 AS (SELECT *, CASE WHEN event_no % 71 = 0 THEN (event_no + 1) % 4 ELSE event_no % 4 END AS shard FROM event_rows UNION ALL SELECT *, (event_no + 2) % 4 FROM event_rows WHERE event_no % 83 = 0),
+r AS (SELECT * REPLACE (CASE WHEN event_no % 73 <> 0 THEN date_min END AS date_min, CASE WHEN event_no % 79 = 0 THEN date_min - 1 ELSE date_max END AS date_max), CASE WHEN event_no % 5 = 0 THEN 'c' || event_no END AS candidate_id FROM r0),
 i AS (SELECT event_id, count(*) AS n, min(shard) AS a, max(shard) AS b FROM r GROUP BY 1)
 SELECT audit, observed, observed = 0 AS passed FROM (
-SELECT 'misplaced_rows' AS audit, (SELECT count(*) FROM r WHERE event_no % 4 <> shard) AS observed UNION ALL SELECT 'missing_dates', 0 UNION ALL SELECT 'inverted_dates', 0
+SELECT 'misplaced_rows' AS audit, (SELECT count(*) FROM r WHERE event_no % 4 <> shard) AS observed
+UNION ALL SELECT 'missing_dates', (SELECT count(*) FROM r WHERE date_min IS NULL OR date_max IS NULL) UNION ALL SELECT 'inverted_dates', (SELECT count(*) FROM r WHERE date_min > date_max)
+UNION ALL SELECT 'people_outside_cohort', (SELECT count(*) FROM r WHERE person_id % 97 = 0)
+UNION ALL SELECT 'rule_events_without_candidate', (SELECT count(*) FROM r WHERE candidate_id IS NOT NULL AND event_no % 35 = 0)
+UNION ALL SELECT 'candidates_without_event', (SELECT count(*) FROM event_rows WHERE event_no % 35 = 3)
+UNION ALL SELECT 'shards_off_report', (SELECT count(*) FROM (SELECT shard, count(*) AS n FROM r GROUP BY 1) a LEFT JOIN (SELECT event_no % 4 AS shard, count(*) AS n FROM event_rows GROUP BY 1) b ON a.shard = b.shard WHERE a.n IS DISTINCT FROM b.n)
 UNION ALL SELECT 'duplicate_event_ids', (SELECT count(*) FROM i WHERE n > 1) UNION ALL SELECT 'event_ids_in_several_shards', (SELECT count(*) FROM i WHERE a <> b))""",
     "event_rows",
 )
@@ -238,7 +258,20 @@ def shard_audit(t):
     key = F.col("event_no")
     rows = t.event_rows.withColumn("shard", F.when(key % 71 == 0, (key + 1) % 4).otherwise(key % 4))
     again = t.event_rows.where(key % 83 == 0).withColumn("shard", (key + 2) % 4)
-    return N.shard_audits(rows.unionByName(again), 4, "event_no", "shard")
+    name = F.concat(F.lit("c"), key.cast("string"))
+    shards = rows.unionByName(again).withColumns(
+        {
+            "date_max": F.when(key % 79 == 0, F.date_sub("date_min", 1)).otherwise(F.col("date_max")),
+            "date_min": F.when(key % 73 != 0, F.col("date_min")),
+            "candidate_id": F.when(key % 5 == 0, name),
+        }
+    )
+    # Candidates lack some that events name and hold some that no event names.
+    candidates = t.event_rows.where((key % 5 == 0) & (key % 35 != 0) | (key % 35 == 3)).select(name.alias("candidate_id"))
+    cohort = t.persons.where(F.col("person_id") % 97 != 0).select("person_id")
+    report = t.event_rows.groupBy((key % 4).alias("shard")).agg(F.count(F.lit(1)).alias("reported"))
+    references = N.shard_reference_audits(shards, cohort, candidates, report, "shard")
+    return N.shard_audits(shards, 4, "event_no", "shard").unionByName(references)
 
 
 @query(
@@ -286,17 +319,17 @@ def _audit_checks():
     "q13_training_audits",
     "WITH x AS (SELECT "
     + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in _audit_checks().items())
-    + " FROM examples) "
-    + " UNION ALL ".join(f"SELECT '{n}' AS audit, {n} AS observed, {n} = 0 AS passed FROM x" for n in _audit_checks())
-    + " UNION ALL SELECT 'duplicate_examples', (SELECT count(*) FROM (SELECT example_id FROM examples GROUP BY 1 HAVING count(*) > 1)), true"
-    + " UNION ALL SELECT 'person_in_several_splits', (SELECT count(*) FROM (SELECT person_id FROM examples GROUP BY 1 HAVING count(DISTINCT split_name) > 1)), true"
-    + " UNION ALL SELECT 'target_in_history', (SELECT count(*) FROM examples e JOIN facts f ON f.snapshot = 'new' AND f.canonical_event_key = e.target_canonical_event_key AND f.observable_from <= e.cutoff), true"
-    + " UNION ALL SELECT 'target_not_canonical', (SELECT count(*) FROM examples e WHERE e.target_canonical_event_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM facts f WHERE f.snapshot = 'new' AND f.canonical_event_key = e.target_canonical_event_key)), true"
-    + " UNION ALL SELECT 'several_events_per_example', (SELECT count(*) FROM (SELECT example_id FROM periods WHERE event_observed GROUP BY 1 HAVING count(*) > 1)), true"
-    + " UNION ALL SELECT 'rows_after_event', (SELECT count(*) FROM periods WHERE d0 >= target_observable_from), true"
-    + " UNION ALL SELECT 'eligible_prebirth', (SELECT count(*) FROM memberships WHERE snapshot_model_eligible AND age_max < 0), true"
-    + " UNION ALL SELECT 'missing_example_rows', (SELECT count(*) FROM (SELECT p.person_id FROM persons p LEFT JOIN examples e ON e.person_id = p.person_id GROUP BY 1 HAVING count(e.example_id) <> 4)), true"
-    + f" UNION ALL SELECT 'placebo_donor_is_self', (SELECT count(*) FROM (WITH {DONOR_SQL} SELECT * FROM donors WHERE donor_person_id = person_id)), true",
+    + " FROM examples) SELECT audit, observed, observed = 0 AS passed FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS audit, {n} AS observed FROM x" for n in _audit_checks())
+    + " UNION ALL SELECT 'duplicate_examples', (SELECT count(*) FROM (SELECT example_id FROM examples GROUP BY 1 HAVING count(*) > 1))"
+    + " UNION ALL SELECT 'person_in_several_splits', (SELECT count(*) FROM (SELECT person_id FROM examples GROUP BY 1 HAVING count(DISTINCT split_name) > 1))"
+    + " UNION ALL SELECT 'target_in_history', (SELECT count(*) FROM examples e JOIN facts f ON f.snapshot = 'new' AND f.canonical_event_key = e.target_canonical_event_key AND f.observable_from <= e.cutoff)"
+    + " UNION ALL SELECT 'target_not_canonical', (SELECT count(*) FROM examples e WHERE e.target_canonical_event_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM facts f WHERE f.snapshot = 'new' AND f.canonical_event_key = e.target_canonical_event_key))"
+    + " UNION ALL SELECT 'several_events_per_example', (SELECT count(*) FROM (SELECT example_id FROM periods WHERE event_observed GROUP BY 1 HAVING count(*) > 1))"
+    + " UNION ALL SELECT 'rows_after_event', (SELECT count(*) FROM periods WHERE d0 >= target_observable_from)"
+    + " UNION ALL SELECT 'eligible_prebirth', (SELECT count(*) FROM memberships WHERE snapshot_model_eligible AND age_max < 0)"
+    + " UNION ALL SELECT 'missing_example_rows', (SELECT count(*) FROM (SELECT p.person_id FROM persons p LEFT JOIN examples e ON e.person_id = p.person_id GROUP BY 1 HAVING count(e.example_id) <> 4))"
+    + f" UNION ALL SELECT 'placebo_donor_is_self', (SELECT count(*) FROM (WITH {DONOR_SQL} SELECT * FROM donors WHERE donor_person_id = person_id)))",
     "persons memberships facts periods",
 )
 def training_audits(t):

@@ -436,3 +436,14 @@ def test_staged_tables_follow_their_inputs(spark, tmp_path):
     spark.range(2).selectExpr("id", "id * 2 AS twice").write.mode("overwrite").parquet(f"{folder}/region.parquet")
     assert session.table(spark, folder, "region").columns == ["id", "twice"]
     assert session.version(spark, f"{folder}/absent.parquet") == ()
+
+
+def test_interval_prior_falls_back_to_the_whole(spark):
+    from chronica.operators import evaluation as V
+
+    rows = spark.createDataFrame(
+        [(1, 0, "a", "train"), (2, 0, "b", "train"), (3, 1, "a", "train"), (4, 2, "a", "validation")],
+        "person_period_id int, interval_index int, outcome_class string, split_name string",
+    )
+    got = {r.person_period_id: (r.p_a, r.p_b) for r in V.interval_prior(rows, ["a", "b"], "outcome_class").collect()}
+    assert got[1] == (0.5, 0.5) and got[3] == (1.0, 0.0) and got[4] == pytest.approx((2 / 3, 1 / 3))
