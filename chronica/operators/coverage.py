@@ -339,3 +339,36 @@ def cross_source_matches(events: DataFrame, max_year_gap: int = 1) -> DataFrame:
         found.alias("strong_pairs"),
         F.when(found > 0, "strong").when(F.col("date_overlap"), "medium").otherwise("weak").alias("match_strength"),
     )
+
+
+def match_members(events: DataFrame) -> DataFrame:
+    """Which events a match signature stands for: one row per event."""
+    keys = ["person_id", "event_family", S.source_family(F.col("source_id")).alias("source"), "date_min", "date_max"]
+    return events.select(*keys, "event_id", "subject_id")
+
+
+def match_candidates(matches: DataFrame, members: DataFrame) -> DataFrame:
+    """Event pairs of the given signature pairs, with both subjects and whether a
+    person has to look. Pairs are as many as the events' product, so callers
+    narrow ``matches`` first to the people or families they review."""
+    def side(name: str) -> DataFrame:
+        return members.select(
+            "person_id",
+            "event_family",
+            F.col("source").alias(f"{name}_source"),
+            F.col("date_min").alias(f"{name}_date_min"),
+            F.col("date_max").alias(f"{name}_date_max"),
+            F.col("event_id").alias(f"{name}_event_id"),
+            F.col("subject_id").alias(f"{name}_subject_id"),
+        )
+
+    on = ["person_id", "event_family"]
+    span = [f"{n}_{c}" for n in ("left", "right") for c in ("source", "date_min", "date_max")]
+    pairs = matches.select(*on, *span, "date_overlap", "year_gap")
+    pairs = pairs.join(side("left"), [*on, *span[:3]]).join(side("right"), [*on, *span[3:]])
+    low = lambda c: F.lower(F.trim(c))
+    same = F.coalesce((low("left_subject_id") == low("right_subject_id")) & (low("left_subject_id") != ""), F.lit(False))
+    strength = F.when(same & F.col("date_overlap"), "strong").when(F.col("date_overlap"), "medium").otherwise("weak")
+    return pairs.withColumn("match_strength", strength).withColumn("requires_review", F.col("match_strength") != "strong").select(
+        *on, "left_source", "right_source", "left_event_id", "right_event_id", "left_subject_id", "right_subject_id", "date_overlap", "year_gap", "match_strength", "requires_review"
+    )

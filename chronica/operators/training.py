@@ -50,6 +50,35 @@ def histories(cutoffs: DataFrame, facts: DataFrame, cutoff: str) -> DataFrame:
     )
 
 
+def history_keys(cutoffs: DataFrame, facts: DataFrame, raws: DataFrame, cutoff: str) -> DataFrame:
+    """Long table (example_id, layer, key) of everything a feature snapshot was made from.
+
+    The canonical layer names the facts that :func:`histories` counts, the raw layer the
+    events that were known by the cutoff. One row per key, so an example with very
+    many events is no wide row.
+    """
+    at = cutoffs.select("example_id", "person_id", F.col(cutoff).alias("__cutoff"))
+
+    def known(rows: DataFrame, key: str, layer: str) -> DataFrame:
+        dated = rows.where("snapshot_model_eligible").select("person_id", F.col(key).alias("key"), "observable_from", "date_max")
+        seen = at.join(dated, "person_id").where((F.col("observable_from") <= F.col("__cutoff")) & (F.col("date_max") <= F.col("__cutoff")))
+        return seen.select("example_id", F.lit(layer).alias("layer"), "key")
+
+    return known(facts, "canonical_event_key", "canonical").unionByName(known(raws, "event_id", "raw"))
+
+
+def model_matrix(features: DataFrame, keys: DataFrame, targets: DataFrame) -> DataFrame:
+    """Feature rows with the number of their history keys by layer and whether the
+    example's target is among them, which has to be never."""
+    counts = keys.groupBy("example_id").agg(
+        F.count_if(F.col("layer") == "canonical").alias("canonical_keys"), F.count_if(F.col("layer") == "raw").alias("raw_keys")
+    )
+    named = targets.where(F.col("target_canonical_event_key").isNotNull()).select("example_id", F.col("target_canonical_event_key").alias("key"))
+    leaks = keys.where(F.col("layer") == "canonical").join(named, ["example_id", "key"], "left_semi").select("example_id").distinct()
+    joined = features.join(counts, "example_id", "left").na.fill(0, ["canonical_keys", "raw_keys"])
+    return joined.join(leaks.withColumn("target_in_history", F.lit(True)), "example_id", "left").na.fill(False, ["target_in_history"])
+
+
 # --- future targets ---------------------------------------------------------
 def target_hits(events: DataFrame, births: DataFrame, targets=vocab.TARGETS, horizons=vocab.TARGET_HORIZONS, ages=vocab.CUTOFF_AGES) -> DataFrame:
     """Long form of the targets' support: one row per (cutoff, target, horizon)

@@ -243,6 +243,24 @@ def cross_source_matches(t):
     return C.cross_source_matches(rows)
 
 
+@query(
+    "d06_match_candidates",
+    f"""
+WITH e AS (SELECT *, {S.SOURCE_FAMILY_SQL} AS src, {S.event_family_sql()} AS fam FROM event_rows),
+pairs AS (SELECT a.person_id, a.fam AS event_family, a.src AS left_source, b.src AS right_source, a.event_id AS left_event_id, b.event_id AS right_event_id, a.subject_id AS left_subject_id, b.subject_id AS right_subject_id,
+  greatest(a.date_min, b.date_min) <= least(a.date_max, b.date_max) AS date_overlap, CAST(abs(year(a.date_min) - year(b.date_min)) AS INTEGER) AS year_gap,
+  coalesce(lower(a.subject_id) = lower(b.subject_id), false) AS same
+  FROM e a JOIN e b ON a.person_id = b.person_id AND a.fam = b.fam AND a.src < b.src)
+SELECT * EXCLUDE (same), CASE WHEN same AND date_overlap THEN 'strong' WHEN date_overlap THEN 'medium' ELSE 'weak' END AS match_strength, NOT (same AND date_overlap) AS requires_review
+FROM pairs WHERE date_overlap OR year_gap <= 1""",
+    "event_rows",
+)
+def match_candidates(t):
+    """Every event pair behind the signature pairs, for review."""
+    rows = t.event_rows.withColumn("event_family", S.event_family(F.col("event_type"), F.col("domain")))
+    return C.match_candidates(C.cross_source_matches(rows), C.match_members(rows))
+
+
 @query(
     "d07_latest_feature_set",
     """SELECT person_id, feature_id, version FROM (

@@ -157,6 +157,42 @@ def feature_snapshot(t):
     return out.select("example_id", "features.spec_version", "features.cutoff_age", "features.background.*", "features.raw_birth_calendar.*", "features.history.*")
 
 
+KEYS_SQL = """keys AS (
+  SELECT e.example_id, 'canonical' AS layer, f.canonical_event_key AS key FROM examples e JOIN facts f ON f.person_id = e.person_id
+  WHERE f.snapshot = 'new' AND f.snapshot_model_eligible AND f.observable_from <= e.cutoff AND f.date_max <= e.cutoff
+  UNION ALL SELECT e.example_id, 'raw', m.event_id FROM examples e JOIN memberships m ON m.person_id = e.person_id
+  WHERE m.snapshot = 'new' AND m.snapshot_model_eligible AND m.observable_from <= e.cutoff AND m.date_max <= e.cutoff)"""
+
+
+def _history_keys(t):
+    new = F.col("snapshot") == "new"
+    return M.history_keys(t.examples, t.facts.where(new), t.memberships.where(new), "cutoff")
+
+
+@query("m08_history_keys", f"WITH {KEYS_SQL} SELECT * FROM keys", "examples facts memberships")
+def history_keys(t):
+    """Provenance of every feature snapshot, key by key."""
+    return _history_keys(t)
+
+
+@query(
+    "m18_model_matrix",
+    f"""WITH {KEYS_SQL}, n AS (SELECT example_id, count(*) FILTER (WHERE layer = 'canonical') AS canonical_keys, count(*) FILTER (WHERE layer = 'raw') AS raw_keys FROM keys GROUP BY 1)
+SELECT e.example_id, e.cutoff_age, e.gender, e.split_name, coalesce(canonical_keys, 0) AS canonical_keys, coalesce(raw_keys, 0) AS raw_keys,
+  EXISTS (SELECT 1 FROM keys k WHERE k.layer = 'canonical' AND k.example_id = e.example_id AND k.key = CASE WHEN e.example_id % 5 = 0 THEN (SELECT min(key) FROM keys j WHERE j.layer = 'canonical' AND j.example_id = e.example_id) ELSE e.target_canonical_event_key END) AS target_in_history
+FROM examples e LEFT JOIN n ON n.example_id = e.example_id""",
+    "examples facts memberships",
+)
+def model_matrix(t):
+    """Every fifth example has a fact of its own history for a target, which shows as a leak."""
+    keys = _history_keys(t)
+    own = keys.where(F.col("layer") == "canonical").groupBy("example_id").agg(F.min("key").alias("own"))
+    rows = t.examples.select("example_id", "cutoff_age", "gender", "split_name", "target_canonical_event_key").join(own, "example_id", "left")
+    leaked = F.when(F.col("example_id") % 5 == 0, F.col("own")).otherwise(F.col("target_canonical_event_key"))
+    targets = rows.select("example_id", leaked.alias("target_canonical_event_key"))
+    return M.model_matrix(rows.drop("own", "target_canonical_event_key"), keys, targets)
+
+
 @query(
     "m09_person_hash_split",
     """SELECT person_id, coalesce(CASE WHEN person_id % 9 = 0 THEN 'train' END, CASE WHEN b < 70 THEN 'train' WHEN b < 85 THEN 'validation' ELSE 'test' END) AS split_name
