@@ -12,9 +12,9 @@ Exact copies (equal sequences of words) fold into one representative first. Band
 registers give buckets. In each bucket the most connected member is the hub, and
 every other member is verified against it on exact shingle sets; that links a group of any
 size by as many pairs as it has members. Where a bucket then still falls into several
-components, the members outside the hub's component meet all others in blocks of
-bounded size, by signature first and by shingles after. Components of verified
-links are the classes.
+components, the members outside its largest one meet all others in blocks of bounded
+size, which give only the links that join components. Components of verified links
+are the classes.
 """
 
 from __future__ import annotations
@@ -134,12 +134,13 @@ def copies(sketches: DataFrame) -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """key, rep, size: memberships in bands that at least two representatives share."""
+    """key, band, rep, size: memberships in buckets that at least two representatives share."""
     width = 4 * ROWS
     bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * width + 1, F.lit(width)))
+        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(F.col("signature"), b * width + 1, F.lit(width))).alias("key")),
     )
-    each = reps.where("n > 0").select("rep", F.explode(bands).alias("key"))
+    each = reps.where("n > 0").select("rep", F.inline(bands))
     sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return each.join(sizes, "key")
 
@@ -153,15 +154,34 @@ def stars(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
-def crossings(members: DataFrame, labels: DataFrame, reps: DataFrame, block: int = BLOCK_MEMBERS) -> DataFrame:
-    """Pairs of different components that share a bucket and look alike by signature.
+def shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep and its sorted distinct shingle hashes, eight bytes each, for the given reps."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(ids, "rep", "left_semi")
 
-    In a bucket all members outside its largest component (its minors) meet every
-    member. Both sides are dealt into blocks of about ``block``, and a block pair is one
-    group, so no group grows with the bucket.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textbytes.slices(batch):
+                h, o, _ = weighted(*textbytes.shingles(*textbytes.word_hashes(part.column("text")), WIDTH))
+                cut = np.searchsorted(o, np.arange(part.num_rows + 1))
+                body = pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("rep"), body], names=["rep", "shingles"])
+
+    return texts.mapInArrow(run, "rep bigint, shingles binary").dropDuplicates(["rep"])
+
+
+def crossings(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, block: int = BLOCK_MEMBERS) -> DataFrame:
+    """Links (a, b) between components that share a bucket: enough to join all that are linked.
+
+    In a bucket of three or more, all members outside its largest component (its minors)
+    meet every member; in one of two the hub has settled it. Both sides are dealt into
+    blocks of about ``block``, and a block pair is one group, so no group grows with
+    the bucket. A group looks at pairs of different components whose signatures can
+    reach the threshold, the likeliest first, and verifies them on their whole
+    shingle sets; once two components are joined, their other pairs are not needed. A pair
+    that shares several buckets is looked at in the first band of them.
     """
-    own = members.join(labels, members["rep"] == labels["node"], "left").select(
-        "key", "rep", F.coalesce("label", "rep").alias("label")
+    own = members.where("size > 2").join(labels, members["rep"] == labels["node"], "left").select(
+        "key", "band", "rep", F.coalesce("label", "rep").alias("label")
     )
     parts = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("key").agg(
@@ -170,29 +190,75 @@ def crossings(members: DataFrame, labels: DataFrame, reps: DataFrame, block: int
     main = main.where("parts > 1").select("key", F.col("top.label").alias("main"), "size", (F.col("size") - F.col("top.n")).alias("minors"))
     cut = lambda n: F.ceil(F.col(n) / block).cast("int")
     open_members = own.join(main, "key").withColumns({"of_members": cut("size"), "of_minors": cut("minors")})
+    open_members = session.materialised(open_members, "open-buckets")
     dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = open_members.select(
-        "key", "rep", "label", F.lit(0).alias("minor"), dealt("of_members").alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_minors") - 1)).alias("j")
+        "key", "band", "rep", "label", F.lit(0).alias("minor"), dealt("of_members").alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_minors") - 1)).alias("j")
     )
     minors = open_members.where("label != main").select(
-        "key", "rep", "label", F.lit(1).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("of_members") - 1)).alias("i"), dealt("of_minors").alias("j")
+        "key", "band", "rep", "label", F.lit(1).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("of_members") - 1)).alias("i"), dealt("of_minors").alias("j")
     )
-    signed = every.unionByName(minors).join(reps.select("rep", "signature"), "rep")
-
-    def meet(rows):
-        import pandas as pd
-
-        sign = np.stack([np.frombuffer(s, dtype="<u4") for s in rows["signature"]])
-        minor = rows["minor"].to_numpy() == 1
-        label, rep = rows["label"].to_numpy(), rows["rep"].to_numpy()
-        out = []
+    ids = open_members.select("rep").distinct()
+    sets = shingle_sets(ids, docs).join(reps.select("rep", "signature"), "rep")
+    grid = every.unionByName(minors).join(sets, "rep")
+    group = ["key", "i", "j"]
+    return grid.repartition(*group).sortWithinPartitions(*group).mapInArrow(_meet, "a bigint, b bigint").distinct()
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of groups that lie in a row, where a group may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+    names = ["key", "i", "j"]
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            part = batch.slice(a, b - a)
+            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in names):
+                yield _links(held)
+                held = []
+            held.append(part)
+    if held:
+        yield _links(held)
+
+
+def _links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(parts)
+    minor = rows.column("minor").to_numpy() == 1
+    found: list[tuple[int, int]] = []
+    if minor.any():
+        rep, label = rows.column("rep").to_numpy(), rows.column("label").to_numpy()
+        band = rows.column("band")[0].as_py()
+        sign = np.stack([np.frombuffer(s.as_buffer(), dtype="<u4") for s in rows.column("signature")])
+        sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in rows.column("shingles")]
+        root = {x: x for x in label.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        others = np.flatnonzero(~minor)
         for i in np.flatnonzero(minor):
-            near = ~minor & (label != label[i])
-            near &= (sign == sign[i]).mean(axis=1) >= THRESHOLD - MARGIN
-            out += [(min(rep[i], r), max(rep[i], r)) for r in rep[near]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return signed.groupBy("key", "i", "j").applyInPandas(meet, "a bigint, b bigint").distinct()
+            equal = sign[others] == sign[i]
+            share = equal.mean(axis=1)
+            first = equal.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            near = np.flatnonzero((label[others] != label[i]) & (share >= THRESHOLD - MARGIN) & first)
+            for k in others[near[np.argsort(-share[near], kind="stable")]]:
+                mine, its = find(int(label[i])), find(int(label[k]))
+                if mine == its:
+                    continue
+                # Sets too different in size cannot reach the threshold.
+                small, large = sorted((len(sets[i]), len(sets[k])))
+                if small < THRESHOLD * large - 1e-9:
+                    continue
+                shared = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if shared >= THRESHOLD * (small + large - shared) - 1e-9:
+                    root[mine] = its
+                    found.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -210,8 +276,9 @@ def classes(docs: DataFrame) -> DataFrame:
     members = session.materialised(buckets(reps), "members")
     links = session.materialised(verified(stars(members), docs), "stars")
     labels = components.label(links)
-    more = session.materialised(verified(crossings(members, labels, reps), docs), "crossings")
-    labels = components.label(links.unionByName(more))
+    more = session.materialised(crossings(members, labels, reps, docs, BLOCK_MEMBERS), "crossings")
+    if more.limit(1).count():
+        labels = components.label(links.unionByName(more))
     found = folded.join(labels, folded["rep"] == labels["node"], "left").select(
         "d1", "d2", F.coalesce("label", "rep").alias("class_id")
     )

@@ -65,7 +65,7 @@ def corpus(rng):
     return texts
 
 
-@pytest.mark.parametrize("seed,block", [(1, 512), (2, 7)])
+@pytest.mark.parametrize("seed,block", [(1, 512), (2, 7), (3, 2)])
 def test_classes_equal_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", block)
     texts = corpus(random.Random(seed))
@@ -92,12 +92,19 @@ def test_signatures_estimate_probability_jaccard():
 
 def test_crossings_join_what_hubs_do_not(spark):
     """Members that only like each other are found although the hub likes neither."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(10):
+        words = passage(rng, 200)
+        texts += [" ".join(words), " ".join(edited(rng, words, 3))]
+    docs = helpers.documents(spark, texts)
+    # One bucket holds all of them, and signatures are alike within each pair only.
     sign = lambda k: np.array(([1] * 4 + [k] * 92), dtype="<u4").tobytes()
     reps = spark.createDataFrame([(i, 10, sign(100 + i // 2)) for i in range(20)], "rep bigint, n bigint, signature binary")
     members = near_dedup.buckets(reps)
     labels = spark.createDataFrame([], "node bigint, label bigint")
     for block in (512, 3):
-        got = near_dedup.crossings(members, labels, reps, block).collect()
+        got = near_dedup.crossings(members, labels, reps, docs, block).collect()
         assert {tuple(r) for r in got} == {(2 * k, 2 * k + 1) for k in range(10)}
 
 
