@@ -138,6 +138,46 @@ def compact_entities(df: DataFrame, json_col: str) -> DataFrame:
     )
 
 
+_PLACE_CLAIM = "struct<mainsnak:struct<datavalue:struct<value:struct<`entity-type`:string,id:string,latitude:double,longitude:double>>>>"
+SUBJECT_SCHEMA = (
+    "struct<id:string,labels:map<string,struct<value:string>>,descriptions:map<string,struct<value:string>>,"
+    f"claims:map<string,array<{_PLACE_CLAIM}>>>"
+)
+
+
+def resolve_subjects(subjects: DataFrame, entities: DataFrame, json_col: str) -> DataFrame:
+    """One row per distinct subject id: labels with fallback by language, sorted ids
+    of class, superclass and country, and the first coordinate. A subject without an
+    entity keeps a row of empty fields, so nothing asked for is lost."""
+    parsed = entities.select(F.from_json(json_col, SUBJECT_SCHEMA).alias("e")).where(F.col("e.id").isNotNull())
+    value = lambda c: c["mainsnak"]["datavalue"]["value"]
+    claims = lambda prop: F.coalesce(F.try_element_at("e.claims", F.lit(prop)), F.array())
+
+    def items(prop):
+        kept = F.filter(claims(prop), lambda c: (value(c)["entity-type"] == "item") & (F.coalesce(value(c)["id"], F.lit("")) != ""))
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(kept, lambda c: value(c)["id"]))), "|")
+
+    def named(field, *langs):
+        found = [F.nullif(F.try_element_at(f"e.{field}", F.lit(x))["value"], F.lit("")) for x in langs]
+        return F.coalesce(*found, F.lit(""))
+
+    place = F.get(F.filter(claims("P625"), lambda c: value(c)["latitude"].isNotNull()), F.lit(0))
+    fields = {
+        "label_en": named("labels", "en"),
+        "label_zh": named("labels", "zh-hans", "zh"),
+        "description_en": named("descriptions", "en"),
+        "instance_of": items("P31"),
+        "subclass_of": items("P279"),
+        "country": items("P17"),
+        "latitude": value(place)["latitude"],
+        "longitude": value(place)["longitude"],
+    }
+    rows = parsed.select(F.col("e.id").alias("qid"), *[c.alias(n) for n, c in fields.items()]).dropDuplicates(["qid"])
+    wanted = subjects.where(F.trim(F.coalesce("qid", F.lit(""))) != "").select("qid").distinct()
+    texts = ["label_en", "label_zh", "description_en", "instance_of", "subclass_of", "country"]
+    return wanted.join(rows, "qid", "left").na.fill("", texts)
+
+
 def sample_entities(customer: DataFrame) -> DataFrame:
     """Entity JSON documents built from customers, in the dump's layout."""
     key = F.col("c_custkey")

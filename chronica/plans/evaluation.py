@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronica import session
 from chronica.functions import temporal as D
 from chronica.functions import vocab
 from chronica.operators import evaluation as V
@@ -465,3 +466,43 @@ def time_split_baseline(t):
     out = models.logistic(rows, NUMERIC[:2], [], "y_class_4", FOUR).withColumnRenamed("y_class_4", "y_true")
     scored = V.with_losses(out, FOUR)
     return rounded(V.classification(scored, ["split_name"], FOUR), 6)
+
+
+def _losses(scored, by, classes):
+    return V.with_losses(scored, classes).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("log_loss").alias("log_loss"), F.avg("brier").alias("brier")
+    )
+
+
+@query("n26_hazard_models")
+def hazard_models(t):
+    """Prior and logistic hazards on person-period rows, scored by interval and split."""
+    history = _wide(t).select("example_id", "history__events", "history__domains", "background__gender")
+    rows = t.periods.select("person_period_id", "example_id", "split_name", "interval_index", "cutoff_age", "outcome_class").join(history, "example_id")
+    rows = session.materialised(rows, "hazard")
+    prior = V.interval_prior(rows, CLASSES, "outcome_class")
+    fitted = models.logistic(rows, ["cutoff_age", "history__events", "history__domains"], ["interval_index", "background__gender"], "outcome_class", CLASSES)
+    keep = ["split_name", "interval_index", "outcome_class", *[f"p_{c}" for c in CLASSES]]
+    both = prior.select(F.lit("prior").alias("model"), *keep).unionByName(fitted.select(F.lit("logistic").alias("model"), *keep))
+    return rounded(_losses(both.withColumnRenamed("outcome_class", "y_true"), ["model", "split_name", "interval_index"], CLASSES), 6)
+
+
+HOLDOUTS = {
+    "forward_era": lambda: M.forward_era_split(F.year("birth_date"), 1967, 1976),
+    "geography": lambda: M.holdout_split(F.pmod("person_id", F.lit(5)).cast("string"), "3", "4"),
+    "person_hash": lambda: M.person_hash_split(F.col("person_id")),
+}
+
+
+@query("n27_holdout_scenarios")
+def holdout_scenarios(t):
+    """One model of frozen capacity per hold-out scenario: fitted, with its class weights,
+    on the scenario's own training part and scored on its validation and test parts."""
+    matrix = session.materialised(_matrix(t), "holdout")
+    out = None
+    for name, split in HOLDOUTS.items():
+        scored = models.logistic(matrix.withColumn("split_name", split()), NUMERIC, CATEGORICAL, "y_class_4", FOUR, balanced=True)
+        scored = V.with_losses(scored.withColumnRenamed("y_class_4", "y_true"), FOUR)
+        part = V.classification(scored, ["split_name"], FOUR).withColumn("scenario", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 6)

@@ -564,6 +564,39 @@ def entity_compaction(t):
     return shaping.compact_entities(shaping.sample_entities(t.customer), "entity")
 
 
+@query(
+    "b47_subject_resolution",
+    """
+WITH wanted AS (SELECT DISTINCT 'Q' || (o_orderkey % 400) AS qid FROM orders)
+SELECT w.qid, CASE WHEN s_suppkey % 4 > 0 THEN s_name ELSE '' END AS label_en, CASE s_suppkey % 3 WHEN 0 THEN 'hans ' || s_name WHEN 1 THEN 'zh ' || s_name ELSE '' END AS label_zh,
+  CASE WHEN s_suppkey IS NULL THEN '' ELSE 'a "place" of ' || s_nationkey END AS description_en,
+  CASE WHEN s_suppkey IS NULL THEN '' WHEN s_suppkey % 2 = 0 THEN 'Q1|Q5' ELSE 'Q5' END AS instance_of, CASE WHEN s_suppkey % 5 = 0 THEN 'Q9' ELSE '' END AS subclass_of,
+  CASE WHEN s_suppkey IS NULL THEN '' ELSE 'Q' || s_nationkey END AS country, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey / 8.0::DOUBLE END AS latitude, CASE WHEN s_suppkey % 2 = 0 THEN -s_suppkey / 4.0::DOUBLE END AS longitude
+FROM wanted w LEFT JOIN supplier ON 'Q' || s_suppkey = w.qid""",
+)
+def subject_resolution(t):
+    """Subjects that events name, resolved against entities that lack some of them."""
+    key = F.col("s_suppkey")
+    item = '{"mainsnak":{"datavalue":{"value":{"entity-type":"item","id":"%s"}}}}'
+    listed = lambda *ids: F.concat_ws(",", *[F.format_string(item, i) for i in ids])
+    text = F.format_string(
+        '{"id":"Q%s","labels":{%s%s"xx":{"value":"x"}},"descriptions":{"en":{"value":"a \\"place\\" of %s"}},'
+        '"claims":{"P31":[%s],"P279":[%s],"P17":[%s],"P625":[{"mainsnak":{"snaktype":"novalue"}}%s]}}',
+        key.cast("string"),
+        F.when(key % 4 > 0, F.format_string('"en":{"value":"%s"},', F.col("s_name"))).otherwise(""),
+        F.when(key % 3 == 0, F.format_string('"zh":{"value":"no"},"zh-hans":{"value":"hans %s"},', F.col("s_name")))
+        .when(key % 3 == 1, F.format_string('"zh-hans":{"value":""},"zh":{"value":"zh %s"},', F.col("s_name")))
+        .otherwise(""),
+        F.col("s_nationkey").cast("string"),
+        F.when(key % 2 == 0, listed(F.lit("Q5"), F.lit("Q1"), F.lit("Q5"))).otherwise(listed(F.lit("Q5"))),
+        F.when(key % 5 == 0, listed(F.lit("Q9"))).otherwise(""),
+        listed(F.concat(F.lit("Q"), F.col("s_nationkey").cast("string"))),
+        F.when(key % 2 == 0, F.format_string(',{"mainsnak":{"datavalue":{"value":{"latitude":%s,"longitude":%s}}}}', (key / 8).cast("string"), (-key / 4).cast("string"))).otherwise(""),
+    )
+    subjects = t.orders.select(F.concat(F.lit("Q"), (F.col("o_orderkey") % 400).cast("string")).alias("qid"))
+    return shaping.resolve_subjects(subjects, t.supplier.select(text.alias("entity")), "entity")
+
+
 @query(
     "b32_rank_preference",
     """
