@@ -4,7 +4,7 @@ A group may hold a third of all rows, so nothing here sorts a whole group in a
 window. An order is cut into pieces by a function of the row itself (a hash
 prefix, an id range); each piece is ranked alone and shifted by the number of
 rows in the pieces before it. The pieces' counts are small and bounded by
-``16 ** digits`` per group, or by 65536 per level of id ranges.
+the largest group's rows over PIECE_ROWS, or by 65536 per level of id ranges.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from chronica.session import materialised
 
 # Bits of one id-range piece: one window task sorts at most 65536 unique ids.
 PIECE_BITS = 16
-# Hash digits that name a piece: 4096 pieces per group.
-PIECE_DIGITS = 3
+# Rows of one hash piece that a window task may sort.
+PIECE_ROWS = 1 << 16
+# Pieces of a histogram that is cut at quantiles.
+HISTOGRAM_PIECES = 256
 
 
 def hash_order(*parts) -> Column:
@@ -26,6 +28,15 @@ def hash_order(*parts) -> Column:
     return F.sha2(F.concat_ws("|", *cols), 256)
 
 
+def piece_digits(df: DataFrame, group: list[str], rows: int = PIECE_ROWS) -> int:
+    """Hash digits that cut the largest group into pieces of about ``rows`` rows."""
+    largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    digits = 1
+    while 16**digits * rows < largest:
+        digits += 1
+    return digits
+
+
 def _offsets(df: DataFrame, group: list[str], piece: list[str], into: str) -> DataFrame:
     """Rows per piece and rows in all earlier pieces of the same group."""
     counts = df.groupBy(*group, *piece).agg(F.count(F.lit(1)).alias("__n"))
@@ -64,8 +75,10 @@ def rank_by_id(df: DataFrame, id_col: str, out: str, then: list[str] = (), bits:
     )
 
 
-def rank_by_hash(df: DataFrame, group: list[str], order: str, out: str, digits: int = PIECE_DIGITS) -> DataFrame:
-    """``row_number`` inside each group by a hex digest column."""
+def rank_by_hash(df: DataFrame, group: list[str], order: str, out: str, digits: int | None = None) -> DataFrame:
+    """``row_number`` inside each group by a hex digest column. The number of pieces
+    follows the largest group's count unless ``digits`` gives it."""
+    digits = digits or piece_digits(df, group)
     cut = df.withColumn("__piece", F.substring(order, 1, digits))
     offsets = _offsets(cut, group, ["__piece"], "__before").drop("__n")
     local = F.row_number().over(Window.partitionBy(*group, "__piece").orderBy(order))
@@ -77,12 +90,13 @@ def rank_by_hash(df: DataFrame, group: list[str], order: str, out: str, digits:
     )
 
 
-def first_by_hash(df: DataFrame, group: list[str], order: str, quota: str, digits: int = PIECE_DIGITS) -> DataFrame:
+def first_by_hash(df: DataFrame, group: list[str], order: str, quota: str, digits: int | None = None) -> DataFrame:
     """The ``quota`` rows of each group with the smallest digests.
 
     Pieces wholly beyond the quota are dropped before any sort; a window runs
     only over rows of pieces that start inside it.
     """
+    digits = digits or piece_digits(df, group)
     cut = df.withColumn("__piece", F.substring(order, 1, digits))
     offsets = _offsets(cut, group, ["__piece"], "__before")
     near = cut.join(offsets, [*group, "__piece"]).where(F.col("__before") < F.col(quota))
@@ -99,9 +113,10 @@ def first_by_hash(df: DataFrame, group: list[str], order: str, quota: str, digit
     )
 
 
-def next_by_hash(df: DataFrame, group: list[str], order: str, value: str, out: str, digits: int = PIECE_DIGITS) -> DataFrame:
+def next_by_hash(df: DataFrame, group: list[str], order: str, value: str, out: str, digits: int | None = None) -> DataFrame:
     """Value of the next row of the group by digest, wrapping round to the first;
     null in a group of one."""
+    digits = digits or piece_digits(df, group)
     cut = df.withColumn("__piece", F.substring(order, 1, digits))
     pieces = cut.groupBy(*group, "__piece").agg(
         F.count(F.lit(1)).alias("__n"), F.min_by(value, order).alias("__first")
@@ -157,16 +172,34 @@ def fingerprint_sql(cols: list[str], source: str, group: list[str] = (), out: st
 def nearest_rank(df: DataFrame, group: list[str], value: str, fractions: dict[str, float], upper_median: str | None = None) -> DataFrame:
     """Order statistics at ``round_half_even((n - 1) * q)`` from a histogram.
 
-    The distinct values are few next to the rows (they are counts), so the
-    running totals are taken over the histogram, not over the rows.
+    Running totals are taken over the histogram, not over the rows. Without groups
+    the histogram is cut at quantiles of its values into pieces, each summed by
+    itself and shifted by the sums of the pieces before, so a value that is nearly
+    different in every row does not meet in one task.
     """
     hist = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
-    part = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
+    if group:
+        part, before, total = Window.partitionBy(*group), F.lit(0), F.sum("__n").over(Window.partitionBy(*group))
+    else:
+        hist = materialised(hist, "histogram")
+        shares = [k / HISTOGRAM_PIECES for k in range(1, HISTOGRAM_PIECES)]
+        cuts = sorted(set(hist.agg(F.percentile_approx(value, shares)).first()[0] or []))
+        piece = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(value))) if cuts else F.lit(0)
+        hist = hist.withColumn("__piece", piece)
+        # At most HISTOGRAM_PIECES sums.
+        sums = {r["__piece"]: r["s"] for r in hist.groupBy("__piece").agg(F.sum("__n").alias("s")).collect()}
+        upto, shift = 0, {}
+        for k in sorted(sums):
+            shift[k] = upto
+            upto += sums[k]
+        pairs = [x for k, v in shift.items() for x in (F.lit(k), F.lit(v).cast("bigint"))]
+        before = F.create_map(*pairs)[F.col("__piece")] if pairs else F.lit(0)
+        part, total = Window.partitionBy("__piece"), F.lit(upto).cast("bigint")
     hist = hist.select(
         *group,
         F.col(value).alias("__v"),
-        F.sum("__n").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("__cum"),
-        F.sum("__n").over(part).alias("__total"),
+        (before + F.sum("__n").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).alias("__cum"),
+        total.alias("__total"),
     )
     picks = [
         F.min(F.when(F.col("__cum") > F.bround((F.col("__total") - 1) * F.lit(q)), F.col("__v"))).alias(name)

@@ -202,15 +202,23 @@ def sample_entities(customer: DataFrame) -> DataFrame:
 
 
 # --- choices ----------------------------------------------------------------
-def ranked_values(claims: Column) -> tuple[Column, Column]:
-    """Preferred values, else normal ones, sorted and distinct; and which it was."""
-
-    def of(rank):
-        return F.transform(F.filter(claims, lambda c: c["rank"] == rank), lambda c: c["value_id"])
-
-    preferred, normal = of("preferred"), of("normal")
-    basis = F.when(F.size(preferred) > 0, "preferred").when(F.size(normal) > 0, "normal").otherwise("missing")
-    return F.array_sort(F.array_distinct(F.when(F.size(preferred) > 0, preferred).otherwise(normal))), basis
+RANKS = {"preferred": 0, "normal": 1}
+
+
+def ranked_values(claims: DataFrame, key: str, value: str, rank: str) -> DataFrame:
+    """Long table (key, value, basis): a key's preferred values, else its normal ones; a
+    key without either keeps one row without value. The best rank of each value folds
+    before the shuffle, and a key with very many values stays many rows."""
+    place = F.lit(None).cast("int")
+    for name, number in RANKS.items():
+        place = F.when(F.col(rank) == name, number).otherwise(place)
+    ranked = claims.select(F.col(key), F.col(value), place.alias("__rank"))
+    values = ranked.where(F.col("__rank").isNotNull()).groupBy(key, value).agg(F.min("__rank").alias("__rank"))
+    best = ranked.groupBy(key).agg(F.min("__rank").alias("__best"))
+    named = F.when(F.col("__best") == 0, "preferred").when(F.col("__best") == 1, "normal").otherwise("missing")
+    # The best rank again among the values: only values of that rank stay.
+    kept = values.select(key, value, F.col("__rank").alias("__best"))
+    return best.join(kept, [key, "__best"], "left").select(key, value, named.alias("basis"))
 
 
 def preferred_site(sites: Column, order: list[str]) -> Column:

@@ -600,10 +600,9 @@ def subject_resolution(t):
 @query(
     "b32_rank_preference",
     """
-SELECT o_custkey AS person_id, CASE WHEN len(pref) > 0 THEN array_to_string(list_sort(pref), '|') ELSE array_to_string(list_sort(norm), '|') END AS vals,
-  CASE WHEN len(pref) > 0 THEN 'preferred' WHEN len(norm) > 0 THEN 'normal' ELSE 'missing' END AS basis
-FROM (SELECT o_custkey, coalesce(list(DISTINCT v) FILTER (WHERE r = 'preferred'), []) AS pref, coalesce(list(DISTINCT v) FILTER (WHERE r = 'normal'), []) AS norm
-  FROM (SELECT o_custkey, 'Q' || (o_orderkey % 13) AS v, CASE WHEN o_orderkey % 23 = 0 THEN 'preferred' WHEN o_orderkey % 5 = 0 THEN 'deprecated' ELSE 'normal' END AS r FROM orders) GROUP BY 1)""",
+WITH c AS (SELECT o_custkey AS person_id, 'Q' || (o_orderkey % 13) AS value_id, CASE WHEN o_orderkey % 23 = 0 THEN 'preferred' WHEN o_orderkey % 5 = 0 THEN 'deprecated' ELSE 'normal' END AS r FROM orders),
+b AS (SELECT person_id, CASE WHEN bool_or(r = 'preferred') THEN 'preferred' WHEN bool_or(r = 'normal') THEN 'normal' ELSE 'missing' END AS basis FROM c GROUP BY 1)
+SELECT DISTINCT b.person_id, c.value_id, basis FROM b LEFT JOIN c ON c.person_id = b.person_id AND c.r = basis""",
 )
 def rank_preference(t):
     key = F.col("o_orderkey")
@@ -612,10 +611,7 @@ def rank_preference(t):
         F.concat(F.lit("Q"), (key % 13).cast("string")).alias("value_id"),
         F.when(key % 23 == 0, "preferred").when(key % 5 == 0, "deprecated").otherwise("normal").alias("rank"),
     )
-    # Distinct values first: the vocabulary of values bounds each list.
-    lists = values.groupBy("person_id").agg(F.collect_set(F.struct("rank", "value_id")).alias("claims"))
-    picked, basis = shaping.ranked_values(F.col("claims"))
-    return lists.select("person_id", picked.alias("vals"), basis.alias("basis"))
+    return shaping.ranked_values(values, "person_id", "value_id", "rank")
 
 
 @query(

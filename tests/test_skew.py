@@ -258,3 +258,24 @@ def test_macro_f1_of_absent_class_is_zero(spark):
     row = V.classification(df, ["g"], ["a", "b", "c"]).first()
     assert row.macro_f1 == pytest.approx((2 / 3 + 2 / 3 + 0) / 3)
     assert row.accuracy == pytest.approx(2 / 3) and row.balanced_accuracy == pytest.approx(0.75)
+
+
+def test_pieces_follow_the_largest_group(spark):
+    hot = spark.range(3000).select(F.lit("hot").alias("g"), F.col("id"))
+    rows = hot.unionByName(spark.range(5).select(F.lit("cold").alias("g"), F.col("id"))).withColumn("h", scale.hash_order(F.col("id")))
+    assert scale.piece_digits(rows, ["g"]) == 1 and scale.piece_digits(rows, ["g"], rows=10) == 3
+    assert scale.piece_digits(rows.where("id < 0"), ["g"]) == 1
+    got = {(r.g, r.id): r.n for r in scale.rank_by_hash(rows, ["g"], "h", "n", digits=scale.piece_digits(rows, ["g"], rows=10)).collect()}
+    for g, n in (("hot", 3000), ("cold", 5)):
+        order = sorted(range(n), key=lambda i: digest(i))
+        assert [got[(g, i)] for i in order] == list(range(1, n + 1))
+
+
+def test_order_statistics_without_groups(spark):
+    rng = random.Random(6)
+    values = [rng.gauss(0, 1) for _ in range(4000)] + [0.5] * 2000
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    got = scale.nearest_rank(df, [], "v", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}).first()
+    order = sorted(values)
+    assert [got[c] for c in "abcde"] == [order[round((len(order) - 1) * q)] for q in (0.0, 0.25, 0.5, 0.99, 1.0)]
+    assert scale.nearest_rank(df.where("v > 99"), [], "v", {"a": 0.5}).count() <= 1
