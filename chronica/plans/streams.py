@@ -24,7 +24,19 @@ def _paths(t, label):
     return f"{root}/in", f"{root}/out", f"{root}/checkpoint"
 
 
-@query("x01_chunk_ingest", "SELECT CAST(c AS INTEGER) AS chunk, CASE WHEN c = 6 THEN 0 ELSE (SELECT count(*) FROM events WHERE event_id % 5 = c) END AS row_count, CASE c WHEN 6 THEN 'missing' WHEN 4 THEN 'checksum_mismatch' ELSE 'accepted' END AS status FROM (VALUES (0), (1), (2), (3), (4), (6)) v(c)")
+CHUNKED_SQL = "SELECT *, CAST(event_id % 5 AS INTEGER) AS chunk FROM events"
+
+
+@query(
+    "x01_chunk_ingest",
+    f"""
+WITH arrived AS ({CHUNKED_SQL} UNION ALL SELECT * FROM ({CHUNKED_SQL}) WHERE event_id % 10 = 3),
+once AS (SELECT DISTINCT {', '.join(COLS)}, chunk FROM arrived),
+observed AS ({scale.fingerprint_sql(COLS, "once", ["chunk"])}),
+manifest AS (SELECT chunk, CASE WHEN chunk = 4 THEN '0' ELSE fingerprint END AS expected FROM ({scale.fingerprint_sql(COLS, f"({CHUNKED_SQL})", ["chunk"])}) UNION ALL SELECT 6, '0')
+SELECT m.chunk, coalesce(row_count, 0) AS row_count, CASE WHEN fingerprint IS NULL THEN 'missing' WHEN fingerprint = expected THEN 'accepted' ELSE 'checksum_mismatch' END AS status
+FROM manifest m LEFT JOIN observed o ON o.chunk = m.chunk""",
+)
 def chunk_ingest(t):
     """Chunks land through a stream; the manifest has one wrong and one more."""
     source, target, checkpoint = _paths(t, "chunks")
