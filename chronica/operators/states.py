@@ -270,9 +270,10 @@ def academic_states(works: DataFrame, order: list[str], materialise: bool = True
     """Works, authorship, fields and institutions per person and year.
 
     Expects ``institution_ids`` and ``institution_countries`` as arrays. Among
-    equally frequent fields or institutions the first seen dominates. The few
-    columns used are written once, so that whatever joins produced the works are
-    not repeated for each feature; every aggregation combines before its shuffle.
+    equally frequent fields or institutions the first seen dominates. The works are
+    read three times: for counts, fields and institutions. Fields and institutions fold
+    to one small table of items per person and year, which is written once, and every
+    feature of items comes from two aggregations over it.
     """
     rows = works.select(
         "person_id", "year", F.coalesce("field_id", F.lit("unknown")).alias("field_id"),
@@ -280,42 +281,38 @@ def academic_states(works: DataFrame, order: list[str], materialise: bool = True
     )
     if materialise:
         rows = materialised(rows, "works")
-    base = rows.groupBy("person_id", "year").agg(
+    on = ["person_id", "year"]
+    base = rows.groupBy(*on).agg(
         F.count(F.lit(1)).alias("works_count"),
         F.count_if("is_first").alias("first_author_count"),
         F.count_if("is_corresponding").alias("corresponding_count"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("institution_countries")))).alias("unique_institution_countries"),
     )
-    at = F.struct(*order)
-    fields = rows.groupBy("person_id", "year", F.col("field_id").alias("item")).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("at"))
-    sites = rows.select("person_id", "year", *order, F.posexplode("institution_ids").alias("pos", "item")).groupBy("person_id", "year", "item").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order, "pos")).alias("at")
-    )
-    countries = rows.select("person_id", "year", F.explode("institution_countries").alias("c")).groupBy("person_id", "year").agg(
-        F.size(F.collect_set("c")).alias("unique_institution_countries")
-    )
-
-    def dominant(items, name):
-        return items.groupBy("person_id", "year").agg(F.min(F.struct((-F.col("n")).alias("m"), "at", "item")).alias("d")).select(
-            "person_id", "year", F.col("d.item").alias(name)
-        )
-
-    known = fields.where(F.col("item") != "unknown")
-    spread = known.groupBy("person_id", "year").agg(
-        F.count(F.lit(1)).alias("unique_fields"), F.sum("n").alias("__n"), F.sum(_clnc(F.col("n"))).alias("__clnc")
-    )
-    counted = sites.groupBy("person_id", "year").agg(F.count(F.lit(1)).alias("unique_institutions"))
-    on = ["person_id", "year"]
-    joined = (
-        year_grid(base)
-        .join(base, on, "left")
-        .join(spread, on, "left")
-        .join(counted, on, "left")
-        .join(countries, on, "left")
-        .join(dominant(fields, "dominant_field_id"), on, "left")
-        .join(dominant(sites, "dominant_institution_id"), on, "left")
-        .join(first_seen(known, "item").withColumnRenamed("n", "__new_fields"), on, "left")
-        .join(first_seen(sites, "item").withColumnRenamed("n", "__new_sites"), on, "left")
+    listed = {
+        "field": rows.select(*on, *order, F.lit(0).alias("pos"), F.col("field_id").alias("item")),
+        "site": rows.select(*on, *order, F.posexplode("institution_ids").alias("pos", "item")),
+    }
+    items = None
+    for kind, part in listed.items():
+        folded = part.groupBy(*on, "item").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order, "pos")).alias("at"))
+        folded = folded.select(*on, F.lit(kind).alias("kind"), "item", "n", "at")
+        items = folded if items is None else items.unionByName(folded)
+    if materialise:
+        items = materialised(items, "items")
+    site, field = F.col("kind") == "site", F.col("kind") == "field"
+    known = field & (F.col("item") != "unknown")
+    place = F.struct((-F.col("n")).alias("m"), "at", "item")
+    per_year = items.groupBy(*on).agg(
+        F.count_if(known).alias("unique_fields"),
+        F.sum(F.when(known, F.col("n"))).alias("__n"),
+        F.sum(F.when(known, _clnc(F.col("n")))).alias("__clnc"),
+        F.count_if(site).alias("unique_institutions"),
+        F.min(F.when(field, place))["item"].alias("dominant_field_id"),
+        F.min(F.when(site, place))["item"].alias("dominant_institution_id"),
     )
+    fresh = items.where(site | known).groupBy("person_id", "kind", "item").agg(F.min("year").alias("year"))
+    fresh = fresh.groupBy(*on).agg(F.count_if(field).alias("__new_fields"), F.count_if(site).alias("__new_sites"))
+    joined = year_grid(base).join(base, on, "left").join(per_year, on, "left").join(fresh, on, "left")
     counts = ["works_count", "first_author_count", "corresponding_count", "unique_institutions", "unique_institution_countries", "unique_fields", "__n", "__new_fields", "__new_sites"]
     joined = joined.na.fill(0, counts).na.fill(0.0, ["__clnc"])
     person = Window.partitionBy("person_id").orderBy("year")
