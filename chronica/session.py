@@ -23,6 +23,8 @@ RUNTIME_CONF = {
     # before an aggregation has to sort.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.session.timeZone": "UTC",
+    # Rows that a Python worker receives at a time: texts can be long.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
