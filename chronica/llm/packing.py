@@ -28,8 +28,9 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 
-# Words remembered by one Python worker before it starts afresh.
+# Chunks and parts of chunks remembered by one Python worker before it starts afresh.
 MEMORY_WORDS = 1_000_000
+MEMORY_PARTS = 250_000
 _PUNCTUATION = ".,;:!?%*&#$|\"()[]"
 
 
@@ -93,8 +94,10 @@ class Vocabulary:
         data, offsets = textbytes.utf8(column)
         starts, ends, first = textbytes.spans((data != 32) & (data != 10), offsets)
         keys, at, which = np.unique(textbytes.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > MEMORY_WORDS or len(self.parts) > MEMORY_WORDS:
+        if len(self.keys) + len(keys) > MEMORY_WORDS:
             self.reset()
+        if len(self.parts) > MEMORY_PARTS:
+            self.parts = {"": b""}
         where = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
         inside = where < len(self.keys)

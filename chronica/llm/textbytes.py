@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text that one step holds at a time; a longer single document is one step.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 # Odd multipliers of the hashes: fixed so that every run and executor agrees.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 2)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)

@@ -152,8 +152,8 @@ def fit(word: np.ndarray, first: np.ndarray, toxic: np.ndarray, words: int):
     for a, b in batches(first, TRAIN_WORDS):
         own, inside = first[a : b + 1] - first[a], slice(first[a], first[b])
         begins = own[:-1][np.diff(own) > 0]
-        follows = np.setdiff1d(np.arange(own[-1]), begins)
-        parts.append((word[inside], toxic[inside].astype(float), Layout(own), begins, follows))
+        follows = np.setdiff1d(np.arange(own[-1]), begins).astype(np.int32)
+        parts.append((word[inside], toxic[inside], Layout(own), begins, follows))
     rows = max(1, sum(len(begins) for *_, begins, _ in parts))
     seen = np.zeros((2, 2))
     for _, y, _, _, follows in parts:
@@ -215,6 +215,13 @@ def distinct_rows(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return keep
 
 
+def hashed(column: pa.Array, rows: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a column and each row's first word, a few rows at a time."""
+    parts = [textbytes.word_hashes(column[k : k + rows]) for k in range(0, len(column), rows)]
+    counts = np.concatenate([[0], *[np.diff(first) for _, first in parts]])
+    return np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in parts]]), np.cumsum(counts)
+
+
 def train(rows: list[tuple[str, int]]) -> Field:
     """Fit the field and its calibration; without rows of both labels the score is constant."""
     column = pa.array([t for t, _ in rows], pa.string())
@@ -223,11 +230,12 @@ def train(rows: list[tuple[str, int]]) -> Field:
     if len(set(label.tolist())) < 2:
         rate = (label.sum() + 1) / (len(label) + 2)
         return Field(none, np.zeros(0), -12.0, np.zeros((2, 2)), 0.0, np.array([0, 0, 0, np.log(rate / (1 - rate))]))
-    hashes, first = textbytes.word_hashes(column)
+    hashes, first = hashed(column)
     known, word = np.unique(hashes, return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), np.diff(first))
+    word = word.reshape(-1).astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(first))
     kept = distinct_rows(hashes, first)
-    at_word, at_row = np.divmod(np.unique((word * len(rows) + row)[kept[row]]), len(rows))
+    at_word, at_row = np.divmod(np.unique(word[kept[row]] * np.int64(len(rows)) + row[kept[row]]), len(rows))
     hot = np.bincount(at_word, label[at_row], len(known))
     cold = np.bincount(at_word, ~label[at_row], len(known))
     bad, good = max(1, (kept & label).sum()), max(1, (kept & ~label).sum())
@@ -235,7 +243,7 @@ def train(rows: list[tuple[str, int]]) -> Field:
     toxic = lexicon[word] & label[row]
     # Words of one document share the weight of unknown words.
     rare = (hot + cold < 2) & ~lexicon
-    number = np.where(rare, 0, np.cumsum(~rare))
+    number = np.where(rare, 0, np.cumsum(~rare)).astype(np.int32)
     weight, moves, start = fit(number[word], first, toxic, int((~rare).sum()) + 1)
     field = Field(known[~rare], weight[number[~rare]], float(weight[0]), moves, start, np.zeros(4))
     seen = []
