@@ -30,7 +30,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 # Chunks and parts of chunks remembered by one Python worker before it starts afresh.
 MEMORY_WORDS = 1_000_000
-MEMORY_PARTS = 250_000
+MEMORY_PARTS = 600_000
 _PUNCTUATION = ".,;:!?%*&#$|\"()[]"
 
 
