@@ -1,12 +1,13 @@
-"""Near duplicates by ProbMinHash over weighted shingles, banding and exact verification.
+"""Near duplicates by ProbMinHash over shingles, banding and exact verification.
 
-A document is its five-word shingles weighted by their counts. Each shingle emits a
-Poisson process of points at a rate of its weight; a point is a time and a register,
-drawn from the shingle's own hash, so all documents see the same process at their own
-pace. A register keeps the shingle that reaches it first. Two documents agree in a
-register with the probability Jaccard similarity of their weights. A shingle stops as
-soon as its next point is later than the latest register, so long documents
-cost little more than one point per shingle.
+A document is its set of five-word shingles. Each shingle emits a Poisson process of
+points at a rate of its weight; a point is a time and a register, drawn from the
+shingle's own hash, so all documents see the same process at their own pace. A register
+keeps the shingle that reaches it first. Two documents agree in a register with the
+probability Jaccard similarity of their weights. Every distinct shingle weighs one here,
+however often it is repeated, so that this is the Jaccard similarity of the sets, which
+verification asks for. A shingle stops as soon as its next point is later than the latest
+register, so long documents cost little more than one point per shingle.
 
 Exact copies (equal sequences of words) fold into one representative first. Bands of
 registers give buckets. In each bucket the most connected member is the hub, and
@@ -80,8 +81,8 @@ def sketched(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in textbytes.slices(batch):
                 words, first = textbytes.word_hashes(part.column("text"))
-                h, o, w = weighted(*textbytes.shingles(words, first, WIDTH))
-                sign = signatures(h, o, w.astype(np.float64), part.num_rows)
+                h, o, _ = weighted(*textbytes.shingles(words, first, WIDTH))
+                sign = signatures(h, o, np.ones(len(h)), part.num_rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),

@@ -73,6 +73,23 @@ def test_classes_equal_brute_force(spark, monkeypatch, seed, block):
     assert sorted(tuple(r) for r in got) == by_hand(list(enumerate(texts)))
 
 
+def test_repeated_lines_do_not_part_near_copies(spark):
+    """A last line that a copy repeats 80 or 160 times leaves the sets of shingles nearly equal."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        words = passage(rng, 500)
+        line = passage(rng, 8)
+        texts += [" ".join(words + line * n) for n in (1, 80, 160)]
+    # A bucket of many, where all but the hub's own have the line at other counts.
+    words, line = passage(rng, 500), passage(rng, 8)
+    texts += [" ".join(edited(rng, words, 3) + line * rng.choice([1, 40, 80, 160])) for _ in range(30)]
+    got = near_dedup.classes(helpers.documents(spark, texts)).collect()
+    want = by_hand(list(enumerate(texts)))
+    assert len({c for _, c in want}) == 13
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(0)
     names = textbytes.mix(np.arange(1, 401, dtype=np.uint64))
