@@ -6,8 +6,8 @@ patterns, and reports a weak part only where a complementary part lies in its sc
 an identifier or an endpoint near a secret, a weak secret near an identifier or an
 endpoint. The scope is a distance of ``SCOPE`` code points.
 
-The link is an interval join. Positions are cut into cells as wide as the scope;
-per document, cell and class only the outermost ends are kept, and a weak part meets
+The link is an interval join. Positions are cut into cells one wider than the scope, so
+that parts a whole scope apart still lie in neighbouring cells; per document, cell and class only the outermost ends are kept, and a weak part meets
 its own cell and the two beside it. So a document with very many parts gives each of
 them three lookups and never a pair of parts. All of it is column expressions.
 """
@@ -86,12 +86,13 @@ def parts(docs: DataFrame) -> DataFrame:
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """key and linked: the weak spans of each document with a complementary part in scope."""
     open_rows = found.where(F.size("weak") > 0).select("key", "base", "weak").dropDuplicates(["key"])
+    width = scope + 1
     kind_class = F.element_at(F.array(*[F.lit(CLASS[k]) for k in KINDS]), F.col("p.kind") + 1)
     each = open_rows.select("key", F.explode(F.concat("base", "weak")).alias("p")).select(
-        "key", "p", kind_class.alias("class"), F.floor(F.col("p.start") / scope).alias("cell")
+        "key", "p", kind_class.alias("class"), F.floor(F.col("p.start") / width).alias("cell")
     )
     # Ends can lie in later cells than starts, so a part is kept in each cell it touches.
-    touched = each.withColumn("cell", F.explode(F.sequence("cell", F.floor((F.col("p.end") - 1) / scope))))
+    touched = each.withColumn("cell", F.explode(F.sequence("cell", F.floor((F.col("p.end") - 1) / width))))
     cells = touched.groupBy("key", "class", "cell").agg(F.min("p.start").alias("low"), F.max("p.end").alias("high"))
     # One row per class and cell that wants it: every class beside each cell.
     around = cells.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
@@ -99,7 +100,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak = (
         each.where(F.col("p.kind") >= 3)
         .withColumn("class", F.explode(wanted[F.col("class")]))
-        .withColumn("cell", F.explode(F.sequence("cell", F.floor((F.col("p.end") - 1) / scope))))
+        .withColumn("cell", F.explode(F.sequence("cell", F.floor((F.col("p.end") - 1) / width))))
     )
     gap = F.greatest(F.col("low") - F.col("p.end"), F.col("p.start") - F.col("high"))
     near = weak.join(around, ["key", "class", "cell"]).where(gap <= scope)

@@ -55,6 +55,20 @@ def test_against_brute_force(spark):
             assert got[i] == by_hand(t, scope), (scope, t)
 
 
+def test_parts_exactly_a_scope_apart(spark):
+    """At every offset in a cell, in both orders, parts link at the scope and not one beyond."""
+    scope, weak, hard = 32, "u@b.example", "deadbeefdeadbeefdead"
+    texts = []
+    for gap in (scope, scope + 1):
+        for at in range(2 * scope + 2):
+            texts += ["." * at + " " + a + " " * gap + b for a, b in ((weak, hard), (hard, weak))]
+    rows = secret_scan.digest(secret_scan.scan(helpers.documents(spark, texts), scope)).collect()
+    got = {r.doc_id: tuple(r)[1:] for r in rows}
+    for i, t in enumerate(texts):
+        assert got[i] == by_hand(t, scope), t
+        assert ("identifier" in got[i][4]) == (i < len(texts) // 2)
+
+
 def test_hostile_and_empty_tables(spark):
     rows = secret_scan.digest(secret_scan.scan(helpers.hostile(spark))).collect()
     want = by_hand("", 1)
