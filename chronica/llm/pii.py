@@ -22,6 +22,8 @@ from chronica.llm import native
 ROUNDS = 8
 # Characters of one network: halves stay below 10**10 and 26**9.
 BLOCK = 18
+# Digits of the shortest card number.
+LEAST_CARD = 13
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 # 400 Gregorian years from 1800 have 146097 = 189 * 773 days.
 EPOCH, DAY_SPLIT = "1800-01-01", (189, 773)
@@ -118,11 +120,32 @@ def luhn_digit(body: Column) -> Column:
 
 
 def _card(t: Column, key: Column, undo: bool) -> Column:
+    """The longest reading that is valid: the whole match, or what ends before one of its separators."""
     digits = _only(t, "0-9")
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    valid = luhn_digit(body) == F.substring(digits, -1, 1)
-    fresh = native.bind(_permuted(body, DIGITS, key, F.lit("card"), undo), lambda p: F.concat(p, luhn_digit(p)))
-    return F.when(valid, _refilled(t, fresh, "0-9"))
+    first = lambda text, n: F.substring(text, F.lit(1), n)
+    valid = lambda text, n: luhn_digit(first(text, n - 1)) == F.substring(text, n, F.lit(1))
+    ends = F.filter(
+        F.sequence(F.length(t), F.lit(LEAST_CARD), F.lit(-1)),
+        lambda p: (p == F.length(t)) | F.substring(t, p + 1, F.lit(1)).isin(" ", "-"),
+    )
+    sizes = F.filter(F.transform(ends, lambda p: F.length(_only(first(t, p), "0-9"))), lambda n: n >= LEAST_CARD)
+
+    def replaced(sizes: Column, size: Column) -> Column:
+        longer, rest = F.filter(sizes, lambda n: n > size), F.substring(digits, size + 1, F.length(digits))
+        whole = lambda body: F.concat(body, luhn_digit(body), rest)
+        state = lambda body, go: F.struct(body.alias("body"), go.alias("go"))
+
+        def step(s: Column, _: Column) -> Column:
+            # The network goes on until no longer reading is valid, so that the pseudonym is read alike.
+            wrong = lambda body: native.bind(whole(body), lambda w: F.exists(longer, lambda n: valid(w, n)))
+            fresh = _permuted(s["body"], DIGITS, key, F.lit("card"), undo)
+            return F.when(s["go"], native.bind(fresh, lambda body: state(body, wrong(body)))).otherwise(s)
+
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(200)), state(first(digits, size - 1), F.lit(True)), step)
+        return F.when(size.isNotNull(), native.bind(walked, lambda s: _refilled(t, whole(s["body"]), "0-9")))
+
+    longest = lambda sizes: F.get(F.filter(sizes, lambda n: valid(digits, n)), F.lit(0))
+    return native.bind(sizes, lambda s: native.bind(longest(s), lambda n: replaced(s, n)))
 
 
 def _phone(t: Column, key: Column, undo: bool) -> Column:
