@@ -42,11 +42,12 @@ class Vocabulary:
     ids lie in one pool, from which whole documents are gathered at once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Their strings in a text are ordinary text, unless they are wanted as the file has them.
+        self.tokenizer.encode_special_tokens = not special
         self.reset()
 
     def reset(self) -> None:
@@ -120,13 +121,13 @@ class Vocabulary:
         return ids, np.concatenate([[0], close])
 
 
-_VOCABULARIES: dict[str, Vocabulary] = {}
+_VOCABULARIES: dict[tuple[str, bool], Vocabulary] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = Vocabulary(path)
-    return _VOCABULARIES[path]
+def vocabulary(path: str, special: bool = False) -> Vocabulary:
+    if (path, special) not in _VOCABULARIES:
+        _VOCABULARIES[path, special] = Vocabulary(path, special)
+    return _VOCABULARIES[path, special]
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -141,18 +142,19 @@ def tokenizer_path(path: str | None) -> str:
 PIECE = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint"
 
 
-def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, special: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens of every document.
 
     ``part`` and ``rank`` number the pieces of one length inside a task, so that
     a global rank needs only the counts per task and length. Null texts are empty
-    and give one piece of the end id; repeated rows are documents of their own.
+    and give one piece of the end id; repeated rows are documents of their own. With
+    ``special``, strings of special tokens in a text have the ids of these tokens.
     """
     id_type = dict(docs.dtypes)["doc_id"]
     schema = PIECE.format(id=id_type) + (", ids array<bigint>" if keep_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(tokenizer_path(path))
+        words = vocabulary(tokenizer_path(path), special)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
@@ -256,7 +258,7 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(steps), dtype=np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, special: bool = False) -> DataFrame:
     """Every piece with its sequence and its offset there.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids
@@ -264,7 +266,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, kee
     gives no rows; null and repeated ids keep their rows; other columns are not
     read, so their names cannot clash.
     """
-    pieces = session.materialised(tokenised(docs, path, capacity, keep_ids), "pieces")
+    pieces = session.materialised(tokenised(docs, path, capacity, keep_ids, special), "pieces")
     counted = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     # At most `capacity` rows, whatever the number of documents.
     totals = counted.groupBy("length").agg(F.sum("n").alias("n")).collect()

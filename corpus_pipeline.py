@@ -37,7 +37,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 4096 tokens."""
     session.tune(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, special=True)
 
 
 STAGES = [

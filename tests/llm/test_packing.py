@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from chronica.llm import packing
+from chronica.llm import packing, queries
 from tests.llm import helpers
 
 ODD = ["It's we'll 'tis A1b2 x²", "ÉtÉ ßTRAßE İstanbul ẞ", "<|endoftext|> <|startoftext|>x", "中文 áb  \x85 q\r\nz", "one...two,,three!! $$$%%% ()[]", "  ", "\n", "aªºµ B"]
@@ -68,6 +68,16 @@ def test_ids_equal_the_tokenizer(spark):
         assert zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"]
 
 
+def test_query_ids_are_those_of_the_file_as_it_is(spark, tmp_path):
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [*ODD, "hello <|endoftext|> world", "a<|endoftext|>b", "<|startoftext|>...", "x <|endoftext|>\n<|startoftext|>"]
+    helpers.documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_best_fit_packing(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array(tok.encode(t, add_special_tokens=False).ids + [1], dtype="<u4")
+        assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), t
+
+
 def test_sequences_have_no_gaps(spark):
     df = helpers.hostile(spark)
     packed = packing.pack(df, capacity=50, keep_ids=True)
