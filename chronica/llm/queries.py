@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronica import session
-from chronica.llm import decontamination, near_dedup, packing, pii, quality, secret_scan, suffix_dedup, syncmers, toxicity, warc
+from chronica.llm import decontamination, merkle, near_dedup, packing, pii, quality, secret_scan, suffix_dedup, syncmers, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -104,3 +104,71 @@ def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated strings of 400 bytes removed from all documents."""
     return suffix_dedup.dedup(read(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, some of them tampered with."""
+    out = merkle.manifest(read(spark, sf_dir, "documents"), tampered=merkle.tampered_leaf())
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+# The checksum goes bit by bit: DuckDB has no crc32. Levels are built by recursion, and every leaf
+# meets the nodes of its run at each level.
+TWINS["op11_merkle_manifest"] = """
+WITH RECURSIVE bits AS (
+  SELECT doc_id, flatten([[CAST(((ascii(c) >> b) & 1) AS BIGINT) FOR b IN range(8)] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]) AS b
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+), sums AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+    lambda acc, x: xor(acc >> 1, (xor(acc, x) & 1) * 3988292384)), 4294967295) AS crc FROM bits
+), fields AS (
+  SELECT d.doc_id, coalesce('=' || d.source, '') AS grp,
+    coalesce(strlen(CAST(d.doc_id AS VARCHAR)) || ':' || d.doc_id, '-') || coalesce(strlen(d.source) || ':' || d.source, '-')
+      || coalesce(strlen(d.lang) || ':' || d.lang, '-') || coalesce(strlen(CAST(d.n_chars AS VARCHAR)) || ':' || d.n_chars, '-') AS head,
+    d.text, coalesce(s.crc % 5 = 0, false) AS hit
+  FROM documents d LEFT JOIN sums s ON s.doc_id = d.doc_id
+), hashes AS (
+  SELECT doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || CASE WHEN hit
+      THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS changed
+  FROM fields
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS size FROM hashes
+), lower_tree AS (
+  SELECT grp, size, 0 AS lvl, CAST(1 AS HUGEINT) AS span, pos, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT grp, size, lvl + 1, span * 16, pos // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM lower_tree WHERE size > span GROUP BY grp, size, lvl, span, pos // 16
+), subroots AS (
+  SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS size FROM lower_tree WHERE size <= span
+), upper_tree AS (
+  SELECT size, 0 AS lvl, CAST(1 AS HUGEINT) AS span, pos, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT size, lvl + 1, span * 16, pos // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM upper_tree WHERE size > span GROUP BY size, lvl, span, pos // 16
+), root AS (
+  SELECT digest AS root FROM upper_tree WHERE size <= span
+), lower_steps AS (
+  SELECT l.grp, l.pos, n.lvl, coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (WHERE n.pos < l.pos // n.span), '') AS lefts,
+    coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (WHERE n.pos > l.pos // n.span), '') AS rights
+  FROM leaves l JOIN lower_tree n ON n.grp = l.grp AND n.size > n.span AND n.pos // 16 = l.pos // (n.span * 16) GROUP BY 1, 2, 3
+), upper_steps AS (
+  SELECT s.grp, n.lvl, coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (WHERE n.pos < s.pos // n.span), '') AS lefts,
+    coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (WHERE n.pos > s.pos // n.span), '') AS rights
+  FROM subroots s JOIN upper_tree n ON n.size > n.span AND n.pos // 16 = s.pos // (n.span * 16) GROUP BY 1, 2
+), paths AS (
+  SELECT l.grp, l.pos, coalesce(a.lefts, []) || coalesce(b.lefts, []) AS lefts, coalesce(a.rights, []) || coalesce(b.rights, []) AS rights
+  FROM leaves l
+  LEFT JOIN (SELECT grp, pos, list(lefts ORDER BY lvl) AS lefts, list(rights ORDER BY lvl) AS rights FROM lower_steps GROUP BY 1, 2) a ON a.grp = l.grp AND a.pos = l.pos
+  LEFT JOIN (SELECT grp, list(lefts ORDER BY lvl) AS lefts, list(rights ORDER BY lvl) AS rights FROM upper_steps GROUP BY 1) b ON b.grp = l.grp
+), folds AS (
+  SELECT l.grp, l.pos, 0 AS k, l.changed AS node, p.lefts, p.rights FROM leaves l JOIN paths p ON p.grp = l.grp AND p.pos = l.pos
+  UNION ALL
+  SELECT grp, pos, k + 1, sha256(lefts[k + 1] || node || rights[k + 1]), lefts, rights FROM folds WHERE k < len(lefts)
+)
+SELECT l.doc_id, l.leaf, s.subroot, r.root,
+  sha256(array_to_string(list_transform(range(len(f.lefts)), lambda i: f.lefts[i + 1] || f.rights[i + 1]), '')) AS proof_sha256,
+  f.node AS folded_root, f.node = r.root AS verified
+FROM leaves l JOIN folds f ON f.grp = l.grp AND f.pos = l.pos AND f.k = len(f.lefts) JOIN subroots s ON s.grp = l.grp, root r
+"""
