@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronica import session
-from chronica.llm import decontamination, merkle, near_dedup, packing, pii, quality, secret_scan, suffix_dedup, syncmers, toxicity, warc
+from chronica.llm import decontamination, merkle, near_dedup, packing, phrases, pii, quality, secret_scan, suffix_dedup, syncmers, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -172,3 +172,42 @@ SELECT l.doc_id, l.leaf, s.subroot, r.root,
   f.node AS folded_root, f.node = r.root AS verified
 FROM leaves l JOIN folds f ON f.grp = l.grp AND f.pos = l.pos AND f.k = len(f.lefts) JOIN subroots s ON s.grp = l.grp, root r
 """
+
+
+@query
+def op12_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of 2 to 4 words of every language of all documents."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+TWINS["op12_setm_phrases"] = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, words FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest([list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '')
+      FOR p IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')]) AS words
+    FROM documents)
+), grams AS (
+  SELECT lang, len, array_to_string(words[i:i + len - 1], ' ') AS phrase
+  FROM (SELECT lang, words, len, unnest(range(1, len(words) - len + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS len) AS lens)
+), totals AS (
+  SELECT lang, count(*) AS n FROM grams WHERE len = 1 GROUP BY lang
+), f AS (
+  SELECT lang, len, phrase, CAST(count(*) AS HUGEINT) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, (2000000 * c.a) // (x.a + y.a) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, len)) AS k FROM f WHERE len > 1) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(1, len - m + 2)) AS s FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(2, len)) AS m FROM f WHERE len > 2))
+), kept AS (
+  SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM inner_parts p WHERE p.lang = s.lang AND p.phrase = s.phrase AND 100 * p.a >= 80 * s.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
