@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronica import session
-from chronica.llm import decontamination, merkle, near_dedup, packing, phrases, pii, quality, secret_scan, suffix_dedup, syncmers, toxicity, warc
+from chronica.llm import decontamination, merkle, near_dedup, packing, phrases, pii, quality, secret_scan, suffix_dedup, syncmers, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -211,3 +211,25 @@ WITH pieces AS (
 SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
 FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op13_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every vector whose id 50 divides."""
+    return topk.search(topk.build(read(spark, sf_dir, "embeddings")))
+
+
+TWINS["op13_pivot_topk"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (
+  SELECT r AS qr, vec_id AS query_id, i, e[i] AS x FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM v WHERE vec_id % 50 = 0)
+), c AS (
+  SELECT r, vec_id, i, e[i] AS x FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM v)
+), s AS (
+  SELECT qr, query_id, r, vec_id, sum(q.x * c.x) AS score FROM q JOIN c USING (i) WHERE qr <> r GROUP BY ALL
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
