@@ -8,6 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,15 +132,36 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialised(df: DataFrame, label: str = "table") -> DataFrame:
     """Cut lineage by writing a relation to the shared folder and reading it back.
 
     A written table is computed once, where a checkpoint computes its rows twice,
-    and its readers still prune columns.
+    and its readers still prune columns. It goes with the driver's process, or by ``discard``.
     """
-    path = scratch_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place, store = _place(spark, path)
+    store.deleteOnExit(place)
+    rows = spark.read.schema(df.schema).parquet(path)
+    _PATHS[rows] = path
+    return rows
+
+
+def discard(rows: DataFrame) -> None:
+    """Delete a table of ``materialised`` that nothing reads any more."""
+    path = _PATHS.pop(rows, None)
+    if path:
+        place, store = _place(rows.sparkSession, path)
+        store.delete(place, True)
 
 
 _STAGED: dict[tuple, tuple[str, StructType]] = {}
@@ -157,6 +179,8 @@ def staged(spark: SparkSession, key: str, make, cluster: str = "person_id", inpu
         path = scratch_path(spark, "staged")
         rows = make()
         rows.hint("rebalance", cluster).write.parquet(path)
+        place, store = _place(spark, path)
+        store.deleteOnExit(place)
         _STAGED[slot] = (path, rows.schema)
     path, schema = _STAGED[slot]
     return spark.read.schema(schema).parquet(path)
@@ -166,5 +190,5 @@ def release(spark: SparkSession) -> None:
     """Delete the staged tables of this application; DataFrames over them end with it."""
     application = spark.sparkContext.applicationId
     for slot in [s for s in _STAGED if s[0] == application]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop(slot)[0])
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        place, store = _place(spark, _STAGED.pop(slot)[0])
+        store.delete(place, True)
