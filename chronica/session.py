@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import shutil
@@ -156,12 +157,19 @@ def materialised(df: DataFrame, label: str = "table") -> DataFrame:
     return rows
 
 
-def discard(rows: DataFrame) -> None:
-    """Delete a table of ``materialised`` that nothing reads any more."""
-    path = _PATHS.pop(rows, None)
-    if path:
-        place, store = _place(rows.sparkSession, path)
-        store.delete(place, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialised`` that nothing reads any more.
+
+    Spark deletes the shuffle files of finished jobs when the driver collects its garbage, which
+    idle drivers seldom do, so it is asked to: a round's files need not outlive the round."""
+    for rows in tables:
+        path = _PATHS.pop(rows, None)
+        if path:
+            place, store = _place(rows.sparkSession, path)
+            store.delete(place, True)
+    for rows in tables[:1]:
+        gc.collect()
+        rows.sparkSession._jvm.System.gc()
 
 
 _STAGED: dict[tuple, tuple[str, StructType]] = {}
