@@ -6,8 +6,8 @@ marks between pieces. Each round
 
 1. merge-joins the occurrences of frequent phrases of k-1 words with those of frequent words at the
    adjacent place of the same piece, inside every chunk,
-2. counts the groups (phrase, word): first within the chunk, then over all chunks by a shuffle of
-   two numbers and a count,
+2. counts the groups (phrase, word): first within the chunk, then over all chunks in one shuffle of
+   three numbers and a count,
 3. semi-joins: the groups that are frequent go back to the chunks that hold them, and only their
    occurrences are kept, sorted, for the next length.
 
@@ -42,7 +42,12 @@ MARK = "."
 SCALE = 2000000
 
 TOKENS = "chunk bigint, lang string, words binary, vocabulary array<string>, counts array<bigint>"
-ROUND = "chunk bigint, places binary, phrases binary, words binary, ids binary, first array<bigint>, second array<bigint>, counts array<bigint>"
+# A row of a chunk's occurrences, and rows of its groups: the columns of the other kind are null.
+ROUND = "chunk bigint, steps binary, phrases binary, ids binary, words binary, word_ids binary, first bigint, second bigint, n bigint"
+PLACES = ["chunk", "steps", "phrases", "ids", "words", "word_ids"]
+GROUPS = ["chunk", "first", "second", "n"]
+# Group rows that leave a task at a time.
+BATCH = 1 << 16
 
 
 def _packed(values: np.ndarray, dtype) -> bytes:
@@ -123,66 +128,78 @@ def _merged(places: np.ndarray, phrases: np.ndarray, words: np.ndarray, width: i
     return places[ok], phrases[ok] * width + words[after[ok]]
 
 
-def _frequent(places: np.ndarray, codes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Semi-join: occurrences of the codes whose number in order is given, renumbered in that order."""
-    if not len(number):
+def _at(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted ids, all of which are there."""
+    order = np.argsort(ids, kind="stable")
+    return order[np.searchsorted(ids[order], wanted)]
+
+
+def _semi_join(places: np.ndarray, codes: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences whose code is among ``kept`` (ascending), as numbers of its entries."""
+    if not len(kept):
         return places[:0], places[:0]
-    wanted = np.unique(codes)[number]
-    at = np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)
-    ok = wanted[at] == codes
+    at = np.minimum(np.searchsorted(kept, codes), len(kept) - 1)
+    ok = kept[at] == codes
     return places[ok], at[ok]
 
 
-def _round(length: int):
+def _round(length: int, last: bool):
     """Task of one round for one chunk: semi-join by the last round's frequent groups, then merge join
-    and count. ``left`` is the chunk as the last round left it, ``right`` its frequent groups."""
+    and count. ``left`` is the chunk as the last round left it, ``right`` its frequent groups. After
+    the ``last`` round only the counts are of use."""
+    kinds = [pa.int64(), *[pa.binary()] * 5]
+    types = dict(zip(PLACES, kinds)) | {c: pa.int64() for c in GROUPS}
+    nothing = pa.schema(list(types.items())).empty_table()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        right = right.sort_by("number")
-        number, ids = right.column("number").to_numpy(), right.column("id").to_numpy()
+        ids = right.column("id").to_numpy()
         words = _unpacked(row["words"], np.int32).astype(np.int64)
         if length == 2:
             renumbered = np.full(int(words.max(initial=-1)) + 2, -1)
-            renumbered[number] = np.arange(len(number))
+            renumbered[right.column("number").to_numpy()] = np.arange(len(ids))
             words = renumbered[words]  # marks read the last entry, which no word has
             word_ids = ids
-            places = np.flatnonzero(words >= 0)
-            phrases = words[places]
         else:
-            word_ids = _unpacked(row["ids"], np.int64)
-            places = _unpacked(row["places"], np.int32).astype(np.int64)
-            phrases = _unpacked(row["phrases"], np.int32).astype(np.int64)
-            places, phrases = _frequent(*_merged(places, phrases, words, len(word_ids), length - 1), number)
-        found, counts = np.unique(_merged(places, phrases, words, len(word_ids), length)[1], return_counts=True)
+            word_ids = _unpacked(row["word_ids"], np.int64)
+        places = np.flatnonzero(words >= 0)
+        phrases = words[places]
         width = max(len(word_ids), 1)
-        columns = {
-            "chunk": pa.array([row["chunk"]], pa.int64()),
-            "places": pa.array([_packed(places, np.int32)], pa.binary()),
-            "phrases": pa.array([_packed(phrases, np.int32)], pa.binary()),
-            "words": pa.array([_packed(words, np.int32)], pa.binary()),
-            "ids": pa.array([_packed(word_ids, np.int64)], pa.binary()),
-            "first": pa.array([ids[found // width]], pa.list_(pa.int64())),
-            "second": pa.array([word_ids[found % width]], pa.list_(pa.int64())),
-            "counts": pa.array([counts], pa.list_(pa.int64())),
-        }
-        return pa.table(columns)
+        if length > 2:
+            phrase_ids = word_ids
+            if length > 3:
+                places = np.cumsum(_unpacked(row["steps"], np.int32), dtype=np.int64)
+                phrases = _unpacked(row["phrases"], np.int32).astype(np.int64)
+                phrase_ids = _unpacked(row["ids"], np.int64)
+            kept = _at(phrase_ids, right.column("first").to_numpy()) * width + _at(word_ids, right.column("second").to_numpy())
+            order = np.argsort(kept)
+            places, phrases = _semi_join(*_merged(places, phrases, words, width, length - 1), kept[order])
+            ids = ids[order]
+        found, counts = np.unique(_merged(places, phrases, words, width, length)[1], return_counts=True)
+        out = [nothing]
+        if not last:
+            store = [(np.diff(places, prepend=0), np.int32), (phrases, np.int32), (ids, np.int64)] if length > 2 else [(places[:0], np.int32)] * 3
+            store += [(words, np.int32), (word_ids, np.int64)]
+            values = [[row["chunk"]], *[[_packed(*column)] for column in store]]
+            out.append(pa.table([pa.array(v, k) for v, k in zip(values, kinds)], names=PLACES))
+        for a in range(0, len(found), BATCH):
+            part = found[a : a + BATCH]
+            values = [np.full(len(part), row["chunk"]), ids[part // width], word_ids[part % width], counts[a : a + BATCH]]
+            out.append(pa.table([pa.array(v) for v in values], names=GROUPS))
+        return pa.concat_tables(out, promote_options="default")
 
     return run
 
 
-def _numbered(rows: DataFrame, label: str) -> DataFrame:
-    """Frequent groups as a written table, each with a whole number of its own."""
-    return session.materialised(rows.withColumn("id", F.monotonically_increasing_id()), label)
-
-
-def _groups(chunks: DataFrame, *arrays: str) -> DataFrame:
-    """A row per group and chunk: chunk, number of the group in the chunk, the arrays' entries."""
-    zipped = F.arrays_zip(*arrays)
-    cols = [c for c in ("chunk", "lang") if c in chunks.columns]
-    return chunks.select(*cols, F.posexplode(zipped).alias("number", "g")).select(
-        *cols, F.col("number").cast("bigint").alias("number"), *[F.col("g")[a].alias(a) for a in arrays]
-    )
+def _counted(groups: DataFrame, names: list[str], least: int, label: str) -> DataFrame:
+    """Frequent groups over all chunks, in one shuffle: a row per group and chunk that holds it, with the
+    group's count over all chunks as ``total``, a whole number of its own as ``id``, and ``one`` at one of its
+    rows. A group has at most a row per chunk here, and windows spill."""
+    group = Window.partitionBy(*names)
+    rows = groups.withColumn("total", F.sum("n").over(group)).where(F.col("total") >= least).drop("n")
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    rows = rows.withColumn("id", F.min("__row").over(group))
+    return session.materialised(rows.withColumn("one", F.col("__row") == F.col("id")).drop("__row"), label)
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk_words: int = CHUNK_WORDS) -> tuple[DataFrame, list[DataFrame]]:
@@ -195,20 +212,26 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk_
     chunks = session.materialised(rows.mapInArrow(_tokens(chunk_words), TOKENS), "tokens")
     sizes = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
     totals = session.materialised(chunks.groupBy("lang").agg(F.sum(sizes).alias("total")), "totals")
-    groups = _groups(chunks, "vocabulary", "counts").withColumnRenamed("vocabulary", "phrase")
+    groups = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("number", "g"))
+    groups = groups.select("chunk", "lang", "number", F.col("g.vocabulary").alias("phrase"), F.col("g.counts").alias("n"))
+    found = _counted(groups, ["lang", "phrase"], least, "counted1")
     nothing = F.array().cast("array<bigint>")
-    words = groups.groupBy("lang", "phrase").agg(F.sum("counts").alias("n")).where(F.col("n") >= least)
-    words = _numbered(words.select("*", F.lit("").alias("rest"), nothing.alias("before"), nothing.alias("after")), "words1")
-    levels = [words]
-    back = groups.join(words.select("lang", "phrase", "id"), ["lang", "phrase"]).select(F.col("chunk").alias("at"), "number", "id")
+    words = found.where("one").select("lang", "phrase", F.lit("").alias("rest"), F.col("total").alias("n"), "id", nothing.alias("before"), nothing.alias("after"))
+    words = session.materialised(words, "phrases1")
+    levels, marks = [words], ["number"]
+    occurrences = chunks.select("chunk", "words")
     for length in range(2, longest + 1):
-        joined = chunks.drop("lang", "vocabulary", "counts", "first", "second").groupBy("chunk").cogroup(back.groupBy("at"))
-        chunks = session.materialised(joined.applyInArrow(_round(length), ROUND), f"round{length}")
-        groups = _groups(chunks, "first", "second", "counts")
-        counted = groups.groupBy("first", "second").agg(F.sum("counts").alias("n")).where(F.col("n") >= least)
-        counted = _numbered(counted, f"counted{length}")
-        levels.append(session.materialised(_described(counted, levels[-1], words, length), f"phrases{length}"))
-        back = groups.join(counted.select("first", "second", "id"), ["first", "second"]).select(F.col("chunk").alias("at"), "number", "id")
+        # The frequent groups go back to the chunks that hold them.
+        back = found.select(F.col("chunk").alias("at"), *marks, "id")
+        joined = occurrences.groupBy("chunk").cogroup(back.groupBy("at"))
+        done = session.materialised(joined.applyInArrow(_round(length, length == longest), ROUND), f"round{length}")
+        session.discard(chunks, found)
+        chunks, occurrences = done, done.select(*PLACES).where("words IS NOT NULL")
+        names = marks = ["first", "second"]
+        found = _counted(done.select(*GROUPS).where("first IS NOT NULL"), names, least, f"counted{length}")
+        groups = found.where("one").select(*names, F.col("total").alias("n"), "id")
+        levels.append(session.materialised(_described(groups, levels[-1], words, length), f"phrases{length}"))
+    session.discard(chunks, found)
     return totals, levels
 
 
