@@ -134,18 +134,24 @@ def capped_ranking(rows: DataFrame, group: str, score: str, key: str, cap: int,
 
 
 def diverse_ranking(rows: DataFrame, stratum: list[str], group: str, score: str, key: str, cap: int, target: int, stratum_step=0.15, group_step=0.03) -> DataFrame:
-    """Scores less a step for every better row of the same stratum and group.
-
-    The order-free form of picking greedily with a diversity penalty: the
-    penalty of a row counts those ranked above it, so no row waits for another.
-    The stratum contains the group, hence ranks inside the capped rows equal
-    ranks inside all rows.
+    """Rows picked one by one, always the one of greatest value: its score less a step for every row
+    picked before from its stratum and a smaller one for every row from its group, at most ``cap`` rows
+    of a group, ``target`` in all. Ties go to the higher score, then the smaller key.
+
+    No loop is needed. A pick from a stratum lowers what is left of it, so the rows of a stratum are
+    picked in order of score and the i-th is worth score - (i - 1) steps whenever its turn comes, less the
+    group's step, which all strata of the group (a stratum lies in one group) share: the order inside a
+    group is the order of that worth. With the group's step each group's values fall from pick to pick,
+    so picking the best of all groups merges sorted sequences. Both ranks are cut at ``cap`` before
+    rows are shuffled.
     """
-    near = relations.capped(rows, group, [F.desc(score), key], cap, out="group_rank")
-    turn = F.row_number().over(Window.partitionBy(*stratum).orderBy(F.desc(score), key))
-    ranked = near.withColumn("stratum_rank", turn)
-    value = F.round(F.col(score) - (F.col("stratum_rank") - 1) * stratum_step - (F.col("group_rank") - 1) * group_step, 9)
-    return ranked.withColumn("value", value).orderBy(F.desc("value"), key).limit(target)
+    first = Window.partitionBy(*stratum).orderBy(F.desc(score), key)
+    near = rows.withColumn("stratum_rank", F.row_number().over(first)).where(F.col("stratum_rank") <= cap)
+    near = near.withColumn("__worth", F.round(F.col(score) - (F.col("stratum_rank") - 1) * stratum_step, 9))
+    turn = Window.partitionBy(group).orderBy(F.desc("__worth"), F.desc(score), key)
+    picked = near.withColumn("group_rank", F.row_number().over(turn)).where(F.col("group_rank") <= cap)
+    value = F.round(F.col("__worth") - (F.col("group_rank") - 1) * group_step, 9)
+    return picked.withColumn("value", value).drop("__worth").orderBy(F.desc("value"), F.desc(score), key).limit(target)
 
 
 def review_queue(rows: DataFrame, person: str, combo: str, order: str, people: int, per_person: int, seed: str) -> DataFrame:

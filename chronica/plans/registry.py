@@ -89,6 +89,8 @@ def with_ctes(sql: str, uses: str) -> str:
     if not wanted:
         return body
     head = ",\n".join(f"{n} AS (\n{binding.SQL[n].strip()}\n)" for n in wanted)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

@@ -120,11 +120,20 @@ def leverage_ranking(t):
 
 @query(
     "g05_diverse_ranking",
-    LEVERAGE_SQL
+    LEVERAGE_SQL.replace("WITH", "WITH RECURSIVE", 1)
     + """, s AS (SELECT person_id, country, gender, decade, round(base + bonus + CASE WHEN stage_count >= 3 THEN 1 ELSE 0 END - greatest(effective_event_points - 30, 0) * 0.02::DOUBLE, 6) AS score FROM cand WHERE effective_event_points >= 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY score DESC, person_id) AS gr, row_number() OVER (PARTITION BY country, gender, decade ORDER BY score DESC, person_id) AS sr FROM s),
-v AS (SELECT person_id, country, gender, decade, score, CAST(gr AS INTEGER) AS group_rank, CAST(sr AS INTEGER) AS stratum_rank, round(score - (sr - 1) * 0.15::DOUBLE - (gr - 1) * 0.03::DOUBLE, 9) AS value FROM r WHERE gr <= 8)
-SELECT * FROM v ORDER BY value DESC, person_id LIMIT 80""",
+-- The loop itself: each step adds the best row that is left.
+loop AS (SELECT 0 AS step, CAST([] AS STRUCT(person_id BIGINT, country VARCHAR, gender VARCHAR, decade INTEGER, score DOUBLE, group_rank INTEGER, stratum_rank INTEGER, value DOUBLE)[]) AS picked
+  UNION ALL
+  SELECT step + 1, list_append(any_value(picked), arg_max(pick, o)) FROM (
+    SELECT step, picked, {'person_id': person_id, 'country': country, 'gender': gender, 'decade': decade, 'score': score,
+        'group_rank': CAST(g + 1 AS INTEGER), 'stratum_rank': CAST(n + 1 AS INTEGER), 'value': round(score - 0.15::DOUBLE * n - 0.03::DOUBLE * g, 9)} AS pick,
+      ROW(round(score - 0.15::DOUBLE * n - 0.03::DOUBLE * g, 9), score, -person_id) AS o
+    FROM (SELECT step, picked, s.*, len(list_filter(picked, lambda x: x.country IS NOT DISTINCT FROM s.country)) AS g,
+        len(list_filter(picked, lambda x: x.country IS NOT DISTINCT FROM s.country AND x.gender IS NOT DISTINCT FROM s.gender AND x.decade IS NOT DISTINCT FROM s.decade)) AS n
+      FROM loop, s WHERE step < 80 AND NOT list_contains(list_transform(picked, lambda x: x.person_id), s.person_id)) WHERE g < 8)
+  GROUP BY step)
+SELECT unnest(p) FROM (SELECT unnest(picked) AS p FROM loop WHERE step = (SELECT max(step) FROM loop))""",
     "persons memberships",
 )
 def diverse_ranking(t):

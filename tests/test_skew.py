@@ -279,3 +279,29 @@ def test_order_statistics_without_groups(spark):
     order = sorted(values)
     assert [got[c] for c in "abcde"] == [order[round((len(order) - 1) * q)] for q in (0.0, 0.25, 0.5, 0.99, 1.0)]
     assert scale.nearest_rank(df.where("v > 99"), [], "v", {"a": 0.5}).count() <= 1
+
+
+def test_diverse_ranking_equals_the_loop(spark):
+    """Picking one by one, over random inputs with many ties."""
+    for seed in range(12):
+        rng = random.Random(seed)
+        rows = [(i, rng.choice(["x", "y", None]), rng.choice("mf"), rng.randrange(3), round(rng.choice([rng.random() * 2, 1.0, 1.15, 0.85]), 2)) for i in range(60)]
+        left, picked, groups, strata = sorted(rows, key=lambda r: (-r[4], r[0])), [], Counter(), Counter()
+        cap, target = rng.choice([3, 8, 20]), rng.choice([5, 30, 100])
+        while left and len(picked) < target:
+            best = None
+            for r in left:
+                if groups[r[1]] >= cap:
+                    continue
+                value = round(r[4] - 0.15 * strata[r[1:4]] - 0.03 * groups[r[1]], 9)
+                if best is None or value > best[0]:
+                    best = (value, r)
+            if best is None:
+                break
+            left.remove(best[1])
+            groups[best[1][1]] += 1
+            strata[best[1][1:4]] += 1
+            picked.append((best[1][0], groups[best[1][1]], strata[best[1][1:4]], best[0]))
+        df = spark.createDataFrame(rows, "person_id int, country string, gender string, decade int, score double").repartition(3)
+        got = G.diverse_ranking(df, ["country", "gender", "decade"], "country", "score", "person_id", cap, target)
+        assert [(r.person_id, r.group_rank, r.stratum_rank, r.value) for r in got.collect()] == picked, seed
