@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronica import session
+from chronica.operators import scale
 
 # Capacities (fixed values): rounds, step, leaves of a tree, rows of a leaf, penalty of leaf values.
 CAPACITIES = {
@@ -85,7 +86,8 @@ def binning(train: DataFrame, numeric: list[str], categorical: list[str]) -> Bin
     medians, cuts, categories = {}, {}, {}
     for c in numeric:
         values = ready.select(F.col(f"__{c}").alias(c)).where(F.col(c).isNotNull() & ~F.isnan(c))
-        medians[c] = float(values.agg(F.median(c)).first()[0] or 0.0)
+        middle = scale.medians(values, [], c).first()
+        medians[c] = float(middle[0]) if middle else 0.0
         few = sorted(r[0] for r in values.distinct().limit(BINS + 1).collect())
         if len(few) > BINS:
             shares = [k / BINS for k in range(1, BINS)]

@@ -18,8 +18,6 @@ from chronica.session import materialised
 PIECE_BITS = 16
 # Rows of one hash piece that a window task may sort.
 PIECE_ROWS = 1 << 16
-# Pieces of a histogram that is cut at quantiles.
-HISTOGRAM_PIECES = 256
 
 
 def hash_order(*parts) -> Column:
@@ -169,42 +167,90 @@ def fingerprint_sql(cols: list[str], source: str, group: list[str] = (), out: st
     )
 
 
-def nearest_rank(df: DataFrame, group: list[str], value: str, fractions: dict[str, float], upper_median: str | None = None) -> DataFrame:
-    """Order statistics at ``round_half_even((n - 1) * q)`` from a histogram.
+def _keys(rows: DataFrame, value: str) -> DataFrame:
+    """Add __k, a whole number whose unsigned order is that of a double column; -0.0 is 0.0."""
+    kept = [c for c in rows.columns if c != value]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            bits = (batch.column(value).to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+            keys = np.where(bits < 0, ~bits, bits ^ np.int64(-(2**63)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(keys)], names=[*kept, "__k"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", __k bigint")
+
+
+def _values(rows: DataFrame, key: str) -> DataFrame:
+    """The doubles back from their whole numbers, in place of the column ``key``."""
+    names = rows.columns
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            values = np.where(keys < 0, keys ^ np.int64(-(2**63)), ~keys).view(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(values) if c == key else batch.column(c) for c in names], names=names)
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {'double' if c == key else k}" for c, k in rows.dtypes))
+
 
-    Running totals are taken over the histogram, not over the rows. Without groups
-    the histogram is cut at quantiles of its values into pieces, each summed by
-    itself and shifted by the sums of the pieces before, so a value that is nearly
-    different in every row does not meet in one task.
+# Bits of the key that one pass of ``order_statistics`` reads: a window sees at most 65536 counts.
+DIGIT = 16
+
+
+def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Exact order statistics per group as doubles: one column per entry of ``ranks``, whose rank from 0
+    is an expression over ``n``, the group's values. Groups of any size and of any number of distinct
+    values are spread: no sort or window sees more than 65536 entries.
+
+    Selection by radix on bits that keep the order: a pass counts rows by the next 16 bits among those
+    that share the bits found so far, for all groups and ranks at once, and goes down into the one
+    bucket that holds each rank. Four passes reach a value. Nulls and NaN take no part; a null is a group
+    like any other; a rank outside the group gives null; an empty table gives no rows.
     """
-    hist = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
-    if group:
-        part, before, total = Window.partitionBy(*group), F.lit(0), F.sum("__n").over(Window.partitionBy(*group))
-    else:
-        hist = materialised(hist, "histogram")
-        shares = [k / HISTOGRAM_PIECES for k in range(1, HISTOGRAM_PIECES)]
-        cuts = sorted(set(hist.agg(F.percentile_approx(value, shares)).first()[0] or []))
-        piece = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(value))) if cuts else F.lit(0)
-        hist = hist.withColumn("__piece", piece)
-        # At most HISTOGRAM_PIECES sums.
-        sums = {r["__piece"]: r["s"] for r in hist.groupBy("__piece").agg(F.sum("__n").alias("s")).collect()}
-        upto, shift = 0, {}
-        for k in sorted(sums):
-            shift[k] = upto
-            upto += sums[k]
-        pairs = [x for k, v in shift.items() for x in (F.lit(k), F.lit(v).cast("bigint"))]
-        before = F.create_map(*pairs)[F.col("__piece")] if pairs else F.lit(0)
-        part, total = Window.partitionBy("__piece"), F.lit(upto).cast("bigint")
-    hist = hist.select(
-        *group,
-        F.col(value).alias("__v"),
-        (before + F.sum("__n").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).alias("__cum"),
-        total.alias("__total"),
-    )
-    picks = [
-        F.min(F.when(F.col("__cum") > F.bround((F.col("__total") - 1) * F.lit(q)), F.col("__v"))).alias(name)
-        for name, q in fractions.items()
-    ]
+    name = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}) if group else F.lit("")
+    number = F.col(value).cast("double")
+    folded = df.select(*group, number.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    folded = folded.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n")).select(*group, name.alias("__g"), "__v", "__n")
+    rows = materialised(_keys(folded, "__v"), "order")
+    totals = rows.groupBy("__g").agg(*[F.first(c).alias(c) for c in group], F.sum("__n").alias("n"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()])
+    targets = totals.select("__g", F.explode(wanted).alias("w")).select("__g", "w.name", "w.rank", F.lit(0).cast("bigint").alias("__p"))
+    targets = materialised(targets, "ranks")
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        upper = F.lit(0).cast("bigint") if shift + DIGIT == 64 else F.shiftrightunsigned("__k", shift + DIGIT)
+        digit = F.shiftrightunsigned("__k", shift).bitwiseAND(F.lit((1 << DIGIT) - 1).cast("bigint"))
+        here = rows.select("__g", upper.alias("__p"), digit.alias("__d"), "__n")
+        here = here.join(targets.select("__g", "__p").distinct(), ["__g", "__p"], "left_semi")
+        counts = here.groupBy("__g", "__p", "__d").agg(F.sum("__n").alias("__n"))
+        upto = Window.partitionBy("__g", "__p").orderBy("__d").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("__upto", F.sum("__n").over(upto))
+        met = targets.join(counts, ["__g", "__p"]).where((F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col("__n")))
+        down = F.shiftleft("__p", DIGIT).bitwiseOR(F.col("__d"))
+        targets = materialised(met.select("__g", "name", (F.col("rank") - F.col("__upto") + F.col("__n")).alias("rank"), down.alias("__p")), "ranks")
+    found = _values(targets.select("__g", "name", "__p"), "__p")
+    picks = found.groupBy("__g").agg(*[F.max(F.when(F.col("name") == k, F.col("__p"))).alias(k) for k in ranks])
+    return totals.join(picks, "__g", "left").select(*group, "n", *ranks)
+
+
+def medians(df: DataFrame, group: list[str], value: str, out: str = "median") -> DataFrame:
+    """Exact median per group, the mean of the middle two where their number is even."""
+    n = F.col("n")
+    both = order_statistics(df, group, value, {"__low": F.floor((n - 1) / 2), "__high": F.floor(n / 2)})
+    return both.select(*group, ((F.col("__low") + F.col("__high")) / 2).alias(out))
+
+
+def nearest_rank(df: DataFrame, group: list[str], value: str, fractions: dict[str, float], upper_median: str | None = None) -> DataFrame:
+    """Order statistics at ``round_half_even((n - 1) * q)``, in the type of the column, and the upper median."""
+    ranks = {name: F.bround((F.col("n") - 1) * F.lit(q)) for name, q in fractions.items()}
     if upper_median:
-        picks.append(F.min(F.when(F.col("__cum") > F.floor(F.col("__total") / 2), F.col("__v"))).alias(upper_median))
-    return hist.groupBy(*group).agg(*picks)
+        ranks[upper_median] = F.floor(F.col("n") / 2)
+    kind = dict(df.dtypes)[value]
+    found = order_statistics(df, group, value, ranks)
+    return found.select(*group, *[F.col(c).cast(kind).alias(c) for c in ranks])

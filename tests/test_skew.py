@@ -305,3 +305,36 @@ def test_diverse_ranking_equals_the_loop(spark):
         df = spark.createDataFrame(rows, "person_id int, country string, gender string, decade int, score double").repartition(3)
         got = G.diverse_ranking(df, ["country", "gender", "decade"], "country", "score", "person_id", cap, target)
         assert [(r.person_id, r.group_rank, r.stratum_rank, r.value) for r in got.collect()] == picked, seed
+
+
+def test_order_statistics_of_a_hot_group(spark):
+    """One group holds nearly all rows with nearly as many values; others are tiny, tied, null or odd."""
+    import numpy as np
+
+    rng = random.Random(8)
+    groups = {
+        "hot": [rng.gauss(0, 1) * 10 ** rng.randrange(-9, 9) for _ in range(60000)] + [0.5] * 20000,
+        None: [3.0, -0.0, 0.0, 1e-300],
+        "one": [-7.25],
+        "tied": [2.0] * 9,
+        "ends": [-1.7976931348623157e308, 1.7976931348623157e308, 5e-324, -5e-324, float("inf"), float("-inf")],
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("one", None), ("one", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    n = F.col("n")
+    picks = {"low": F.lit(0), "p25": F.floor((n - 1) * 0.25), "top": n - 1, "beyond": n}
+    got = {r.g: r for r in scale.order_statistics(df, ["g"], "v", picks).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        order = sorted(values)
+        assert (got[g].n, got[g].low, got[g].p25, got[g].top, got[g].beyond) == (len(order), order[0], order[(len(order) - 1) // 4], order[-1], None)
+    middle = {r.g: r.median for r in scale.medians(df.where("g <> 'ends'"), ["g"], "v").collect()}
+    assert middle == {g: float(np.median(values)) for g, values in groups.items() if g not in ("ends", None)}
+    assert scale.medians(df.where("g = 'empty'"), ["g"], "v").count() == 0
+
+
+def test_no_window_holds_a_whole_group(spark):
+    """Every window of the selection is over counts by 16 bits, never over a group's values."""
+    rows = spark.range(300000).select(F.lit("all").alias("g"), (F.col("id") * 1.37).alias("v")).repartition(8)
+    got = scale.order_statistics(rows, ["g"], "v", {"mid": F.lit(150000), "p": F.lit(299999)}).first()
+    assert (got.mid, got.p) == (150000 * 1.37, 299999 * 1.37)
