@@ -7,13 +7,13 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronica import session
-from chronica.operators import evaluation
+from chronica.operators import evaluation, scale
 
 # Boosting capacities (fixed values): rounds, step and smallest leaf. The depth is the
 # one whose full tree has the reference's number of leaves (15, 31, 63) and one more.
@@ -32,12 +32,11 @@ def variant_columns(columns: list[str], variants: dict[str, tuple]) -> dict[str,
 
 
 def preprocessor(numeric: list[str], categorical: list[str]) -> Pipeline:
-    """Median imputation and scaling; categories one-hot, unseen ones kept apart."""
+    """Scaling of numbers without gaps; categories one-hot, unseen ones kept apart."""
     stages = []
     parts = []
     if numeric:
-        stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=[f"__i_{c}" for c in numeric]))
-        stages.append(VectorAssembler(inputCols=[f"__i_{c}" for c in numeric], outputCol="__num"))
+        stages.append(VectorAssembler(inputCols=numeric, outputCol="__num"))
         stages.append(StandardScaler(withMean=True, withStd=True, inputCol="__num", outputCol="__scaled"))
         parts.append("__scaled")
     if categorical:
@@ -54,10 +53,21 @@ def _cast(rows: DataFrame, numeric: list[str], categorical: list[str]) -> DataFr
     )
 
 
-def _prepared(rows: DataFrame, numeric, categorical, split):
+def medians(rows: DataFrame, numeric: list[str]) -> dict[str, float]:
+    """Exact medians of columns in one selection; a column without any value gets 0."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in numeric])).alias("e"))
+    found = {r["name"]: r["median"] for r in scale.medians(long.select("e.name", "e.v"), ["name"], "v").collect()}
+    return {c: found.get(c, 0.0) for c in numeric}
+
+
+def prepared(rows: DataFrame, numeric, categorical, split: str = "split_name") -> DataFrame:
+    """All rows with features: gaps filled with the training rows' medians, numbers scaled and
+    categories coded as in training."""
     ready = _cast(rows, numeric, categorical)
-    fitted = preprocessor(numeric, categorical).fit(ready.where(F.col(split) == "train"))
-    return fitted.transform(ready)
+    train = F.col(split) == "train"
+    if numeric:
+        ready = ready.na.fill(medians(ready.where(train), list(numeric)))
+    return preprocessor(numeric, categorical).fit(ready.where(train)).transform(ready)
 
 
 def _code(label: str, classes):
@@ -72,8 +82,8 @@ def _columns(scored: DataFrame, keep: list[str], classes, vector: str = "probabi
 def logistic(rows: DataFrame, numeric, categorical, label: str, classes, balanced: bool = False, c: float = 1.0, split: str = "split_name") -> DataFrame:
     """Multinomial logistic regression with an L2 penalty of 1 / (C n)."""
     keep = rows.columns
-    prepared = session.materialised(_prepared(rows, numeric, categorical, split).select(*keep, "features"), "matrix")
-    ready = prepared.withColumn("__y", _code(label, classes))
+    matrix = session.materialised(prepared(rows, numeric, categorical, split).select(*keep, "features"), "matrix")
+    ready = matrix.withColumn("__y", _code(label, classes))
     train = ready.where((F.col(split) == "train") & F.col(label).isNotNull())
     if balanced:
         train = evaluation.balanced_weights(train, label)
@@ -100,7 +110,7 @@ def boosted(rows: DataFrame, numeric, categorical, label: str, classes, trees: i
     the ensembles, which do not depend on each other, are fitted side by side.
     """
     keep = rows.columns
-    ready = session.materialised(_prepared(rows, numeric, categorical, split).select(*keep, "features"), "matrix")
+    ready = session.materialised(prepared(rows, numeric, categorical, split).select(*keep, "features"), "matrix")
     train = ready.where((F.col(split) == "train") & F.col(label).isNotNull())
     present = {r[0] for r in train.select(label).distinct().collect()}
 

@@ -422,14 +422,33 @@ NUMERIC = ["history__events", "history__domains", "chart__branch"]
 CATEGORICAL = ["background__gender", "calendar__month"]
 
 
-@query("n04_preprocessing")
+def _hot_sql(column, after=None):
+    """Slots of a one-hot column: the training rows' categories, most frequent first, then the one for all others."""
+    text = f"coalesce(CAST({column} AS VARCHAR), 'missing')"
+    train = "FROM m WHERE split_name = 'train'"
+    start = f"3 + (SELECT count(DISTINCT coalesce(CAST({after} AS VARCHAR), 'missing')) + 2 {train})" if after else "3"
+    return f"""SELECT example_id, CAST({start} + coalesce(i, (SELECT count(DISTINCT {text}) {train})) AS INTEGER) AS slot, 1.0::DOUBLE AS value
+FROM m LEFT JOIN (SELECT c, row_number() OVER (ORDER BY n DESC, c) - 1 AS i FROM (SELECT {text} AS c, count(*) AS n {train} GROUP BY 1)) k ON k.c = {text}"""
+
+
+@query(
+    "n04_preprocessing",
+    f"""WITH {HISTORY_SQL}, {WIDE_SQL}, m AS (SELECT w.*, e.split_name FROM wide w JOIN examples e ON e.example_id = w.example_id WHERE classification_eligible),
+num AS (SELECT example_id, split_name, unnest([{{'s': 0, 'x': CAST(history__events AS DOUBLE)}}, {{'s': 1, 'x': CAST(history__domains AS DOUBLE)}}, {{'s': 2, 'x': CAST(chart__branch AS DOUBLE)}}]) AS e FROM m),
+med AS (SELECT e.s AS s, median(e.x) AS md FROM num WHERE split_name = 'train' GROUP BY 1),
+filled AS (SELECT example_id, split_name, med.s AS s, coalesce(e.x, md) AS x FROM num JOIN med ON med.s = e.s),
+mom AS (SELECT s, avg(x) AS mu, stddev_samp(x) AS sd FROM filled WHERE split_name = 'train' GROUP BY 1),
+slots AS (SELECT example_id, CAST(f.s AS INTEGER) AS slot, (x - mu) / sd AS value FROM filled f JOIN mom ON mom.s = f.s
+  UNION ALL {_hot_sql('background__gender')} UNION ALL {_hot_sql('calendar__month', 'background__gender')})
+SELECT example_id, slot, round(value, 6) + 0.0 AS value FROM slots WHERE value <> 0""",
+    "examples facts",
+)
 def preprocessing(t):
-    """Imputed, scaled and one-hot encoded features, fitted on train only."""
+    """Imputed, scaled and one-hot encoded features, fitted on train only: the slots that are not zero."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = _matrix(t)
-    fitted = models.preprocessor(NUMERIC, CATEGORICAL).fit(rows.where(F.col("split_name") == "train"))
-    return fitted.transform(rows).select("example_id", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("features"))
+    rows = models.prepared(_matrix(t), NUMERIC, CATEGORICAL).select("example_id", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    return rows.where("value <> 0").select("example_id", "slot", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("n05_multinomial_logistic")
