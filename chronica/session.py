@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import io
 import os
 import shutil
@@ -133,6 +132,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+# The shuffle files of a write go when it ends: what it made is read from the table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -149,7 +151,12 @@ def materialised(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     place, store = _place(spark, path)
     store.deleteOnExit(place)
     rows = spark.read.schema(df.schema).parquet(path)
@@ -158,18 +165,12 @@ def materialised(df: DataFrame, label: str = "table") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialised`` that nothing reads any more.
-
-    Spark deletes the shuffle files of finished jobs when the driver collects its garbage, which
-    idle drivers seldom do, so it is asked to: a round's files need not outlive the round."""
+    """Delete tables of ``materialised`` that nothing reads any more."""
     for rows in tables:
         path = _PATHS.pop(rows, None)
         if path:
             place, store = _place(rows.sparkSession, path)
             store.delete(place, True)
-    for rows in tables[:1]:
-        gc.collect()
-        rows.sparkSession._jvm.System.gc()
 
 
 _STAGED: dict[tuple, tuple[str, StructType]] = {}
