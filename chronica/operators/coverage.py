@@ -273,35 +273,92 @@ def improvements(compared: DataFrame, k: int = 100) -> DataFrame:
     )
 
 
-def _signatures(events: DataFrame, subject: bool) -> DataFrame:
-    """Events folded to person, family, source and interval (and subject)."""
+# A tree over years with sixteen children a node: levels of 1, 16, 256 and 4096 years.
+# Of two spans that meet one is told by its first year, which has a node per level.
+YEAR_BITS = 4
+YEAR_LEVELS = 4
+
+
+def _node(level: int, place: Column) -> Column:
+    """A node as one number, also before year zero."""
+    return place * YEAR_LEVELS + level
+
+
+def _nodes(level: int, low: Column, high: Column) -> Column:
+    """The nodes of a level from place ``low`` up to but without ``high``."""
+    return F.when(low < high, F.sequence(_node(level, low), _node(level, high - 1), F.lit(YEAR_LEVELS))).otherwise(
+        F.array().cast("array<int>")
+    )
+
+
+def year_cover(first: Column, last: Column) -> Column:
+    """Tree nodes that make up a span of years: at most thirty a level, so a span of
+    n years has O(log n) of them. Null where an end is null."""
+    inside = []
+    for level in range(YEAR_LEVELS + 1):
+        bits = YEAR_BITS * level
+        inside.append((F.shiftright(first + F.lit((1 << bits) - 1), bits), F.shiftright(last + F.lit(1), bits)))
+    nodes = []
+    for level in range(YEAR_LEVELS - 1):
+        (low, high), (up_low, up_high) = inside[level], inside[level + 1]
+        # What whole parents hold is left to them.
+        parents = up_low < up_high
+        nodes.append(_nodes(level, low, F.when(parents, F.shiftleft(up_low, YEAR_BITS)).otherwise(high)))
+        nodes.append(_nodes(level, F.when(parents, F.shiftleft(up_high, YEAR_BITS)).otherwise(high), high))
+    nodes.append(_nodes(YEAR_LEVELS - 1, *inside[YEAR_LEVELS - 1]))
+    # Spans below a node of the second level go by their years, which costs less to tell.
+    short = last - first < (1 << YEAR_BITS)
+    return F.when(short, _nodes(0, first, last + 1)).when(~short, F.concat(*nodes))
+
+
+def year_path(year: Column) -> Column:
+    """The nodes above a year, one a level: exactly one of them is in the cover of
+    any span that holds the year."""
+    path = F.array(*[_node(level, F.shiftright(year, YEAR_BITS * level)) for level in range(YEAR_LEVELS)])
+    return F.when(year.isNotNull(), path)
+
+
+def _signatures(events: DataFrame) -> DataFrame:
+    """Events folded to person, family, source and interval: one row for all of them,
+    with the empty subject, and one per subject they name."""
     keys = ["person_id", "event_family", S.source_family(F.col("source_id")).alias("source"), "date_min", "date_max"]
-    if subject:
-        events = events.withColumn("subject", F.lower(F.trim("subject_id"))).where(F.col("subject") != "")
-        keys.append("subject")
-    return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event_id"))
+    named = F.lower(F.trim("subject_id"))
+    subjects = F.when(named != "", F.array(F.lit(""), named)).otherwise(F.array(F.lit("")))
+    return (
+        events.select(*keys, "event_id", F.explode(subjects).alias("subject"))
+        .groupBy("person_id", "event_family", "source", "date_min", "date_max", "subject")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event_id"))
+    )
 
 
 def _meet(signatures: DataFrame, on: list[str], max_year_gap: int) -> DataFrame:
-    """Signature pairs from different sources that share a year in reach.
+    """Signature pairs from different sources whose years are in reach, each once.
 
-    A signature is listed under every year it can be met in; the pair comes out
-    only in the first year both share.
+    Of two spans that share a year, one holds the first year of the other. A span
+    goes to the nodes of its cover, a first year to the nodes above it, and the two
+    have one node in common; with equal first years the smaller source is the span.
     """
     first = F.year("date_min")
-    reach = F.greatest(F.year("date_max"), first + max_year_gap)
-    left = signatures.withColumns({"first_year": first, "bucket": F.explode(F.sequence(first, reach))})
-    other = [c for c in ("source", "date_min", "date_max", "n", "first_event_id", "first_year")]
-    right = left.select(*on, "bucket", *[F.col(c).alias(f"r_{c}") for c in other])
-    return (
-        left.join(right, [*on, "bucket"])
-        .where((F.col("source") < F.col("r_source")) & (F.col("bucket") == F.greatest("first_year", "r_first_year")))
-        .withColumns(
-            {
-                "date_overlap": F.greatest("date_min", "r_date_min") <= F.least("date_max", "r_date_max"),
-                "year_gap": F.abs(F.col("first_year") - F.col("r_first_year")),
-            }
-        )
+    # Subjects count in pairs that overlap only.
+    reach = F.greatest(F.year("date_max"), first + F.when(F.col("subject") == "", F.lit(max_year_gap)).otherwise(0))
+    rows = signatures.withColumn("first_year", first)
+    other = ["source", "date_min", "date_max", "n", "first_event_id", "first_year"]
+    spans = rows.withColumn("node", F.explode(year_cover(first, reach)))
+    starts = rows.select(*on, *[F.col(c).alias(f"r_{c}") for c in other], F.explode(year_path(first)).alias("node"))
+    later = F.col("first_year") < F.col("r_first_year")
+    level = (F.col("first_year") == F.col("r_first_year")) & (F.col("source") < F.col("r_source"))
+    met = starts.join(spans, [*on, "node"]).where((F.col("source") != F.col("r_source")) & (later | level))
+    # The pair is told from the smaller source.
+    turned = F.col("source") > F.col("r_source")
+    sides = {}
+    for c in other:
+        sides[c] = F.when(turned, F.col(f"r_{c}")).otherwise(F.col(c))
+        sides[f"r_{c}"] = F.when(turned, F.col(c)).otherwise(F.col(f"r_{c}"))
+    return met.select(*on, *[v.alias(k) for k, v in sides.items()]).withColumns(
+        {
+            "date_overlap": F.greatest("date_min", "r_date_min") <= F.least("date_max", "r_date_max"),
+            "year_gap": F.abs(F.col("first_year") - F.col("r_first_year")),
+        }
     )
 
 
@@ -313,31 +370,39 @@ def cross_source_matches(events: DataFrame, max_year_gap: int = 1) -> DataFrame:
     a signature pair says for how many event pairs it stands, and how many of
     them also name the same subject. Pairs overlap in time (``medium``, or
     ``strong`` with a shared subject) or start at most ``max_year_gap`` years
-    apart (``weak``).
+    apart (``weak``). Both counts come out of one join: signatures also meet per subject.
     """
     on = ["person_id", "event_family"]
     span = ["source", "r_source", "date_min", "date_max", "r_date_min", "r_date_max"]
-    pairs = _meet(_signatures(events, subject=False), on, max_year_gap).where(
-        F.col("date_overlap") | (F.col("year_gap") <= max_year_gap)
+    whole = F.col("subject") == ""
+    count = F.col("n") * F.col("r_n")
+    near = F.col("date_overlap") | (whole & (F.col("year_gap") <= max_year_gap))
+    pairs = (
+        _meet(_signatures(events), [*on, "subject"], max_year_gap)
+        .where(near)
+        .groupBy(*on, *span, "date_overlap", "year_gap")
+        .agg(
+            F.min("first_event_id").alias("left_event_id"),
+            F.min("r_first_event_id").alias("right_event_id"),
+            F.sum(F.when(whole, count)).alias("pairs"),
+            F.sum(F.when(whole, F.lit(0)).otherwise(count)).alias("strong_pairs"),
+        )
     )
-    shared = _meet(_signatures(events, subject=True), [*on, "subject"], max_year_gap).where("date_overlap")
-    strong = shared.groupBy(*on, *span).agg(F.sum(F.col("n") * F.col("r_n")).alias("strong_pairs"))
-    found = F.coalesce("strong_pairs", F.lit(0))
-    return pairs.join(strong, [*on, *span], "left").select(
+    return pairs.select(
         *on,
         F.col("source").alias("left_source"),
         F.col("r_source").alias("right_source"),
-        F.col("first_event_id").alias("left_event_id"),
-        F.col("r_first_event_id").alias("right_event_id"),
+        "left_event_id",
+        "right_event_id",
         F.col("date_min").alias("left_date_min"),
         F.col("date_max").alias("left_date_max"),
         F.col("r_date_min").alias("right_date_min"),
         F.col("r_date_max").alias("right_date_max"),
         "date_overlap",
         "year_gap",
-        (F.col("n") * F.col("r_n")).alias("pairs"),
-        found.alias("strong_pairs"),
-        F.when(found > 0, "strong").when(F.col("date_overlap"), "medium").otherwise("weak").alias("match_strength"),
+        "pairs",
+        "strong_pairs",
+        F.when(F.col("strong_pairs") > 0, "strong").when(F.col("date_overlap"), "medium").otherwise("weak").alias("match_strength"),
     )
 
 
