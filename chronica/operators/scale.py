@@ -136,6 +136,34 @@ def next_by_hash(df: DataFrame, group: list[str], order: str, value: str, out: s
     )
 
 
+WORDS = [f"w{i}" for i in range(8)]
+
+
+def digest_sums(df: DataFrame, cols: list[str], group: list[str] = ()) -> DataFrame:
+    """Rows and sums of the eight 32-bit words of every row's SHA-256, which add up
+    over parts of a set in any order; see ``merged_sums`` and ``digest``."""
+    row = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in cols]), 256)
+    words = [F.conv(F.substring("__h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    return df.select(*group, row.alias("__h")).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        *[F.coalesce(F.sum(w), F.lit(0).cast("decimal(30,0)")).alias(name) for name, w in zip(WORDS, words)],
+    )
+
+
+def merged_sums(sums: DataFrame, group: list[str], also: list[str] = ()) -> DataFrame:
+    """Sums of disjoint parts as those of the whole, with other counts added up alike."""
+    return sums.groupBy(*group).agg(
+        F.sum("row_count").alias("row_count"),
+        *[F.sum(w).cast("decimal(30,0)").alias(w) for w in WORDS],
+        *[F.sum(c).alias(c) for c in also],
+    )
+
+
+def digest() -> Column:
+    """The fingerprint that sums stand for."""
+    return F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), *[F.col(w).cast("string") for w in WORDS]), 256)
+
+
 def fingerprint(df: DataFrame, cols: list[str], group: list[str] = (), out: str = "fingerprint") -> DataFrame:
     """Order-free digest of a set of rows.
 
@@ -143,14 +171,7 @@ def fingerprint(df: DataFrame, cols: list[str], group: list[str] = (), out: str
     up, which combines before the shuffle and needs no sort, and the sums are
     hashed again together with the row count.
     """
-    row = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in cols]), 256)
-    words = [F.conv(F.substring("__h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
-    sums = df.select(*group, row.alias("__h")).groupBy(*group).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        *[F.coalesce(F.sum(w), F.lit(0).cast("decimal(30,0)")).cast("string").alias(f"__w{i}") for i, w in enumerate(words)],
-    )
-    digest = F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), *[F.col(f"__w{i}") for i in range(8)]), 256)
-    return sums.select(*group, "row_count", digest.alias(out))
+    return digest_sums(df, cols, group).select(*group, "row_count", digest().alias(out))
 
 
 def fingerprint_sql(cols: list[str], source: str, group: list[str] = (), out: str = "fingerprint") -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronica import session
 from chronica.operators import scale
 from chronica.plans.registry import query
-from chronica.streaming import ingest
+from chronica.streaming import ingest, state
 
 COLS = ["event_id", "user_id", "event_type", "value"]
 LATE = "2024-01-20"
@@ -32,23 +32,24 @@ CHUNKED_SQL = "SELECT *, CAST(event_id % 5 AS INTEGER) AS chunk FROM events"
     f"""
 WITH arrived AS ({CHUNKED_SQL} UNION ALL SELECT * FROM ({CHUNKED_SQL}) WHERE event_id % 10 = 3),
 once AS (SELECT DISTINCT {', '.join(COLS)}, chunk FROM arrived),
+sent AS (SELECT chunk, count(*) - count(DISTINCT event_id) AS repeats FROM arrived GROUP BY 1),
 observed AS ({scale.fingerprint_sql(COLS, "once", ["chunk"])}),
 manifest AS (SELECT chunk, CASE WHEN chunk = 4 THEN '0' ELSE fingerprint END AS expected FROM ({scale.fingerprint_sql(COLS, f"({CHUNKED_SQL})", ["chunk"])}) UNION ALL SELECT 6, '0')
-SELECT m.chunk, coalesce(row_count, 0) AS row_count, CASE WHEN fingerprint IS NULL THEN 'missing' WHEN fingerprint = expected THEN 'accepted' ELSE 'checksum_mismatch' END AS status
-FROM manifest m LEFT JOIN observed o ON o.chunk = m.chunk""",
+SELECT m.chunk, coalesce(row_count, 0) AS row_count, CAST(coalesce(repeats, 0) AS BIGINT) AS repeats, CASE WHEN fingerprint IS NULL THEN 'missing' WHEN fingerprint = expected THEN 'accepted' ELSE 'checksum_mismatch' END AS status
+FROM manifest m LEFT JOIN observed o ON o.chunk = m.chunk LEFT JOIN sent s ON s.chunk = m.chunk""",
 )
 def chunk_ingest(t):
     """Chunks land through a stream; the manifest has one wrong and one more."""
     source, target, checkpoint = _paths(t, "chunks")
     rows = _arrivals(t)
     rows.write.partitionBy("chunk").parquet(source)
-    ingest.land(t.spark, source, rows.schema, target, checkpoint, files_per_batch=3)
+    state.land(t.spark, source, rows.schema, target, checkpoint, "event_id", COLS, files_per_batch=3, parts=8)
     truth = t.events.withColumn("chunk", (F.col("event_id") % 5).cast("int"))
     digests = scale.fingerprint(truth, COLS, ["chunk"])
     expected = F.when(F.col("chunk") != 4, F.col("fingerprint")).otherwise("0")
     extra = digests.where(F.col("chunk") == 0).select(F.lit(6).alias("chunk"), F.lit("0").alias("expected_fingerprint"))
     manifest = digests.select("chunk", expected.alias("expected_fingerprint")).unionByName(extra)
-    return ingest.chunk_status(ingest.landed(t.spark, target), manifest, COLS, "event_id")
+    return state.status(t.spark, target, manifest)
 
 
 @query("x02_duplicate_drop", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
