@@ -1,14 +1,22 @@
-"""Document fingerprints of closed syncmers over words, as column expressions.
-
-A k-mer here is a run of ``K`` words and its inner substrings are runs of ``S``
-words. The k-mer is an anchor (a closed syncmer) where its smallest inner hash lies
-at its first or last place. That depends on the k-mer alone, so the same passage
-has the same anchors in any context: an edit changes only anchors that touch it. The
-fingerprint lists the anchors' hashes in the order of the text; likeness is the
-share of anchors that two fingerprints have in common, with their multiplicity left out.
-
-Texts of fewer than ``K`` words, or in which no k-mer is an anchor, have one anchor,
-the hash of the whole text.
+"""Document fingerprints of closed syncmers, as column expressions.
+
+A k-mer is a run of ``k`` tokens and its inner substrings are runs of ``s`` tokens.
+The k-mer is an anchor (a closed syncmer) where its smallest inner hash lies at its
+first or last place. That depends on the k-mer alone, so the same passage has the
+same anchors in any context, an edit changes only anchors that touch it, and of any
+``k - s`` k-mers in a row one is an anchor.
+
+There are two kinds of anchors. Coarse ones have words as tokens (``K``, ``S``); every
+text has them. Words are runs without white space, cut every ``LONGEST`` code points,
+and single characters of scripts that write no spaces. Fine ones have code points as
+tokens (``FINE_K``, ``FINE_S``); texts of at most ``SHORT`` code points have them besides,
+for such texts have few words. Anchors are 64-bit hashes; ``anchors_at`` gives them with
+their places, for matching passages by position.
+
+The fingerprint lists both kinds in the order of the text. Likeness is the share of
+anchors that two texts have in common, with their multiplicity left out, by the kind
+that has more in common. A text with fewer than ``k`` tokens, or in which no k-mer
+is an anchor, has one anchor of that kind, the hash of the whole text.
 """
 
 from __future__ import annotations
@@ -20,40 +28,80 @@ from chronica import session
 from chronica.llm import native
 
 K, S = 8, 2
+FINE_K, FINE_S = 8, 3
+# Code points up to which a text has fine anchors too, and of the longest word.
+SHORT, LONGEST = 600, 16
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[{UNSPACED}]|[^\s{UNSPACED}]{{1,{LONGEST}}}"
+POINT = r"(?s)."
 # Documents of one range of ids: what one window task sorts, with their texts.
 RANGE_ROWS = 2000
 # Most ranges that the table of ranges, which travels with the plan, may have.
 MOST_RANGES = 4096
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """32-bit hashes of the closed syncmers of a text, in order."""
+def tokens(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def words(text: Column) -> Column:
+    return tokens(text, WORD)
+
+
+def points(text: Column) -> Column:
+    return tokens(text, POINT)
+
+
+def _inner_hashes(w: Column, s: int) -> Column:
+    """Hashes of all runs of s tokens."""
+    at = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(s)])
+    return F.transform(F.sequence(F.lit(0), F.size(w) - s), at)
+
+
+def _chosen(h: Column, k: int, s: int, found) -> Column:
+    """``found(place, hash)`` of every closed syncmer, from the hashes of runs of s."""
     inner = k - s + 1
 
-    def chosen(h: Column) -> Column:
-        # Hashes of runs of s words; a k-mer spans `inner` of them.
-        def pick(i: Column) -> Column:
-            edge = F.least(F.get(h, i), F.get(h, i + inner - 1))
-            middle = [F.get(h, i + j) for j in range(1, inner - 1)]
-            body = F.hash(*[F.get(h, i + j) for j in range(0, inner, s)], F.get(h, i + inner - 1))
-            return F.when(edge <= F.least(*middle), body)
+    def pick(i: Column) -> Column:
+        edge = F.least(F.get(h, i), F.get(h, i + inner - 1))
+        middle = [F.get(h, i + j) for j in range(1, inner - 1)]
+        body = F.xxhash64(*[F.get(h, i + j) for j in range(0, inner, s)], F.get(h, i + inner - 1))
+        return F.when(edge <= F.least(*middle), found(i, body))
 
-        return F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - inner), pick), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - inner), pick), lambda x: x.isNotNull())
 
-    def runs(w: Column) -> Column:
-        at = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(s)])
-        return F.transform(F.sequence(F.lit(0), F.size(w) - s), at)
 
-    def of_words(w: Column) -> Column:
-        whole = F.array(F.hash(text))
-        some = native.bind(native.bind(runs(w), chosen), lambda a: F.when(F.size(a) > 0, a).otherwise(whole))
+def _syncmers(text: Column, cut: Column, k: int, s: int, found) -> Column:
+    whole = F.array(found(F.lit(0), F.xxhash64(text)))
+
+    def of_tokens(w: Column) -> Column:
+        some = native.bind(
+            native.bind(_inner_hashes(w, s), lambda h: _chosen(h, k, s, found)),
+            lambda a: F.when(F.size(a) > 0, a).otherwise(whole),
+        )
         return F.when(F.size(w) >= k, some).otherwise(whole)
 
-    return native.bind(F.split(text, r"\s+", -1), of_words)
+    return native.bind(cut, of_tokens)
+
+
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """Coarse anchors of a text: 64-bit hashes of its closed syncmers of words, in order."""
+    return _syncmers(text, words(text), k, s, lambda place, h: h)
+
 
+def fine_anchors(text: Column, k: int = FINE_K, s: int = FINE_S) -> Column:
+    """Closed syncmers of code points; none for texts of more than SHORT code points."""
+    found = _syncmers(text, points(text), k, s, lambda place, h: h)
+    return F.when(F.length(text) <= SHORT, found).otherwise(F.array().cast("array<bigint>"))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Distinct common anchors over those of the larger fingerprint, 0 to 1."""
+
+def anchors_at(text: Column, k: int = K, s: int = S) -> Column:
+    """Coarse anchors as structs of ``place``, the number of their first word, and ``hash``."""
+    return _syncmers(text, words(text), k, s, lambda place, h: F.struct(place.alias("place"), h.alias("hash")))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Distinct common anchors over those of the larger set, 0 to 1."""
     return native.bind(
         F.array_distinct(a),
         lambda x: native.bind(
@@ -63,15 +111,21 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def shown(a: Column) -> Column:
-    """A fingerprint as text: eight hex digits per anchor."""
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))), 8, "0")), "")
+def likeness(a: str, b: str) -> Column:
+    """Likeness of the fingerprints in columns ``<a>coarse``, ``<a>fine`` and those of ``b``."""
+    return F.greatest(*[_common(F.col(f"{a}{kind}"), F.col(f"{b}{kind}")) for kind in ("coarse", "fine")])
+
+
+def shown(a: str) -> Column:
+    """A fingerprint as text: sixteen hex digits per anchor, the kinds parted by a bar."""
+    digits = lambda kind: F.array_join(F.transform(F.col(f"{a}{kind}"), lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    return F.concat(digits("coarse"), F.lit("|"), digits("fine"))
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """doc_id, text and anchors of every row; a null text is empty."""
+    """doc_id, text and both kinds of anchors of every row; a null text is empty."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("anchors", anchors(F.col("text")))
+    return rows.withColumns({"coarse": anchors(F.col("text")), "fine": fine_anchors(F.col("text"))})
 
 
 def with_next(rows: DataFrame, order: str, columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -123,18 +177,19 @@ def compare(docs: DataFrame) -> DataFrame:
     The edited text ends with the beginning of the next document's text. An empty
     table gives no rows; a single document is its own successor.
     """
-    rows = with_next(fingerprinted(docs), "doc_id", ["text", "anchors"])
+    rows = with_next(fingerprinted(docs), "doc_id", ["text", "coarse", "fine"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    changed = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "anchors", "next_anchors", edited.alias("edited"))
-    with_edit = changed.withColumn("edited_anchors", anchors(F.col("edited")))
+    kinds = ["coarse", "fine", "next_coarse", "next_fine"]
+    changed = rows.select("doc_id", n.cast("bigint").alias("n_chars"), *kinds, edited.alias("edited"))
+    with_edit = changed.withColumns({"edited_coarse": anchors(F.col("edited")), "edited_fine": fine_anchors(F.col("edited"))})
     return with_edit.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        shown(F.col("anchors")).alias("fingerprint"),
-        shown(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        shown("").alias("fingerprint"),
+        shown("edited_").alias("edited_fingerprint"),
+        likeness("", "edited_").alias("near_edited"),
+        likeness("", "next_").alias("near_next"),
     )

@@ -1,41 +1,103 @@
 import hashlib
 import random
 import re
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from chronica.llm import syncmers
 from tests.llm import helpers
 
-K, S = syncmers.K, syncmers.S
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
 
-def places(spark, words):
-    """First words of the anchors of a list of words, from the inner hashes one by one."""
-    inner = {}
-    runs = {tuple(words[i : i + S]) for i in range(len(words) - S + 1)}
-    df = spark.createDataFrame([tuple(r) for r in runs] or [("", "")], [f"w{i}" for i in range(S)])
-    for r in df.withColumn("h", F.xxhash64(*df.columns)).collect():
-        inner[tuple(r)[:S]] = r["h"]
+
+def hash_of(parts):
+    """Strings or numbers hashed one after the other, each with the last hash as its seed."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else struct.pack("<q", p), h)
+    return signed(h)
+
+
+def brute(text, tokens, k, s):
+    """(place, hash) of the closed syncmers, k-mer by k-mer."""
     out = []
-    for i in range(len(words) - K + 1):
-        h = [inner[tuple(words[j : j + S])] for j in range(i, i + K - S + 1)]
+    for i in range(len(tokens) - k + 1):
+        h = [hash_of(tokens[j : j + s]) for j in range(i, i + k - s + 1)]
         if min(h) in (h[0], h[-1]):
-            out.append(i)
-    return out
+            out.append((i, hash_of([*h[::s], h[-1]])))
+    return out or [(0, hash_of([text]))]
+
+
+HAN = "\u4e00-\u9fff"
+
+
+def words(text):
+    return re.findall(rf"[{HAN}]|[^\s{HAN}]{{1,16}}", text)
+
+
+def kinds(text):
+    coarse = [h for _, h in brute(text, words(text), syncmers.K, syncmers.S)]
+    fine = [h for _, h in brute(text, list(text), syncmers.FINE_K, syncmers.FINE_S)] if len(text) <= syncmers.SHORT else []
+    return coarse, fine
+
+
+def like(a, b):
+    return max(len(set(x) & set(y)) / max(len(set(x)), len(set(y)), 1) for x, y in zip(a, b))
+
+
+def shown(found):
+    return "|".join("".join(f"{h % (1 << 64):016X}" for h in kind) for kind in found)
 
 
 def prose(rng, n):
     return " ".join(rng.choice(["the", "of", "river", "stone", "a", "bright", "é", "walk", "x1", "over"]) + str(rng.randrange(30)) for _ in range(n))
 
 
+def varied(rng):
+    texts = [prose(rng, n) for n in (0, 1, 5, 7, 8, 9, 30, 90, 120, 300)] + ["same " * 50, "x" * 900, "", " ", "\U0001f600" * 12]
+    han = "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(700))
+    return texts + [han, han[:40], han[300:] + " and some words", "ab\ncd" * 5, "q" * 601, "q" * 600]
+
+
 def test_anchors_are_the_closed_syncmers(spark):
-    rng = random.Random(1)
-    texts = [prose(rng, n) for n in (8, 9, 30, 300, 1000)] + ["same " * 50]
-    got = helpers.documents(spark, texts).select("doc_id", syncmers.anchors(F.col("text")).alias("a")).collect()
-    for r in got:
-        want = places(spark, re.split(r"\s+", texts[r.doc_id]))
-        assert len(r.a) == max(1, len(want))
+    texts = varied(random.Random(1))
+    text = F.col("text")
+    rows = helpers.documents(spark, texts).select(
+        "doc_id", syncmers.anchors_at(text).alias("at"), syncmers.anchors(text).alias("coarse"), syncmers.fine_anchors(text).alias("fine")
+    )
+    for r in rows.collect():
+        t = texts[r.doc_id]
+        assert [tuple(x) for x in r["at"]] == brute(t, words(t), syncmers.K, syncmers.S)
+        assert (r.coarse, r.fine) == kinds(t)
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark):
+    texts = varied(random.Random(9))
+    got = {r.doc_id: r for r in syncmers.compare(helpers.documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        after = texts[i - 1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, e = kinds(t), kinds(edited)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (shown(a), shown(e))
+        assert got[i].near_edited == like(a, e) and got[i].near_next == like(a, kinds(after))
+
+
+def test_short_and_unspaced_texts_resemble_their_edits(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    plain = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(4, 9))) for _ in range(n))
+    texts = [plain(n) for n in range(5, 41)] + ["".join(rng.choice(letters) for _ in range(n)) for n in (40, 700, 5000)]
+    texts += ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n)) for n in (30, 599, 602, 3000)]
+    # Lengths on either side of the bound, before texts that are too short to fill the edit.
+    texts += ["tiny", plain(110), "tiny", plain(180)]
+    for r in syncmers.compare(helpers.documents(spark, texts)).collect():
+        if texts[r.doc_id] != "tiny":
+            assert r.near_edited >= 0.1 and r.near_edited > r.near_next, (r.doc_id, r.near_edited, r.near_next)
 
 
 def test_context_free(spark):
