@@ -8,6 +8,7 @@ from chronica.functions import scalars as S
 from chronica.functions import temporal as D
 from chronica.functions import vocab
 from chronica.operators import coverage as C
+from chronica.operators import ordered
 from chronica.operators import relations as R
 from chronica.operators import scale
 from chronica.operators import serving
@@ -179,6 +180,13 @@ def fingerprint(t):
     return scale.fingerprint(t.memberships, PRINT_COLS, ["snapshot"])
 
 
+@query("q05_ordered_fingerprint", ordered.root_sql("event_id", PRINT_COLS[1:], "memberships", "snapshot"), "memberships")
+def ordered_fingerprint(t):
+    """The hash over all memberships in the order of their events, per snapshot."""
+    nodes = ordered.tree(t.memberships, "event_id", PRINT_COLS[1:], ["snapshot"])
+    return ordered.root(nodes, ["snapshot"])
+
+
 @query(
     "q06_finaliser_gates",
     f"""
