@@ -11,9 +11,10 @@ anchor p stands for a run of starts, p - far to p - near.
 1. Tasks list anchors with two hashes: of the bytes that all strings of the run share
    (``head``) and of the whole neighbourhood p - far to p + LENGTH - near (``body``).
 2. Equal neighbourhoods fold to one with a count, before and after the shuffle.
-   Heads seen once cannot repeat. A head with one neighbourhood, seen more than once,
-   is repeated for all its starts.
-3. The other neighbourhoods become sorted runs of suffixes, cut into ranges by their
+   Heads seen once cannot repeat. Neighbourhoods of a head with too many different
+   ones are cut in halves by the distance of their starts, under longer heads, until
+   no head has more than one range of the merge should hold.
+3. The neighbourhoods become sorted runs of suffixes, cut into ranges by their
    head. Runs are front-coded: an entry holds only what differs from the one before it.
 4. Each range merges its runs with a loser tree that carries, for every run, the
    common prefix with the last suffix written. Two runs with different prefixes
@@ -327,20 +328,86 @@ def judged(runs: DataFrame, length: int) -> DataFrame:
     return runs.groupBy("range").applyInArrow(merge, VERDICT)
 
 
+def folded(found: DataFrame) -> DataFrame:
+    """Equal neighbourhoods under one head as one, with their count."""
+    one = [F.first(c).alias(c) for c in ("key", "id", "place", "near", "far", "base")]
+    return found.groupBy("head", "body").agg(F.sum("n").alias("n"), *one)
+
+
+LINK = "up_head bigint, up_body bigint, head bigint, body bigint, n bigint, key bigint, id bigint, place bigint, near int, far int, base int"
+
+
+def halves(hot: DataFrame, rows: DataFrame, length: int, width: int) -> DataFrame:
+    """Neighbourhoods cut at the middle of their distances, under longer heads.
+
+    Strings that start ``base`` to ``base + width - 1`` bytes before the anchor share
+    ``length - width + 1`` bytes, which are the new head. ``up_head`` and ``up_body`` name
+    the neighbourhood that was cut.
+    """
+    window = window_of(length)
+    at = F.struct("place", "near", "far", "base", "head", "body", "n")
+    found = rows.join(hot.groupBy("key", "id").agg(F.collect_list(at).alias("at")), ["key", "id"]).select("key", "id", "text", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, doc, text, listed_ in zip(*[batch.column(c) for c in ("key", "id", "text", "at")]):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                held = pa.RecordBatch.from_struct_array(pa.concat_arrays([listed_.values]))
+                place, near, far, base, head, body, n = (held.column(k).to_numpy().astype(np.int64) for k in range(7))
+                for first in (base, base + width):
+                    low, high = np.maximum(near, first), np.minimum(far, first + width - 1)
+                    real = low <= high
+                    p, low, high, first = place[real], low[real], high[real], first[real]
+                    longer = textbytes.span_hashes(data, p - first, p - first + length - width + 1)
+                    longer = textbytes.mix(longer + (first * window + width).astype(np.uint64))
+                    clipped = second_hashes(data, p - high, p - low + length)
+                    clipped = textbytes.mix(clipped + (low * window + high).astype(np.uint64))
+                    same = [pa.array(np.full(len(p), v.as_py()), pa.int64()) for v in (key, doc)]
+                    columns = [head[real], body[real], longer.view(np.int64), clipped.view(np.int64), n[real]]
+                    places = [p, *(c.astype(np.int32) for c in (low, high, first))]
+                    yield pa.RecordBatch.from_arrays(
+                        [*map(pa.array, columns), *same, *map(pa.array, places)], names=[c.split()[0] for c in LINK.split(", ")]
+                    )
+
+    # Repeated rows of the table cut their neighbourhoods again.
+    return found.mapInArrow(run, LINK).distinct()
+
+
+def spread(found: DataFrame, rows: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Neighbourhoods to sort, and the links from cut ones to their parts, level by level.
+
+    A head under which more different neighbourhoods stand than a range should hold is
+    hot: they are cut in halves under longer heads until none is. At a single distance
+    the head is the whole string and has one neighbourhood, so this ends.
+    """
+    most = max(1, RANGE_BYTES // (2 * length))
+    width, cold, links = window_of(length), None, []
+    while True:
+        level = session.materialised(folded(found), "neighbourhoods")
+        heads = level.groupBy("head").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds")).where("seen > 1")
+        again = session.materialised(level.join(heads, "head"), "repeated-heads")
+        few = again.where(F.col("kinds") <= most)
+        cold = few if cold is None else cold.unionByName(few)
+        hot = again.where(F.col("kinds") > most)
+        if hot.isEmpty():
+            return cold, links
+        width = -(-width // 2)
+        found = session.materialised(halves(hot, rows, length, width), "halves")
+        links.append(found)
+
+
 def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """key, id and spans (start, end) of repeated bytes, for rows (key, id, text) that have any."""
     found = session.materialised(listed(rows, length), "anchors")
-    folded = found.groupBy("head", "body").agg(
-        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("key", "id", "place", "near", "far")]
-    )
-    folded = session.materialised(folded, "neighbourhoods")
-    heads = folded.groupBy("head").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds")).where("seen > 1")
-    again = session.materialised(folded.join(heads, "head"), "repeated-heads")
-    alone = again.where("kinds = 1").select("head", "body", F.col("near").alias("low"), F.col("far").alias("high"))
-    needed = again.where("kinds > 1")
+    needed, links = spread(found.withColumns({"n": F.lit(1).cast("bigint"), "base": F.lit(0)}), rows, length)
     ranges = max(1, -(-needed.count() * 2 * length // RANGE_BYTES))
     runs = session.materialised(runs_of(needed, rows, length, ranges), "runs")
-    verdicts = alone.unionByName(judged(runs, length))
+    verdicts = judged(runs, length)
+    if links:
+        verdicts = session.materialised(verdicts, "verdicts")
+    for part in reversed(links):  # all strings of a neighbourhood hold its anchor, so their ranges are one
+        above = part.join(verdicts, ["head", "body"]).groupBy(F.col("up_head").alias("head"), F.col("up_body").alias("body"))
+        verdicts = verdicts.unionByName(above.agg(F.min("low").alias("low"), F.max("high").alias("high")))
     hits = found.join(verdicts, ["head", "body"]).select(
         "key", "id", F.struct((F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end")).alias("span")
     )

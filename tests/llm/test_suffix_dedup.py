@@ -61,6 +61,47 @@ def test_against_brute_force(spark, monkeypatch, seed, length, range_bytes):
     assert sum(w[1] > 0 for w in want) > 30
 
 
+def test_passages_in_thousands_of_contexts(spark, monkeypatch):
+    """Lines of a quarter, three quarters and more of the length, each in documents that differ
+    around it: no head keeps more neighbourhoods than a range holds, and bytes equal brute force."""
+    monkeypatch.setattr(sd, "RANGE_BYTES", 20_000)
+    rng, length = random.Random(5), 120
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    lines = [prose(30), prose(90), prose(150)]
+    texts = [prose(rng.randrange(20, 200)) + rng.choice(lines) + prose(rng.randrange(20, 200)) for _ in range(2400)]
+    texts += [a + line + b for line in lines for a in map(prose, (10, 60)) for b in map(prose, (10, 60)) for _ in range(3)]
+    docs = helpers.documents(spark, texts)
+    want = by_hand(texts, length)
+    for r in sd.dedup(docs, length).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == want[r.doc_id], r.doc_id
+
+    rows = sd.keyed(docs)
+    found = sd.listed(rows, length).selectExpr("*", "1L as n", "0 as base")
+    before = found.groupBy("head").agg({"body": "approx_count_distinct"}).selectExpr("max(`approx_count_distinct(body)`)").first()[0]
+    needed, links = sd.spread(found, rows, length)
+    most = sd.RANGE_BYTES // (2 * length)
+    assert links and before > 4 * most
+    assert needed.groupBy("head").count().selectExpr("max(count)").first()[0] <= most
+
+
+def test_passages_of_fifty_to_eighty_words(spark):
+    """A passage shorter than the length stays, a longer one goes, whatever its words."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 10)))
+    prose = lambda n: " ".join(word() for _ in range(n)) + " "
+    passages = [prose(n) for n in (50, 55, 60, 65, 70, 75, 80) for _ in range(4)]
+    texts = [prose(30) + p + prose(30) for p in passages for _ in range(2)]
+    rows = {r.doc_id: r for r in sd.dedup(helpers.documents(spark, texts)).collect()}
+    short = [k for k in rows if len(passages[k // 2]) < 398]
+    assert short and len(short) < len(rows)
+    for k, r in rows.items():
+        size = len(passages[k // 2])
+        if k in short:
+            assert r.n_removed == 0
+        elif size >= 400:
+            assert r.n_removed >= size
+
+
 def test_anchors_do_not_depend_on_segments_or_context(monkeypatch):
     rng = random.Random(9)
     body = "".join(rng.choice("abcdef ") for _ in range(900)).encode()
