@@ -130,45 +130,37 @@ def active_changes(events: DataFrame) -> DataFrame:
     return last.withColumn("change", F.col("held") - before).where(F.col("change") != 0)
 
 
-def _chained(pieces: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Join neighbouring pieces: a change where one ends in another family than
-    the next begins with."""
-    before = F.lag("last").over(Window.partitionBy(*keys).orderBy(*order))
-    return pieces.withColumn("changes", F.col("changes") + F.coalesce((before != F.col("first")).cast("int"), F.lit(0)))
-
-
-def switches(events: DataFrame, yearly: DataFrame, prefix: int = 4) -> DataFrame:
+def switches(events: DataFrame, yearly: DataFrame) -> DataFrame:
     """How often the family changes from one effective point to the next, per
     year of the later point.
 
-    Points are compared inside pieces first: a person's day, cut further by the
-    ``prefix`` characters of the event id that follow what all ids of that day have in
-    common, so ids of one scheme are cut too and the order is kept. Pieces are
-    chained inside the day and days inside the person by their first and last
-    family, so neither a busy person nor a busy day is sorted as a whole.
+    The order of all points is cut into pieces by Spark's range partitioning, at
+    quantiles of person, day and event id together, and written, so the pieces stay as
+    they are. Points are compared inside a person's part of a piece, and the parts of
+    a person are chained by their first and last family: neither a busy person nor
+    a busy day is sorted as a whole, however its ids are made. Points equal in
+    all of these are no change.
     """
     plain = events.where(~S.is_high_frequency(F.col("family"))).select("person_id", "year", "date_min", "event_id", "family")
     collapsed = yearly.where(S.is_high_frequency(F.col("family")) & (F.col("eff") > 0)).select(
         "person_id", "year", "first.date_min", "first.event_id", "family"
     )
-    day = ["person_id", "year", "date_min"]
-    points = plain.unionByName(collapsed)
-    ends = points.groupBy(*day).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
-    same = F.filter(F.sequence(F.lit(1), F.length("lo")), lambda i: F.substring("lo", F.lit(1), i) == F.substring("hi", F.lit(1), i))
-    common = F.when((F.col("lo") == F.col("hi")) | (F.length("lo") == 0), 0).otherwise(F.size(same))
-    points = points.join(ends.select(*day, common.alias("common")), day)
-    points = points.withColumn("piece", F.substring("event_id", F.col("common") + 1, F.lit(prefix))).drop("common")
-    inside = Window.partitionBy(*day, "piece").orderBy("event_id", "family")
-    at = F.struct("event_id", "family")
-    pieces = points.withColumn("prev", F.lag("family").over(inside)).groupBy(*day, "piece").agg(
+    order = ["year", "date_min", "event_id", "family"]
+    ranged = plain.unionByName(collapsed).repartitionByRange("person_id", *order)
+    cut = materialised(ranged.withColumn("piece", F.spark_partition_id()), "points")
+    inside = cut.withColumn("prev", F.lag("family").over(Window.partitionBy("person_id", "piece").orderBy(*order)))
+    at = F.struct(*order)
+    parts = inside.groupBy("person_id", "piece", "year").agg(
         F.count_if(F.col("prev") != F.col("family")).alias("changes"),
         F.min_by("family", at).alias("first"),
         F.max_by("family", at).alias("last"),
+        F.count_if(F.col("prev").isNull()).alias("opens"),
     )
-    days = _chained(pieces, day, ["piece"]).groupBy(*day).agg(
-        F.sum("changes").alias("changes"), F.min_by("first", "piece").alias("first"), F.max_by("last", "piece").alias("last")
-    )
-    return _chained(days, ["person_id"], ["year", "date_min"]).groupBy("person_id", "year").agg(F.sum("changes").alias("n"))
+    # The first point of a part had nothing before it there: it follows the part before.
+    before = F.lag("last").over(Window.partitionBy("person_id").orderBy("piece", "year"))
+    joint = ((F.col("opens") > 0) & (before != F.col("first"))).cast("int")
+    chained = parts.withColumn("changes", F.col("changes") + F.coalesce(joint, F.lit(0)))
+    return chained.groupBy("person_id", "year").agg(F.sum("changes").alias("n"))
 
 
 def year_states(events: DataFrame, legacy: bool = False, domains=vocab.DOMAINS, materialise: bool = True) -> DataFrame:

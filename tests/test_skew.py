@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from chronica import session
 from chronica.functions import scalars as S
 from chronica.operators import coverage as C
 from chronica.operators import evaluation as V
@@ -62,14 +63,34 @@ def test_switches_and_roles_follow_the_event_order(events, rows):
     check_order(events, rows)
 
 
-def test_switches_with_one_id_scheme_and_one_hot_day(spark, rows):
-    """All ids share a long prefix and a third of all rows fall on one day of one person."""
-    hot = [(f"wd:Q1000{r[0][1:]}", *r[1:4], *([dt.date(1995, 1, 1)] * 3 if r[1] == 0 else r[4:7]), *r[7:]) for r in rows]
+@pytest.mark.parametrize("schemes", [("wd:Q1000",), ("wd:Q1000", "ol:W1000")])
+def test_switches_with_few_id_schemes_and_one_hot_day(spark, rows, schemes):
+    """All ids share one or two long prefixes and a third of all rows fall on one day of one person."""
+    named = lambda k, r: schemes[k % len(schemes)] + r[0][1:]
+    hot = [(named(k, r), *r[1:4], *([dt.date(1995, 1, 1)] * 3 if r[1] == 0 else r[4:7]), *r[7:]) for k, r in enumerate(rows)]
     df = spark.createDataFrame(hot, SCHEMA).repartition(6)
     events = df.withColumn("event_family", S.event_family(F.col("event_type"), F.col("domain")))
     check_order(events, hot)
-    day = events.where("person_id = 0").select(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
-    assert day.lo[:8] == day.hi[:8]
+
+
+def test_switches_spread_a_hot_day(spark, monkeypatch):
+    """Half of all points fall on one day under two id schemes: no piece holds more than twice its share."""
+    rows = [(0, 1995, dt.date(1995, 1, 1), f"{('wd:Q', 'ol:W')[k % 2]}{k:06d}", ("a.x", "b.y")[k % 3 == 0]) for k in range(20_000)]
+    rows += [(p, 2000, dt.date(2000, 1, 1 + p % 28), f"wd:Q{p}", "a.x") for p in range(1, 20_001)]
+    points = spark.createDataFrame(rows, "person_id long, year int, date_min date, event_id string, family string")
+    none = points.limit(0).selectExpr("person_id", "year", "struct(date_min, event_id) as first", "family", "1 as eff")
+    written = []
+    monkeypatch.setattr(Y, "materialised", lambda df, label: written.append(session.materialised(df, label)) or written[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a small table would be one piece
+    try:
+        got = {(r.person_id, r.year): r.n for r in Y.switches(points, none).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    day = [r[4] for r in sorted(rows[:20_000], key=lambda r: r[3])]
+    assert got[(0, 1995)] == sum(a != b for a, b in zip(day, day[1:]))
+    assert sum(got.values()) == got[(0, 1995)]
+    sizes = [r["count"] for r in written[0].groupBy("piece").count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 2 * len(rows) / len(sizes)
 
 
 def check_order(events, rows):
