@@ -6,28 +6,21 @@ sentences then flow independently, so a very long text is no hot group.
 
 from __future__ import annotations
 
-import html as html_entities
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from chronica.functions import temporal as D
 from chronica.functions import vocab
+from chronica.functions.markup import unescaped, without_nested
 
 UNICODE = "(?U)"
-# What opens and closes templates and tables.
-_BRACES = (("{{", "}}", re.compile(r"(\{\{|\}\})")), ("{|", "|}", re.compile(r"(\{\||\|\})")))
 
 
 # --- prose ------------------------------------------------------------------
 def html_prose(html: Column) -> Column:
     """Visible text of a page: scripts, styles, comments and navigation dropped,
     cut at the first tail heading, tags removed, entities decoded."""
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->", " ")
     bare = F.regexp_replace(bare, r"(?is)<(script|style|nav|head|footer|aside)\b.*?</\1\s*>", " ")
     titles = "|".join(vocab.TAIL_SECTIONS)
     bare = F.regexp_replace(bare, rf"(?isU)<h[1-6][^>]*>(?:\s|<[^>]*>)*(?:{titles})(?:\s|<[^>]*>)*</h[1-6]>.*", " ")
@@ -35,39 +28,6 @@ def html_prose(html: Column) -> Column:
     return clean(unescaped(text))
 
 
-def _without_templates(raw: str) -> str:
-    """Drop nested ``{{...}}`` and then ``{|...|}`` of any depth, one scan each; an
-    unclosed one stays."""
-    for start, end, marks in _BRACES:
-        if start not in raw:
-            continue
-        out: list[str] = []
-        opened: list[int] = []
-        for piece in marks.split(raw):
-            if piece == end and opened:
-                del out[opened.pop():]
-                continue
-            if piece == start:
-                opened.append(len(out))
-            out.append(piece)
-        raw = "".join(out)
-    return raw
-
-
-@F.pandas_udf(StringType())
-def without_templates(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Nesting of any depth is no regular language: the one step in Python."""
-    for texts in parts:
-        yield texts.fillna("").map(_without_templates)
-
-
-@F.pandas_udf(StringType())
-def unescaped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Character entities, named and numeric, as characters."""
-    for texts in parts:
-        yield texts.fillna("").map(lambda t: html_entities.unescape(t) if "&" in t else t)
-
-
 def wiki_prose(wikitext: Column) -> Column:
     """Plain prose of wiki markup: references, galleries, templates and tables dropped,
     cut at the first tail heading, links and emphasis reduced to their text, bare
@@ -75,7 +35,7 @@ def wiki_prose(wikitext: Column) -> Column:
     bare = F.regexp_replace(F.coalesce(wikitext, F.lit("")), r"(?is)<!--.*?-->", "")
     bare = F.regexp_replace(bare, r"(?is)<(ref|references|gallery|math|timeline)\b[^>]*?/>", "")
     bare = F.regexp_replace(bare, r"(?is)<(ref|references|gallery|math|timeline)\b[^>]*>.*?</\1\s*>", "")
-    bare = without_templates(bare)
+    bare = without_nested(without_nested(bare, "{{", "}}"), "{|", "|}")
     titles = "|".join(vocab.TAIL_SECTIONS)
     bare = F.regexp_replace(bare, rf"(?isU)(?:^|\n)[ \t]*(=+)\s*(?:{titles})\s*\1[ \t]*(?:\n.*|$)", "")
     bare = F.regexp_replace(bare, r"(?m)^[ \t]*=+\s*(.*?)\s*=+[ \t]*$", "$1")
