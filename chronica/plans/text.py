@@ -42,9 +42,25 @@ def wiki_prose(t):
     return t.documents.select("doc_id", prose.alias("prose")).select("doc_id", F.length("prose").alias("chars"), F.sha2("prose", 256).alias("digest"))
 
 
-@query("t01_html_prose")
+def _html_sql():
+    """Elements by one alternation (no back references here), the entities that pages hold
+    one after the other with the ampersand last, so that none is read twice."""
+    gone = "|".join(rf"<{n}\b.*?</{n}\s*>" for n in ("script", "style", "nav", "head", "footer", "aside"))
+    blank = r"(?:\s|<[^>]*>)*"
+    tail = rf"<h[1-6][^>]*>{blank}(?:{'|'.join(vocab.TAIL_SECTIONS)}){blank}</h[1-6]>.*"
+    out = "coalesce(html, '')"
+    for pattern in (r"(?s)<!--.*?-->", f"(?is){gone}", f"(?is){tail}", r"(?s)<[^>]*>"):
+        out = f"regexp_replace({out}, '{pattern}', ' ', 'g')"
+    for name, char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("middot", "·"), ("copy", "©"), ("nbsp", "\u00a0")):
+        out = f"regexp_replace({out}, '&{name};?', '{char}', 'g')"
+    out = rf"trim(regexp_replace(regexp_replace({out}, '&amp;?', '&', 'g'), '[\s\x{{0b}}\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+    return f"""SELECT page_id, length(p) AS chars, sha256(p) AS digest, regexp_matches(p, '</?(script|style|nav)') AS markup_left
+FROM (SELECT page_id, {out} AS p FROM pages)"""
+
+
+@query("t01_html_prose", _html_sql())
 def html_prose(t):
-    """Visible text of every page, in figures (markup cleaning has no SQL twin)."""
+    """Visible text of every page, in figures."""
     prose = t.pages.select("page_id", T.html_prose(F.col("html")).alias("prose"))
     return prose.select(
         "page_id", F.length("prose").alias("chars"), F.sha2("prose", 256).alias("digest"), F.col("prose").rlike(r"</?(script|style|nav)").alias("markup_left")
