@@ -451,11 +451,46 @@ def preprocessing(t):
     return rows.where("value <> 0").select("example_id", "slot", (F.round("value", 6) + 0.0).alias("value"))
 
 
+def _balanced(t):
+    out = models.logistic(_matrix(t), NUMERIC, CATEGORICAL, "y_class_4", FOUR, balanced=True)
+    return V.with_losses(out.withColumnRenamed("y_class_4", "y_true"), FOUR)
+
+
+def _by_class(scored, weight=None):
+    """Rows per split and class, with the (weighted) mean probability of each class over all rows of the split."""
+    weight = F.lit(1.0) if weight is None else weight
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("class_name"), V.p(c).alias("p")) for c in FOUR])).alias("e")
+    total = sum((V.p(c) for c in FOUR), F.lit(0.0))
+    rows = scored.select("example_id", "split_name", "y_true", weight.alias("w"), (F.abs(total - 1) > 1e-9).alias("off"), each)
+    return rows.groupBy("split_name", "e.class_name").agg(
+        F.count_if(F.col("y_true") == F.col("e.class_name")).alias("n"),
+        (F.count(F.lit(1)) - F.count_distinct("example_id")).alias("duplicates"),
+        F.count_if("off").alias("not_normalised"),
+        (F.sum(F.col("w") * F.col("e.p")) / F.sum("w")).alias("mean_p"),
+    )
+
+
+def _share_sql(split, share):
+    names = ", ".join(f"('{c}')" for c in FOUR)
+    return f"""WITH m AS (SELECT {split} AS split_name, y_class_4 FROM examples WHERE classification_eligible),
+g AS (SELECT DISTINCT split_name, class_name FROM m, (VALUES {names}) v(class_name))
+SELECT g.split_name, class_name, count(*) FILTER (WHERE y_class_4 = class_name) AS n, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS not_normalised,
+  CASE WHEN g.split_name = 'train' THEN round({share}, 3) END AS mean_p FROM g JOIN m USING (split_name) GROUP BY 1, 2"""
+
+
+@query("n05_logistic_integrity", _share_sql("split_name", "0.25::DOUBLE"), "examples")
+def logistic_integrity(t):
+    """A normalised prediction per example; where the fit is at its optimum, the balanced weights of the training
+    rows give every class the same mean probability."""
+    scored = _balanced(t)
+    sizes = scored.where("split_name = 'train'").groupBy("y_true").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
+    out = _by_class(scored.join(sizes, "y_true", "left"), F.coalesce("weight", F.lit(0.0)))
+    return out.withColumn("mean_p", F.when(F.col("split_name") == "train", F.round("mean_p", 3)))
+
+
 @query("n05_multinomial_logistic")
 def multinomial_logistic(t):
-    rows = _matrix(t)
-    out = models.logistic(rows, NUMERIC, CATEGORICAL, "y_class_4", FOUR, balanced=True)
-    scored = V.with_losses(out.withColumnRenamed("y_class_4", "y_true"), FOUR)
+    scored = _balanced(t)
     return rounded(scored.groupBy("split_name").agg(F.count(F.lit(1)).alias("n"), F.avg("log_loss").alias("log_loss"), F.avg("brier").alias("brier")), 6)
 
 
@@ -479,12 +514,30 @@ def model_selection(t):
     return rounded(models.select_best(metrics, 3), 6)
 
 
-@query("n24_time_split_baseline")
-def time_split_baseline(t):
+def _time_split(t):
     rows = _matrix(t).withColumn("split_name", F.when(F.year("birth_date") < 1975, "train").otherwise("test"))
     out = models.logistic(rows, NUMERIC[:2], [], "y_class_4", FOUR).withColumnRenamed("y_class_4", "y_true")
-    scored = V.with_losses(out, FOUR)
-    return rounded(V.classification(scored, ["split_name"], FOUR), 6)
+    return V.with_losses(out, FOUR)
+
+
+@query("n24_time_split_baseline")
+def time_split_baseline(t):
+    return rounded(V.classification(_time_split(t), ["split_name"], FOUR), 6)
+
+
+@query(
+    "n24_time_split_integrity",
+    _share_sql(
+        "CASE WHEN year(birth_date) < 1975 THEN 'train' ELSE 'test' END",
+        "count(*) FILTER (WHERE y_class_4 = class_name) / count(*)",
+    ),
+    "examples",
+)
+def time_split_integrity(t):
+    """A normalised prediction per example; at the optimum of the fit the mean probability of a class over the
+    training rows is its share of them."""
+    out = _by_class(_time_split(t))
+    return out.withColumn("mean_p", F.when(F.col("split_name") == "train", F.round("mean_p", 3)))
 
 
 def _losses(scored, by, classes):
