@@ -342,8 +342,12 @@ def members(events: DataFrame, legacy: bool = False) -> DataFrame:
     return with_exact_key(events.where(F.col("person_id").isNotNull()), legacy).select("canonical_event_id", "canonical_key", "event_id", "source_id")
 
 
-def with_subject_key(events: DataFrame) -> DataFrame:
-    """Snapshot rule: only rows that name a subject can merge."""
+# Names of the two kinds of subject keys; packed, a kind is the byte before the digest. Their order is the same.
+KEY_KINDS = ("ce:v1:", "ce:v1:raw:")
+
+
+def _packed_subject_key() -> Column:
+    """The snapshot key as 33 bytes: only rows that name a subject can merge."""
     backed = F.trim(F.coalesce("subject_id", F.lit(""))) != ""
     key = F.concat_ws(
         "\u001f",
@@ -353,18 +357,29 @@ def with_subject_key(events: DataFrame) -> DataFrame:
         F.coalesce("qualifier_kind", F.lit("")),
         "subject_id",
     )
-    return events.withColumn(
-        "canonical_event_key",
-        F.when(backed, F.concat(F.lit("ce:v1:"), F.sha2(key, 256))).otherwise(F.concat(F.lit("ce:v1:raw:"), F.sha2("event_id", 256))),
-    )
+    packed = lambda kind, text: F.concat(F.lit(bytes([kind])), F.unhex(F.sha2(text, 256)))
+    return F.when(backed, packed(0, key)).otherwise(packed(1, F.col("event_id")))
+
+
+def subject_key_text(key: str | Column) -> Column:
+    """The name that a packed key stands for."""
+    text = F.lower(F.hex(key))
+    kind = lambda k: F.concat(F.lit(KEY_KINDS[k]), F.substring(text, 3, 64))
+    return F.when(F.substring(text, 1, 2) == "00", kind(0)).otherwise(kind(1))
+
+
+def with_subject_key(events: DataFrame) -> DataFrame:
+    """Snapshot rule: only rows that name a subject can merge."""
+    return events.withColumn("canonical_event_key", subject_key_text(_packed_subject_key()))
 
 
-def canonicalise_subject(events: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Snapshot facts: subject-backed exact duplicates fold, others stay alone."""
-    keyed = with_subject_key(events)
+def canonicalise_subject(events: DataFrame, by: list[str] = (), packed: bool = False) -> DataFrame:
+    """Snapshot facts: subject-backed exact duplicates fold, others stay alone. Keys travel as
+    bytes, half as long as their names, and stay bytes where ``packed``."""
+    keyed = events.withColumn("canonical_event_key", _packed_subject_key())
     one = F.min("precision") == F.max("precision")
     cal = F.min("calendar_kind") == F.max("calendar_kind")
-    return keyed.groupBy(*by, "canonical_event_key", "person_id", "domain", "event_type").agg(
+    facts = keyed.groupBy(*by, "canonical_event_key", "person_id", "domain", "event_type").agg(
         F.min("date_min").alias("date_min"),
         F.max("date_max").alias("date_max"),
         F.when(one, F.min("precision")).otherwise("mixed").alias("precision"),
@@ -379,6 +394,7 @@ def canonicalise_subject(events: DataFrame, by: list[str] = ()) -> DataFrame:
         F.array_sort(F.collect_set(S.source_family(F.col("source_id")))).alias("source_families"),
         F.count(F.lit(1)).alias("raw_event_count"),
     ).withColumn("source_family_count", F.size("source_families"))
+    return facts if packed else facts.withColumn("canonical_event_key", subject_key_text("canonical_event_key"))
 
 
 def merge_streams(streams: list[DataFrame], order: list[str]) -> DataFrame:

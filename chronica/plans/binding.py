@@ -478,10 +478,11 @@ SQL_DEPS["memberships"] = ("raw_events",)
 
 
 def facts(t):
-    """Canonical facts of both snapshots."""
+    """Canonical facts of both snapshots; the written table holds their keys as bytes."""
     from chronica.operators import events
 
-    return t.stage("facts", lambda: events.canonicalise_subject(t.memberships, by=["snapshot"]))
+    rows = t.stage("facts", lambda: events.canonicalise_subject(t.memberships, by=["snapshot"], packed=True))
+    return rows.withColumn("canonical_event_key", events.subject_key_text("canonical_event_key"))
 
 
 SQL["keyed_members"] = """
