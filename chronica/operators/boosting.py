@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronica import session
-from chronica.operators import scale
+from chronica.operators import models
 
 # Capacities (fixed values): rounds, step, leaves of a tree, rows of a leaf, penalty of leaf values.
 CAPACITIES = {
@@ -82,39 +82,51 @@ def _ready(rows: DataFrame, numeric: list[str], categorical: list[str]) -> DataF
 def binning(train: DataFrame, numeric: list[str], categorical: list[str]) -> Binning:
     """Bins of training rows: midpoints between values where a column has at most BINS of them, else
     approximate quantiles. Medians are exact order statistics of the column (the mean of the middle two)."""
+    return _binning(train, _fold(train, numeric, categorical), numeric, categorical)
+
+
+def _fold(train: DataFrame, numeric: list[str], categorical: list[str], label: str | None = None) -> DataFrame:
+    """Rows that agree in features (and label) as one, with their number."""
     ready = _ready(train, numeric, categorical)
-    medians, cuts, categories = {}, {}, {}
+    return models.folded(ready, [*[f"__{c}" for c in [*numeric, *categorical]], *([label] if label else [])])
+
+
+def _binning(train: DataFrame, fold: DataFrame, numeric: list[str], categorical: list[str]) -> Binning:
+    cuts, categories = {}, {}
+    found = models.medians(fold, [f"__{c}" for c in numeric], "__n") if numeric else {}
+    medians = {c: float(found[f"__{c}"]) for c in numeric}
     for c in numeric:
-        values = ready.select(F.col(f"__{c}").alias(c)).where(F.col(c).isNotNull() & ~F.isnan(c))
-        middle = scale.medians(values, [], c).first()
-        medians[c] = float(middle[0]) if middle else 0.0
+        values = fold.select(F.col(f"__{c}").alias(c)).where(F.col(c).isNotNull() & ~F.isnan(c))
         few = sorted(r[0] for r in values.distinct().limit(BINS + 1).collect())
         if len(few) > BINS:
             shares = [k / BINS for k in range(1, BINS)]
-            cuts[c] = np.unique(values.agg(F.percentile_approx(c, shares, F.lit(100 * BINS))).first()[0])
+            each = train.select(F.col(c).cast("double").alias(c)).where(F.col(c).isNotNull() & ~F.isnan(c))
+            cuts[c] = np.unique(each.agg(F.percentile_approx(c, shares, F.lit(100 * BINS))).first()[0])
         else:
             cuts[c] = np.array([(a + b) / 2 for a, b in zip(few, few[1:])])
     for c in categorical:
-        found = sorted(r[0] for r in ready.select(f"__{c}").distinct().limit(MOST_CATEGORIES + 1).collect())
-        if len(found) > MOST_CATEGORIES:
+        seen = sorted(r[0] for r in fold.select(f"__{c}").distinct().limit(MOST_CATEGORIES + 1).collect())
+        if len(seen) > MOST_CATEGORIES:
             raise ValueError(f"{c} has more than {MOST_CATEGORIES} categories")
-        categories[c] = {v: i for i, v in enumerate(found)}
+        categories[c] = {v: i for i, v in enumerate(seen)}
     return Binning(list(numeric), list(categorical), medians, cuts, categories)
 
 
 def cells(train: DataFrame, how: Binning, label: str, classes) -> DataFrame:
     """Training rows folded to b (bins) and n (rows per class)."""
-    ready = _ready(train, how.numeric, how.categorical)
+    return _cells(_fold(train, how.numeric, how.categorical, label), how, label, classes)
+
 
+def _cells(fold: DataFrame, how: Binning, label: str, classes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = pa.array(list(how.bins(batch).astype(np.int16)), pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([bins, batch.column(label)], names=["b", label])
+            yield pa.RecordBatch.from_arrays([bins, batch.column(label), batch.column("__n")], names=["b", label, "__n"])
 
-    kind = dict(ready.dtypes)[label]
-    binned = ready.select(*[f"__{c}" for c in how.names], label).mapInArrow(run, f"b array<smallint>, {label} {kind}")
-    counts = F.array(*[F.count_if(F.col(label) == c) for c in classes])
-    return binned.where(F.col(label).isin(list(classes))).groupBy("b").agg(counts.alias("n"))
+    kind = dict(fold.dtypes)[label]
+    binned = fold.where(F.col(label).isin(list(classes))).mapInArrow(run, f"b array<smallint>, {label} {kind}, __n bigint")
+    counts = F.array(*[F.coalesce(F.sum(F.when(F.col(label) == c, F.col("__n"))), F.lit(0).cast("bigint")) for c in classes])
+    return binned.groupBy("b").agg(counts.alias("n"))
 
 
 @dataclass
@@ -408,8 +420,10 @@ class Training:
 def training(train: DataFrame, numeric: list[str], categorical: list[str], label: str, classes) -> Training:
     """Fold training rows; rows without one of the classes take no part. Classes that no row has are
     left out of the model and get the probability zero."""
-    how = binning(train, numeric, categorical)
-    table = session.materialised(cells(train, how, label, classes), "cells")
+    fold = _fold(train, numeric, categorical, label)
+    how = _binning(train, fold, numeric, categorical)
+    table = session.materialised(_cells(fold, how, label, classes), "cells")
+    session.discard(fold)
     sums = table.agg(F.count(F.lit(1)).alias("cells"), *[F.coalesce(F.sum(F.col("n")[k]), F.lit(0)).alias(f"n{k}") for k in range(len(classes))]).first()
     present = [k for k in range(len(classes)) if sums[f"n{k}"]]
     if not present:
@@ -479,16 +493,19 @@ def fit_grid(data: dict[str, Training], capacities: dict[str, dict], balanced: b
 
 def predict(model: Model, rows: DataFrame, classes) -> DataFrame:
     """All rows with p_<class> columns. Rows of any split, with categories unseen in training or missing
-    numbers, get probabilities; an empty table stays empty."""
-    ready = _ready(rows, model.how.numeric, model.how.categorical)
-    names = rows.columns
+    numbers, get probabilities; an empty table stays empty. Trees are walked once per distinct row of features."""
     place = {c: k for k, c in enumerate(model.classes)}
+    keys = [f"__{c}" for c in model.how.names]
 
     def run(batches):
         for batch in batches:
             p = _softmax(model.raw(model.how.bins(batch))) if batch.num_rows else np.zeros((0, len(place)))
             columns = [pa.array(p[:, place[c]] if c in place else np.zeros(len(p))) for c in classes]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, names=[*names, *[f"p_{c}" for c in classes]])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keys] + columns, names=[*keys, *[f"p_{c}" for c in classes]])
+
+    def score(distinct: DataFrame) -> DataFrame:
+        schema = T.StructType(list(distinct.schema.fields) + [T.StructField(f"p_{c}", T.DoubleType()) for c in classes])
+        return distinct.mapInArrow(run, schema)
 
-    schema = T.StructType(list(rows.schema.fields) + [T.StructField(f"p_{c}", T.DoubleType()) for c in classes])
-    return ready.mapInArrow(run, schema)
+    scored = models.with_scores(_ready(rows, model.how.numeric, model.how.categorical), keys, score)
+    return scored.select(*rows.columns, *[f"p_{c}" for c in classes])

@@ -74,10 +74,10 @@ def interval_prior(rows: DataFrame, classes, label: str, interval: str = "interv
     return joined.withColumns({f"p_{c}": F.coalesce(f"p_{c}", overall.select(f"p_{c}").scalar()) for c in classes})
 
 
-def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
+def balanced_weights(rows: DataFrame, label: str, times: str | None = None) -> DataFrame:
     """n / (k * n_c) per class. The classes are a vocabulary: weights are
-    computed on their counts and joined."""
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    computed on their counts and joined. A row counts as often as its column ``times`` says."""
+    counts = rows.groupBy(label).agg((F.sum(times) if times else F.count(F.lit(1))).alias("n"))
     everything = Window.partitionBy(F.lit(1))
     weights = counts.select(
         label, (F.sum("n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("n"))).alias("weight")

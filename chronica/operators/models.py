@@ -3,13 +3,16 @@ returned as one probability column per class."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronica import session
@@ -22,6 +25,8 @@ CAPACITIES = {
     "medium": {"trees": 350, "depth": 5, "step": 0.05, "leaf": 25},
     "large": {"trees": 450, "depth": 6, "step": 0.04, "leaf": 20},
 }
+# Different values of all columns whose counts are read for medians; beyond, ranks are found by Spark jobs.
+MOST_VALUES = 1 << 16
 # Rounds allowed to the logistic solver (fixed value); it has to converge before.
 LOGISTIC_ROUNDS = 5000
 
@@ -53,10 +58,23 @@ def _cast(rows: DataFrame, numeric: list[str], categorical: list[str]) -> DataFr
     )
 
 
-def medians(rows: DataFrame, numeric: list[str]) -> dict[str, float]:
-    """Exact medians of columns in one selection; a column without any value gets 0."""
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in numeric])).alias("e"))
-    found = {r["name"]: r["median"] for r in scale.medians(long.select("e.name", "e.v"), ["name"], "v").collect()}
+def medians(rows: DataFrame, numeric: list[str], times: str | None = None) -> dict[str, float]:
+    """Exact medians of columns in one selection; a column without any value gets 0. A row stands for as many
+    as its column ``times`` says."""
+    weight = F.col(times) if times else F.lit(1)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in numeric]))
+    long = rows.select(each.alias("e"), weight.alias("__times")).select("e.name", "e.v", "__times")
+    counts = long.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("name", (F.col("v") + 0.0).alias("v")).agg(F.sum("__times").alias("n"))
+    few = counts.limit(MOST_VALUES + 1).collect()
+    if len(few) > MOST_VALUES:
+        found = {r["name"]: r["median"] for r in scale.medians(long, ["name"], "v", times="__times").collect()}
+    else:
+        found = {}
+        for c in {r["name"] for r in few}:
+            values, times = zip(*sorted((r["v"], r["n"]) for r in few if r["name"] == c))
+            upto = list(accumulate(times))
+            low, high = (values[bisect_right(upto, k)] for k in ((upto[-1] - 1) // 2, upto[-1] // 2))
+            found[c] = (low + high) / 2
     return {c: found.get(c, 0.0) for c in numeric}
 
 
@@ -79,27 +97,63 @@ def _columns(scored: DataFrame, keep: list[str], classes, vector: str = "probabi
     return scored.select(*keep, *[F.get(p, F.lit(i)).alias(f"p_{c}") for i, c in enumerate(classes)])
 
 
-def logistic(rows: DataFrame, numeric, categorical, label: str, classes, balanced: bool = False, c: float = 1.0, split: str = "split_name") -> DataFrame:
-    """Multinomial logistic regression with an L2 penalty of 1 / (C n)."""
-    keep = rows.columns
-    matrix = session.materialised(prepared(rows, numeric, categorical, split).select(*keep, "features"), "matrix")
-    ready = matrix.withColumn("__y", _code(label, classes))
-    train = ready.where((F.col(split) == "train") & F.col(label).isNotNull())
+def folded(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows that agree in the columns as one, with their number ``__n``; written."""
+    return session.materialised(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), "folded")
+
+
+def with_scores(rows: DataFrame, keys: list[str], score) -> DataFrame:
+    """Rows with what ``score`` adds to their distinct keys, which are written. Missing and not-a-number keys
+    meet their equals."""
+    scored = session.materialised(score(rows.select(*keys).distinct()), "scores")
+    same = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
+    extra = [c for c in scored.columns if c not in keys]
+    if not same:
+        return rows.crossJoin(scored)
+    joined = rows.alias("__l").join(scored.alias("__r"), reduce(Column.__and__, same), "left")
+    return joined.select(*[F.col(f"__l.{c}") for c in rows.columns], *[F.col(f"__r.{c}") for c in extra])
+
+
+def logistic(rows: DataFrame, numeric, categorical, label: str, classes, balanced: bool = False, c: float = 1.0, split: str = "split_name", written: bool = False) -> DataFrame:
+    """Multinomial logistic regression with an L2 penalty of 1 / (C n).
+
+    Rows that agree in features and label are one row with their number as weight, which has the same
+    optimum; the solver's rounds and the scores need the distinct ones only. The rows are written as
+    they are (unless ``written``), never with their feature vectors."""
+    keep, numeric, categorical, classes = rows.columns, list(numeric), list(categorical), list(classes)
+    table = rows if written else session.materialised(rows, "matrix")
+    keys = [f"__f{i}" for i in range(len(numeric) + len(categorical))]
+    cast = _cast(table.select(*[F.col(n).alias(k) for n, k in zip([*numeric, *categorical], keys)], split, F.col(label).alias("__label")), keys[: len(numeric)], keys[len(numeric) :])
+    train = cast.where(F.col(split) == "train")
+    numbers, texts = keys[: len(numeric)], keys[len(numeric) :]
+    cells = folded(train, [*keys, "__label"])
+    middle = medians(cells, numbers, "__n") if numbers else {}
+    filled = lambda df: df.na.fill(middle) if middle else df
+    how = preprocessor(numbers, texts).fit(filled(train))
+    known = how.transform(filled(cells.where(F.col("__label").isNotNull()))).withColumn("__y", _code("__label", classes))
     if balanced:
-        train = evaluation.balanced_weights(train, label)
+        known = evaluation.balanced_weights(known, "__label", "__n")
     else:
-        train = train.withColumn("weight", F.lit(1.0))
-    total = train.agg(F.sum("weight")).first()[0]
+        known = known.withColumn("weight", F.lit(1.0))
+    known = known.withColumn("weight", F.col("weight") * F.col("__n"))
+    total = known.agg(F.sum("weight")).first()[0]
     model = LogisticRegression(
         family="multinomial", featuresCol="features", labelCol="__y", weightCol="weight",
         regParam=1.0 / (c * total), standardization=False, maxIter=LOGISTIC_ROUNDS,
-    ).fit(train)
+    ).fit(known)
     if model.summary.totalIterations >= LOGISTIC_ROUNDS:
         raise RuntimeError(f"logistic regression has not converged in {LOGISTIC_ROUNDS} rounds")
-    scored = _columns(model.transform(ready), keep, list(classes)[: model.numClasses])
-    for missing in list(classes)[model.numClasses:]:
+
+    def score(distinct: DataFrame) -> DataFrame:
+        raw = distinct.select("*", *[F.col(k).alias(f"__k{k}") for k in keys])
+        scored = _columns(model.transform(how.transform(filled(raw))), [f"__k{k}" for k in keys], classes[: model.numClasses])
+        return scored.withColumnsRenamed({f"__k{k}": k for k in keys})
+
+    features = _cast(table.select("*", *[F.col(n).alias(k) for n, k in zip([*numeric, *categorical], keys)]), numbers, texts)
+    scored = with_scores(features, keys, score)
+    for missing in classes[model.numClasses:]:
         scored = scored.withColumn(f"p_{missing}", F.lit(0.0))
-    return scored
+    return scored.select(*keep, *[f"p_{x}" for x in classes])
 
 
 def boosted(rows: DataFrame, numeric, categorical, label: str, classes, trees: int, depth: int, step: float, leaf: int, split: str = "split_name") -> DataFrame:

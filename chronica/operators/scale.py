@@ -225,7 +225,7 @@ def _values(rows: DataFrame, key: str) -> DataFrame:
 DIGIT = 16
 
 
-def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column], times: str | None = None) -> DataFrame:
     """Exact order statistics per group as doubles: one column per entry of ``ranks``, whose rank from 0
     is an expression over ``n``, the group's values. Groups of any size and of any number of distinct
     values are spread: no sort or window sees more than 65536 entries.
@@ -233,12 +233,13 @@ def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[st
     Selection by radix on bits that keep the order: a pass counts rows by the next 16 bits among those
     that share the bits found so far, for all groups and ranks at once, and goes down into the one
     bucket that holds each rank. Four passes reach a value. Nulls and NaN take no part; a null is a group
-    like any other; a rank outside the group gives null; an empty table gives no rows.
+    like any other; a rank outside the group gives null; an empty table gives no rows. A row stands
+    for as many as its column ``times`` says.
     """
     name = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}) if group else F.lit("")
     number = F.col(value).cast("double")
-    folded = df.select(*group, number.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    folded = folded.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n")).select(*group, name.alias("__g"), "__v", "__n")
+    folded = df.select(*group, number.alias("__v"), (F.col(times) if times else F.lit(1)).cast("bigint").alias("__n")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    folded = folded.groupBy(*group, "__v").agg(F.sum("__n").alias("__n")).select(*group, name.alias("__g"), "__v", "__n")
     rows = materialised(_keys(folded, "__v"), "order")
     totals = rows.groupBy("__g").agg(*[F.first(c).alias(c) for c in group], F.sum("__n").alias("n"))
     wanted = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()])
@@ -260,10 +261,10 @@ def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[st
     return totals.join(picks, "__g", "left").select(*group, "n", *ranks)
 
 
-def medians(df: DataFrame, group: list[str], value: str, out: str = "median") -> DataFrame:
+def medians(df: DataFrame, group: list[str], value: str, out: str = "median", times: str | None = None) -> DataFrame:
     """Exact median per group, the mean of the middle two where their number is even."""
     n = F.col("n")
-    both = order_statistics(df, group, value, {"__low": F.floor((n - 1) / 2), "__high": F.floor(n / 2)})
+    both = order_statistics(df, group, value, {"__low": F.floor((n - 1) / 2), "__high": F.floor(n / 2)}, times)
     return both.select(*group, ((F.col("__low") + F.col("__high")) / 2).alias(out))
 
 

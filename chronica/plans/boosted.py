@@ -172,7 +172,7 @@ def hazards(t):
             mine = eligible(rows, v)
             out = out.unionByName(name(boosting.predict(fitted[v, FROZEN], mine, CLASSES), FAMILIES[2], v))
             numeric, categorical = columns[v][0][:-1], [*columns[v][1], "interval_index"]
-            out = out.unionByName(name(models.logistic(mine, numeric, categorical, "outcome_class", CLASSES), FAMILIES[1], v))
+            out = out.unionByName(name(models.logistic(mine, numeric, categorical, "outcome_class", CLASSES, written=v != "placebo"), FAMILIES[1], v))
         return out
 
     return t.stage("hazard_predictions", make)

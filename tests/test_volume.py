@@ -7,7 +7,7 @@ import glob
 from pyspark.sql import functions as F
 
 from chronica import session
-from chronica.operators import events
+from chronica.operators import events, models, scale
 
 
 def test_packed_keys_keep_names_and_order(spark):
@@ -27,3 +27,23 @@ def test_staged_rows_are_not_shuffled_once_more(spark):
     assert rows.count() == 3000
     files = [f.removeprefix("file://").removeprefix("file:") for f in rows.inputFiles()]
     assert len(files) == 3 and all(glob.glob(f) for f in files)
+
+
+def test_equal_rows_are_folded_before_a_fit(spark):
+    """Medians, weights and scores of folded rows are those of the rows; equal features are scored once."""
+    rows = spark.createDataFrame([(float(k % 5) if k % 7 else None, k % 3) for k in range(200)] + [(float("nan"), 1)], "a double, b long")
+    fold = models.folded(rows, ["a", "b"])
+    assert fold.count() < 20 and fold.agg(F.sum("__n")).first()[0] == 201
+    plain = models.medians(rows, ["a", "b"])
+    assert models.medians(fold, ["a", "b"], "__n") == plain == {"a": 2.0, "b": 1.0}
+    long = fold.select("a", "__n")
+    assert scale.medians(long, [], "a", times="__n").first()[0] == 2.0
+    seen = []
+
+    def score(distinct):
+        seen.append(distinct.count())
+        return distinct.withColumn("s", F.col("b") * 2)
+
+    out = models.with_scores(rows, ["a", "b"], score)
+    assert seen == [fold.count()] and out.count() == 201
+    assert out.where("s IS NULL OR s <> b * 2").isEmpty()
