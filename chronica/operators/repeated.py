@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronica import session
 from chronica.operators import scale
 from chronica.operators.training import hash_bucket
 
@@ -95,15 +96,17 @@ def fit(ready: DataFrame, numeric: list[str], classes, seeds=SEEDS, alpha: float
     """Fit all seeds. ``ready`` comes from ``prepared`` and should be a written table: it is read once a step.
 
     Medians, scales and the weight of a class's own rows, n / (classes * its rows), are those of each seed's
-    training rows. A column without spread keeps the scale 1, one without values is all zeros."""
-    labelled = ready.where("__y IS NOT NULL")
+    training rows. A column without spread keeps the scale 1, one without values is all zeros.
+    Rows that agree in features and label are passed over as one, with the number of every seed's training rows."""
+    times = F.array(*[F.sum(F.get("__train", F.lit(s)).cast("bigint")) for s in range(len(seeds))])
+    labelled = session.materialised(ready.where("__y IS NOT NULL").groupBy(*[f"__{c}" for c in numeric], "__y").agg(times.alias("__train")), "folded")
     n_seeds, n_classes, width = len(seeds), len(classes), len(numeric) + 1
     fitted = Fitted(list(numeric), list(classes), tuple(seeds), *[np.zeros((n_seeds, len(numeric))) for _ in range(2)], np.ones((n_seeds, len(numeric))), np.zeros((n_seeds, n_classes, width)))
-    flagged = F.filter(F.sequence(F.lit(0), F.lit(n_seeds - 1)), lambda s: F.get("__train", s))
+    counted = F.filter(F.array(*[F.struct(F.lit(s).alias("s"), F.get("__train", F.lit(s)).alias("n")) for s in range(n_seeds)]), lambda e: e["n"] > 0)
     if numeric:
         cells = F.array(*[F.struct(F.lit(j).alias("c"), F.col(f"__{c}").alias("v")) for j, c in enumerate(numeric)])
-        long = labelled.select(F.explode(flagged).alias("s"), cells.alias("cells")).select("s", F.explode("cells").alias("e")).select("s", "e.c", "e.v")
-        for r in scale.medians(long, ["s", "c"], "v").collect():  # seeds x columns
+        long = labelled.select(F.inline(counted), cells.alias("cells")).select("s", "n", F.explode("cells").alias("e")).select("s", "e.c", "e.v", "n")
+        for r in scale.medians(long, ["s", "c"], "v", times="n").collect():  # seeds x columns
             fitted.median[r["s"], r["c"]] = r["median"]
 
     def moments(batch):
@@ -111,9 +114,9 @@ def fit(ready: DataFrame, numeric: list[str], classes, seeds=SEEDS, alpha: float
         y = batch.column("__y").to_numpy(zero_copy_only=False)
         out = np.zeros((n_seeds, 2 * len(numeric) + n_classes))
         for s in range(n_seeds):
-            mine = flags[:, s].astype(bool)
-            filled = np.where(np.isnan(values[mine]), fitted.median[s], values[mine]) - fitted.median[s]
-            out[s] = np.concatenate([filled.sum(axis=0), (filled**2).sum(axis=0), np.bincount(y[mine], minlength=n_classes)])
+            n = flags[:, s].astype(float)
+            filled = np.where(np.isnan(values), fitted.median[s], values) - fitted.median[s]
+            out[s] = np.concatenate([n @ filled, n @ filled**2, np.bincount(y, n, minlength=n_classes)])
         return out
 
     sums = _added(labelled, moments, (n_seeds, 2 * len(numeric) + n_classes))
@@ -135,10 +138,10 @@ def fit(ready: DataFrame, numeric: list[str], classes, seeds=SEEDS, alpha: float
             y = batch.column("__y").to_numpy(zero_copy_only=False)
             out = np.zeros((n_seeds, n_classes, 1 + width + width * width))
             for s in range(n_seeds):
-                mine = flags[:, s].astype(bool)
+                mine = flags[:, s] > 0
                 x, hot = fitted.design(values[mine], s), y[mine][:, None] == np.arange(n_classes)
                 z = x @ weights[s].T
-                w = np.where(hot, own[s], 1.0)
+                w = np.where(hot, own[s], 1.0) * flags[mine, s][:, None]
                 p = _sigmoid(z)
                 out[s, :, 0] = (w * (np.logaddexp(0, z) - hot * z)).sum(axis=0)
                 out[s, :, 1 : 1 + width] = (w * (p - hot)).T @ x

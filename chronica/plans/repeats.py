@@ -83,10 +83,20 @@ def split_integrity(t):
     """Every seed scores exactly the people it was not fitted on, once, with probabilities that add up."""
     total = sum((V.p(c) for c in FOUR), F.lit(0.0))
     bad = F.greatest(*[F.when(V.p(c).between(0, 1), 0).otherwise(1) for c in FOUR]) == 1
-    return split_predictions(t).groupBy("seed", "model").agg(
+    rows, on = split_predictions(t), ["seed", "model"]
+    sums = rows.groupBy(*on).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_distinct("person_id").alias("people"),
-        (F.count(F.lit(1)) - F.count_distinct("example_id")).alias("duplicates"),
         F.count_if(F.abs(total - 1) > 1e-9).alias("not_normalised"),
         F.count_if(bad).alias("outside"),
     )
+    out = sums.join(_distinct(rows, "person_id", "people"), on, "left").join(_distinct(rows, "example_id", "__examples"), on, "left")
+    out = out.na.fill(0, ["people", "__examples"])
+    return out.select(*on, "n", "people", (F.col("n") - F.col("__examples")).alias("duplicates"), "not_normalised", "outside")
+
+
+def _distinct(rows, key, name):
+    """Different keys per seed and model. All seeds of a key meet in one row before the shuffle, not a row each."""
+    seen = rows.where(F.col(key).isNotNull()).groupBy("model", key).agg(*[F.max(F.col("seed") == s).alias(f"s{s}") for s in repeated.SEEDS])
+    counts = seen.groupBy("model").agg(*[F.count_if(f"s{s}").alias(f"s{s}") for s in repeated.SEEDS])
+    each = F.array(*[F.struct(F.lit(s).alias("seed"), F.col(f"s{s}").alias(name)) for s in repeated.SEEDS])
+    return counts.select("model", F.inline(each)).where(F.col(name) > 0)

@@ -47,3 +47,14 @@ def test_equal_rows_are_folded_before_a_fit(spark):
     out = models.with_scores(rows, ["a", "b"], score)
     assert seen == [fold.count()] and out.count() == 201
     assert out.where("s IS NULL OR s <> b * 2").isEmpty()
+
+
+def test_distinct_keys_of_seeds_meet_in_one_row(spark):
+    from chronica.operators.repeated import SEEDS
+    from chronica.plans.repeats import _distinct
+
+    rows = spark.createDataFrame([(s, m, k % 4 if k else None) for s in SEEDS[:2] for m in "ab" for k in range(9)], "seed int, model string, k int")
+    want = {(s, m, 4) for s in SEEDS[:2] for m in "ab"}
+    assert {tuple(r) for r in _distinct(rows, "k", "n").select("seed", "model", "n").collect()} == want
+    plan = _distinct(rows, "k", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
