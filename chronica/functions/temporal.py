@@ -202,7 +202,11 @@ def age_years(birth: Column, day: Column) -> Column:
 
 def with_ages(events: DataFrame, births: DataFrame) -> DataFrame:
     """Join births and add ``age_min``, ``age_max`` and ``age_mid``."""
-    joined = events.join(births, "person_id")
+    return age_columns(events.join(births, "person_id"))
+
+
+def age_columns(joined: DataFrame) -> DataFrame:
+    """The age columns of events that carry their person's ``birth_date``."""
     lo = age_units(F.col("birth_date"), F.col("date_min"))
     hi = age_units(F.col("birth_date"), F.col("date_max"))
     return joined.withColumns(

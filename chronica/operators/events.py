@@ -346,19 +346,37 @@ def members(events: DataFrame, legacy: bool = False) -> DataFrame:
 KEY_KINDS = ("ce:v1:", "ce:v1:raw:")
 
 
-def _packed_subject_key() -> Column:
-    """The snapshot key as 33 bytes: only rows that name a subject can merge."""
+# What a snapshot key says beyond person, domain and type: its kind, and the text its digest ends with.
+KEY_PARTS = ("key_backed", "key_rest")
+
+
+def _key_parts() -> dict[str, Column]:
+    """Only rows that name a subject can merge."""
     backed = F.trim(F.coalesce("subject_id", F.lit(""))) != ""
-    key = F.concat_ws(
+    rest = F.concat_ws(
         "\u001f",
-        F.col("person_id").cast("string"), "domain", "event_type",
         F.coalesce(F.col("date_min").cast("string"), F.lit("")),
         F.coalesce(F.col("date_max").cast("string"), F.lit("")),
         F.coalesce("qualifier_kind", F.lit("")),
         "subject_id",
     )
+    return dict(zip(KEY_PARTS, (backed, F.when(backed, rest).otherwise(F.col("event_id")))))
+
+
+def _packed_key(backed: Column, rest: Column) -> Column:
+    key = F.concat_ws("\u001f", F.col("person_id").cast("string"), "domain", "event_type", rest)
     packed = lambda kind, text: F.concat(F.lit(bytes([kind])), F.unhex(F.sha2(text, 256)))
-    return F.when(backed, packed(0, key)).otherwise(packed(1, F.col("event_id")))
+    return F.when(backed, packed(0, key)).otherwise(packed(1, rest))
+
+
+def packed_key() -> Column:
+    """The snapshot key as 33 bytes, of rows with its parts."""
+    return _packed_key(*[F.col(c) for c in KEY_PARTS])
+
+
+def _packed_subject_key() -> Column:
+    """The snapshot key as 33 bytes, of raw rows."""
+    return _packed_key(*_key_parts().values())
 
 
 def subject_key_text(key: str | Column) -> Column:
@@ -373,13 +391,13 @@ def with_subject_key(events: DataFrame) -> DataFrame:
     return events.withColumn("canonical_event_key", subject_key_text(_packed_subject_key()))
 
 
-def canonicalise_subject(events: DataFrame, by: list[str] = (), packed: bool = False) -> DataFrame:
-    """Snapshot facts: subject-backed exact duplicates fold, others stay alone. Keys travel as
-    bytes, half as long as their names, and stay bytes where ``packed``."""
-    keyed = events.withColumn("canonical_event_key", _packed_subject_key())
+def canonicalise_subject(events: DataFrame, by: list[str] = (), parts: bool = False) -> DataFrame:
+    """Snapshot facts: subject-backed exact duplicates fold, others stay alone. Rows travel with
+    the parts of their key, which compress as digests do not, and keep these instead of it where ``parts``."""
+    keyed = events.withColumns(_key_parts())
     one = F.min("precision") == F.max("precision")
     cal = F.min("calendar_kind") == F.max("calendar_kind")
-    facts = keyed.groupBy(*by, "canonical_event_key", "person_id", "domain", "event_type").agg(
+    facts = keyed.groupBy(*by, *KEY_PARTS, "person_id", "domain", "event_type").agg(
         F.min("date_min").alias("date_min"),
         F.max("date_max").alias("date_max"),
         F.when(one, F.min("precision")).otherwise("mixed").alias("precision"),
@@ -394,7 +412,13 @@ def canonicalise_subject(events: DataFrame, by: list[str] = (), packed: bool = F
         F.array_sort(F.collect_set(S.source_family(F.col("source_id")))).alias("source_families"),
         F.count(F.lit(1)).alias("raw_event_count"),
     ).withColumn("source_family_count", F.size("source_families"))
-    return facts if packed else facts.withColumn("canonical_event_key", subject_key_text("canonical_event_key"))
+    return facts if parts else with_fact_key(facts, by)
+
+
+def with_fact_key(facts: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Facts with their key in the place of its parts."""
+    rest = [c for c in facts.columns if c not in (*by, *KEY_PARTS)]
+    return facts.select(*by, subject_key_text(packed_key()).alias("canonical_event_key"), *rest)
 
 
 def merge_streams(streams: list[DataFrame], order: list[str]) -> DataFrame:

@@ -41,17 +41,21 @@ def latest(df: DataFrame, key: str, order: list[Column], names: list[str]) -> Da
     return df.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-def next_event(cutoffs: DataFrame, facts: DataFrame, id_col: str, after: str, until: str) -> DataFrame:
+def next_event(
+    cutoffs: DataFrame, facts: DataFrame, id_col: str, after: str, until: str, key: Column | str = "canonical_event_key", parts: tuple[str, ...] = ("canonical_event_key",)
+) -> DataFrame:
     """Earliest fact per cutoff row with an observable day in (after, until].
+    ``key`` is made from the columns ``parts`` once the join has dropped what is out of range.
 
     One equi join on the person with the range as residual condition, then a
     minimum over (day, key): the window's first row without sorting any group.
     """
-    f = facts.select("person_id", "observable_from", "canonical_event_key", F.col("domain").alias("target_domain"), "date_max")
+    f = facts.select("person_id", "observable_from", "domain", "date_max", *parts)
     pairs = cutoffs.select(id_col, "person_id", after, until).join(f, "person_id").where(
         (F.col("observable_from") > F.col(after)) & (F.col("observable_from") <= F.col(until)) & (F.col("date_max") > F.col(after))
     )
-    first = pairs.groupBy(id_col).agg(
+    keyed = pairs.select(id_col, "observable_from", (F.col(key) if isinstance(key, str) else key).alias("canonical_event_key"), F.col("domain").alias("target_domain"))
+    first = keyed.groupBy(id_col).agg(
         F.min(F.struct("observable_from", "canonical_event_key", "target_domain")).alias("t")
     )
     return cutoffs.join(

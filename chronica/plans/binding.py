@@ -131,6 +131,10 @@ FROM (
 def event_rows(t):
     """Orders as sourced events: type from the priority, interval from the
     order date at day, month or year precision."""
+    return _sourced(t.orders)
+
+
+def _sourced(orders, *carried):
     key = F.col("o_orderkey")
     first = F.substring("o_orderpriority", 1, 1)
     kind = (
@@ -152,7 +156,7 @@ def event_rows(t):
     day = F.col("o_orderdate").cast("date")
     unit = F.floor(key / 7) % 3
     status = F.col("o_orderstatus")
-    return t.orders.select(
+    return orders.select(
         F.concat(F.lit("o"), key.cast("string")).alias("event_id"),
         key.alias("event_no"),
         F.col("o_custkey").alias("person_id"),
@@ -168,6 +172,7 @@ def event_rows(t):
         F.when(key % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("S"), (key % 4).cast("string"))).alias("subject_id"),
         ((key % 50 + 50) / 100).alias("confidence"),
         (key % 6).cast("int").alias("reference_count"),
+        *carried,
     )
 
 
@@ -197,9 +202,11 @@ FROM (
 
 def life(t):
     """Events with their person's age bounds; the observable day is the latest
-    day of the interval."""
-    rows = t.event_rows.withColumn("observable_from", F.col("date_max"))
-    return temporal.with_ages(rows, t.persons.select("person_id", "birth_date"))
+    day of the interval. Orders meet their person before events are made of them:
+    five columns travel, what follows from them does not."""
+    births = t.persons.select(F.col("person_id").alias("o_custkey"), "birth_date")
+    rows = _sourced(t.orders.join(births, "o_custkey"), "birth_date").withColumn("observable_from", F.col("date_max"))
+    return temporal.age_columns(rows)
 
 
 SQL["life"] = """
@@ -478,11 +485,17 @@ SQL_DEPS["memberships"] = ("raw_events",)
 
 
 def facts(t):
-    """Canonical facts of both snapshots; the written table holds their keys as bytes."""
+    """Canonical facts of both snapshots."""
     from chronica.operators import events
 
-    rows = t.stage("facts", lambda: events.canonicalise_subject(t.memberships, by=["snapshot"], packed=True))
-    return rows.withColumn("canonical_event_key", events.subject_key_text("canonical_event_key"))
+    return events.with_fact_key(_facts(t), ["snapshot"])
+
+
+def _facts(t):
+    """The facts as written, with the parts of their keys."""
+    from chronica.operators import events
+
+    return t.stage("facts", lambda: events.canonicalise_subject(t.memberships, by=["snapshot"], parts=True))
 
 
 SQL["keyed_members"] = """
@@ -504,12 +517,15 @@ SQL_DEPS["facts"] = ("keyed_members",)
 
 # --- training examples ------------------------------------------------------
 def examples(t):
-    """Person x cutoff-age rows with window, target and splits."""
-    return t.stage("examples", lambda: _examples(t))
+    """Person x cutoff-age rows with window, target and splits; the written table holds target keys as bytes."""
+    from chronica.operators import events
+
+    rows = t.stage("examples", lambda: _examples(t))
+    return rows.withColumn("target_canonical_event_key", events.subject_key_text("target_canonical_event_key"))
 
 
 def _examples(t):
-    from chronica.operators import relations, training
+    from chronica.operators import events, relations, training
     from chronica.functions import scalars
 
     people = t.persons.withColumn("cutoff_age", F.explode(F.array(*[F.lit(a) for a in (18, 25, 30, 40)])))
@@ -520,8 +536,8 @@ def _examples(t):
         training.observation_end(F.lit(None).cast("date"), F.col("death_year"), SNAPSHOT_CUTOFF).alias("obs_end"),
         training.person_hash_split(F.col("person_id")).alias("split_name"),
     )
-    new = t.facts.where((F.col("snapshot") == "new") & F.col("snapshot_model_eligible"))
-    joined = relations.next_event(rows, new, "example_id", "cutoff", "obs_end")
+    new = _facts(t).where((F.col("snapshot") == "new") & F.col("snapshot_model_eligible"))
+    joined = relations.next_event(rows, new, "example_id", "cutoff", "obs_end", events.packed_key(), ("event_type", *events.KEY_PARTS))
     return training.censoring(joined).withColumn("y_class_4", scalars.class_of(F.col("target_domain")))
 
 

@@ -58,3 +58,62 @@ def test_distinct_keys_of_seeds_meet_in_one_row(spark):
     assert {tuple(r) for r in _distinct(rows, "k", "n").select("seed", "model", "n").collect()} == want
     plan = _distinct(rows, "k", "n")._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
+
+
+def _moved(df) -> str:
+    """The plan Spark runs, without broadcasts."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_travel_with_the_parts_of_their_keys(spark):
+    """No digest is made before the fold, and the folded facts carry the keys of their rows."""
+    rows = spark.createDataFrame(
+        [(k % 3, "career", "career.start", "point" if k % 4 else None, f"S{k % 2}" if k % 5 else " ", f"o{k % 17}", 0.5, float(k % 5), k % 7 == 0) for k in range(60)]
+        + [(None, None, None, None, None, None, None, None, None), (1, "career", "career.start", "", "S1", "x", 0.5, 1.0, True)],
+        "person_id int, domain string, event_type string, qualifier_kind string, subject_id string, event_id string, confidence double, age_mid double, snapshot_model_eligible boolean",
+    ).withColumns({"date_min": F.lit("2000-01-01").cast("date"), "date_max": F.lit(None).cast("date"), "observable_from": F.lit("2001-01-01").cast("date"),
+                   "precision": F.lit("day"), "calendar_kind": F.lit("julian"), "age_min": F.col("age_mid"), "age_max": F.col("age_mid"), "source_id": F.lit("wikidata"), "snapshot": F.lit("new")})
+    facts = events.canonicalise_subject(rows, ["snapshot"])
+    want = {tuple(r) for r in events.with_subject_key(rows).groupBy("canonical_event_key", "person_id", "domain", "event_type").agg(F.count(F.lit(1))).collect()}
+    got = facts.select("canonical_event_key", "person_id", "domain", "event_type", "raw_event_count").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    below = _moved(facts).split("Exchange", 1)[1]
+    assert "sha2" in _moved(facts) and "sha2" not in below
+
+
+def test_orders_meet_their_person_before_events_are_made(spark):
+    from types import SimpleNamespace
+
+    from chronica.plans import binding
+
+    orders = spark.createDataFrame(
+        [(k, k % 9 if k else None, "FOP"[k % 3], f"{k % 5 + 1}-X") for k in range(40)] + [(7, 7, "F", "1-X")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"
+    ).withColumn("o_orderdate", F.expr("timestamp '1995-05-05' + make_dt_interval(cast(o_orderkey * 40 AS int))"))
+    people = spark.createDataFrame([(k,) for k in range(7)] + [(3,)], "person_id long").withColumn("birth_date", F.lit("1970-02-03").cast("date"))
+    t = SimpleNamespace(orders=orders, persons=people)
+    t.event_rows = binding.event_rows(t)
+    from chronica.functions import temporal
+
+    got = binding.life(t)
+    want = temporal.with_ages(t.event_rows.withColumn("observable_from", F.col("date_max")), people)
+    names = sorted(want.columns)
+    assert sorted(got.columns) == names
+    assert sorted(map(str, got.select(names).collect())) == sorted(map(str, want.select(names).collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "career" in plan.split("Join", 1)[0] and "career" not in plan.split("Join", 1)[1]
+
+
+def test_keys_are_made_after_the_next_event_is_in_range(spark):
+    from chronica.operators import relations
+
+    day = lambda c: F.date_add(F.lit("2000-01-01").cast("date"), F.col(c))
+    facts = spark.createDataFrame(
+        [(k % 4, "career", "career.start", k * 37 % 50, k % 3 > 0, f"r{k % 11}") for k in range(80)], "person_id int, domain string, event_type string, d int, key_backed boolean, key_rest string"
+    ).withColumns({"observable_from": day("d"), "date_max": day("d")})
+    cutoffs = spark.createDataFrame([(10 * p + c, p, c * 15, 40) for p in range(5) for c in range(3)] + [(11, 1, 15, 40)], "example_id int, person_id int, a int, u int").withColumns(
+        {"after": day("a"), "until": day("u")}
+    )
+    late = relations.next_event(cutoffs, facts, "example_id", "after", "until", events.packed_key(), ("event_type", *events.KEY_PARTS))
+    named = facts.withColumn("canonical_event_key", events.packed_key())
+    early = relations.next_event(cutoffs, named, "example_id", "after", "until")
+    assert sorted(map(str, late.collect())) == sorted(map(str, early.collect())) and late.count() == 16
