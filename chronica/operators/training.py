@@ -28,19 +28,20 @@ def histories(cutoffs: DataFrame, facts: DataFrame, cutoff: str) -> DataFrame:
     counts, domains and decade stages.
 
     Both arms come from one equi join on the person; per-domain counts fold
-    before the per-example maps, which hold one entry per domain.
+    before the per-example maps, which hold one entry per domain. An example is one
+    person's: naming the person in both folds keeps them where the join left its rows.
     """
     f = facts.where("snapshot_model_eligible").select("person_id", "snapshot", "domain", "observable_from", "date_max", "raw_event_count", "age_mid")
     seen = cutoffs.select("example_id", "person_id", cutoff).join(f, "person_id").where(
         (F.col("observable_from") <= F.col(cutoff)) & (F.col("date_max") <= F.col(cutoff))
     )
-    per_domain = seen.groupBy("example_id", "snapshot", "domain").agg(
+    per_domain = seen.groupBy("person_id", "example_id", "snapshot", "domain").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("raw_event_count").alias("nraw"),
         F.max("observable_from").alias("last_observed"),
         F.size(F.collect_set(F.floor(F.col("age_mid") / 10))).alias("stages"),
     )
-    return per_domain.groupBy("example_id", "snapshot").agg(
+    arms = per_domain.groupBy("person_id", "example_id", "snapshot").agg(
         F.sum("n").alias("canonical_event_count"),
         F.sum("nraw").alias("raw_event_count"),
         F.count(F.lit(1)).alias("domain_count"),
@@ -48,6 +49,7 @@ def histories(cutoffs: DataFrame, facts: DataFrame, cutoff: str) -> DataFrame:
         F.max("last_observed").alias("last_observed"),
         F.map_from_entries(F.collect_list(F.struct("domain", "n"))).alias("domain_counts"),
     )
+    return arms.drop("person_id")
 
 
 def history_keys(cutoffs: DataFrame, facts: DataFrame, raws: DataFrame, cutoff: str) -> DataFrame:

@@ -117,3 +117,27 @@ def test_keys_are_made_after_the_next_event_is_in_range(spark):
     named = facts.withColumn("canonical_event_key", events.packed_key())
     early = relations.next_event(cutoffs, named, "example_id", "after", "until")
     assert sorted(map(str, late.collect())) == sorted(map(str, early.collect())) and late.count() == 16
+
+
+def test_histories_fold_where_their_join_left_them(spark):
+    from chronica.operators import training
+
+    facts = spark.createDataFrame(
+        [(k % 6 if k else None, "new" if k % 3 else "old", "ab"[k % 2], k % 5 > 0, k % 4, float(k % 40)) for k in range(200)],
+        "person_id int, snapshot string, domain string, snapshot_model_eligible boolean, raw_event_count int, age_mid double",
+    ).withColumns({"observable_from": F.date_add(F.lit("2000-01-01").cast("date"), F.col("age_mid").cast("int")), "date_max": F.lit("2000-01-01").cast("date")})
+    cutoffs = spark.createDataFrame([(10 * p + c, p) for p in range(7) for c in range(2)] + [(10, 1)], "example_id int, person_id int").withColumn("cutoff", F.lit("2000-01-20").cast("date"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = training.histories(cutoffs, facts, "cutoff")
+        assert _moved(out).count("Exchange") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    seen = {}
+    for c in cutoffs.collect():
+        for f in facts.collect():
+            if c.person_id == f.person_id and f.snapshot_model_eligible and f.observable_from <= c.cutoff:
+                arm = seen.setdefault((c.example_id, f.snapshot), {})
+                arm[f.domain] = arm.get(f.domain, 0) + 1
+    got = {(r.example_id, r.snapshot): (r.canonical_event_count, r.domain_counts) for r in out.collect()}
+    assert got == {k: (sum(v.values()), v) for k, v in seen.items()} and "person_id" not in out.columns
