@@ -66,11 +66,13 @@ def train_prior(rows: DataFrame, classes, label: str, split: str = "split_name")
 
 
 def interval_prior(rows: DataFrame, classes, label: str, interval: str = "interval_index", split: str = "split_name") -> DataFrame:
-    """Training shares per interval, the overall ones for an unseen interval."""
+    """Training shares per interval, the overall ones for an unseen interval.
+
+    The intervals are a vocabulary: their shares go to the rows, which stay where they are."""
     train = rows.where(F.col(split) == "train")
     local = class_shares(train, classes, [interval], label)
     overall = class_shares(train, classes, [], label)
-    joined = rows.join(local, interval, "left")
+    joined = rows.join(F.broadcast(local), interval, "left")
     return joined.withColumns({f"p_{c}": F.coalesce(f"p_{c}", overall.select(f"p_{c}").scalar()) for c in classes})
 
 

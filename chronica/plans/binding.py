@@ -204,8 +204,11 @@ def life(t):
     """Events with their person's age bounds; the observable day is the latest
     day of the interval. Orders meet their person before events are made of them:
     five columns travel, what follows from them does not."""
-    births = t.persons.select(F.col("person_id").alias("o_custkey"), "birth_date")
-    rows = _sourced(t.orders.join(births, "o_custkey"), "birth_date").withColumn("observable_from", F.col("date_max"))
+    return _life(t.orders, t.persons.select(F.col("person_id").alias("o_custkey"), "birth_date"))
+
+
+def _life(orders, births):
+    rows = _sourced(orders.join(births, "o_custkey"), "birth_date").withColumn("observable_from", F.col("date_max"))
     return temporal.age_columns(rows)
 
 
@@ -421,14 +424,14 @@ SNAPSHOT_CUTOFF = "2001-06-30"
 
 def raw_events(t):
     """Life events with family, qualifier, revision and intrinsic validity."""
-    return t.stage("raw_events", lambda: _raw_events(t))
+    return t.stage("raw_events", lambda: _raw_events(t.life))
 
 
-def _raw_events(t):
+def _raw_events(life):
     from chronica.functions import scalars
 
     key = F.col("event_no")
-    return t.life.select(
+    return life.select(
         "*",
         scalars.event_family(F.col("event_type"), F.col("domain")).alias("event_family"),
         F.when(key % 8 == 0, F.lit(None)).otherwise("point").alias("qualifier_kind"),
@@ -467,9 +470,12 @@ SQL_DEPS["raw_events"] = ("life",)
 def memberships(t):
     """Events of two snapshots: the old one ends before the turn of the
     century, the new one holds all, each with its derived eligibility."""
+    return _memberships(t.raw_events)
+
+
+def _memberships(events):
     from chronica.operators import snapshots
 
-    events = t.raw_events
     labels = F.when(F.col("date_max") < F.lit("2000-01-01").cast("date"), F.array(F.lit("old"), F.lit("new"))).otherwise(F.array(F.lit("new")))
     return snapshots.with_eligibility(events.withColumn("snapshot", F.explode(labels)), SNAPSHOT_CUTOFF)
 
@@ -492,10 +498,17 @@ def facts(t):
 
 
 def _facts(t):
-    """The facts as written, with the parts of their keys."""
+    """The facts as written, with the parts of their keys. They fold where orders met their
+    person: read from the written raw events, all memberships would be shuffled again. That
+    join is a merge also where people are few: a fold in a scan's task holds all that it reads."""
     from chronica.operators import events
+    from chronica.plans.registry import FOLD_CONF
+
+    def make():
+        births = t.persons.select(F.col("person_id").alias("o_custkey"), "birth_date").hint("merge")
+        return events.canonicalise_subject(_memberships(_raw_events(_life(t.orders, births))), by=["snapshot"], parts=True)
 
-    return t.stage("facts", lambda: events.canonicalise_subject(t.memberships, by=["snapshot"], parts=True))
+    return t.stage("facts", make, FOLD_CONF)
 
 
 SQL["keyed_members"] = """

@@ -141,3 +141,55 @@ def test_histories_fold_where_their_join_left_them(spark):
                 arm[f.domain] = arm.get(f.domain, 0) + 1
     got = {(r.example_id, r.snapshot): (r.canonical_event_count, r.domain_counts) for r in out.collect()}
     assert got == {k: (sum(v.values()), v) for k, v in seen.items()} and "person_id" not in out.columns
+
+
+def test_facts_fold_where_orders_met_their_person(spark):
+    """Orders and people are shuffled for their join, memberships are not shuffled again."""
+    from types import SimpleNamespace
+
+    from chronica.plans import binding, registry
+
+    orders = spark.createDataFrame(
+        [(k, k % 9 if k else None, "FOP"[k % 3], f"{k % 5 + 1}-X") for k in range(60)] + [(7, 7, "F", "1-X")] * 2, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"
+    ).withColumn("o_orderdate", F.expr("timestamp '1995-05-05' + make_dt_interval(cast(o_orderkey * 80 AS int))"))
+    people = spark.createDataFrame([(k,) for k in range(8)] + [(3,)], "person_id long").withColumn("birth_date", F.lit("1970-02-03").cast("date"))
+    held = []
+    t = SimpleNamespace(orders=orders, persons=people, stage=lambda name, make, conf=None: (held.append((name, conf)), make())[1])
+    t.raw_events = binding._raw_events(binding.life(t))
+    got = binding._facts(t)
+    assert _moved(got).count("Exchange") == 2 and "Broadcast" not in _moved(got)
+    assert held == [("facts", registry.FOLD_CONF)]
+    t.memberships = binding.memberships(t)
+    want = events.canonicalise_subject(t.memberships.localCheckpoint(), by=["snapshot"], parts=True)
+    assert got.count() > 60 and sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+def test_stage_settings_hold_while_a_table_is_written(spark):
+    from chronica.plans import registry
+
+    now = lambda: {key: spark.conf.get(key, None) for key in registry.FOLD_CONF}
+    t = registry.Tables(spark, "/nowhere")
+    before, seen = now(), []
+    rows = t.stage("test:settings", lambda: (seen.append(now()), spark.range(5))[1], registry.FOLD_CONF)
+    assert rows.count() == 5 and seen == [registry.FOLD_CONF] and now() == before
+    assert not set(before.values()) & set(registry.FOLD_CONF.values())
+
+
+def test_interval_shares_go_to_the_rows(spark):
+    from chronica.operators import evaluation
+
+    rows = spark.createDataFrame(
+        [(k, k % 4 if k % 11 else None, "xy"[k % 2], "train" if k % 3 and k % 4 < 3 else "test") for k in range(60)], "id int, interval_index int, outcome string, split_name string"
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = evaluation.interval_prior(rows, ["x", "y"], "outcome")
+        plan = _moved(out)
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        got = {r.id: (r.p_x, r.p_y) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    train = [r for r in rows.collect() if r.split_name == "train"]
+    for r in rows.collect():
+        same = [x for x in train if r.interval_index is not None and x.interval_index == r.interval_index] or train
+        assert got[r.id] == tuple(sum(x.outcome == c for x in same) / len(same) for c in "xy")
