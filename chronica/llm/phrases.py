@@ -52,28 +52,28 @@ BATCH = 1 << 16
 
 def _packed(values: np.ndarray, dtype) -> bytes:
     """Numbers as compressed bytes, led by their size."""
-    body = np.ascontiguousarray(values, dtype=dtype).tobytes()
-    return len(body).to_bytes(8, "little") + (pa.compress(body, codec="zstd", asbytes=True) if body else b"")
+    body = pa.py_buffer(np.ascontiguousarray(values, dtype=dtype))
+    return body.size.to_bytes(8, "little") + (pa.compress(body, codec="zstd", asbytes=True) if body.size else b"")
 
 
 def _unpacked(body: bytes, dtype) -> np.ndarray:
     size = int.from_bytes(body[:8], "little")
-    raw = pa.decompress(body[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    raw = pa.decompress(memoryview(body)[8:], decompressed_size=size, codec="zstd") if size else b""
     return np.frombuffer(raw, dtype=dtype)
 
 
-def _words(texts: pa.Array) -> pa.Array:
-    """Words of the texts in order, a MARK after each piece and each text."""
+def _words(texts: pa.Array) -> pa.DictionaryArray:
+    """Words of the texts in order, a MARK after each piece and each text, as numbers into their list."""
     texts = pc.ascii_lower(texts.cast(pa.large_string()))
     marked = pc.replace_substring_regex(texts, pattern=PIECE_END, replacement=f" {MARK} ")
     closed = pc.binary_join_element_wise(marked, pa.scalar(f" {MARK}", marked.type), pa.scalar("", marked.type))
     flat = pc.ascii_split_whitespace(closed).flatten()
-    return flat.filter(pc.not_equal(flat, ""))
+    return flat.filter(pc.not_equal(flat, "")).dictionary_encode()
 
 
-def _chunk(number: int, lang: str, words: list[pa.Array]) -> pa.RecordBatch:
+def _chunk(number: int, lang: str, words: list[pa.DictionaryArray]) -> pa.RecordBatch:
     """One row: words as numbers from 0 in order, -1 for marks, with their texts and counts."""
-    coded = pa.concat_arrays(words).dictionary_encode()
+    coded = pa.concat_arrays(words)
     names, places = coded.dictionary, coded.indices.to_numpy()
     mark = pc.index(names, pa.scalar(MARK, names.type)).as_py()
     counts = np.delete(np.bincount(places, minlength=len(names)), mark)
@@ -94,7 +94,7 @@ def _tokens(chunk_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held: dict[str, list[pa.Array]] = {}
+        held: dict[str, list[pa.DictionaryArray]] = {}
         sizes: dict[str, int] = {}
         for batch in batches:
             for part in textbytes.slices(batch):
@@ -119,13 +119,16 @@ def _merged(places: np.ndarray, phrases: np.ndarray, words: np.ndarray, width: i
 
     Both sides are sorted by place. From its second word on a longer phrase must be frequent too:
     that is an entry at the next place. Gives places and codes phrase * ``width`` + word."""
-    after = places + length - 1
+    after = places + (length - 1)
     ok = after < len(words)
     ok[ok] = words[after[ok]] >= 0
     if length > 2:
         ok[:-1] &= places[1:] == places[:-1] + 1
         ok[-1:] = False
-    return places[ok], phrases[ok] * width + words[after[ok]]
+    codes = phrases[ok].astype(np.int64)
+    codes *= width
+    codes += words[after[ok]]
+    return places[ok], codes
 
 
 def _at(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -138,55 +141,68 @@ def _semi_join(places: np.ndarray, codes: np.ndarray, kept: np.ndarray) -> tuple
     """Occurrences whose code is among ``kept`` (ascending), as numbers of its entries."""
     if not len(kept):
         return places[:0], places[:0]
-    at = np.minimum(np.searchsorted(kept, codes), len(kept) - 1)
+    at = np.searchsorted(kept, codes)
+    np.minimum(at, len(kept) - 1, out=at)
     ok = kept[at] == codes
-    return places[ok], at[ok]
+    return places[ok], at[ok].astype(np.int32)
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, with their counts; the codes are sorted in place."""
+    codes.sort()
+    new = np.ones(len(codes), dtype=bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    return codes[at], np.diff(at, append=len(codes))
 
 
 def _round(length: int, last: bool):
     """Task of one round for one chunk: semi-join by the last round's frequent groups, then merge join
     and count. ``left`` is the chunk as the last round left it, ``right`` its frequent groups. After
     the ``last`` round only the counts are of use."""
-    kinds = [pa.int64(), *[pa.binary()] * 5]
-    types = dict(zip(PLACES, kinds)) | {c: pa.int64() for c in GROUPS}
-    nothing = pa.schema(list(types.items())).empty_table()
+    schema = pa.schema([(c, pa.binary() if c in PLACES[1:] else pa.int64()) for c in [*PLACES, *GROUPS[1:]]])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         ids = right.column("id").to_numpy()
-        words = _unpacked(row["words"], np.int32).astype(np.int64)
+        words = _unpacked(row["words"], np.int32)
         if length == 2:
-            renumbered = np.full(int(words.max(initial=-1)) + 2, -1)
+            renumbered = np.full(int(words.max(initial=-1)) + 2, -1, dtype=np.int32)
             renumbered[right.column("number").to_numpy()] = np.arange(len(ids))
             words = renumbered[words]  # marks read the last entry, which no word has
             word_ids = ids
         else:
             word_ids = _unpacked(row["word_ids"], np.int64)
-        places = np.flatnonzero(words >= 0)
+        places = np.flatnonzero(words >= 0).astype(np.int32)
         phrases = words[places]
         width = max(len(word_ids), 1)
         if length > 2:
             phrase_ids = word_ids
             if length > 3:
-                places = np.cumsum(_unpacked(row["steps"], np.int32), dtype=np.int64)
-                phrases = _unpacked(row["phrases"], np.int32).astype(np.int64)
+                places = np.cumsum(_unpacked(row["steps"], np.int32), dtype=np.int32)
+                phrases = _unpacked(row["phrases"], np.int32)
                 phrase_ids = _unpacked(row["ids"], np.int64)
             kept = _at(phrase_ids, right.column("first").to_numpy()) * width + _at(word_ids, right.column("second").to_numpy())
             order = np.argsort(kept)
             places, phrases = _semi_join(*_merged(places, phrases, words, width, length - 1), kept[order])
             ids = ids[order]
-        found, counts = np.unique(_merged(places, phrases, words, width, length)[1], return_counts=True)
-        out = [nothing]
+        out = []
         if not last:
-            store = [(np.diff(places, prepend=0), np.int32), (phrases, np.int32), (ids, np.int64)] if length > 2 else [(places[:0], np.int32)] * 3
+            store = [(np.diff(places, prepend=np.int32(0)), np.int32), (phrases, np.int32), (ids, np.int64)] if length > 2 else [(places[:0], np.int32)] * 3
             store += [(words, np.int32), (word_ids, np.int64)]
-            values = [[row["chunk"]], *[[_packed(*column)] for column in store]]
-            out.append(pa.table([pa.array(v, k) for v, k in zip(values, kinds)], names=PLACES))
+            values = [row["chunk"], *[_packed(*column) for column in store], *[None] * len(GROUPS[1:])]
+            out.append(pa.RecordBatch.from_arrays([pa.array([v], c.type) for v, c in zip(values, schema)], schema=schema))
+            del store, values
+        codes = _merged(places, phrases, words, width, length)[1]
+        del places, phrases, words
+        found, counts = _distinct(codes)
+        # What all groups have alike is there once.
+        alike = [pa.array(np.full(min(BATCH, len(found)), row["chunk"])), *[pa.nulls(min(BATCH, len(found)), pa.binary())] * len(PLACES[1:])]
         for a in range(0, len(found), BATCH):
             part = found[a : a + BATCH]
-            values = [np.full(len(part), row["chunk"]), ids[part // width], word_ids[part % width], counts[a : a + BATCH]]
-            out.append(pa.table([pa.array(v) for v in values], names=GROUPS))
-        return pa.concat_tables(out, promote_options="default")
+            own = [ids[part // width], word_ids[part % width], counts[a : a + BATCH]]
+            out.append(pa.RecordBatch.from_arrays([*[c[: len(part)] for c in alike], *map(pa.array, own)], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
     return run
 

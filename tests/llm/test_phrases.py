@@ -1,7 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chronica.llm import phrases
@@ -91,3 +94,39 @@ def test_hostile_and_empty(spark):
     check(helpers.hostile(spark))
     assert phrases.collocations(helpers.empty(spark)).count() == 0
     assert phrases.collocations(helpers.documents(spark, ["nothing is frequent"])).count() == 0
+
+
+class FirstTask:
+    @staticmethod
+    def get():
+        return FirstTask
+
+    @staticmethod
+    def partitionId():
+        return 0
+
+
+def test_a_task_holds_a_few_bytes_a_word(monkeypatch):
+    """Words that wait for their chunk are numbers, and a round copies no column it still has."""
+    monkeypatch.setattr(phrases, "TaskContext", FirstTask)
+    rng = np.random.default_rng(5)
+    names = np.array([f"longer-word-{k}" for k in range(2000)])
+    held, words, begun = [], 1_000_000, pa.total_allocated_bytes()
+
+    def batches():
+        for _ in range(50):
+            texts = [" ".join(names[rng.integers(0, len(names), words // 100)]) for _ in range(2)]
+            held.append(pa.total_allocated_bytes() - begun)
+            yield pa.RecordBatch.from_pydict({"lang": ["en", "de"], "text": texts})
+
+    chunks = list(phrases._tokens(1 << 30)(batches()))
+    assert len(chunks) == 2 and max(held) < 12 * words
+    chunk, n = chunks[0], len(names)
+    left = pa.table({"chunk": chunk.column("chunk"), "words": chunk.column("words")})
+    right = pa.table({"number": pa.array(np.arange(n)), "id": pa.array(np.arange(n) + (1 << 40))})
+    tracemalloc.start()
+    got = phrases._round(2, False)(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column("n").to_pandas().sum() == words // 2 - 50
+    assert peak < 55 * words // 2
