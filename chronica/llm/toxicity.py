@@ -31,7 +31,7 @@ from chronica.llm import labelled, textbytes
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 12_000
 BLOCK = 64
-# Words of one pass of training: bounds the driver's memory.
+# Words of one pass of training: bounds the task's memory.
 TRAIN_WORDS = 150_000
 STEPS, RATE, RIDGE = 60, 0.2, 1e-3
 LIFT, SHARE = 20.0, 0.01
@@ -311,14 +311,14 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
 
     Returns doc_id, held_out, score, predicted and spans. Without labels the score is 0.5.
     """
-    field = train(labelled.sample(docs, labels, "toxic", folds, fold, SAMPLE_ROWS, SAMPLE_CHARS))
+    field = labelled.fitted(train, docs, labels, "toxic", folds, fold, SAMPLE_ROWS, SAMPLE_CHARS)
     out = score(docs, field, threshold)
     return out.withColumn("held_out", labelled.held_out(F.col("doc_id"), folds, fold))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below ``threshold``."""
-    field = train(labelled.sample(docs, labels, "toxic", folds, fold, SAMPLE_ROWS, SAMPLE_CHARS))
+    field = labelled.fitted(train, docs, labels, "toxic", folds, fold, SAMPLE_ROWS, SAMPLE_CHARS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,10 +1,11 @@
 import itertools
+import os
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from chronica.llm import textbytes, toxicity
+from chronica.llm import labelled, textbytes, toxicity
 from tests.llm import helpers
 
 SF_DIR = "/root/testdata/sf0.1"
@@ -85,3 +86,18 @@ def test_tiny_training_set(spark):
     docs = helpers.documents(spark, ["you idiot there", "a nice day", "idiot again", "fine words", None, ""])
     labels = spark.createDataFrame([(i, 1, int(i in (0, 2))) for i in range(6)], "doc_id bigint, quality int, toxic int")
     assert all(0 <= r.score <= 1 for r in toxicity.classify(docs, labels).collect())
+
+
+def test_training_texts_stay_off_the_driver(spark, monkeypatch):
+    docs = helpers.documents(spark, [f"you idiot number {i} " * 50 if i % 3 else f"a nice day {i} " * 50 for i in range(60)])
+    labels = spark.createDataFrame([(i, 1, int(i % 3 > 0)) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    bounds = ("toxic", 4, 2, 20, 10_000)
+    pid, rows = labelled.fitted(lambda rows: (os.getpid(), rows), docs, labels, *bounds)
+    assert pid != os.getpid() and len(rows) == 20 and rows == labelled.sample(docs, labels, *bounds)
+    frame, sent = type(docs), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: sent.extend(found := collect(self)) or found)
+    kept = toxicity.without_toxic(docs, labels)
+    assert sent and not any(isinstance(v, str) for r in sent for v in r)
+    monkeypatch.undo()
+    assert {r.doc_id % 3 for r in kept.collect()} == {0}
