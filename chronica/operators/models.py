@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -27,6 +28,8 @@ CAPACITIES = {
 }
 # Different values of all columns whose counts are read for medians; beyond, ranks are found by Spark jobs.
 MOST_VALUES = 1 << 16
+# Different training rows that ensembles are grown from in one task each; beyond, by Spark ML.
+MOST_CELLS = 1 << 16
 # Rounds allowed to the logistic solver (fixed value); it has to converge before.
 LOGISTIC_ROUNDS = 5000
 
@@ -156,36 +159,74 @@ def logistic(rows: DataFrame, numeric, categorical, label: str, classes, balance
     return scored.select(*keep, *[f"p_{x}" for x in classes])
 
 
-def boosted(rows: DataFrame, numeric, categorical, label: str, classes, trees: int, depth: int, step: float, leaf: int, split: str = "split_name") -> DataFrame:
+def boosted(rows: DataFrame, numeric, categorical, label: str, classes, trees: int, depth: int, step: float, leaf: int, split: str = "split_name", most_cells: int = MOST_CELLS) -> DataFrame:
     """One boosted ensemble per class against the rest, probabilities
     renormalised: an approximation of multi-class boosting, which Spark ML lacks.
 
-    The matrix is written once, so that no round repeats the joins behind it, and
-    the ensembles, which do not depend on each other, are fitted side by side.
+    The matrix is written once, so that no round repeats the joins behind it. Rows that agree in
+    features and label are one with their number: where these are few the ensembles are grown in tasks
+    (``ensembles``), else by Spark ML with the numbers as weights. Scores are made once per distinct
+    row of features.
     """
-    keep = rows.columns
-    ready = session.materialised(prepared(rows, numeric, categorical, split).select(*keep, "features"), "matrix")
-    train = ready.where((F.col(split) == "train") & F.col(label).isNotNull())
-    present = {r[0] for r in train.select(label).distinct().collect()}
+    from chronica.operators import ensembles
+
+    keep, numeric, categorical, classes = rows.columns, list(numeric), list(categorical), list(classes)
+    table = session.materialised(rows, "matrix")
+    keys = [f"__f{i}" for i in range(len(numeric) + len(categorical))]
+    numbers, texts = keys[: len(numeric)], keys[len(numeric) :]
+    named = [F.col(n).alias(k) for n, k in zip([*numeric, *categorical], keys)]
+    train = _cast(table.select(*named, split, F.col(label).cast("string").alias("__label")), numbers, texts).where(F.col(split) == "train")
+    cells = folded(train, [*keys, "__label"])
+    middle = medians(cells, numbers, "__n") if numbers else {}
+    filled = lambda df: df.na.fill(middle) if middle else df
+    known = filled(cells.where(F.col("__label").isNotNull()))
+    present = {r[0] for r in known.select("__label").distinct().collect()}
+    wanted = [c for c in classes if c in present]
+    few = known.limit(most_cells + 1).count() <= most_cells
+    if few:
+        found = sorted(known.select(*keys, "__label", "__n").collect())
+        kinds = [pa.field(k, pa.float64()) for k in numbers] + [pa.field(k, pa.string()) for k in [*texts, "__label"]] + [pa.field("__n", pa.int64())]
+        batch = pa.RecordBatch.from_pylist([r.asDict() for r in found], schema=pa.schema(kinds))
+        plain = lambda names: [k.removeprefix("__") for k in names]
+        how = ensembles.binning(batch, plain(numbers), plain(texts), {k.removeprefix("__"): v for k, v in middle.items()})
+        grown = ensembles.fit(rows.sparkSession, batch, how, "__label", wanted, trees=trees, depth=depth, step=step, leaf=leaf)
+        score = lambda distinct: ensembles.score(distinct, how, grown, classes)
+    else:
+        score = _spark_boosted(train, known, filled, numbers, texts, keys, classes, wanted, trees, depth, step, leaf)
+    features = _cast(table.select("*", *named), numbers, texts)
+    out = with_scores(features, keys, score)
+    probabilities = F.create_map(*[x for c in classes for x in (F.lit(c), F.col(f"__p_{c}"))])
+    return evaluation.align(out.select(*keep, probabilities.alias("__m")), "__m", classes).drop("__m")
+
+
+def _spark_boosted(train: DataFrame, known: DataFrame, filled, numbers, texts, keys, classes, wanted, trees: int, depth: int, step: float, leaf: int):
+    """Spark ML's ensembles over cells, fitted side by side. A leaf's least number of rows is a share of their weight."""
+    how = preprocessor(numbers, texts).fit(filled(train))
+    ready = session.materialised(how.transform(known).select("features", "__label", F.col("__n").cast("double").alias("weight")), "cells")
+    total = ready.agg(F.sum("weight")).first()[0]
 
     def fitted(c):
         booster = GBTClassifier(
-            featuresCol="features", labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=leaf, seed=20261006
+            featuresCol="features", labelCol="__y", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=step,
+            minInstancesPerNode=1, minWeightFractionPerNode=min((leaf - 0.5) / total, 0.499), seed=20261006,
         )
-        return booster.fit(train.withColumn("__y", (F.col(label) == c).cast("double")))
+        return booster.fit(ready.withColumn("__y", (F.col("__label") == c).cast("double")))
 
-    wanted = [c for c in classes if c in present]
     with ThreadPoolExecutor(max(1, len(wanted))) as pool:
         ensembles = dict(zip(wanted, pool.map(fitted, wanted)))
-    out = ready
-    for c in classes:
-        if c not in ensembles:
-            out = out.withColumn(f"__p_{c}", F.lit(0.0))
-            continue
-        scored = ensembles[c].transform(out).withColumn(f"__p_{c}", F.get(vector_to_array("probability"), F.lit(1)))
-        out = scored.drop("rawPrediction", "probability", "prediction")
-    probabilities = F.create_map(*[x for c in classes for x in (F.lit(c), F.col(f"__p_{c}"))])
-    return evaluation.align(out.select(*keep, probabilities.alias("__m")), "__m", classes).drop("__m")
+
+    def score(distinct: DataFrame) -> DataFrame:
+        kept = [f"__k{k}" for k in keys]
+        out = how.transform(filled(distinct.select("*", *[F.col(k).alias(n) for k, n in zip(keys, kept)]))).select(*kept, "features")
+        for c in classes:
+            if c not in ensembles:
+                out = out.withColumn(f"__p_{c}", F.lit(0.0))
+                continue
+            scored = ensembles[c].transform(out).withColumn(f"__p_{c}", F.get(vector_to_array("probability"), F.lit(1)))
+            out = scored.drop("rawPrediction", "probability", "prediction")
+        return out.drop("features").withColumnsRenamed(dict(zip(kept, keys)))
+
+    return score
 
 
 def select_best(metrics: DataFrame, k: int = 1) -> DataFrame:

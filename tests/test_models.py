@@ -1,11 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronica.operators import evaluation as V
-from chronica.operators import models
+from chronica.operators import ensembles, models
 
 CLASSES = ["a", "b", "c", "none"]
 
@@ -55,6 +56,37 @@ def test_boosting_beats_the_train_prior(rows):
     assert sum(loss) / len(loss) < 0.8 * prior_loss(rows)
 
 
+def probabilities(scored):
+    return {(r.example_id, c): r[f"p_{c}"] for r in scored.collect() for c in CLASSES}
+
+
+def test_ensembles_of_cells_are_those_of_all_rows(rows):
+    """Grown from distinct rows in tasks they say what Spark ML's do, and a row that comes twice counts twice."""
+    capacity = {"trees": 6, "depth": 3, "step": 0.3}
+    coarse = rows.withColumn("x", F.round("x", 1))
+    here = probabilities(models.boosted(coarse, ["x"], ["kind"], "y", CLASSES, **capacity, leaf=5))
+    there = probabilities(models.boosted(coarse, ["x"], ["kind"], "y", CLASSES, **capacity, leaf=5, most_cells=0))
+    twice = probabilities(models.boosted(coarse.unionAll(coarse), ["x"], ["kind"], "y", CLASSES, **capacity, leaf=10))
+    assert len(here) == 900 * len(CLASSES)
+    assert max(abs(here[k] - there[k]) for k in here) < 1e-9
+    assert max(abs(here[k] - twice[k]) for k in here) < 1e-9
+
+
+def test_cut_points_are_next_to_even_shares_of_the_rows():
+    values, times = np.arange(100.0), np.ones(100)
+    assert list(ensembles.thresholds(values[:4], times[:4])) == [0.5, 1.5, 2.5]
+    assert list(ensembles.thresholds(values, times, bins=4)) == [24.5, 49.5, 74.5]
+    times[10] = 1000
+    assert list(ensembles.thresholds(values, times, bins=4)) == [9.5, 10.5, 11.5]
+
+
+def test_boosting_scores_rows_with_gaps_and_unseen_categories(rows, spark):
+    odd = spark.createDataFrame([(9001, None, "new", None, "test"), (9002, float("nan"), None, None, "test")], rows.schema)
+    out = models.boosted(rows.unionAll(odd), ["x"], ["kind"], "y", CLASSES, trees=3, depth=3, step=0.3, leaf=5)
+    got = {r.example_id: r for r in out.collect()}
+    assert len(got) == 902 and all(abs(sum(got[k][f"p_{c}"] for c in CLASSES) - 1) < 1e-9 for k in (9001, 9002))
+
+
 def test_capacities_are_the_fixed_ones():
     assert [(c["trees"], c["step"], c["leaf"]) for c in models.CAPACITIES.values()] == [(250, 0.05, 30), (350, 0.05, 25), (450, 0.04, 20)]
 
