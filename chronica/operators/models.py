@@ -39,10 +39,10 @@ def variant_columns(columns: list[str], variants: dict[str, tuple]) -> dict[str,
     return {name: [c for c in columns if c.startswith(tuple(prefixes))] for name, prefixes in variants.items()}
 
 
-def preprocessor(numeric: list[str], categorical: list[str]) -> Pipeline:
-    """Scaling of numbers without gaps; categories one-hot, unseen ones kept apart."""
+def preprocessor(numeric: list[str], categorical: list[str], scaled: list[str] = ()) -> Pipeline:
+    """Scaling of numbers without gaps, unless they are ``scaled``; categories one-hot, unseen ones kept apart."""
     stages = []
-    parts = []
+    parts = list(scaled)
     if numeric:
         stages.append(VectorAssembler(inputCols=numeric, outputCol="__num"))
         stages.append(StandardScaler(withMean=True, withStd=True, inputCol="__num", outputCol="__scaled"))
@@ -105,10 +105,25 @@ def folded(rows: DataFrame, by: list[str]) -> DataFrame:
     return session.materialised(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), "folded")
 
 
+def scaling(cells: DataFrame, numeric: list[str], times: str) -> dict[str, Column]:
+    """Columns less their means, by their deviations over all rows that the cells stand for; a constant is 0."""
+    if not numeric:
+        return {}
+    n = F.col(times)
+    first = cells.agg(F.sum(n).alias("n"), *[(F.sum(n * F.col(c)) / F.sum(n)).alias(c) for c in numeric]).first()
+    spread = cells.agg(*[F.sum(n * (F.col(c) - F.lit(first[c])) ** 2).alias(c) for c in numeric]).first()
+    by = {c: ((first["n"] - 1) / spread[c]) ** 0.5 if spread[c] else 0.0 for c in numeric}
+    return {c: (F.col(c) - F.lit(first[c])) * F.lit(by[c]) for c in numeric}
+
+
 def with_scores(rows: DataFrame, keys: list[str], score) -> DataFrame:
     """Rows with what ``score`` adds to their distinct keys, which are written. Missing and not-a-number keys
     meet their equals."""
-    scored = session.materialised(score(rows.select(*keys).distinct()), "scores")
+    return attached(rows, keys, session.materialised(score(rows.select(*keys).distinct()), "scores"))
+
+
+def attached(rows: DataFrame, keys: list[str], scored: DataFrame) -> DataFrame:
+    """Rows with the other columns of a table that has each of their keys once."""
     same = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
     extra = [c for c in scored.columns if c not in keys]
     if not same:
@@ -120,20 +135,28 @@ def with_scores(rows: DataFrame, keys: list[str], score) -> DataFrame:
 def logistic(rows: DataFrame, numeric, categorical, label: str, classes, balanced: bool = False, c: float = 1.0, split: str = "split_name", written: bool = False) -> DataFrame:
     """Multinomial logistic regression with an L2 penalty of 1 / (C n).
 
-    Rows that agree in features and label are one row with their number as weight, which has the same
-    optimum; the solver's rounds and the scores need the distinct ones only. The rows are written as
-    they are (unless ``written``), never with their feature vectors."""
-    keep, numeric, categorical, classes = rows.columns, list(numeric), list(categorical), list(classes)
+    The rows are written as they are (unless ``written``), never with their feature vectors."""
     table = rows if written else session.materialised(rows, "matrix")
+    return logistic_model(table, numeric, categorical, label, classes, balanced, c, split)(table)
+
+
+def logistic_model(table: DataFrame, numeric, categorical, label: str, classes, balanced: bool = False, c: float = 1.0, split: str = "split_name"):
+    """The fit to the training rows of a table, as a function that adds p_<class> to any rows with its columns.
+
+    Rows that agree in features and label are one row with their number as weight, which has the same
+    optimum; scaling, the solver's rounds and the scores need the distinct ones only."""
+    numeric, categorical, classes = list(numeric), list(categorical), list(classes)
     keys = [f"__f{i}" for i in range(len(numeric) + len(categorical))]
-    cast = _cast(table.select(*[F.col(n).alias(k) for n, k in zip([*numeric, *categorical], keys)], split, F.col(label).alias("__label")), keys[: len(numeric)], keys[len(numeric) :])
-    train = cast.where(F.col(split) == "train")
+    named = [F.col(n).alias(k) for n, k in zip([*numeric, *categorical], keys)]
     numbers, texts = keys[: len(numeric)], keys[len(numeric) :]
+    train = _cast(table.select(*named, split, F.col(label).alias("__label")), numbers, texts).where(F.col(split) == "train")
     cells = folded(train, [*keys, "__label"])
     middle = medians(cells, numbers, "__n") if numbers else {}
     filled = lambda df: df.na.fill(middle) if middle else df
-    how = preprocessor(numbers, texts).fit(filled(train))
-    known = how.transform(filled(cells.where(F.col("__label").isNotNull()))).withColumn("__y", _code("__label", classes))
+    scale_by = scaling(filled(cells), numbers, "__n")
+    scaled = lambda df: filled(df).withColumns({f"__z{k}": v for k, v in scale_by.items()}) if scale_by else filled(df)
+    how = preprocessor([], texts, [f"__z{k}" for k in numbers]).fit(scaled(cells))
+    known = how.transform(scaled(cells.where(F.col("__label").isNotNull()))).withColumn("__y", _code("__label", classes))
     if balanced:
         known = evaluation.balanced_weights(known, "__label", "__n")
     else:
@@ -149,14 +172,16 @@ def logistic(rows: DataFrame, numeric, categorical, label: str, classes, balance
 
     def score(distinct: DataFrame) -> DataFrame:
         raw = distinct.select("*", *[F.col(k).alias(f"__k{k}") for k in keys])
-        scored = _columns(model.transform(how.transform(filled(raw))), [f"__k{k}" for k in keys], classes[: model.numClasses])
+        scored = _columns(model.transform(how.transform(scaled(raw))), [f"__k{k}" for k in keys], classes[: model.numClasses])
         return scored.withColumnsRenamed({f"__k{k}": k for k in keys})
 
-    features = _cast(table.select("*", *[F.col(n).alias(k) for n, k in zip([*numeric, *categorical], keys)]), numbers, texts)
-    scored = with_scores(features, keys, score)
-    for missing in classes[model.numClasses:]:
-        scored = scored.withColumn(f"p_{missing}", F.lit(0.0))
-    return scored.select(*keep, *[f"p_{x}" for x in classes])
+    def add(rows: DataFrame) -> DataFrame:
+        out = with_scores(_cast(rows.select("*", *named), numbers, texts), keys, score)
+        for missing in classes[model.numClasses:]:
+            out = out.withColumn(f"p_{missing}", F.lit(0.0))
+        return out.select(*rows.columns, *[f"p_{x}" for x in classes])
+
+    return add
 
 
 def boosted(rows: DataFrame, numeric, categorical, label: str, classes, trees: int, depth: int, step: float, leaf: int, split: str = "split_name", most_cells: int = MOST_CELLS) -> DataFrame:
@@ -192,16 +217,16 @@ def boosted(rows: DataFrame, numeric, categorical, label: str, classes, trees: i
         grown = ensembles.fit(rows.sparkSession, batch, how, "__label", wanted, trees=trees, depth=depth, step=step, leaf=leaf)
         score = lambda distinct: ensembles.score(distinct, how, grown, classes)
     else:
-        score = _spark_boosted(train, known, filled, numbers, texts, keys, classes, wanted, trees, depth, step, leaf)
+        score = _spark_boosted(known, filled, numbers, texts, keys, classes, wanted, trees, depth, step, leaf)
     features = _cast(table.select("*", *named), numbers, texts)
     out = with_scores(features, keys, score)
     probabilities = F.create_map(*[x for c in classes for x in (F.lit(c), F.col(f"__p_{c}"))])
     return evaluation.align(out.select(*keep, probabilities.alias("__m")), "__m", classes).drop("__m")
 
 
-def _spark_boosted(train: DataFrame, known: DataFrame, filled, numbers, texts, keys, classes, wanted, trees: int, depth: int, step: float, leaf: int):
+def _spark_boosted(known: DataFrame, filled, numbers, texts, keys, classes, wanted, trees: int, depth: int, step: float, leaf: int):
     """Spark ML's ensembles over cells, fitted side by side. A leaf's least number of rows is a share of their weight."""
-    how = preprocessor(numbers, texts).fit(filled(train))
+    how = preprocessor(numbers, texts).fit(known)
     ready = session.materialised(how.transform(known).select("features", "__label", F.col("__n").cast("double").alias("weight")), "cells")
     total = ready.agg(F.sum("weight")).first()[0]
 

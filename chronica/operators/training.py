@@ -212,20 +212,26 @@ def person_period(examples: DataFrame, as_of: str, intervals=vocab.HAZARD_INTERV
     is beyond belief adds none (``gate``).
     """
     grid = interval_grid(examples.where("censor_aware_eligible"), "cutoff", intervals)
+    risk, hit, outcome = _risk(as_of, gate)
+    return grid.where(risk).withColumns({"event_observed": hit, "outcome_class": outcome})
+
+
+def interval_outcomes(examples: DataFrame, as_of: str, intervals=vocab.HAZARD_INTERVALS, gate: bool = True) -> DataFrame:
+    """Every interval of the examples in their window; those :func:`person_period` leaves out have no outcome."""
+    risk, _, outcome = _risk(as_of, gate)
+    return interval_grid(examples.where("censor_aware_eligible"), "cutoff", intervals).withColumn("outcome_class", F.when(risk, outcome))
+
+
+def _risk(as_of: str, gate: bool) -> tuple[Column, Column, Column]:
+    """Of an interval of the grid: whether it is at risk, whether its target is in it, and its class."""
     target = F.col("target_observable_from")
     exposed = F.date_diff(F.lit(as_of).cast("date"), F.col("birth_date")) / F.lit(vocab.DAYS_PER_YEAR) > vocab.MAX_UNKNOWN_DEATH_AGE
     ambiguous = target.isNull() & F.col("death_year").isNull() & exposed
     quiet = target.isNull() & (F.col("d1") <= F.col("obs_end"))
     if gate:
         quiet = quiet & ~ambiguous
-    risk = grid.where((target.isNotNull() & (F.col("d0") < target)) | quiet)
     hit = F.coalesce((target > F.col("d0")) & (target <= F.col("d1")), F.lit(False))
-    return risk.withColumns(
-        {
-            "event_observed": hit,
-            "outcome_class": F.when(~hit, "no_event").otherwise(S.class_of(F.col("target_domain"))),
-        }
-    )
+    return (target.isNotNull() & (F.col("d0") < target)) | quiet, hit, F.when(~hit, "no_event").otherwise(S.class_of(F.col("target_domain")))
 
 
 def matched_person_period(examples: DataFrame, intervals=vocab.HAZARD_INTERVALS) -> DataFrame:

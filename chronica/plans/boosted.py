@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from chronica import session
@@ -9,6 +12,7 @@ from chronica.functions import vocab
 from chronica.operators import boosting, models
 from chronica.operators import evaluation as V
 from chronica.operators import training as M
+from chronica.plans import binding
 from chronica.plans.evaluation import HOLDOUTS, VARIANTS, _matrix, _wide, rounded
 from chronica.plans.registry import query
 
@@ -144,41 +148,113 @@ def holdout_boosting(t):
 FAMILIES = ("interval_prior", "multinomial_logistic", "boosting")
 
 
-def hazards(t):
-    """Probabilities of every family and variant on all intervals of all cutoffs, kept for the queries below.
+ARM = ["model_family", "feature_variant"]
+KEEP = ["person_period_id", "example_id", "person_id", "split_name", "interval_index", "end_year", "d1", "obs_end", "target_observable_from", "target_domain", "outcome_class"]
+FEATURES = ["cutoff_age", "history__events", "history__domains", "background__gender", "calendar__month", "chart__branch", "placebo__branch"]
+PROBABILITIES = [f"p_{c}" for c in CLASSES]
+
+
+def _used(variant: str) -> list[str]:
+    """Feature columns of a variant of the hazards; the prior has none."""
+    return [] if variant == "interval_only" else [c for part in features(FEATURES, variant) for c in part]
+
+
+def _arms() -> list[tuple[str, str]]:
+    return [(FAMILIES[0], "interval_only"), *[(f, v) for v in VARIANTS for f in (FAMILIES[2], FAMILIES[1])]]
+
+
+def _hazard_examples(t):
+    """Examples with their features, outcome and the number of rows that have the same id: where it is
+    theirs alone, all that is said of an example is in its row."""
+
+    def make():
+        rows = _wide(t, "cutoff", "obs_end", "death_year", "target_observable_from", "target_domain", "censor_aware_eligible")
+        return rows.where("example_id IS NOT NULL").withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("example_id")))
+
+    return t.stage("hazard_examples", make)
+
+
+def _numbered(rows):
+    return rows.withColumn("person_period_id", F.col("example_id") * 10 + F.col("interval_index"))
+
+
+def _single_rows(t):
+    """All intervals of the examples whose id no other has, spread from their rows."""
+    rows = M.interval_outcomes(_hazard_examples(t).where("copies = 1"), binding.SNAPSHOT_CUTOFF)
+    return _numbered(rows).select(*KEEP, *FEATURES)
+
+
+def _repeated_rows(t):
+    """All intervals of examples that share an id: every row meets every outcome and all features of its id. None
+    where there are no such examples."""
+
+    def make():
+        some = _hazard_examples(t).where("copies > 1")
+        at_risk = _numbered(M.person_period(some, binding.SNAPSHOT_CUTOFF)).select("person_period_id", "outcome_class")
+        grid = _numbered(M.interval_grid(some.where("censor_aware_eligible"), "cutoff")).join(at_risk, "person_period_id", "left")
+        return grid.select(*KEEP, FEATURES[0]).join(some.select("example_id", *FEATURES[1:]), "example_id").select(*KEEP, *FEATURES)
+
+    rows = t.stage("hazard_repeated", make)
+    return None if rows.isEmpty() else rows
+
+
+def _hazard_rows(t):
+    repeated, rows = _repeated_rows(t), _single_rows(t)
+    return rows if repeated is None else rows.unionByName(repeated)
+
+
+def _hazard_scores(t):
+    """Probabilities of every family and variant for its distinct features at every interval; features that a variant
+    does not use are missing.
 
     Models are fitted on the intervals at risk of training people, and say what the intervals beyond would
     hold: that is what survival to a horizon is composed of."""
 
     def make():
-        wide = _wide(t).select("example_id", *[c for c in _wide(t).columns if "__" in c])
-        at_risk = t.periods.select("person_period_id", "outcome_class")
-        grid = M.interval_grid(t.examples.where("censor_aware_eligible"), "cutoff")
-        keep = ["person_period_id", "example_id", "person_id", "split_name", "interval_index", "end_year", "d1", "obs_end", "target_observable_from", "target_domain", "outcome_class"]
-        rows = grid.withColumn("person_period_id", F.col("example_id") * 10 + F.col("interval_index")).join(at_risk, "person_period_id", "left")
-        rows = session.materialised(rows.select(*keep, "cutoff_age").join(wide, "example_id"), "grid")
-        name = lambda part, family, variant: part.select(F.lit(family).alias("model_family"), F.lit(variant).alias("feature_variant"), *keep, *[f"p_{c}" for c in CLASSES])
+        rows = _hazard_rows(t)
+        kinds = dict(rows.dtypes)
+
+        def name(part, family, variant):
+            used = _used(variant)
+            seen = [F.col(c) if c in used else F.lit(None).cast(kinds[c]).alias(c) for c in FEATURES]
+            return part.select(F.lit(family).alias("model_family"), F.lit(variant).alias("feature_variant"), *seen, "interval_index", *PROBABILITIES)
+
         known = F.when(F.col("outcome_class").isNotNull(), F.col("split_name"))
         prior = V.interval_prior(rows.withColumn("__known", known), CLASSES, "outcome_class", split="__known")
-        out = name(prior, FAMILIES[0], "interval_only")
+        out = name(prior.select("interval_index", *PROBABILITIES).distinct(), *_arms()[0])
         data, columns = {}, {}
         for v in VARIANTS:
-            numeric, categorical = features(wide.columns, v)
+            numeric, categorical = features(FEATURES, v)
             columns[v] = ([*numeric, "interval_index"], categorical)
             train = eligible(rows, v).where("split_name = 'train' AND outcome_class IS NOT NULL")
             data[v] = boosting.training(train, *columns[v], "outcome_class", CLASSES)
         fitted = boosting.fit_grid(data, {FROZEN: boosting.CAPACITIES[FROZEN]})
         for v in VARIANTS:
             mine = eligible(rows, v)
-            out = out.unionByName(name(boosting.predict(fitted[v, FROZEN], mine, CLASSES), FAMILIES[2], v))
+            points = session.materialised(mine.select(*_used(v), "interval_index").distinct(), "points")
+            out = out.unionByName(name(boosting.predict(fitted[v, FROZEN], points, CLASSES), FAMILIES[2], v))
             numeric, categorical = columns[v][0][:-1], [*columns[v][1], "interval_index"]
-            out = out.unionByName(name(models.logistic(mine, numeric, categorical, "outcome_class", CLASSES, written=v != "placebo"), FAMILIES[1], v))
+            logistic = models.logistic_model(mine, numeric, categorical, "outcome_class", CLASSES)
+            out = out.unionByName(name(logistic(points), FAMILIES[1], v))
         return out
 
-    return t.stage("hazard_predictions", make)
+    return t.stage("hazard_scores", make)
 
 
-ARM = ["model_family", "feature_variant"]
+def _predicted(rows, scores):
+    """Rows with the probabilities of every family and variant."""
+    out = None
+    for family, variant in _arms():
+        keys = [*_used(variant), "interval_index"]
+        mine = scores.where((F.col("model_family") == family) & (F.col("feature_variant") == variant)).select(*ARM, *keys, *PROBABILITIES)
+        part = models.attached(eligible(rows, variant), keys, mine).select(*ARM, *KEEP, *PROBABILITIES)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def hazards(t):
+    """Probabilities of every family and variant on all intervals of all cutoffs, kept for the queries below."""
+    return t.stage("hazard_predictions", lambda: _predicted(_hazard_rows(t), _hazard_scores(t)))
 
 
 @query("n26_hazard_intervals")
@@ -192,11 +268,39 @@ def _horizons(t):
     return V.horizon_truth(V.cumulative_incidence(hazards(t), [*ARM, "example_id"]))
 
 
+def _horizon_cells(t):
+    """What :func:`_horizons` says of the held-out rows that can be judged, rows that agree in features, horizon
+    and truth as one with their number ``__n``.
+
+    Hazards to a horizon are composed once per distinct features. Examples that share an id are composed
+    row by row."""
+    columns = [*ARM, "split_name", "horizon_years", "y_true", *PROBABILITIES]
+    judged = "evaluable AND split_name <> 'train'"
+    scores = _hazard_scores(t)
+    curves = V.cumulative_incidence(scores, [*ARM, *FEATURES])
+    rows = V.horizon_truth(_single_rows(t)).where(judged)
+    cells = None
+    for v in ["interval_only", *VARIANTS]:
+        used = _used(v)
+        part = eligible(rows, v).groupBy(*used, "interval_index", "split_name", "horizon_years", "y_true").agg(F.count(F.lit(1)).alias("__n"))
+        missing = [F.lit(None).cast(kind).alias(c) for c, kind in scores.dtypes if c in FEATURES and c not in used]
+        part = part.select("*", F.lit(v).alias("feature_variant"), *missing)
+        cells = part if cells is None else cells.unionByName(part)
+    keys = ["feature_variant", *FEATURES, "interval_index"]
+    met = cells.alias("c").join(curves.alias("s"), reduce(Column.__and__, [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]))
+    sides = {"feature_variant": "c", "split_name": "c", "horizon_years": "c", "y_true": "c"}
+    out = met.select(*[F.col(f"{sides.get(c, 's')}.{c}") for c in columns], "c.__n")
+    repeated = _repeated_rows(t)
+    if repeated is not None:
+        each = V.horizon_truth(V.cumulative_incidence(_predicted(repeated, scores), [*ARM, "example_id"]))
+        out = out.unionByName(each.where(judged).select(*columns, F.lit(1).cast("bigint").alias("__n")))
+    return session.materialised(out, "horizons")
+
+
 @query("n26_hazard_horizons")
 def hazard_horizons(t):
     """Survival and cumulative incidence of the fitted hazards, scored at each horizon that can be judged."""
-    rows = _horizons(t).where("evaluable AND split_name <> 'train'")
-    out = V.interval_metrics(rows, [*ARM, "split_name", "horizon_years"])
+    out = V.interval_metrics(_horizon_cells(t), [*ARM, "split_name", "horizon_years"], times="__n")
     return rounded(out.drop("n_event", "conditional_log_loss", "conditional_macro_f1"), 6)
 
 

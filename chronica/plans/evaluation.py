@@ -63,7 +63,7 @@ WIDE_SQL = f"""wide AS (SELECT e.example_id, coalesce(a.n, 0) AS history__events
   CASE WHEN e.person_id % 6 > 0 THEN e.person_id % 12 END AS chart__branch, CASE WHEN e.person_id % 4 > 0 THEN (e.person_id + 7) % 12 END AS placebo__branch FROM examples e LEFT JOIN arms a ON a.example_id = e.example_id AND a.snapshot = 'new')"""
 
 
-def _wide(t):
+def _wide(t, *carried):
     arms = M.histories(t.examples, t.facts, "cutoff").where(F.col("snapshot") == "new")
     rows = t.examples.join(
         arms.select("example_id", F.col("canonical_event_count").alias("history__events"), F.col("domain_count").alias("history__domains")), "example_id", "left"
@@ -75,6 +75,7 @@ def _wide(t):
         F.month("birth_date").alias("calendar__month"),
         F.when(key % 6 > 0, key % 12).alias("chart__branch"),
         F.when(key % 4 > 0, (key + 7) % 12).alias("placebo__branch"),
+        *carried,
     )
 
 
